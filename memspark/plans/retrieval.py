@@ -1 +1,546 @@
-"""Registered queries."""
+"""Registered queries: retrieval (R), strategy and synonym surfaces (U3, U4, U5)."""
+
+from pyspark.sql import functions as F
+
+from ..functions import constants as K, enrich as E, language as L
+from ..functions.text import round6
+from ..operators import index as I, query_forms as Q, retrieval as R, search as S
+from ..session import cut, spread
+from ..views import AS_OF, knowledge, observations, pick, queries, table, ts
+from .enrich import _FLAGS, _IMP, _KW, _LEADS, _QE, _STRIP, vals, vlist
+from .registry import query, sql
+
+
+def docs(spark, sf):
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+
+
+def obs(spark, sf):
+    return spread(observations(spark, sf), "id")
+
+
+def know(spark, sf):
+    return spread(knowledge(spark, sf), "id")
+
+
+def asked(spark, sf):
+    """Benchmark passages with a leading phrase that sets an intent and, for some, a relative date."""
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.concat(pick(F.col("item_id") % 6, *ASKED), F.lit(" "), F.col("text")).alias("text"),
+                    ts("2024-05-01 00:00:00").alias("ref_date"))
+
+
+ASKED = ["Why did it fail 3 weeks ago:", "when was the movie", "Which one is best", "how to find the tool", "Tell me of", "should I buy"]
+Q_ASKED = f"q AS (SELECT item_id AS query_id, concat({vlist(ASKED)}[item_id % 6 + 1], ' ', text) AS text FROM benchmark)"
+Q_PLAIN = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
+TK = "tk AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents)"
+_PT = "list_filter(regexp_split_to_array(lower(phrase), '[^a-z0-9]+'), lambda x: x <> '')"
+HITS = f"""occ AS (SELECT id, len(t) AS dl, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM tk),
+pu AS (SELECT phrase, len(pt) AS m, unnest(pt) AS tok, unnest(range(len(pt))) AS off FROM (SELECT phrase, {_PT} AS pt FROM (SELECT DISTINCT phrase FROM cl))),
+hits AS (SELECT phrase, id, dl, count(*) AS tf FROM (SELECT phrase, m, id, dl, pos - off AS st FROM occ JOIN pu USING (tok) GROUP BY ALL HAVING count(*) = m) GROUP BY ALL),
+st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM tk),
+wh AS (SELECT phrase, id, ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) AS w
+  FROM (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM hits), st),
+nc AS (SELECT query_id, strategy, count(*) AS nc FROM cl GROUP BY ALL),
+sc AS (SELECT query_id, strategy, weight, id, sum(w) AS score FROM cl JOIN nc USING (query_id, strategy) JOIN wh USING (phrase)
+  GROUP BY query_id, strategy, weight, mode, nc, id HAVING mode = 'OR' OR count(*) = nc)"""
+_SYN = "syn(word, synonym) AS (VALUES " + ", ".join(f"('{w}', '{s}')" for w, many in K.SYNONYMS.items() for s in many) + ")"
+CLAUSES = f"""qk AS (SELECT query_id, text, {_KW} AS kw, list_transform({_QE}, lambda e: lower(e)) AS ent FROM q),
+qr AS (SELECT *, list_filter(list_concat(flatten(list_transform(ent, lambda e: list_filter(regexp_split_to_array(e, '\\s+'), lambda w: length(w) >= 3))),
+   list_filter(kw, lambda w: length(w) >= 5)), lambda x: true) AS r0 FROM qk),
+q2 AS (SELECT *, list_slice(list_filter(r0, lambda x, i: list_position(r0, x) = i), 1, 4) AS rel, CASE WHEN len(kw) >= 2 THEN list_slice(kw, 1, 8) ELSE [] END AS conj FROM qr),
+{_SYN},
+c0 AS (SELECT query_id, 'and' AS strategy, 2.0e0 AS weight, 'AND' AS mode, unnest(conj) AS phrase FROM q2
+ UNION ALL SELECT query_id, 'phrase', 1.9e0, 'OR', unnest(CASE WHEN len(kw) >= 2 THEN list_transform(range(1, len(kw)), lambda i: kw[i] || ' ' || kw[i + 1]) ELSE [] END) FROM q2
+ UNION ALL SELECT query_id, 'entity', 1.8e0, 'AND', unnest(ent) FROM q2
+ UNION ALL SELECT query_id, 'raw', 1.5e0, 'AND', unnest(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) FROM q2
+ UNION ALL SELECT query_id, 'relaxed', 1.2e0, 'AND', unnest(CASE WHEN len(kw) >= 3 AND len(rel) >= 2 AND rel <> conj THEN rel ELSE [] END) FROM q2
+ UNION ALL SELECT query_id, 'or', 1.0e0, 'OR', unnest(kw) FROM q2
+ UNION ALL SELECT query_id, 'or', 1.0e0, 'OR', synonym FROM (SELECT query_id, unnest(kw) AS word FROM q2) JOIN syn USING (word)
+ UNION ALL SELECT query_id, concat('single:', phrase), 0.5e0, 'OR', phrase FROM (SELECT query_id, unnest(list_slice(list_filter(kw, lambda w: length(w) >= 4), 1, 5)) AS phrase FROM q2)
+ {{temporal}}),
+cl AS (SELECT DISTINCT * FROM c0 WHERE len({_PT}) > 0)"""
+_TEMPORAL = "UNION ALL SELECT query_id, 'temporal', 1.6e0, 'AND', unnest(['april', '10', '2024', 'apr']) FROM q2 WHERE contains(text, '3 weeks ago')"
+RANKED = "row_number() OVER (PARTITION BY {by} ORDER BY round({s}, 9) DESC, id)"
+TOP4 = f"""t4 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(score, 9) DESC, id) <= {{n5}}),
+b4 AS (SELECT query_id, id, max(score * weight) AS score FROM t4 GROUP BY ALL),
+r4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM b4 QUALIFY rank <= {{n}}),
+n4 AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS relevance FROM (SELECT *, max(score) OVER w AS hi,
+  CASE WHEN count(*) OVER w > 1 THEN min(score) OVER w ELSE 0 END AS lo FROM r4 WINDOW w AS (PARTITION BY query_id)))"""
+OR_CL = f"cl AS (SELECT DISTINCT query_id, 'or' AS strategy, 1.0e0 AS weight, 'OR' AS mode, unnest({_KW}) AS phrase FROM q)"
+
+
+def or_form(q):
+    return Q.any_word(q, L.search_keywords("text"))
+
+
+# --- R1 .. R5 -------------------------------------------------------------------
+
+@query("r1_term_stats", f"WITH {TK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, unnest(t) AS term, count(*) AS tf FROM tk GROUP BY ALL) GROUP BY term")
+def r1(spark, sf):
+    return I.term_stats(I.postings(I.tokenised(docs(spark, sf), "id", "content")))
+
+
+@query("r1_index_shape", f"WITH {TK} SELECT count(*) AS postings, (SELECT count(*) FROM tk) AS n_docs, round((SELECT avg(len(t)) FROM tk), 6) AS avgdl FROM (SELECT DISTINCT id, unnest(t) FROM tk)")
+def r1s(spark, sf):
+    from ..session import run_dir
+
+    path = run_dir(spark, "index")
+    I.write_index(docs(spark, sf), "id", "content", path, buckets=8)
+    ix = I.read_index(spark, path)
+    n = ix["postings"].agg(F.count("*").alias("postings"))
+    s = ix["stats"].select(F.struct("n_docs", "avgdl").alias("s")).scalar()
+    return n.withColumn("_s", s).select("postings", F.col("_s.n_docs").alias("n_docs"), round6("_s.avgdl").alias("avgdl"))
+
+
+@query("r2_bm25", f"WITH {Q_PLAIN}, {TK}, {OR_CL}, {HITS} SELECT query_id, id, round(score, 6) AS score, {RANKED.format(by='query_id', s='score')} AS rank FROM sc QUALIFY rank <= 10")
+def r2(spark, sf):
+    r = R.bm25_any(I.tokenised(docs(spark, sf), "id", "content"), or_form(queries(spark, sf)), 10)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r3_query_forms", f"WITH {Q_ASKED}, {CLAUSES.replace('{temporal}', _TEMPORAL)} SELECT query_id, strategy, weight, mode, phrase FROM cl")
+def r3(spark, sf):
+    return Q.clauses(asked(spark, sf), ref_date="ref_date")
+
+
+@query("u4_synonym_injection", f"WITH {Q_ASKED}, {CLAUSES.replace('{temporal}', '')} SELECT strategy, count(*) AS n FROM (SELECT * FROM cl UNION "
+       "SELECT query_id, 'or', 1.0e0, 'OR', 'cinema' FROM q2 WHERE list_contains(kw, 'movie')) WHERE strategy = 'or' GROUP BY strategy")
+def u4(spark, sf):
+    c = Q.clauses(asked(spark, sf).drop("ref_date"), Q.synonyms(spark, {"movie": ["cinema"]}))
+    return c.where("strategy = 'or'").groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+_R4 = f"WITH {Q_ASKED}, {TK}, {CLAUSES.replace('{temporal}', _TEMPORAL)}, {HITS}, {TOP4.format(n5=100, n=20)} "
+
+
+@query("r4_keyword_search", _R4 + "SELECT query_id, id, round(score, 6) AS score, round(relevance, 6) AS relevance, rank FROM n4")
+def r4(spark, sf):
+    c = Q.clauses(asked(spark, sf), ref_date="ref_date")
+    r = R.keyword_search(I.tokenised(docs(spark, sf), "id", "content"), c, 20)
+    return r.select("query_id", "id", round6("score").alias("score"), round6("relevance").alias("relevance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r5_verbatim_recall", sql(f"""SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
+FROM sc JOIN (SELECT id FROM v_observations WHERE type IN ('code', 'error', 'decision') AND indexed_at >= TIMESTAMP '2024-01-15 00:00:00' AND indexed_at <= TIMESTAMP '2024-03-31 00:00:00'
+  AND {_IMP.format(ent='false')} >= 0.5) USING (id) QUALIFY rank <= 10""", "v_observations", ctes=f"{Q_PLAIN}, {TK}, {OR_CL}, {HITS}\n"))
+def r5(spark, sf):
+    o = obs(spark, sf)
+    s = R.score_clauses(I.tokenised(o, "id", "content"), or_form(queries(spark, sf)))
+    ok = o.where(F.col("type").isin("code", "error", "decision") & F.col("indexed_at").between(ts("2024-01-15 00:00:00"), ts("2024-03-31 00:00:00"))
+                 & (E.importance("content", "type", F.lit(False)) >= 0.5)).select("id")
+    r = R.top_k(s.join(ok, "id", "left_semi"), 10)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- R6, R7 -----------------------------------------------------------------------
+
+WORDS = r"wv AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents), wp AS (SELECT id, word, count(*) AS tf FROM wv GROUP BY ALL), vo AS (SELECT DISTINCT word FROM wp)"
+TRI = r"""te AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM q), t3 AS (SELECT * FROM te WHERE length(term) >= 3),
+sp AS (SELECT term, word, len(list_filter(range(1, length(word) - length(term) + 2), lambda i: substr(word, i, length(term)) = term)) AS n FROM (SELECT DISTINCT term FROM t3), vo WHERE contains(word, term)),
+th AS (SELECT term, id, sum(tf * n) AS tf FROM wp JOIN sp USING (word) GROUP BY ALL),
+ts AS (SELECT count(*) AS nd, avg(length(text)) AS al FROM documents),
+tw AS (SELECT term, id, ln(1 + (nd - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length(text) / al)) AS w
+  FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM th) JOIN documents ON doc_id = id, ts),
+tn AS (SELECT query_id, count(*) AS need FROM t3 GROUP BY ALL),
+tq AS (SELECT query_id, id, sum(w) AS score FROM t3 JOIN tn USING (query_id) JOIN tw USING (term) GROUP BY query_id, id, need HAVING count(*) = need),
+tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM tq QUALIFY rank <= 20),
+tm AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS relevance FROM (SELECT *, max(score) OVER w AS hi,
+  CASE WHEN count(*) OVER w > 1 THEN min(score) OVER w ELSE 0 END AS lo FROM tr WINDOW w AS (PARTITION BY query_id)))"""
+
+
+@query("r6_trigram_search", f"WITH {Q_PLAIN}, {WORDS}, {TRI} SELECT query_id, id, round(score, 6) AS score, round(relevance, 6) AS relevance FROM tm")
+def r6(spark, sf):
+    r = R.trigram_search(docs(spark, sf), "id", "content", queries(spark, sf), 20)
+    return r.select("query_id", "id", round6("score").alias("score"), round6("relevance").alias("relevance"))
+
+
+FUZZ = r"""fq AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 2) AS ws FROM q),
+fw AS (SELECT query_id, nw, qword, count(*) AS times FROM (SELECT query_id, len(ws) AS nw, unnest(ws) AS qword FROM fq) GROUP BY ALL),
+fp AS (SELECT qword, word, levenshtein(qword, word) AS dist FROM (SELECT DISTINCT qword FROM fw), vo WHERE length(word) >= 2 AND abs(length(word) - length(qword)) <= 2 AND levenshtein(qword, word) <= 2),
+fb AS (SELECT qword, id, min(dist) AS d FROM wp JOIN fp USING (word) GROUP BY ALL),
+fs AS (SELECT query_id, id, sum(times / (d + 1.0e0) / nw) AS score FROM fb JOIN fw USING (qword) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fs QUALIFY rank <= 20)"""
+
+
+@query("r7_fuzzy_search", f"WITH {Q_PLAIN}, {WORDS}, {FUZZ} SELECT query_id, id, round(score, 6) AS score, rank FROM fr")
+def r7(spark, sf):
+    r = R.fuzzy_search(docs(spark, sf), "id", "content", queries(spark, sf), 20)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- R8, U5 ------------------------------------------------------------------------
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query("r8_vector_search", """SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) <= 10""")
+def r8(spark, sf):
+    v = vectors(spark, sf)
+    r = R.vector_search(spread(v, "id"), v.withColumnRenamed("id", "query_id"), 10, exclude_self=True)
+    return r.select("query_id", "id", round6("score").alias("score"))
+
+
+_LETTERS = "list_transform(range(26), lambda i: (length(lower(text)) - length(replace(lower(text), chr(CAST(97 + i AS INTEGER)), '')))::DOUBLE)"
+
+
+@query("u5_embedding_function", f"""WITH v AS (SELECT doc_id AS id, {_LETTERS} AS e FROM documents), qv AS (SELECT item_id AS query_id, {_LETTERS} AS e FROM benchmark)
+SELECT query_id, id, round(list_cosine_similarity(qv.e, v.e), 6) AS score FROM qv, v WHERE list_cosine_similarity(qv.e, v.e) >= 0.2
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv.e, v.e), 9) DESC, id) <= 5""")
+def u5(spark, sf):
+    """A user's embedding function (letter counts, as a pandas UDF) feeding vector search."""
+    embed = letter_counts()
+    v = docs(spark, sf).select("id", embed("content").alias("embedding"))
+    q = queries(spark, sf).select("query_id", embed("text").alias("embedding"))
+    return R.vector_search(v, q, 5).select("query_id", "id", round6("score").alias("score"))
+
+
+def letter_counts():
+    @F.pandas_udf("array<double>")
+    def counts(s: "pandas.Series") -> "pandas.Series":  # noqa: F821
+        return s.str.lower().map(lambda t: [float(t.count(chr(97 + i))) for i in range(26)])
+
+    return counts
+
+
+# --- R9 .. R11 ---------------------------------------------------------------------
+
+_INTENT = rf"""CASE WHEN list_has_any(ws, {vlist(K.CAUSAL_SIGNALS)}) THEN 'causal' WHEN list_has_any(ws, {vlist(K.TEMPORAL_SIGNALS)}) THEN 'temporal'
+ WHEN list_has_any(ws, {vlist(K.RECOMMENDATION_SIGNALS)}) OR regexp_matches(text, '(?i)\bshould\s+i\b') THEN 'recommendation' WHEN list_has_any(ws, {vlist(K.LOOKUP_SIGNALS)}) THEN 'lookup' ELSE 'general' END"""
+INTENTS = rf"qi AS (SELECT query_id, text, {_INTENT} AS intent FROM (SELECT *, regexp_split_to_array(lower(text), '\s+') AS ws FROM q))"
+_SW = """CASE strategy WHEN 'bm25' THEN 0.45e0 WHEN 'trigram' THEN 0.15e0 WHEN 'levenshtein' THEN 0.05e0 WHEN 'vector' THEN 0.35e0 ELSE 0.1e0 END
+ * CASE WHEN intent = 'lookup' AND strategy = 'bm25' THEN 1.4e0 WHEN intent = 'lookup' AND strategy = 'vector' THEN 0.5e0
+   WHEN intent IN ('causal', 'temporal') AND strategy = 'vector' THEN 1.5e0 WHEN intent IN ('causal', 'temporal') AND strategy = 'bm25' THEN 0.7e0 ELSE 1 END"""
+
+
+@query("r9_intent_weights", f"""WITH {Q_ASKED}, {INTENTS} SELECT query_id, intent, strategy, round({_SW}, 6) AS weight FROM qi, (VALUES ('bm25'), ('trigram'), ('levenshtein'), ('vector'), ('mine')) s(strategy)""")
+def r9(spark, sf):
+    q = asked(spark, sf).select("query_id", L.search_intent("text").alias("intent"))
+    q = q.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in [*R.STRATEGY_WEIGHTS, "mine"]])))
+    return q.select("query_id", "intent", "strategy", round6(R.strategy_weight("strategy", "intent")).alias("weight"))
+
+
+def legs(spark, sf, extra=None):
+    """The four strategies over the observations, 20 results each, as one result list."""
+    d, q = docs(spark, sf), asked(spark, sf)
+    kw = R.keyword_search(I.tokenised(d, "id", "content"), Q.clauses(q, ref_date="ref_date"), 20)
+    tri = R.trigram_search(d, "id", "content", q, 20)
+    fz = R.fuzzy_search(d, "id", "content", q, 20)
+    v = vectors(spark, sf)
+    qv = v.join(q.select("query_id"), v["id"] == q["query_id"]).select("query_id", "embedding")
+    vec = R.vector_search(spread(v, "id"), qv, 20, exclude_self=True)
+    one = lambda df, name, c: df.select("query_id", F.lit(name).alias("strategy"), "id", F.col(c).alias("relevance"))
+    every = one(kw, "bm25", "relevance").unionByName(one(tri, "trigram", "relevance")).unionByName(one(fz, "levenshtein", "score")).unionByName(one(vec, "vector", "score"))
+    if extra is not None:
+        every = every.unionByName(extra)
+    # results refer to stored observations: vectors of other rows drop out here
+    o = observations(spark, sf).select("id", "type")
+    return every.join(o, "id").join(q.select("query_id", L.search_intent("text").alias("intent")), "query_id")
+
+
+_VEC = """vs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN q ON a.vec_id = q.query_id JOIN embeddings b ON a.vec_id <> b.vec_id),
+vr AS (SELECT * FROM vs WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 20)"""
+_TB = "CASE " + " ".join(f"WHEN intent = '{i}' AND type = '{t}' THEN {b}e0" for i, bs in K.INTENT_BOOSTS.items() for t, b in bs.items()) + " ELSE 0e0 END"
+_FUSED = sql("", "v_observations", ctes=f"""{Q_ASKED}, {TK}, {CLAUSES.replace('{temporal}', _TEMPORAL)}, {HITS}, {TOP4.format(n5=100, n=20)}, {WORDS}, {TRI}, {FUZZ}, {_VEC}, {INTENTS},
+al AS (SELECT query_id, 'bm25' AS strategy, id, relevance FROM n4 UNION ALL SELECT query_id, 'trigram', id, relevance FROM tm UNION ALL SELECT query_id, 'levenshtein', id, score FROM fr UNION ALL SELECT query_id, 'vector', id, score FROM vr {{extra}}),
+fu AS (SELECT query_id, intent, id, sum((relevance + {_TB}) * {_SW}) * CASE WHEN count(*) >= 2 THEN 1 + 0.15e0 * (count(*) - 1) ELSE 1 END AS score, count(*) AS n_strategies
+  FROM al JOIN v_observations USING (id) JOIN qi USING (query_id) GROUP BY query_id, intent, id)
+""")
+
+
+@query("r10_fusion", _FUSED.replace("{extra}", "") + "SELECT query_id, intent, id, round(score, 6) AS score, n_strategies FROM fu")
+def r10(spark, sf):
+    f = R.fuse(legs(spark, sf))
+    return f.select("query_id", "intent", "id", round6("score").alias("score"), "n_strategies")
+
+
+@query("u3_custom_strategy", _FUSED.replace("{extra}", "UNION ALL SELECT query_id, 'newest', doc_id, 1.0e0 FROM q, (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3)")
+       + "SELECT query_id, id, round(score, 6) AS score, n_strategies FROM fu")
+def u3(spark, sf):
+    """A user strategy (the three longest documents for every query) joins the fusion with weight 0.1."""
+    longest = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(3).agg(F.collect_list("doc_id").alias("ids"))
+    mine = asked(spark, sf).select("query_id", F.lit("newest").alias("strategy"), F.explode(longest.scalar()).alias("id"), F.lit(1.0).alias("relevance"))
+    return R.fuse(legs(spark, sf, mine)).select("query_id", "id", round6("score").alias("score"), "n_strategies")
+
+
+_IW = lambda i: "CASE intent " + " ".join(f"WHEN '{n}' THEN {w[i]}e0" for n, w in R.INTENT_WEIGHTS.items()) + " END"
+_SNIPSQL = rf"""CASE WHEN length(content) <= 300 THEN content ELSE substr(content, 1, 300) END"""
+
+
+def boost_sql(src, text, iw, bw):
+    """Content boost over the candidate set, without synonyms."""
+    return f"""cb AS (SELECT c.query_id, c.id, lower({text}) AS low, {_KW.replace('text', 'qtext')} AS kw FROM (SELECT f.*, content, qi.text AS qtext FROM {src} f JOIN v_observations USING (id) JOIN qi USING (query_id)) c),
+cn AS (SELECT query_id, count(*) AS n FROM cb GROUP BY ALL),
+ck AS (SELECT query_id, id, w, CAST(contains(low, w) AS INT) AS h FROM (SELECT query_id, id, low, unnest(kw) AS w FROM cb)),
+cd AS (SELECT query_id, w, ln((n + 1.0e0) / (sum(h) + 1)) AS idf FROM (SELECT DISTINCT * FROM ck) JOIN cn USING (query_id) GROUP BY query_id, w, n),
+cs AS (SELECT query_id, id, CASE WHEN sum(idf) > 0 THEN sum(idf * h) / sum(idf) ELSE 0 END AS dens FROM ck JOIN cd USING (query_id, w) GROUP BY ALL),
+bo AS (SELECT query_id, id, coalesce(dens, 0) * {iw}e0 + {bw}e0 * CASE WHEN len(kw) >= 2 THEN len(list_filter(range(1, len(kw)), lambda i: contains(low, kw[i] || ' ' || kw[i + 1]))) / (len(kw) - 1.0e0) ELSE 0 END AS boost
+  FROM cb LEFT JOIN cs USING (query_id, id))"""
+
+
+@query("r11_rerank", _FUSED.replace("{extra}", "").rstrip() + f""",
+{boost_sql('fu', "substr(content, 1, 300)", 0.5, 0.3)},
+rs AS (SELECT query_id, count(*) AS n, var_pop(score) AS v, (max(epoch(indexed_at)) - min(epoch(indexed_at))) / 604800.0e0 AS spread FROM fu JOIN v_observations USING (id) GROUP BY ALL),
+rr AS (SELECT f.query_id, f.id, f.score * (
+   {_IW(0)} - CASE WHEN intent = 'general' AND n >= 2 AND v < 0.01 THEN 0.15e0 ELSE 0 END + CASE WHEN intent = 'general' AND n >= 2 AND spread < 0.1 THEN 0.15e0 ELSE 0 END
+   + ({_IW(1)} + CASE WHEN intent = 'general' AND n >= 2 AND v < 0.01 THEN 0.15e0 ELSE 0 END - CASE WHEN intent = 'general' AND n >= 2 AND spread < 0.1 THEN 0.15e0 ELSE 0 END)
+     * pow(0.5e0, (epoch(TIMESTAMP '{AS_OF}') - epoch(indexed_at)) / 604800.0e0)
+   + {_IW(2)} * log2(access_count + 2) / 10 + boost) AS score
+  FROM fu f JOIN rs USING (query_id) JOIN bo USING (query_id, id) JOIN v_observations o ON o.id = f.id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM rr QUALIFY rank <= 5""")
+def r11(spark, sf):
+    fused = cut(R.fuse(legs(spark, sf)), "fused")  # read four times by the rerank; at most 80 rows per query
+    o = observations(spark, sf).select("id", F.col("indexed_at").alias("ts"), "access_count", F.substring("content", 1, 300).alias("snippet"))
+    r = R.rerank(fused.join(o, "id"), asked(spark, sf), ts(AS_OF))
+    return R.top_k(r, 5).select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r11_rerank_synonyms")
+def r11s(spark, sf):
+    """Rerank of the keyword candidates with synonym credit and query-aware snippets."""
+    q = asked(spark, sf)
+    kw = R.keyword_search(I.tokenised(docs(spark, sf), "id", "content"), Q.clauses(q, ref_date="ref_date"), 20)
+    kw = cut(kw.select("query_id", "id", F.col("relevance").alias("score")), "candidates")
+    o = observations(spark, sf).select("id", F.col("indexed_at").alias("ts"), "access_count", "content")
+    c = kw.join(o, "id").join(q.select("query_id", "text", L.search_intent("text").alias("intent")), "query_id")
+    c = c.withColumn("snippet", E.best_snippet("content", "text")).drop("content", "text")
+    r = R.rerank(c, q, ts(AS_OF), syn=Q.synonyms(spark))
+    return R.top_k(r, 5).select("query_id", "id", round6("score").alias("score"), "rank")
+
+
+# --- R12 .. R24 ----------------------------------------------------------------------
+
+_RAW = r"""list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(text, '["*()\-^:+{}\[\]]', ' ', 'g'), '(?i)\b(?:AND|OR|NOT|NEAR)\b', ' ', 'g')), '\s+'), lambda w: w <> '')"""
+_LINECHUNKS = r"""ch AS (SELECT doc_id * 100000 + i AS id, x AS content FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(x, '\S'))"""
+
+
+def line_chunks(spark, sf):
+    """Each line of a document as a chunk (the texts hold no blank lines to split at)."""
+    d = docs(spark, sf).select("id", F.posexplode(F.split("content", "\n")).alias("i", "x")).where(F.col("x").rlike(r"\S"))
+    return d.select((F.col("id") * 100000 + F.col("i")).alias("id"), F.lit(None).cast("string").alias("heading"), F.col("x").alias("content"), F.lit(False).alias("has_code"))
+
+
+@query("r12_chunk_search", f"""WITH {Q_PLAIN}, {_LINECHUNKS}, tk AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM ch),
+rw AS (SELECT query_id, {_RAW} AS b FROM q),
+cl AS (SELECT DISTINCT query_id, 'or' AS strategy, 1.0e0 AS weight, 'OR' AS mode, phrase FROM (SELECT query_id, unnest(list_concat(b, regexp_split_to_array(regexp_replace(replace(array_to_string(b, ' '), '_', ' '), '([a-z])([A-Z])', '\\1 \\2', 'g'), '\\s+'))) AS phrase FROM rw) WHERE len({_PT}) > 0),
+{HITS}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 5),
+sn AS (SELECT query_id, rank, id, score, content, lower(content) AS low, list_filter(regexp_split_to_array(lower(q.text), '\\s+'), lambda w: length(w) > 2) AS ws FROM rk JOIN ch USING (id) JOIN q USING (query_id)),
+sp AS (SELECT *, coalesce(list_min(list_filter(list_transform(ws, lambda w: strpos(low, w)), lambda p: p > 0)) - 1, 0) AS a FROM sn),
+sh AS (SELECT *, CASE WHEN length(content) <= 350 THEN content ELSE concat(CASE WHEN a > 120 THEN '...' ELSE '' END, substr(content, greatest(0, a - 120) + 1, least(length(content), a + 120) - greatest(0, a - 120)),
+   CASE WHEN a + 120 < length(content) THEN '...' ELSE '' END) END AS shown FROM sp),
+us AS (SELECT *, octet_length(encode(shown)) AS b, sum(octet_length(encode(shown))) OVER (PARTITION BY query_id ORDER BY rank) - octet_length(encode(shown)) AS used FROM sh),
+ov AS (SELECT *, used + b > 1536 AS over, sum(CASE WHEN used + b > 1536 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM us)
+SELECT query_id, id, rank, round(score, 6) AS score, CASE WHEN over THEN concat(substr(shown, 1, CAST(1536 - used AS BIGINT)), '...') ELSE shown END AS shown FROM ov WHERE nth = 0 OR (nth = 1 AND over AND 1536 - used > 100)""")
+def r12(spark, sf):
+    r = S.chunk_search(line_chunks(spark, sf), queries(spark, sf))
+    return r.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), round6("score").alias("score"), "shown")
+
+
+# odd passages lose their first letter (a substring search still finds them), every third keeps only its last 30 characters
+_KQ = "q AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 2 THEN right(text, 30) WHEN item_id % 2 = 1 THEN substr(text, 2) ELSE text END AS text FROM benchmark)"
+
+
+def kqueries(spark, sf):
+    b = table(spark, sf, "benchmark")
+    i, t = F.col("item_id"), F.col("text")
+    return b.select(i.alias("query_id"), F.when(i % 3 == 2, F.right(t, F.lit(30))).when(i % 2 == 1, F.expr("substring(text, 2)")).otherwise(t).alias("text"))
+
+
+def know_sql(allow="true"):
+    return sql("", "v_knowledge", ctes=f"""{_KQ}, tk AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM v_knowledge),
+cl AS (SELECT DISTINCT query_id, 'and' AS strategy, 1.0e0 AS weight, 'AND' AS mode, phrase FROM (SELECT query_id, unnest({_RAW}) AS phrase FROM q) WHERE len({_PT}) > 0),
+{HITS}, ok AS (SELECT id FROM v_knowledge WHERE {allow}),
+l1 AS (SELECT query_id, id, 1 AS leg FROM sc JOIN ok USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10),
+l2q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(array_to_string({_RAW}, ' ')), '\\s+'), lambda w: length(w) >= 3) AS ws FROM q WHERE query_id NOT IN (SELECT query_id FROM l1)),
+l2 AS (SELECT query_id, id, 2 AS leg FROM l2q, (SELECT id, lower(concat_ws(' ', title, content)) AS body FROM v_knowledge JOIN ok USING (id)) WHERE len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(body, w))) = 0
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 10),
+l3 AS (SELECT query_id, id, 3 AS leg FROM q, (SELECT * FROM v_knowledge JOIN ok USING (id)) k WHERE query_id NOT IN (SELECT query_id FROM l1) AND query_id NOT IN (SELECT query_id FROM l2)
+  AND (contains(lower(title), lower(trim(text))) OR contains(lower(content), lower(trim(text)))) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) <= 10),
+ks AS (SELECT query_id, id, leg, 0.5e0 + 0.3e0 * pow(0.5e0, (epoch(TIMESTAMP '{AS_OF}') - epoch(created_at)) / 86400.0e0 * CASE WHEN source_type = 'explicit' THEN 0.8e0 ELSE 1 END / 14) + 0.02e0 * log2(access_count + 2) AS score
+  FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) JOIN v_knowledge USING (id))
+""") + "SELECT query_id, id, leg, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ks"
+
+
+@query("r13_knowledge_search", know_sql())
+def r13(spark, sf):
+    r = S.knowledge_search(know(spark, sf), kqueries(spark, sf), ts(AS_OF))
+    return r.select("query_id", "id", "leg", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r14_as_of_knowledge", know_sql("created_at <= TIMESTAMP '2024-03-01 00:00:00' AND (access_count = 0 OR created_at + INTERVAL 10 DAY * access_count > TIMESTAMP '2024-03-01 00:00:00')"))
+def r14(spark, sf):
+    from ..operators.joins import valid_at
+
+    k = know(spark, sf)
+    end = F.when(F.col("access_count") > 0, F.col("created_at") + F.make_dt_interval(days=(F.col("access_count") * 10).cast("int")))
+    ok = valid_at(k.select("id", F.col("created_at").alias("valid_from"), end.alias("valid_to")), ts("2024-03-01 00:00:00"))
+    r = S.knowledge_search(k, kqueries(spark, sf), ts(AS_OF), allowed=ok)
+    return r.select("query_id", "id", "leg", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r15_answer_sources")
+def r15(spark, sf):
+    from ..functions import entities as N
+    from ..views import events
+
+    b = table(spark, sf, "benchmark")
+    q = b.select(F.col("item_id").alias("query_id"), F.concat(pick(F.col("item_id") % 6, "What is ", "When was error ", "Who is ", "Why use ", "How do ", ""), F.col("text")).alias("text"))
+    d = docs(spark, sf)
+    people = N.entities(d, "id", "content").where("type = 'person'").select("name").distinct()
+    ev = events(spark, sf, "props").withColumnRenamed("props", "data")
+    return S.answer_sources(q, know(spark, sf), obs(spark, sf), ev, people, ts(AS_OF)).select("query_id", "kind", "id", round6("score").alias("score"), "rank")
+
+
+_IMPORTED = sql("", "v_observations", ctes=f"io AS (SELECT *, CAST({_IMP.format(ent='false')} AS DOUBLE) AS importance FROM v_observations)\n")
+
+
+def important(spark, sf):
+    return obs(spark, sf).withColumn("importance", E.importance("content", "type", F.lit(False)))
+
+
+_TOPICS_SQL = "\nUNION ALL\n".join(rf"SELECT id, '{t}' AS topic FROM v_observations WHERE regexp_matches(content, '(?i)\b(?:{p})\b')" for t, p in K.TOPIC_KEYWORDS.items())
+
+
+@query("r16_browse_topics", _IMPORTED.rstrip() + f", tp AS ({_TOPICS_SQL})\n" + """SELECT topic, id, importance, row_number() OVER (PARTITION BY topic ORDER BY importance DESC, indexed_at DESC, id) AS rank
+FROM tp JOIN io USING (id) QUALIFY rank <= 10""")
+def r16(spark, sf):
+    o = important(spark, sf).withColumn("topic", F.explode(F.transform(E.topics("content"), lambda s: s["topic"])))
+    return S.browse(o.select("topic", "id", "importance", "indexed_at"), "topic", 10).select("topic", "id", "importance", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r16_browse_days", _IMPORTED + """SELECT strftime(indexed_at, '%Y-%m-%d') AS day, id, importance, row_number() OVER (PARTITION BY strftime(indexed_at, '%Y-%m-%d') ORDER BY importance DESC, indexed_at DESC, id) AS rank
+FROM io QUALIFY rank <= 5""")
+def r16d(spark, sf):
+    o = important(spark, sf).withColumn("day", F.date_format("indexed_at", "yyyy-MM-dd"))
+    return S.browse(o.select("day", "id", "importance", "indexed_at"), "day", 5).select("day", "id", "importance", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r16_browse_people")
+def r16p(spark, sf):
+    from ..functions import entities as N
+
+    o = important(spark, sf)
+    people = N.entities(o, "id", "content").where("type = 'person'").select("id", "name")
+    return S.browse(people.join(o.select("id", "importance", "indexed_at"), "id"), "name", 10).select("name", "id", "importance", "rank")
+
+
+@query("r17_related_context")
+def r17(spark, sf):
+    """Every order's action (file or command) against observations, knowledge and the supplier-part graph."""
+    from ..functions.actions import file_query
+    from .enrich import actions
+
+    a = actions(spark, sf).withColumn("query", file_query("tool", "path", "command")).where("query is not null")
+    a = a.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "path", "command").alias("action_id"), "query", "path").distinct()
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+    files = li.select(F.concat(F.lit("src/s"), F.col("l_suppkey"), F.lit("/"), F.lower("l_returnflag"), F.lit("/p"), F.col("l_partkey"), F.lit(".ts")).alias("file_path"),
+                      (F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("n"))
+    total = table(spark, sf, "documents").agg(F.count("*").alias("n"))
+    files = files.withColumn("id", F.pmod(F.col("n"), total.scalar())).select("file_path", "id")
+    o = important(spark, sf).join(files, "id").withColumn("entities", F.transform(E.topics("content"), lambda s: s["topic"]))
+    edges = li.select(F.concat(F.lit("src/s"), F.col("l_suppkey"), F.lit("/"), F.lower("l_returnflag"), F.lit("/p"), F.col("l_partkey"), F.lit(".ts")).alias("src"),
+                      F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("supplied_by").alias("type"))
+    k = know(spark, sf)
+    r = S.related_context(a, o, k, edges, k, ts(AS_OF), threshold=0.3)
+    return r.select("action_id", "rank", "leg", F.sha2("line", 256).alias("line_sha"), round6("score").alias("score"))
+
+
+@query("r18_prompt_memory", sql("", "v_knowledge", "v_observations", ctes=f"""{Q_PLAIN}, io AS (SELECT *, CAST({_IMP.format(ent='false')} AS DOUBLE) AS importance FROM v_observations),
+tk AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM v_knowledge),
+qt AS (SELECT query_id, list_slice(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[?!.,;:''"()\\[\\]{{}}]', '', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({vlist(K.QUESTION_STOP_WORDS)}, w)), 1, 10) AS ws FROM q),
+cl AS (SELECT DISTINCT query_id, 'and' AS strategy, 1.0e0 AS weight, 'AND' AS mode, phrase FROM (SELECT query_id, unnest(ws) AS phrase FROM qt) WHERE len({_PT}) > 0), {HITS},
+m AS (SELECT query_id, id, 'knowledge' AS kind, title, substr(content, 1, 200) AS body, access_count::DOUBLE AS s, NULL::TIMESTAMP AS t FROM sc JOIN v_knowledge USING (id)
+  UNION ALL SELECT query_id, id, 'observation', type, substr(content, 1, 200), importance, indexed_at FROM sc JOIN io USING (id)),
+mr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kind, s DESC, t DESC, id) AS rank FROM m QUALIFY rank <= 3),
+ml AS (SELECT *, concat(CASE kind WHEN 'knowledge' THEN 'Knowledge: ' ELSE 'Observation: ' END, title, ' — ', body) AS line FROM mr)
+""") + "SELECT query_id, rank, kind, id, line FROM (SELECT *, 40 + sum(length(line)) OVER (PARTITION BY query_id ORDER BY rank) AS chars FROM ml) WHERE chars <= 1200")
+def r18(spark, sf):
+    k = know(spark, sf).withColumn("relevance_score", F.col("access_count").cast("double"))
+    r = S.prompt_memories(k, important(spark, sf), queries(spark, sf))
+    return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "kind", "id", "line")
+
+
+_R19 = f"""WITH {Q_PLAIN}, {TK}, {OR_CL}, {HITS}, kb AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+vs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN q ON a.vec_id = q.query_id JOIN embeddings b ON a.vec_id <> b.vec_id),
+vr AS (SELECT * FROM vs WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+hy AS (SELECT query_id, id, sum(score) AS score FROM (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) * 0.55e0 AS score FROM kb UNION ALL SELECT query_id, id, score * 0.45e0 FROM vr) GROUP BY ALL) """
+
+
+def query_vectors(spark, sf):
+    v = vectors(spark, sf)
+    q = queries(spark, sf)
+    return v.join(q.select("query_id"), v["id"] == q["query_id"]).select("query_id", "embedding")
+
+
+@query("r19_hybrid", _R19 + "SELECT query_id, id, round(score, 6) AS score FROM hy QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10")
+def r19(spark, sf):
+    kw = R.bm25_any(I.tokenised(docs(spark, sf), "id", "content"), or_form(queries(spark, sf)), 30)
+    vec = R.vector_search(spread(vectors(spark, sf), "id"), query_vectors(spark, sf), 30, exclude_self=True)
+    return S.hybrid(kw, vec, 10).select("query_id", "id", round6("score").alias("score"))
+
+
+_BOX = r"list_filter(regexp_split_to_array(regexp_replace(trim(text), '[^\w\s-]', '', 'g'), '\s+'), lambda w: w <> '')"
+_BOXCL = f"cl AS (SELECT DISTINCT query_id, 'or' AS strategy, 1.0e0 AS weight, 'OR' AS mode, phrase FROM (SELECT query_id, unnest({_BOX}) AS phrase FROM q) WHERE len({_PT}) > 0)"
+_IWD = lambda i: "CASE intent " + " ".join(f"WHEN '{n}' THEN {R.INTENT_WEIGHTS['general' if n == 'recommendation' else n][i]}e0" for n in R.INTENT_WEIGHTS) + " END"
+_TBD = _TB.replace("intent = 'recommendation'", "intent = 'none'")
+
+
+@query("r20_dashboard_search", sql("", "v_observations", ctes=f"""{Q_ASKED}, {TK}, {_BOXCL}, {HITS}, {INTENTS},
+rk AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 40),
+fs AS (SELECT query_id, id, ({_IWD(0)} * least(1, score / 30) + {_IWD(1)} * pow(0.5e0, (epoch(TIMESTAMP '{AS_OF}') - epoch(indexed_at)) / 604800.0e0) + {_IWD(2)} * log2(access_count + 2) / 10)
+  * (1 + 0.1e0 * ({_TBD})) AS score FROM rk JOIN v_observations USING (id) JOIN qi USING (query_id))
+""") + "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fs QUALIFY rank <= 20")
+def r20(spark, sf):
+    o, q = obs(spark, sf), asked(spark, sf)
+    hits = R.bm25_any(I.tokenised(o, "id", "content"), Q.any_word(q, S.box_words()), 40).drop("rank")
+    h = hits.join(o.select("id", "type", "indexed_at", "access_count"), "id").join(q.select("query_id", L.search_intent("text").alias("intent")), "query_id")
+    r = S.blended(h, ts(AS_OF), 20)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r21_evaluator_search", sql("", "v_observations", ctes=f"""{Q_PLAIN}, {TK}, {CLAUSES.replace('{temporal}', '')}, {HITS}, {WORDS}, {TRI}, qi AS (SELECT query_id, text FROM q),
+t4 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(score, 9) DESC, id) <= 50),
+b4 AS (SELECT query_id, id, max(score * weight) AS score FROM t4 GROUP BY ALL),
+ev AS (SELECT * FROM b4 UNION ALL SELECT query_id, id, score * 0.3e0 FROM tr WHERE query_id NOT IN (SELECT query_id FROM b4 GROUP BY 1 HAVING count(*) >= 10) AND (query_id, id) NOT IN (SELECT query_id, id FROM b4)),
+{boost_sql('ev', 'content', 3.0, 1.5)}
+""") + "SELECT query_id, id, round(score + boost, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + boost, 9) DESC, id) AS rank FROM ev JOIN bo USING (query_id, id) QUALIFY rank <= 10")
+def r21(spark, sf):
+    d, q = docs(spark, sf), queries(spark, sf)
+    tri = R.trigram_search(d, "id", "content", q, 20)
+    r = S.evaluator_search(I.tokenised(d, "id", "content"), Q.clauses(q), q, d, tri, 10)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r22_vector_rerank", f"""WITH {Q_PLAIN}, {TK}, {OR_CL}, {HITS}, kb AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+vr AS (SELECT kb.query_id, kb.id, kb.score + 3 * coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) AS score FROM kb LEFT JOIN embeddings a ON a.vec_id = query_id LEFT JOIN embeddings b ON b.vec_id = id)
+SELECT query_id, id, round(score, 6) AS score FROM vr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
+def r22(spark, sf):
+    kw = R.bm25_any(I.tokenised(docs(spark, sf), "id", "content"), or_form(queries(spark, sf)), 30)
+    r = R.vector_rerank(kw.select("query_id", "id", "score"), query_vectors(spark, sf), vectors(spark, sf), 10)
+    return r.select("query_id", "id", round6("score").alias("score"))
+
+
+@query("r23_overlap_rerank", f"""WITH {Q_PLAIN}, {TK}, {OR_CL}, {HITS}, kb AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 30),
+kq AS (SELECT query_id, {_KW} AS kw FROM q), f AS (SELECT query_id, id, score * (1 + len(list_filter(kw, lambda w: contains(lower(text), w))) / greatest(len(kw), 1)::DOUBLE) AS score FROM kb JOIN kq USING (query_id) JOIN documents ON doc_id = id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY rank <= 10""")
+def r23(spark, sf):
+    d, q = docs(spark, sf), queries(spark, sf)
+    kw = R.bm25_any(I.tokenised(d, "id", "content"), or_form(q), 30)
+    r = S.overlap_rerank(kw.select("query_id", "id", "score"), q, d, 10)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("r24_knowledge_list", sql(f"SELECT query_id, id, access_count, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC, id) AS rank FROM (SELECT DISTINCT query_id, id FROM sc) JOIN v_knowledge USING (id) QUALIFY rank <= 20",
+                                 "v_knowledge", ctes=f"{Q_PLAIN}, {TK}, {_BOXCL}, {HITS}\n"))
+def r24(spark, sf):
+    from pyspark.sql import Window
+
+    k, q = know(spark, sf), queries(spark, sf)
+    form = Q.any_word(q, S.box_words())
+    m = I.phrase_hits(I.tokenised(k, "id", "content"), form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id").distinct()
+    m = m.join(k.select("id", "access_count"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("access_count"), "id")
+    return m.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 20")
