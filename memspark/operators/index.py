@@ -17,7 +17,8 @@ K1, B = 1.2, 0.75
 
 def tokenised(df: DataFrame, id_: str, text, *keep: str) -> DataFrame:
     """(id, tokens, dl): lower-case ASCII alphanumeric tokens and their number."""
-    t = df.select(F.col(id_).alias("id"), tokens_of(text).alias("tokens"), *keep)
+    # the one-element explode keeps later uses of the array from repeating the split
+    t = df.select(F.col(id_).alias("id"), F.explode(F.array(tokens_of(text))).alias("tokens"), *keep)
     return t.withColumn("dl", F.size("tokens").cast("bigint"))
 
 
@@ -39,14 +40,13 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def unit_occurrences(tok: DataFrame, units: DataFrame, *keep: str) -> DataFrame:
-    """(id, dl, pos, unit): token and adjacent-pair occurrences that some phrase needs."""
+def unit_occurrences(tok: DataFrame, *keep: str) -> DataFrame:
+    """(id, dl, pos, unit): every token and adjacent pair of tokens with its place."""
     t = F.col("tokens")
     pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
                        lambda a, b: F.concat(a, F.lit(" "), b))
     at = lambda arr: F.transform(arr, lambda x, i: F.struct(i.alias("pos"), x.alias("unit")))
-    occ = tok.select("id", "dl", *keep, F.explode(F.concat(at(t), at(pairs))).alias("u")).select("id", "dl", *keep, "u.*")
-    return occ.join(units.select("unit").distinct(), "unit", "left_semi")
+    return tok.select("id", "dl", *keep, F.explode(F.concat(at(t), at(pairs))).alias("u")).select("id", "dl", *keep, "u.*")
 
 
 def phrase_units(phrases: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def phrase_hits(tok: DataFrame, phrases: DataFrame, *keep: str) -> DataFrame:
     the same place. Only phrases of three tokens or more need the extra grouping.
     """
     units = phrase_units(phrases)
-    occ = unit_occurrences(tok, units, *keep).join(units, "unit")
+    occ = unit_occurrences(tok, *keep).join(units, "unit")
     by = ["phrase", "id", "dl", *keep]
     short = occ.where("need = 1").select(*by)
     long = (occ.where("need > 1").groupBy(*by, "need", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("c"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from ..functions import language as L
 from ..functions.enrich import context_snippet, decay
 from ..functions.text import words_ws
+from ..session import cut
 from . import index as I, query_forms as Q, retrieval as R
 
 
@@ -33,12 +34,13 @@ def knowledge_search(know: DataFrame, queries: DataFrame, as_of, limit: int = 10
     keep = (lambda d: d) if allowed is None else (lambda d: d.join(allowed.select("id"), "id", "left_semi"))
     tok = I.tokenised(both, "id", "_t")
     s = keep(R.score_clauses(tok, Q.all_words(queries, raw_words())))
-    leg1 = R.top_k(s, limit).select("query_id", "id", F.lit(1).alias("leg"))
+    # each leg holds at most `limit` rows per query and decides who needs the next one: written once, not recomputed
+    leg1 = cut(R.top_k(s, limit).select("query_id", "id", F.lit(1).alias("leg")), "leg")
     pool = keep(both)
     clean = queries.select("query_id", F.array_join(raw_words(), " ").alias("text"))
     left2 = clean.join(leg1, "query_id", "left_anti")
     tri = contains_all(pool, "id", "_t", left2)
-    leg2 = R.top_k(tri.withColumn("score", F.lit(0.0)), limit).select("query_id", "id", F.lit(2).alias("leg"))
+    leg2 = cut(R.top_k(tri.withColumn("score", F.lit(0.0)), limit).select("query_id", "id", F.lit(2).alias("leg")), "leg")
     left3 = queries.join(leg1, "query_id", "left_anti").join(leg2, "query_id", "left_anti")
     sub = contains_text(pool, "id", ["title", "content"], left3)
     scan = sub.join(pool.select("id", "created_at"), "id")
@@ -171,10 +173,10 @@ def blended(hits: DataFrame, as_of, k: int) -> DataFrame:
 def evaluator_search(tok: DataFrame, clauses: DataFrame, queries: DataFrame, texts: DataFrame, trigram: DataFrame, limit: int, syn=None) -> DataFrame:
     """Keyword candidates, trigram hits ×0.3 where fewer than ``limit`` were found, plus an additive content boost."""
     s = R.top_k(R.score_clauses(tok, clauses), limit * 5, ("query_id", "strategy"))
-    main = s.groupBy("query_id", "id").agg(F.max(F.col("score") * F.col("weight")).alias("score"))
+    main = cut(s.groupBy("query_id", "id").agg(F.max(F.col("score") * F.col("weight")).alias("score")), "candidates")
     enough = main.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id")
     fill = trigram.select("query_id", "id", (F.col("score") * 0.3).alias("score")).join(enough, "query_id", "left_anti").join(main, ["query_id", "id"], "left_anti")
-    c = main.unionByName(fill).join(texts, "id")
+    c = cut(main.unionByName(fill), "candidates").join(texts, "id")
     b = R.content_boost(c, queries, "content", 3.0, 1.5, syn)
     return R.top_k(b.withColumn("score", F.col("score") + F.col("boost")), limit).select("query_id", "id", "score", "rank")
 
@@ -223,7 +225,7 @@ def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, edges:
     co = (on_file.join(obs.where((F.col("importance") >= 0.6) & (F.size("entities") > 0)).select(F.col("file_path").alias("path"), "id", "importance", "entities"), "path")
           .withColumn("rk", F.row_number().over(w4)).where("rk = 1")
           .select("action_id", F.concat(F.lit("Related: "), F.array_join(F.slice("entities", 1, 3), ", ")).alias("line"), F.lit(0.4).alias("score"), F.lit("entities").alias("leg")))
-    strong = bugs.unionByName(pat)
+    strong = cut(bugs.unionByName(pat), "strong")  # at most six rows per action
     many = strong.groupBy("action_id").agg(F.count("*").alias("n")).where("n >= 2").select("action_id")
     w5 = Window.partitionBy("query_id").orderBy("id")
     other = match(shared).withColumn("rk", F.row_number().over(w5)).where("rk <= 2")

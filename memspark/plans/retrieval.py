@@ -1,6 +1,7 @@
 """Registered queries: retrieval (R), strategy and synonym surfaces (U3, U4, U5)."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from ..functions import constants as K, enrich as E, language as L
 from ..functions.text import round6
@@ -65,8 +66,8 @@ RANKED = "row_number() OVER (PARTITION BY {by} ORDER BY round({s}, 9) DESC, id)"
 TOP4 = f"""t4 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, strategy ORDER BY round(score, 9) DESC, id) <= {{n5}}),
 b4 AS (SELECT query_id, id, max(score * weight) AS score FROM t4 GROUP BY ALL),
 r4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM b4 QUALIFY rank <= {{n}}),
-n4 AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS relevance FROM (SELECT *, max(score) OVER w AS hi,
-  CASE WHEN count(*) OVER w > 1 THEN min(score) OVER w ELSE 0 END AS lo FROM r4 WINDOW w AS (PARTITION BY query_id)))"""
+n4 AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS relevance FROM (SELECT * REPLACE (round(score, 9) AS score), max(round(score, 9)) OVER w AS hi,
+  CASE WHEN count(*) OVER w > 1 THEN min(round(score, 9)) OVER w ELSE 0 END AS lo FROM r4 WINDOW w AS (PARTITION BY query_id)))"""
 OR_CL = f"cl AS (SELECT DISTINCT query_id, 'or' AS strategy, 1.0e0 AS weight, 'OR' AS mode, unnest({_KW}) AS phrase FROM q)"
 
 
@@ -76,7 +77,7 @@ def or_form(q):
 
 # --- R1 .. R5 -------------------------------------------------------------------
 
-@query("r1_term_stats", f"WITH {TK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, unnest(t) AS term, count(*) AS tf FROM tk GROUP BY ALL) GROUP BY term")
+@query("r1_term_stats", f"WITH {TK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tk) GROUP BY ALL) GROUP BY term")
 def r1(spark, sf):
     return I.term_stats(I.postings(I.tokenised(docs(spark, sf), "id", "content")))
 
@@ -145,8 +146,8 @@ tw AS (SELECT term, id, ln(1 + (nd - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 /
 tn AS (SELECT query_id, count(*) AS need FROM t3 GROUP BY ALL),
 tq AS (SELECT query_id, id, sum(w) AS score FROM t3 JOIN tn USING (query_id) JOIN tw USING (term) GROUP BY query_id, id, need HAVING count(*) = need),
 tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM tq QUALIFY rank <= 20),
-tm AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS relevance FROM (SELECT *, max(score) OVER w AS hi,
-  CASE WHEN count(*) OVER w > 1 THEN min(score) OVER w ELSE 0 END AS lo FROM tr WINDOW w AS (PARTITION BY query_id)))"""
+tm AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS relevance FROM (SELECT * REPLACE (round(score, 9) AS score), max(round(score, 9)) OVER w AS hi,
+  CASE WHEN count(*) OVER w > 1 THEN min(round(score, 9)) OVER w ELSE 0 END AS lo FROM tr WINDOW w AS (PARTITION BY query_id)))"""
 
 
 @query("r6_trigram_search", f"WITH {Q_PLAIN}, {WORDS}, {TRI} SELECT query_id, id, round(score, 6) AS score, round(relevance, 6) AS relevance FROM tm")
@@ -155,9 +156,11 @@ def r6(spark, sf):
     return r.select("query_id", "id", round6("score").alias("score"), round6("relevance").alias("relevance"))
 
 
-FUZZ = r"""fq AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 2) AS ws FROM q),
+# the oracle's edit distance counts bytes: fold each accented letter to one capital (the words hold none)
+_AZ = lambda w: f"translate({w}, 'èéñßêçíöüóä', 'ABCDEFGHIJK')"
+FUZZ = rf"""fq AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 2) AS ws FROM q),
 fw AS (SELECT query_id, nw, qword, count(*) AS times FROM (SELECT query_id, len(ws) AS nw, unnest(ws) AS qword FROM fq) GROUP BY ALL),
-fp AS (SELECT qword, word, levenshtein(qword, word) AS dist FROM (SELECT DISTINCT qword FROM fw), vo WHERE length(word) >= 2 AND abs(length(word) - length(qword)) <= 2 AND levenshtein(qword, word) <= 2),
+fp AS (SELECT qword, word, levenshtein({_AZ('qword')}, {_AZ('word')}) AS dist FROM (SELECT DISTINCT qword FROM fw), vo WHERE length(word) >= 2 AND abs(length(word) - length(qword)) <= 2 AND levenshtein({_AZ('qword')}, {_AZ('word')}) <= 2),
 fb AS (SELECT qword, id, min(dist) AS d FROM wp JOIN fp USING (word) GROUP BY ALL),
 fs AS (SELECT query_id, id, sum(times / (d + 1.0e0) / nw) AS score FROM fb JOIN fw USING (qword) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fs QUALIFY rank <= 20)"""
@@ -199,11 +202,10 @@ def u5(spark, sf):
 
 
 def letter_counts():
-    @F.pandas_udf("array<double>")
-    def counts(s: "pandas.Series") -> "pandas.Series":  # noqa: F821
+    def counts(s):
         return s.str.lower().map(lambda t: [float(t.count(chr(97 + i))) for i in range(26)])
 
-    return counts
+    return F.pandas_udf(counts, "array<double>", PandasUDFType.SCALAR)
 
 
 # --- R9 .. R11 ---------------------------------------------------------------------
@@ -440,7 +442,9 @@ def r17(spark, sf):
                       (F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("n"))
     total = table(spark, sf, "documents").agg(F.count("*").alias("n"))
     files = files.withColumn("id", F.pmod(F.col("n"), total.scalar())).select("file_path", "id")
-    o = important(spark, sf).join(files, "id").withColumn("entities", F.transform(E.topics("content"), lambda s: s["topic"]))
+    o = important(spark, sf).select("id", "type", "indexed_at", "importance", F.substring("content", 1, 200).alias("content"),
+                                    F.transform(E.topics("content"), lambda s: s["topic"]).alias("entities"))
+    o = cut(o, "observations").join(files, "id")  # read by two legs
     edges = li.select(F.concat(F.lit("src/s"), F.col("l_suppkey"), F.lit("/"), F.lower("l_returnflag"), F.lit("/p"), F.col("l_partkey"), F.lit(".ts")).alias("src"),
                       F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("supplied_by").alias("type"))
     k = know(spark, sf)
