@@ -1 +1,446 @@
-"""Registered queries."""
+"""Registered queries: knowledge maintenance (K) and the ingest rule that writes knowledge (S14)."""
+
+from pyspark.sql import functions as F, Window
+
+from ..functions import constants as C, enrich as E, language as L
+from ..functions.text import round6
+from ..operators import analytics as A, index as I, joins as J, maintenance as M, query_forms as Q, retrieval as R, sequences as SQ, similarity as SI
+from ..session import cut, spread
+from ..views import AS_OF, EVENTS_AS_OF, access_log, edges, events, facts, knowledge, observations, pick, table, tokens, ts
+from .enrich import _IMP, _TIERED, tiered, vlist
+from .joins import _CHAIN, _TOPICS, causal, obs_topics
+from .registry import query, sql
+
+T = f"TIMESTAMP '{AS_OF}'"
+DAYS = lambda c: f"((epoch({T}) - epoch({c})) / 86400.0e0)"
+STATE_CTE = """state AS (SELECT *, false AS archived, false AS stale, 0.5e0 + (id % 7) * 0.5e0 AS relevance_score, id % 2 = 0 AS shareable, id % 10 = 0 AS auto_promoted, CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS contradiction_count FROM v_knowledge),
+sess AS (SELECT CAST(knowledge_id AS BIGINT) AS id, count(DISTINCT session_id) AS sessions FROM v_access_log GROUP BY 1)"""
+
+
+def ksql(body, ctes="", *views):
+    return sql(body, "v_knowledge", "v_access_log", *views, ctes=STATE_CTE + (",\n" + ctes if ctes else "") + "\n")
+
+
+def state(spark, sf):
+    i = F.col("id")
+    return knowledge(spark, sf).withColumns({
+        "archived": F.lit(False), "stale": F.lit(False), "relevance_score": (F.lit(0.5) + (i % 7) * 0.5), "shareable": i % 2 == 0, "auto_promoted": i % 10 == 0,
+        "contradiction_count": F.when(i % 4 == 0, 1).otherwise(0), "tags": F.array(F.concat(F.lit("t"), (i % 6).cast("string")), F.col("category")), "projects": F.array("project")})
+
+
+def access(spark, sf):
+    return access_log(spark, sf)
+
+
+@query("k1_mark_stale", ksql(f"SELECT id, {DAYS('last_accessed')} > 30 AS stale FROM state"))
+def k1(spark, sf):
+    return M.mark_stale(state(spark, sf), ts(AS_OF)).select("id", "stale")
+
+
+@query("k2_archive_old", ksql(f"SELECT id, source_type <> 'explicit' AND {DAYS('last_accessed')} > 90 AS archived FROM state"))
+def k2(spark, sf):
+    return M.archive_old(state(spark, sf), ts(AS_OF)).select("id", "archived")
+
+
+@query("k3_prune", ksql(f"""SELECT id, round(CASE WHEN {DAYS('created_at')} > 90 THEN r ELSE relevance_score END, 6) AS relevance_score, {DAYS('created_at')} > 90 AND r < 0.1 AS archived
+FROM (SELECT *, pow(0.9e0, {DAYS('created_at')} / 7) * log2(access_count + 1) AS r FROM state)"""))
+def k3(spark, sf):
+    return M.prune(state(spark, sf), ts(AS_OF)).select("id", round6("relevance_score").alias("relevance_score"), "archived")
+
+
+_WS = rf"list_sort(list_filter(list_distinct(regexp_split_to_array(lower(concat_ws(' ', title, content)), '\s+')), lambda w: length(w) >= 3 AND NOT list_contains({vlist(SI.OVERLAP_STOP_WORDS)}, w)))"
+_REPS = f"ws AS (SELECT {{block}} AS block, id, {_WS} AS ws FROM state), reps AS (SELECT block, min(id) AS rep, ws, count(*) AS copies, len(ws) AS n FROM ws GROUP BY block, ws)"
+_SHARE = """tk AS (SELECT block, rep, n, unnest(ws) AS w FROM reps), pr AS (SELECT x.block, x.rep AS a, y.rep AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM tk x JOIN tk y ON x.block = y.block AND x.w = y.w AND x.rep < y.rep GROUP BY ALL)"""
+
+
+@query("k4_contradictions", ksql("SELECT a, b, shared, round(shared / least(na, nb)::DOUBLE, 6) AS similarity FROM pr WHERE shared >= 4 AND shared / least(na, nb)::DOUBLE >= 0.4", _REPS.format(block="category") + ", " + _SHARE))
+def k4(spark, sf):
+    pairs, _ = SI.contradictions(spread(state(spark, sf), "id"))
+    return pairs.select("a", "b", "shared", round6("similarity").alias("similarity"))
+
+
+@query("k4_contradiction_copies", ksql("SELECT id, rep FROM ws JOIN reps USING (block, ws)", _REPS.format(block="category")))
+def k4c(spark, sf):
+    return SI.contradictions(spread(state(spark, sf), "id"))[1]
+
+
+def new_entries(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"),
+                    pick(F.col("item_id") % 5, "pattern", "decision", "error", "api", "component").alias("category"))
+
+
+_TW = lambda c: rf"list_filter(list_distinct(regexp_split_to_array(lower({c}), '\s+')), lambda w: length(w) >= 3 AND NOT list_contains({vlist(SI.OVERLAP_STOP_WORDS)}, w))"
+_NEW = "nw AS (SELECT item_id AS query_id, substr(text, 1, 80) AS title, text AS content, CASE item_id % 5 WHEN 0 THEN 'pattern' WHEN 1 THEN 'decision' WHEN 2 THEN 'error' WHEN 3 THEN 'api' ELSE 'component' END AS category FROM benchmark)"
+_AUTH = lambda src, ses, acc, age: (f"(exp({src}) * {src} + exp({ses}) * {ses} + exp({acc}) * {acc} + exp({age}) * {age}) / (exp({src}) + exp({ses}) + exp({acc}) + exp({age}))")
+_AUTH_SQL = f"""au AS (SELECT id, {_AUTH('a', 'b', 'c', 'd')} AS authority FROM (SELECT s.id, CASE source_type WHEN 'explicit' THEN 1.0e0 WHEN 'inferred' THEN 0.6e0 ELSE 0.3e0 END AS a, log2(coalesce(sessions, 0) + 1) / 5 AS b,
+ least(1.0e0, access_count / {DAYS('created_at')} / 10) AS c, pow(0.5e0, {DAYS('created_at')} / 7) AS d FROM state s LEFT JOIN sess USING (id)))"""
+
+
+@query("k5_title_overlap", ksql("""SELECT query_id, k.id, count(*) AS shared FROM (SELECT query_id, category, unnest(""" + _TW("title") + """) AS w FROM nw) n JOIN (SELECT id, category, unnest(""" + _TW("title") + """) AS w FROM state) k USING (category, w)
+GROUP BY ALL HAVING count(*) >= 2""", _NEW))
+def k5(spark, sf):
+    n = new_entries(spark, sf).select("query_id", "category", F.explode(SI.overlap_words("title")).alias("w"))
+    k = state(spark, sf).select("id", "category", F.explode(SI.overlap_words("title")).alias("w"))
+    return k.join(n, ["category", "w"]).groupBy("query_id", "id").agg(F.count("*").alias("shared")).where("shared >= 2")
+
+
+@query("k5_checked_entries", ksql(f"""SELECT query_id, c.id, reason, round(authority, 6) AS authority, CASE WHEN abs(authority - 0.45787) > 0.3 THEN CASE WHEN authority > 0.45787 THEN 'keep_existing' ELSE 'replace' END ELSE 'merge' END AS action
+FROM (SELECT query_id, k.id, CASE WHEN lower(n.title) = lower(k.title) THEN 'identical title' WHEN contains(lower(n.title), lower(k.title)) OR contains(lower(k.title), lower(n.title)) THEN 'overlapping title' ELSE 'similar topic' END AS reason
+  FROM nw n JOIN state k USING (category) WHERE len(list_intersect({_TW('n.title')}, {_TW('k.title')})) >= 2
+  UNION SELECT a.vec_id, b.vec_id, 'semantic similarity' FROM embeddings a JOIN nw n ON n.query_id = a.vec_id JOIN embeddings b ON true JOIN state k ON k.id = b.vec_id AND k.category = n.category
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.75 AND len(list_intersect({_TW('n.title')}, {_TW('k.title')})) < 2) c JOIN au USING (id)""".replace("0.45787", "{NEWAUTH}"), _NEW + ", " + _AUTH_SQL)
+    .replace("{NEWAUTH}", "((exp(0.3e0) * 0.3e0 + 0 + 0 + exp(1.0e0)) / (exp(0.3e0) + 2 + exp(1.0e0)))"))
+def k5c(spark, sf):
+    """Title and vector legs with reason and suggested action for every new entry."""
+    k, n = state(spark, sf), new_entries(spark, sf)
+    titles = k5(spark, sf).select("query_id", "id")
+    pair = titles.join(n.select("query_id", F.lower("title").alias("nt")), "query_id").join(k.select("id", F.lower("title").alias("kt")), "id")
+    reason = F.when(F.col("nt") == F.col("kt"), "identical title").when(F.contains("nt", F.col("kt")) | F.contains("kt", F.col("nt")), "overlapping title").otherwise("similar topic")
+    leg2 = pair.select("query_id", "id", reason.alias("reason"))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    qv = v.select(F.col("id").alias("query_id"), "embedding").join(n.select("query_id"), "query_id", "left_semi")
+    near = R.similar_vectors(spread(v, "id"), qv, 0.75).join(n.select("query_id", "category"), "query_id").join(k.select("id", "category"), ["id", "category"])
+    leg3 = near.select("query_id", "id", F.lit("semantic similarity").alias("reason")).join(titles, ["query_id", "id"], "left_anti")
+    c = leg2.unionByName(leg3).join(M.with_authority(k, access(spark, sf), ts(AS_OF)).select("id", "authority"), "id")
+    new = M.authority(F.lit(0.3), F.lit(0), F.lit(0), F.lit(0.0))
+    action = F.when(F.abs(F.col("authority") - new) > 0.3, F.when(F.col("authority") > new, "keep_existing").otherwise("replace")).otherwise("merge")
+    return c.select("query_id", "id", "reason", round6("authority").alias("authority"), action.alias("action"))
+
+
+@query("k6_authority", ksql("SELECT id, round(authority, 6) AS authority FROM au", _AUTH_SQL))
+def k6(spark, sf):
+    return M.with_authority(state(spark, sf), access(spark, sf), ts(AS_OF)).select("id", round6("authority").alias("authority"))
+
+
+@query("k7_confidence", ksql(f"""SELECT id, round(0.3e0 * CASE source_type WHEN 'explicit' THEN 1.0e0 WHEN 'inferred' THEN 0.6e0 ELSE 0.4e0 END + 0.25e0 * pow(0.5e0, {DAYS('created_at')} / 14) + 0.2e0 * least(1, log2(access_count + 2) / 10)
+ + 0.15e0 * least(1, coalesce(sessions, 0) / 5.0e0) + 0.1e0 * CASE WHEN {DAYS('last_accessed')} > 30 THEN 0.3e0 WHEN contradiction_count > 0 THEN 0.5e0 ELSE 1 END, 6) AS confidence FROM state LEFT JOIN sess USING (id)"""))
+def k7(spark, sf):
+    k = M.mark_stale(state(spark, sf), ts(AS_OF))
+    return M.with_confidence(k, access(spark, sf), ts(AS_OF)).select("id", round6("confidence").alias("confidence"))
+
+
+@query("k8_promotion_candidates", ksql("SELECT id, sessions FROM state JOIN sess USING (id) WHERE shareable AND NOT auto_promoted AND sessions >= 3"))
+def k8(spark, sf):
+    return M.promotion_candidates(state(spark, sf), access(spark, sf)).select("id", "sessions")
+
+
+@query("k9_promote")
+def k9(spark, sf):
+    k = M.promotion_candidates(spread(state(spark, sf), "id"), access(spark, sf))
+    p = M.promote(k, "project", ts(AS_OF))
+    return p.select("id", "source_project", "access_count", "relevance_score", F.sha2(F.concat_ws("\n", "title", "content"), 256).alias("body_sha"))
+
+
+@query("k9_promoted_projects", ksql("SELECT project AS source_project, count(*) AS n, 0::BIGINT AS access_count FROM state JOIN sess USING (id) WHERE shareable AND NOT auto_promoted AND sessions >= 3 GROUP BY project"))
+def k9p(spark, sf):
+    return k9(spark, sf).groupBy("source_project").agg(F.count("*").alias("n"), F.sum("access_count").alias("access_count"))
+
+
+@query("k10_duplicates", ksql("SELECT a, b, shared, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE >= 0.4", _REPS.format(block="'all'") + ", " + _SHARE))
+def k10(spark, sf):
+    k = spread(state(spark, sf), "id").withColumn("block", F.lit("all"))
+    pairs, _ = SI.duplicates(k, "block")
+    return pairs.select("a", "b", "shared", round6("similarity").alias("similarity"))
+
+
+@query("k11_merge")
+def k11(spark, sf):
+    k = spread(state(spark, sf), "id").withColumn("block", F.lit("all"))
+    merged, _ = SI.merge_duplicates(k, "block")
+    return merged.select("id", "members", F.sha2("content", 256).alias("content_sha"), F.array_join("tags", ",").alias("tags"), F.array_join("projects", ",").alias("projects"),
+                         "access_count", F.unix_timestamp("last_accessed").alias("last_accessed_s"))
+
+
+@query("k11_merge_suggestions", ksql("SELECT a, b, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE BETWEEN 0.7 AND 0.9", _REPS.format(block="'all'") + ", " + _SHARE))
+def k11s(spark, sf):
+    k = spread(state(spark, sf), "id").withColumn("block", F.lit("all"))
+    pairs, _ = SI.duplicates(k, "block", 0.7)
+    return pairs.where("similarity <= 0.9").select("a", "b", round6("similarity").alias("similarity"))
+
+
+@query("k12_suggestion_status", "SELECT status, count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS newest FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'pending' ELSE 'dismissed' END AS status FROM orders) GROUP BY status")
+def k12(spark, sf):
+    """Status events per suggestion (customer); the last event wins, as an append-only table."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "P", "pending").otherwise("dismissed").alias("status"))
+    last = o.groupBy("o_orderkey").agg(F.max("status").alias("status"))
+    return last.groupBy("status").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("newest"))
+
+
+@query("k13_resolve", ksql("""SELECT id, id IN (SELECT other FROM rs WHERE action IN ('supersede', 'merge', 'archive_old')) OR id IN (SELECT entry FROM rs WHERE action = 'merge') AS archived,
+ CASE WHEN id IN (SELECT entry FROM rs WHERE action = 'supersede') THEN 1 WHEN id IN (SELECT entry FROM rs WHERE action = 'keep_both') OR id IN (SELECT other FROM rs WHERE action = 'keep_both') THEN 2 ELSE 0 END::BIGINT AS new_tags FROM state""",
+    "rs AS (SELECT doc_id AS entry, doc_id + 1 AS other, ['supersede', 'merge', 'keep_both', 'archive_old'][quality * 2 + toxic + 1] AS action FROM labels WHERE doc_id % 2 = 0)"))
+def k13(spark, sf):
+    """Labels as resolutions: each labelled even entry is resolved against the next one."""
+    r = resolutions(spark, sf)
+    k = state(spark, sf)
+    s, _, _ = M.apply_resolutions(k, r)
+    return s.join(k.select("id", F.size("tags").alias("_t")), "id").select("id", "archived", (F.size("tags") - F.col("_t")).cast("bigint").alias("new_tags"))
+
+
+def resolutions(spark, sf):
+    lab = table(spark, sf, "labels").where("doc_id % 2 = 0")  # an entry takes part in one resolution
+    return lab.select(F.col("doc_id").alias("entry_id"), (F.col("doc_id") + 1).alias("other_id"), pick(F.col("quality") * 2 + F.col("toxic"), "supersede", "merge", "keep_both", "archive_old").alias("action"),
+                      F.concat(F.lit("merged "), "doc_id").alias("merged_content"))
+
+
+@query("k13_resolution_edges", ksql("SELECT CASE action WHEN 'supersede' THEN 'supersedes' ELSE 'contradicts' END AS type, count(*) AS n FROM rs JOIN state ON id = other WHERE action IN ('supersede', 'keep_both') GROUP BY 1",
+    "rs AS (SELECT doc_id AS entry, doc_id + 1 AS other, ['supersede', 'merge', 'keep_both', 'archive_old'][quality * 2 + toxic + 1] AS action FROM labels WHERE doc_id % 2 = 0)"))
+def k13e(spark, sf):
+    _, _, e = M.apply_resolutions(state(spark, sf), resolutions(spark, sf))
+    return e.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("k14_save_with_validity", sql("SELECT entity, count(*) AS versions, count(valid_to) AS closed FROM v_facts GROUP BY entity", "v_facts"))
+def k14(spark, sf):
+    return facts(spark, sf).groupBy("entity").agg(F.count("*").alias("versions"), F.count("valid_to").alias("closed"))
+
+
+_ORDER = vlist(C.TIERS)
+
+
+@query("k15_progressive_tier", _TIERED + f"SELECT id, tier FROM tiered WHERE NOT pinned AND list_position({_ORDER}, tier) > id % 3 + 1")
+def k15(spark, sf):
+    """Entries whose target tier is above the one they hold (id mod 3 as the stored tier)."""
+    t = tiered(spark, sf).withColumn("_i", E.tier_index("age", "imp", "pinned"))
+    return t.where(~F.col("pinned") & (F.col("_i") > F.col("id") % 3)).select("id", "tier")
+
+
+@query("k16_consolidate", sql(f"""SELECT concat(topic, ' knowledge (consolidated)') AS title, concat('Consolidated from ', count(*), ' observations on ', topic, ': ', substr(string_agg(line, '; ' ORDER BY imp DESC, id), 1, 500)) AS content FROM (
+SELECT topic, id, imp, substr(content, 1, 100) AS line FROM ({_TOPICS('v_observations', 'id', 'content')}) t JOIN (SELECT id, content, {_IMP.format(ent='false')} AS imp FROM v_observations) USING (id)
+ WHERE topic IN (SELECT topic FROM ({_TOPICS('v_observations', 'id', 'content')}) GROUP BY topic HAVING count(*) > 5) AND NOT EXISTS (SELECT 1 FROM v_knowledge WHERE category = 'pattern' AND contains(lower(title), topic))
+ QUALIFY row_number() OVER (PARTITION BY topic ORDER BY imp DESC, id) <= 10) GROUP BY topic HAVING count(*) >= 5""", "v_observations", "v_knowledge"))
+def k16(spark, sf):
+    from ..operators import search as S
+
+    o = spread(observations(spark, sf), "id").withColumn("importance", E.importance("content", "type", F.lit(False)))
+    t = obs_topics(spark, sf).select("id", "topic")
+    names = t.select("topic").distinct()
+    titles = knowledge(spark, sf).where("category = 'pattern'").select("id", "title")
+    have = S.contains_all(titles, "id", "title", names.select(F.col("topic").alias("query_id"), F.col("topic").alias("text"))).select(F.col("query_id").alias("topic")).distinct()
+    return M.consolidate(t, o, have)
+
+
+@query("k17_causal_chains", sql("SELECT count(*) AS chains, count(DISTINCT problem_id) AS problems FROM (" + _CHAIN + ")", "v_events"))
+def k17(spark, sf):
+    return causal(spark, sf).agg(F.count("*").alias("chains"), F.countDistinct("problem_id").alias("problems"))
+
+
+@query("k18_corroboration", ksql("SELECT id, round(CASE WHEN coalesce(sessions, 0) >= 3 AND relevance_score < 3 THEN least(5, relevance_score * 1.15e0) ELSE relevance_score END, 6) AS relevance_score FROM state LEFT JOIN sess USING (id)"))
+def k18(spark, sf):
+    return M.boost_corroborated(state(spark, sf), access(spark, sf)).select("id", round6("relevance_score").alias("relevance_score"))
+
+
+@query("k19_usefulness", sql("""SELECT r.id, CAST(epoch_us(min(m.ts)) AS BIGINT) AS first_useful_us FROM v_events r JOIN v_events m ON m.event_type = 'file_modify' AND concat('src/', m.k) = concat('src/', r.k) AND m.session_id = r.session_id AND m.ts >= r.ts
+WHERE r.event_type = 'search' GROUP BY r.id""", "v_events"))
+def k19(spark, sf):
+    """A search result is useful once its file is modified later in the session: nearest later modify, no pair list."""
+    from ..operators.ordered import neighbours
+
+    e = events(spark, sf).where(F.col("event_type").isin("search", "file_modify"))
+    n = neighbours(e, ["session_id", "k"], ["ts", "id"], F.floor(F.unix_timestamp("ts") / 86400), after={"useful": "ts"}, where=F.col("event_type") == "file_modify")
+    return n.where("event_type = 'search' and useful is not null").select("id", F.unix_micros("useful").alias("first_useful_us"))
+
+
+_RISK = f"""ro AS (SELECT 'observation' AS kind, id, i, {DAYS('indexed_at')} AS age, access_count, access_count = 4 AS useful FROM (SELECT *, CAST({_IMP.format(ent='false')} AS DOUBLE) AS i, regexp_matches(content, '(?i)\\b(?:{C.FLAG_KEYWORDS['DECISION']}|{C.FLAG_KEYWORDS['MILESTONE']})\\b') AS pinned FROM v_observations) WHERE NOT pinned
+ UNION ALL SELECT 'knowledge', id, least(1, relevance_score), {DAYS('created_at')}, access_count, false FROM state)"""
+
+
+@query("k20_loss_risk", ksql("""SELECT kind, id, round(greatest(0, least(1, 1 - (i * 0.4e0 + pow(0.5e0, age / 14) * 0.3e0 + log2(greatest(1, access_count + 1)) / 5 * 0.2e0 + CASE WHEN useful THEN 0.05e0 ELSE 0 END))), 2) AS risk,
+ array_to_string(list_filter([CASE WHEN kind = 'observation' AND i < 0.4 THEN 'low importance' WHEN kind = 'knowledge' AND i < 0.5 THEN 'low relevance' END, CASE WHEN age > CASE kind WHEN 'observation' THEN 30 ELSE 60 END THEN concat(CAST(floor(age + 0.5) AS BIGINT), ' days old') END,
+ CASE WHEN access_count = 0 THEN 'never accessed' END, CASE WHEN kind = 'observation' AND NOT useful THEN 'never marked useful' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM ro""", _RISK, "v_observations"))
+def k20(spark, sf):
+    o = spread(observations(spark, sf), "id")
+    o = o.select("id", F.col("indexed_at").alias("at"), "access_count", E.importance("content", "type", F.lit(False)).alias("importance"),
+                 E.pinned(E.significance_flags("content")).alias("pinned"), (F.col("access_count") == 4).alias("useful"))
+    k = state(spark, sf).select("id", F.col("created_at").alias("at"), "access_count", "relevance_score", "archived", F.lit(False).alias("useful"))
+    return M.loss_risk(o, k, ts(AS_OF)).select("kind", "id", "risk", F.array_join("reasons", ", ").alias("reasons"))
+
+
+@query("k21_retention", sql(f"""SELECT type, count(*) AS n, CAST(min(id) AS BIGINT) AS first_id FROM (SELECT *, count(*) OVER () AS total, CASE WHEN type NOT IN ('decision') THEN row_number() OVER (PARTITION BY type = 'decision' ORDER BY ts, id) END AS pos
+FROM (SELECT id, event_type AS type, ts FROM v_events WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 20 DAY OR event_type = 'decision')) WHERE pos IS NULL OR pos > greatest(0, total - 3000) GROUP BY type""", "v_events"))
+def k21(spark, sf):
+    e = events(spark, sf).select("id", F.col("event_type").alias("type"), "ts")
+    return M.retain(e, ts(EVENTS_AS_OF), 20, 3000, ["decision"]).groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("k22_profile", sql("""SELECT project, string_agg(concat(['Decisions: ', 'Patterns: ', 'Tech: ', 'Recent issues: '][s + 1], t), chr(10) ORDER BY s) AS profile FROM (SELECT project, s, string_agg(title, ', ' ORDER BY r) AS t FROM (
+SELECT *, row_number() OVER (PARTITION BY project, s ORDER BY CASE WHEN s IN (0, 3) THEN epoch_us(created_at) ELSE access_count END DESC, id) AS r FROM (
+ SELECT *, CASE category WHEN 'decision' THEN 0 WHEN 'pattern' THEN 1 WHEN 'error' THEN 3 ELSE 2 END AS s FROM v_knowledge)) WHERE r <= CASE WHEN s < 2 THEN 5 ELSE 3 END GROUP BY project, s) GROUP BY project""", "v_knowledge"))
+def k22(spark, sf):
+    return M.profile(knowledge(spark, sf), ["project"])
+
+
+@query("k23_primer_critical", ksql(f"""SELECT project, id, rank, used FROM (SELECT project, id, rank, CAST(sum(ceil(octet_length(encode(line)) / 4.0)) OVER (PARTITION BY project ORDER BY rank) AS BIGINT) AS used FROM (
+SELECT project, id, concat('- ', title, ': ', substr(content, 1, 120)) AS line, row_number() OVER (PARTITION BY project ORDER BY round(relevance_score * (1 + log2(access_count + 1)) * pow(0.5e0, greatest(0, {DAYS('last_accessed')}) / 7), 9) DESC, id) AS rank FROM (
+ SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY project ORDER BY relevance_score DESC, access_count DESC, id) <= 20)) WHERE rank <= 10) WHERE used <= 280"""))
+def k23(spark, sf):
+    c = M.critical_lines(state(spark, sf), ["project"], ts(AS_OF), 280)
+    return c.select("project", "id", F.col("rank").cast("bigint").alias("rank"), "used")
+
+
+@query("k23_primer")
+def k23p(spark, sf):
+    """All four layers per project within 15 / 40 / 30 / 15 % of 700 tokens: profile, critical, recent, busiest entities."""
+    k = state(spark, sf)
+    cut_to = lambda c, n: F.when(E.estimate_tokens(c) <= n, F.col(c)).otherwise(F.substring(c, 1, n * 4))
+    l0 = M.profile(k, ["project"]).select("project", cut_to("profile", 105).alias("profile"))
+    l1 = M.lines_per(M.critical_lines(k, ["project"], ts(AS_OF), 280), ["project"], "rank", "line", "\n", "critical")
+    o = observations(spark, sf)
+    w = Window.partitionBy("project", "type").orderBy(F.desc("indexed_at"), "id")
+    r = o.where(F.col("type").isin("decision", "error")).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= F.when(F.col("type") == "decision", 3).otherwise(2))
+    r = r.withColumn("line", F.concat(F.when(F.col("type") == "decision", "Decision: ").otherwise("Error: "), F.substring("content", 1, 100))).withColumn("p", F.concat_ws("-", "type", "rk"))
+    l2 = M.lines_per(r, ["project"], "p", "line", "\n", "recent").select("project", cut_to("recent", 210).alias("recent"))
+    deg = obs_topics(spark, sf).groupBy("project", "topic").agg(F.count("*").alias("n"))
+    wd = Window.partitionBy("project").orderBy(F.desc("n"), "topic")
+    d = deg.withColumn("rk", F.row_number().over(wd)).where("rk <= 5").withColumn("line", F.concat(F.lit("- "), "topic", F.lit(" (topic, "), F.col("n").cast("string"), F.lit(" connections)")))
+    l3 = M.lines_per(d, ["project"], "rk", "line", "\n", "entities").select("project", cut_to("entities", 105).alias("entities"))
+    p = l0.join(l1, "project", "left").join(l2, "project", "left").join(l3, "project", "left")
+    total = sum((E.estimate_tokens(F.coalesce(F.col(c), F.lit(""))) for c in ("critical", "recent", "entities")), E.estimate_tokens("profile"))
+    return p.withColumn("total_tokens", total)
+
+
+def session_obs(spark, sf):
+    o = observations(spark, sf)
+    i = F.col("id")
+    return o.select("session_id", "id", "type", F.substring("content", 1, 200).alias("summary"), F.when(i % 3 == 0, F.concat(F.lit("src/"), "project", F.lit("/f"), (i % 50).cast("string"), F.lit(".ts"))).alias("file_path"),
+                    (i % 6 == 0).alias("edited"), pick(i % 4, "Edit", "Write", "Read", "Bash").alias("tool"), F.when(i % 2 == 0, F.col("project")).alias("correlation_id"), "indexed_at", "content")
+
+
+def session_events(spark, sf):
+    e = events(spark, sf, "event_id")
+    t = pick(F.col("id") % 9, "task_start", "task_complete", "cwd_change", "dependency_change", "plan", "search", "error", "file_read", "file_modify")
+    return e.select(F.concat(F.lit("s"), (F.col("session_id") % 20).cast("string")).alias("session_id"), "id", t.alias("event_type"), "ts", F.col("k").alias("item"))
+
+
+def snapshots(spark, sf):
+    t = table(spark, sf, "conversations").select(F.concat(F.lit("s"), (F.col("conv_id") % 20).cast("string")).alias("session_id"), E.estimate_tokens("text").alias("tokens_in"), F.floor(E.estimate_tokens("text") / 3).cast("bigint").alias("tokens_out"))
+    cats = M.snapshot_categories(session_obs(spark, sf), session_events(spark, sf), t, knowledge(spark, sf))
+    return SQ.trim_snapshots(cats)
+
+
+@query("k24_session_snapshot")
+def k24(spark, sf):
+    return snapshots(spark, sf).select("session_id", "category", "priority", F.sha2("content", 256).alias("content_sha"))
+
+
+_SO = """so AS (SELECT *, CASE WHEN id % 3 = 0 THEN concat('src/', project, '/f', id % 50, '.ts') END AS file_path, id % 6 = 0 AS edited FROM v_observations)"""
+
+
+@query("k24_snapshot_files", sql("""SELECT session_id, string_agg(concat('- ', file_path, ' (read:', r, ', write:', w, ')'), chr(10) ORDER BY f) AS content FROM (SELECT session_id, file_path, min(rn) AS f, count(*) FILTER (NOT edited) AS r, count(*) FILTER (edited) AS w FROM (
+ SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY indexed_at DESC, id DESC) AS rn FROM so WHERE file_path IS NOT NULL) WHERE rn <= 50 GROUP BY ALL QUALIFY_X""".replace("GROUP BY ALL QUALIFY_X", "GROUP BY session_id, file_path QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY min(rn)) <= 10) GROUP BY session_id"), "v_observations", ctes=_SO + "\n"))
+def k24f(spark, sf):
+    t = tokens(spark, sf).select(F.col("session_id").cast("string"), "tokens_in", F.lit(0).cast("bigint").alias("tokens_out"))
+    cats = M.snapshot_categories(session_obs(spark, sf), session_events(spark, sf), t, knowledge(spark, sf))
+    return cats.where("category = 'files'").select("session_id", "content")
+
+
+@query("k25_restore", sql(f"""SELECT source AS session_id, CASE WHEN max(ia) < {T} - INTERVAL 7 DAY THEN true ELSE false END AS condensed FROM (SELECT source, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * ((doc_id * 37) % 2400) + INTERVAL 20 DAY AS ia FROM documents) GROUP BY source"""))
+def k25(spark, sf):
+    """Snapshots of each source dated after its newest document; old ones are condensed."""
+    d = observations(spark, sf).groupBy(F.col("project").alias("session_id")).agg((F.max("indexed_at") + F.expr("interval 20 days")).alias("created_at"))
+    s = d.withColumn("snapshot", F.create_map(F.lit("files"), F.lit("f"), F.lit("decisions"), F.lit("d"), F.lit("stats"), F.lit("s")))
+    return M.restore(s, ts(AS_OF)).select("session_id", "condensed")
+
+
+@query("k26_continuation")
+def k26(spark, sf):
+    s = M.as_maps(snapshots(spark, sf)).withColumn("created_at", ts(AS_OF))
+    return M.continuation(M.restore(s, ts(AS_OF)), ts(AS_OF)).select("session_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
+
+
+_NAR = """n AS (SELECT session_id, k, r, substr(content, 1, 150) AS l FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY indexed_at DESC, id) AS r FROM (SELECT *, CASE type WHEN 'decision' THEN 'd' WHEN 'error' THEN 'e' WHEN 'code' THEN 'c' WHEN 'commit' THEN 'c' END AS k FROM v_observations) WHERE k IS NOT NULL)
+ WHERE r <= CASE WHEN k = 'e' THEN 5 ELSE 10 END), b AS (SELECT session_id, string_agg(concat('- ', l), chr(10) ORDER BY r) FILTER (k = 'c') AS c, string_agg(concat('- ', l), chr(10) ORDER BY r) FILTER (k = 'd') AS d, string_agg(concat('- ', l), chr(10) ORDER BY r) FILTER (k = 'e') AS e FROM n GROUP BY session_id)"""
+
+
+@query("k26_narrative_pr", sql("""SELECT session_id, concat('## Summary', chr(10), coalesce(c, 'No code changes recorded.'), CASE WHEN d IS NOT NULL THEN concat(chr(10), chr(10), '## Decisions', chr(10), d) ELSE '' END,
+ CASE WHEN e IS NOT NULL THEN concat(chr(10), chr(10), '## Issues Resolved', chr(10), e) ELSE '' END, chr(10), chr(10), '## Test Plan', chr(10), '- [ ] Verify changes work as expected', chr(10), '- [ ] Run existing test suite') AS text FROM b""", "v_observations", ctes=_NAR + "\n"))
+def k26n(spark, sf):
+    return M.narrative(observations(spark, sf), ["session_id"], "pr")
+
+
+@query("k26_narratives")
+def k26a(spark, sf):
+    o, k = observations(spark, sf), knowledge(spark, sf)
+    top = k.where("category = 'pattern'").withColumn("session_id", F.concat(F.lit("s"), (F.col("id") % 20).cast("string"))).withColumn(
+        "rk", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("access_count"), "id"))).where("rk <= 5")
+    pats = top.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "title"))), lambda s: s["title"]).alias("names"))
+    out = None
+    for style in ("standup", "adr", "onboarding"):
+        one = M.narrative(o, ["session_id"], style, pats if style == "onboarding" else None).select(F.lit(style).alias("style"), "session_id", F.sha2("text", 256).alias("text_sha"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("k27_decision_trail", sql("""SELECT d.id AS decision_id, CAST(e AS BIGINT) AS evidence, round(least(1, 0.3e0 + 0.1e0 * e), 6) AS confidence FROM v_observations d JOIN (
+SELECT did, count(*) AS e FROM (SELECT d.id AS did, o.id FROM v_observations d JOIN v_observations o ON o.indexed_at < d.indexed_at AND o.indexed_at > d.indexed_at - INTERVAL 24 HOUR WHERE d.type = 'decision' AND o.type IN ('error', 'context', 'code')
+ QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY o.indexed_at DESC, o.id DESC) <= 5) GROUP BY did) ON did = d.id""", "v_observations"))
+def k27(spark, sf):
+    o = observations(spark, sf).select("id", "type", "indexed_at")
+    p = o.where("type = 'decision'").select(F.col("id").alias("pid"), F.col("indexed_at").alias("pts"))
+    f = o.where(F.col("type").isin("error", "context", "code")).select(F.col("id").alias("fid"), F.col("indexed_at").alias("fts"), "type")
+    e = J.last_k_before(p, f, [], 5, 86400)
+    t = e.groupBy("pid").agg(F.count("*").alias("evidence"), F.array_sort(F.collect_list(F.struct("fts", "fid", "type"))).alias("chain"))  # at most five per decision
+    return t.select(F.col("pid").alias("decision_id"), "evidence", round6(F.least(F.lit(1.0), 0.3 + 0.1 * F.col("evidence"))).alias("confidence"))
+
+
+@query("k28_fingerprint_diff", sql("""SELECT session_id, count(*) AS new_items, string_agg(k, ',' ORDER BY first, k) FILTER (rn <= 10) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first, k) AS rn FROM (
+SELECT session_id, k, min(ts) AS first FROM v_events WHERE event_type IN ('file_read', 'file_modify') GROUP BY ALL) WHERE first >= TIMESTAMP '2024-01-15 00:00:00') GROUP BY session_id""", "v_events"))
+def k28(spark, sf):
+    """Files a session touches after the baseline that were not in its baseline set."""
+    e = events(spark, sf).where(F.col("event_type").isin("file_read", "file_modify"))
+    f = e.groupBy("session_id", "k").agg(F.min("ts").alias("first")).where(F.col("first") >= ts("2024-01-15 00:00:00"))
+    n = f.groupBy("session_id").agg(F.count("*").alias("new_items"))
+    w = Window.partitionBy("session_id").orderBy("first", "k")
+    s = M.lines_per(f.withColumn("rn", F.row_number().over(w)).where("rn <= 10"), ["session_id"], "rn", "k", ",", "sample")
+    return n.join(s, "session_id")
+
+
+@query("k29_chain_append", """WITH c AS (SELECT o_orderkey AS session_id, concat('chain-', o_custkey) AS chain_id FROM orders WHERE o_orderstatus = 'F'),
+n AS (SELECT o_orderkey AS session_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, o_orderstatus AS st FROM orders)
+SELECT n.session_id, coalesce(c.chain_id, concat('chain-', n.session_id)) AS chain_id FROM n LEFT JOIN c ON c.session_id = n.parent WHERE n.session_id NOT IN (SELECT session_id FROM c)""")
+def k29(spark, sf):
+    o = table(spark, sf, "orders")
+    chains = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("session_id"), F.concat(F.lit("chain-"), F.col("o_custkey").cast("string")).alias("chain_id"))
+    new = facts(spark, sf).select(F.col("id").alias("session_id"), F.col("parent").alias("parent_session"))
+    return M.append_chain(chains, new).select("session_id", "chain_id")
+
+
+@query("k30_critical_state", sql("""SELECT session_id, 'decision' AS what, CAST(id AS VARCHAR) AS item FROM v_events WHERE event_type = 'decision' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) <= 3
+UNION ALL SELECT session_id, 'plan', CAST(id AS VARCHAR) FROM v_events WHERE event_type = 'search' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) = 1
+UNION ALL SELECT DISTINCT session_id, 'file', k FROM v_events WHERE event_type = 'file_modify'
+UNION ALL SELECT DISTINCT session_id, 'pending', k FROM v_events s WHERE event_type = 'file_read' AND NOT EXISTS (SELECT 1 FROM v_events c WHERE c.event_type = 'file_modify' AND c.session_id = s.session_id AND c.k = s.k)""", "v_events"))
+def k30(spark, sf):
+    e = events(spark, sf)
+    newest = lambda t, n: SQ.top_per_group(e.where(F.col("event_type") == t), ["session_id"], [F.desc("ts"), F.desc("id")], n)
+    item = lambda df, what, c: df.select("session_id", F.lit(what).alias("what"), F.col(c).cast("string").alias("item"))
+    done = e.where("event_type = 'file_modify'").select("session_id", "k").distinct()
+    pend = e.where("event_type = 'file_read'").select("session_id", "k").distinct().join(done, ["session_id", "k"], "left_anti")
+    return (item(newest("decision", 3), "decision", "id").unionByName(item(newest("search", 1), "plan", "id")).unionByName(item(done, "file", "k")).unionByName(item(pend, "pending", "k")))
+
+
+@query("k_cycle", ksql(f"""SELECT step, count(*) AS n FROM (SELECT 'stale' AS step FROM state WHERE {DAYS('last_accessed')} > 30 UNION ALL SELECT 'archive' FROM state WHERE source_type <> 'explicit' AND {DAYS('last_accessed')} > 90
+UNION ALL SELECT 'promote' FROM state JOIN sess USING (id) WHERE shareable AND NOT auto_promoted AND sessions >= 3 AND NOT (source_type <> 'explicit' AND {DAYS('last_accessed')} > 90)
+UNION ALL SELECT 'boost' FROM state JOIN sess USING (id) WHERE sessions >= 3 AND relevance_score < 3 AND NOT (source_type <> 'explicit' AND {DAYS('last_accessed')} > 90)) GROUP BY step"""))
+def cycle(spark, sf):
+    """One maintenance cycle as a chain of pure steps; the log says what each step touched."""
+    as_of, acc = ts(AS_OF), access(spark, sf)
+    k0 = state(spark, sf)
+    k2_ = cut(M.archive_old(M.mark_stale(k0, as_of), as_of), "state")  # read by three later steps
+    stale = k2_.where("stale").select(F.lit("stale").alias("step"))
+    arch = k2_.where("archived").select(F.lit("archive").alias("step"))
+    prom = M.promotion_candidates(k2_, acc).select(F.lit("promote").alias("step"))
+    boost = M.boost_corroborated(k2_.withColumn("_before", F.col("relevance_score")), acc).where(F.col("relevance_score") > F.col("_before")).select(F.lit("boost").alias("step"))
+    return stale.unionByName(arch).unionByName(prom).unionByName(boost).groupBy("step").agg(F.count("*").alias("n"))
+
+
+@query("s14_auto_knowledge", sql(r"""SELECT category, count(*) AS n, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM (SELECT 'decision' AS category, substr(string_split(content, chr(10))[1], 1, 120) AS title FROM v_observations WHERE type = 'decision'
+UNION ALL SELECT 'error', title FROM (SELECT DISTINCT substr(string_split(content, chr(10))[1], 1, 120) AS title FROM v_observations WHERE type = 'error')
+UNION ALL SELECT 'pattern', substr(string_split(content, chr(10))[1], 1, 120) FROM v_observations WHERE type = 'commit'
+UNION ALL SELECT 'component', concat('src/', project, '.ts') FROM (SELECT * FROM v_observations WHERE type = 'code' QUALIFY row_number() OVER (PARTITION BY project ORDER BY indexed_at, id) = 5)) GROUP BY category""", "v_observations"))
+def s14(spark, sf):
+    from ..sources.ingest import auto_knowledge
+
+    o = observations(spark, sf).withColumns({"summary": F.lit(None).cast("string"), "file_path": F.concat(F.lit("src/"), "project", F.lit(".ts"))})
+    k = auto_knowledge(o)
+    return k.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("title_chars"))
