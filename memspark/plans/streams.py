@@ -1 +1,136 @@
-"""Registered queries."""
+"""Registered queries: streaming operators (M), each beside its batch twin."""
+
+from pyspark.sql import functions as F
+
+from ..functions.text import round6
+from ..operators import sequences as SQ
+from ..operators.ordered import neighbours, running
+from ..streaming import islands as IS, jobs as JB
+from ..views import events, events_from, table, tokens, ts
+from .registry import query, sql
+
+DAY = F.floor(F.unix_timestamp("ts") / 86400)
+
+
+def stream(spark, sf, *more):
+    return events_from(JB.read_events(spark, sf), *more)
+
+
+def hashed(e):
+    """The content a queue would hash: kind and payload."""
+    return e.select("id", "ts", F.xxhash64("event_type", "k").cast("string").alias("hash"))
+
+
+@query("m1_dedup_stream")
+def m1(spark, sf):
+    return JB.drain(JB.dedup_exact(hashed(stream(spark, sf)), 3600.0), "dedup")
+
+
+@query("m1_dedup_watermark")
+def m1w(spark, sf):
+    return JB.drain(JB.dedup_watermark(hashed(stream(spark, sf)), ["hash"], 3600), "dedup").select("hash", "id")
+
+
+@query("m1_dedup_batch")
+def m1b(spark, sf):
+    kept = IS.walk(hashed(events(spark, sf)), ["hash"], 3600, IS.dedup_rule(3600.0), "kept", "boolean")
+    return kept.where("kept").select("hash", "id")
+
+
+@query("m3_hourly_stream")
+def m3s(spark, sf):
+    return JB.drain(JB.hourly(stream(spark, sf)), "hourly")
+
+
+@query("m3_hourly_batch", sql("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n FROM v_events GROUP BY ALL", "v_events"))
+def m3(spark, sf):
+    e = events(spark, sf)
+    return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("window.start").alias("hour"), "event_type", "n")
+
+
+@query("m4_error_fix_stream", sql("""SELECT session_id, pid AS error_id, id AS fix_id FROM (SELECT *, lag(event_type) OVER w AS pt, lag(id) OVER w AS pid FROM v_events WHERE event_type IN ('error', 'file_modify')
+ WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)) WHERE event_type = 'file_modify' AND pt = 'error'""", "v_events"))
+def m4(spark, sf):
+    return JB.drain(JB.error_fixes(stream(spark, sf)), "fixes")
+
+
+@query("m5_rate_limit_stream")
+def m5s(spark, sf):
+    return JB.drain(JB.rate_classes(stream(spark, sf).select("session_id", "id", "ts"), 36000.0), "rate")
+
+
+@query("m5_rate_limit_batch")
+def m5b(spark, sf):
+    return IS.walk(events(spark, sf), ["session_id"], 36001, IS.rate_rule(36000.0), "label", "string")
+
+
+@query("m5_rate_limit_fixed", sql("""SELECT session_id, id, CASE WHEN n <= 3 THEN 'full' WHEN n <= 8 THEN 'limited' ELSE 'blocked' END AS label FROM (
+SELECT session_id, id, row_number() OVER (PARTITION BY session_id, CAST(floor(epoch(ts) / 36000) AS BIGINT) ORDER BY ts, id) AS n FROM v_events)""", "v_events"))
+def m5f(spark, sf):
+    """Fixed windows: a different operator from the restarting ones."""
+    e = events(spark, sf).withColumn("w", F.floor(F.unix_timestamp("ts") / 36000))
+    r = running(e, ["session_id", "w"], ["ts", "id"], F.floor(F.unix_timestamp("ts") / 600), count="n")
+    return r.select("session_id", "id", F.when(F.col("n") <= 3, "full").when(F.col("n") <= 8, "limited").otherwise("blocked").alias("label"))
+
+
+_M6 = """SELECT session_id, turn AS id, level, used FROM (SELECT session_id, turn, tokens_in, CAST(sum(tokens_in) OVER (PARTITION BY session_id ORDER BY turn) AS BIGINT) AS used FROM v_tokens), (VALUES (60), (80), (90), (100)) v(level)
+WHERE (used - tokens_in) * 100 < level * 500 AND used * 100 >= level * 500"""
+
+
+@query("m6_budget_crossings", sql(_M6, "v_tokens"))
+def m6(spark, sf):
+    t = running(tokens(spark, sf), ["session_id"], ["turn"], F.floor(F.col("turn") / 1000), sums={"used": "tokens_in"})
+    t = t.withColumn("level", F.explode(F.array(*[F.lit(x) for x in (60, 80, 90, 100)])))
+    hit = ((F.col("used") - F.col("tokens_in")) * 100 < F.col("level") * 500) & (F.col("used") * 100 >= F.col("level") * 500)
+    return t.where(hit).select("session_id", F.col("turn").alias("id"), "level", "used")
+
+
+@query("m6_budget_stream", sql("""SELECT session_id, id, level::BIGINT AS level, used FROM (SELECT session_id, id, CAST(k AS BIGINT) AS tk, CAST(sum(CAST(k AS BIGINT)) OVER (PARTITION BY session_id ORDER BY ts, id) AS BIGINT) AS used FROM v_events), (VALUES (60), (80), (90), (100)) v(level)
+WHERE (used - tk) * 100 < level * 2000 AND used * 100 >= level * 2000""", "v_events"))
+def m6s(spark, sf):
+    """Events as token facts: k tokens each, against a limit of 2000."""
+    return JB.drain(JB.running_budget(stream(spark, sf).withColumn("tokens_in", F.col("k").cast("bigint")), 2000), "budget")
+
+
+@query("m7_feedback_stream", sql("""SELECT s.id AS result_id, m.id AS edit_id FROM v_events s JOIN v_events m ON s.session_id = m.session_id AND s.k = m.k AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 7 DAY
+WHERE s.event_type = 'search' AND m.event_type = 'file_modify'""", "v_events"))
+def m7(spark, sf):
+    e = lambda t: stream(spark, sf).where(F.col("event_type") == t)
+    return JB.drain(JB.feedback(e("search"), e("file_modify")), "feedback")
+
+
+@query("m8_liveness", sql("""SELECT session_id, count(*) AS beats, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM v_events)) GROUP BY session_id, g""", "v_events"))
+def m8(spark, sf):
+    l = JB.liveness(events(spark, sf), "12 hours")
+    return l.select("session_id", "beats", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+@query("m9_claim_conflicts", sql("""SELECT k, id, session_id, owner FROM (SELECT *, first_value(session_id) OVER (PARTITION BY k, g ORDER BY ts, id) AS owner FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'file_modify' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, id), 0) AS g
+ FROM v_events WHERE event_type IN ('file_read', 'file_modify')) WHERE event_type = 'file_read') WHERE session_id <> owner""", "v_events"))
+def m9(spark, sf):
+    """Reads claim a file, a modify releases it; the first claimant between releases owns it."""
+    e = events(spark, sf).where(F.col("event_type").isin("file_read", "file_modify")).withColumn("_r", (F.col("event_type") == "file_modify").cast("bigint"))
+    g = running(e, ["k"], ["ts", "id"], DAY, sums={"g": "_r"}).where("event_type = 'file_read'")
+    own = g.groupBy("k", "g").agg(F.min(F.struct("ts", "id", "session_id")).alias("f")).select("k", "g", F.col("f.session_id").alias("owner"))
+    return g.join(own, ["k", "g"]).where("session_id <> owner").select("k", "id", "session_id", "owner")
+
+
+@query("m10_cooldown_stream")
+def m10s(spark, sf):
+    return JB.drain(JB.cooldown(stream(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("k")), 2, 86400.0), "cooldown")
+
+
+@query("m10_cooldown_batch")
+def m10(spark, sf):
+    e = events(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("topic"))
+    return IS.walk(e, ["session_id"], 86400, IS.cooldown_rule(2, 86400.0), "allowed", "boolean", extra=["topic"]).where("allowed").select("session_id", "id")
+
+
+@query("m11_continuity", sql("""WITH_D""", "v_events").replace("WITH_D", """, d AS (SELECT session_id AS project, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, min(ts) AS f, max(ts) AS l FROM v_events GROUP BY ALL)
+SELECT project, day, CASE WHEN p IS NULL THEN 'none' WHEN epoch(f) - epoch(p) < 7200 THEN 'full' WHEN epoch(f) - epoch(p) < 86400 THEN 'light' ELSE 'none' END AS restore FROM (SELECT *, lag(l) OVER (PARTITION BY project ORDER BY day) AS p FROM d)"""))
+def m11(spark, sf):
+    d = events(spark, sf).groupBy(F.col("session_id").alias("project"), F.unix_timestamp(F.date_trunc("day", "ts")).alias("day")).agg(F.min("ts").alias("f"), F.max("ts").alias("l"))
+    n = neighbours(d, ["project"], ["day"], F.floor(F.col("day") / (86400 * 365)), before={"p": "l"})
+    gap = (F.unix_micros("f") - F.unix_micros("p")) / 1e6
+    return n.select("project", "day", F.when(F.col("p").isNull(), "none").when(gap < 7200, "full").when(gap < 86400, "light").otherwise("none").alias("restore"))
