@@ -85,17 +85,32 @@ def penalised(importance_, signal) -> Column:
     return F.when(col(signal) < 0.3, col(importance_) * 0.5).otherwise(col(importance_))
 
 
+def _is_word_list(alternatives: str) -> bool:
+    return all(w.isalnum() for w in alternatives.split("|"))
+
+
 def topics(content) -> Column:
-    """array<struct<topic, confidence>>; confidence = min(1, 0.5 + 0.1 per match)."""
+    """array<struct<topic, confidence, n>>; confidence = min(1, 0.5 + 0.1 per match).
+
+    The text is cut into ASCII words once and only dictionary words are kept;
+    topics made of plain words count in that short list, the few with phrases
+    or punctuation search the text.
+    """
     c = col(content)
-    found = []
-    for name, alts in K.TOPIC_KEYWORDS.items():
+    known = sorted({w for alts in K.TOPIC_KEYWORDS.values() if _is_word_list(alts) for w in alts.split("|")})
+    words = F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w.isin(*known))
+
+    def count(w, alts):
+        if _is_word_list(alts):
+            return F.size(F.filter(w, lambda x: x.isin(*alts.split("|"))))
         # an alternative that may start with a blank needs the full boundary test
-        p = f"(?i){BOUNDARY}(?:{alts}){BOUNDARY}" if "|." in alts else word(alts)
-        n = F.regexp_count(c, F.lit(p))
-        found.append(F.struct(F.lit(name).alias("topic"), F.least(F.lit(1.0), F.lit(0.5) + n * 0.1).alias("confidence"), n.alias("n")))
-    hit = F.filter(F.array(*found), lambda s: s["n"] > 0)
-    return F.when(is_blank(c), F.slice(hit, 1, 0)).otherwise(hit)
+        return F.regexp_count(c, F.lit(f"(?i){BOUNDARY}(?:{alts}){BOUNDARY}" if "|." in alts else word(alts)))
+
+    names = F.array(*[F.lit(t) for t in K.TOPIC_KEYWORDS])
+    # transform over a one-element array evaluates the word list once for all topics
+    counts = F.flatten(F.transform(F.array(words), lambda w: F.array(*[count(w, a) for a in K.TOPIC_KEYWORDS.values()])))
+    every = F.zip_with(names, counts, lambda t, n: F.struct(t.alias("topic"), F.least(F.lit(1.0), F.lit(0.5) + n * 0.1).alias("confidence"), n.alias("n")))
+    return F.filter(every, lambda s: s["n"] > 0)
 
 
 def estimate_tokens(content) -> Column:

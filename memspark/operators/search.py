@@ -56,13 +56,10 @@ def knowledge_search(know: DataFrame, queries: DataFrame, as_of, limit: int = 10
 
 def contains_all(df: DataFrame, id_: str, text: str, queries: DataFrame) -> DataFrame:
     """(query_id, id): texts that hold every query word of 3 characters or more as a substring."""
-    post = R.word_postings(df, id_, text).select("id", "word")
+    post = cut(R.word_postings(df, id_, text).select("id", "word"), "words")
     terms = queries.select("query_id", F.explode(F.array_distinct(words_ws("text"))).alias("term")).where(F.length("term") >= 3)
-    pairs = R.substring_pairs(post.select("word").distinct(), terms.select("term").distinct()).select("term", "word")
-    hits = post.join(pairs, "word").select("term", "id").distinct()
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    c = terms.join(hits, "term").groupBy("query_id", "id").agg(F.count("*").alias("c"))
-    return c.join(need, "query_id").where("c = need").select("query_id", "id")
+    pairs = cut(R.substring_pairs(post.select("word").distinct(), terms.select("term").distinct()), "pairs")
+    return R.holding_all(post, pairs, terms)
 
 
 def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame) -> DataFrame:

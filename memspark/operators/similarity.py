@@ -42,21 +42,28 @@ def similar_pairs(sets: DataFrame, measure: str, threshold: float, min_shared: i
     freq = ws.groupBy("block", "w").agg(F.count("*").alias("f"))
     ranked = ws.join(freq, ["block", "w"])
     place = ranked.groupBy("block", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))  # one set of words per row
-    t = F.lit(float(threshold))
-    # a pair shares at least `need` words, so one of them is among the n - need + 1 rarest of the smaller set
-    need = F.greatest(F.ceil(F.col("n") * t - 1e-9), F.lit(min_shared)).cast("int")
-    small = place.where(F.col("n") >= min_shared).select("block", "rep", "n", F.explode(F.slice("o", 1, F.greatest(F.col("n") - need + 1, F.lit(0)))).alias("p"))
-    # the larger side: Jaccard lets it skip its most frequent words too, overlap only min_shared - 1 of them
-    keep = F.col("n") - (need if measure == "jaccard" else F.lit(min_shared)) + 1
-    large = place.where(F.col("n") >= min_shared).select("block", "rep", "n", F.explode(F.slice("o", 1, F.greatest(keep, F.lit(0)))).alias("p"))
+    t = float(threshold)
+    up = lambda x: F.ceil(x - 1e-9).cast("int")
+    at_least = lambda x: F.greatest(up(x), F.lit(min_shared))
+    n = F.col("n")
+    # a pair shares at least `need` words, so one of them is among the n - need + 1 rarest of either set
+    if measure == "jaccard":  # shared >= t / (1 + t) * (na + nb): with na <= nb that is 2t / (1 + t) * na, and t * nb
+        need_small, need_large = at_least(n * (2 * t / (1 + t))), at_least(n * t)
+    else:
+        need_small, need_large = at_least(n * t), F.lit(min_shared)
+    rarest = lambda need: place.where(n >= min_shared).select("block", "rep", "n", F.posexplode(F.slice("o", 1, F.greatest(n - need + 1, F.lit(0)))).alias("i", "p"))
     parts = F.greatest(F.ceil(F.col("p.f") / F.lit(salt_rows)), F.lit(1)).cast("int")
-    a = small.select("block", F.col("p.w").alias("w"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    b = large.select("block", F.col("p.w").alias("w"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("salt"))
+    a = rarest(need_small).select("block", F.col("p.w").alias("w"), F.col("rep").alias("ra"), n.alias("na"), F.col("i").alias("ia"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    b = rarest(need_large).select("block", F.col("p.w").alias("w"), F.col("rep").alias("rb"), n.alias("nb"), F.col("i").alias("ib"), F.pmod(F.xxhash64("rep"), parts).cast("int").alias("salt"))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ra") < F.col("rb")))
     c = a.join(b, ["block", "w", "salt"]).where(ordered)
+    need = at_least((F.col("na") + F.col("nb")) * (t / (1 + t))) if measure == "jaccard" else at_least(F.col("na") * t)
     if measure == "jaccard":
         c = c.where(F.col("na") >= F.col("nb") * t - 1e-9)
-    cand = c.select("ra", "rb").distinct()
+    # both lists follow one order: past the last common rare word only the shorter rest can still be shared
+    rest = F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib"))
+    g = c.groupBy("ra", "rb", "na", "nb").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    cand = g.where(F.col("c") + rest >= need).select("ra", "rb")
     s = sets.select("rep", "ws", "n")
     j = cand.join(s.select(F.col("rep").alias("ra"), F.col("ws").alias("wa"), F.col("n").alias("na")), "ra").join(
         s.select(F.col("rep").alias("rb"), F.col("ws").alias("wb"), F.col("n").alias("nb")), "rb")

@@ -137,24 +137,24 @@ def k9p(spark, sf):
     return k9(spark, sf).groupBy("source_project").agg(F.count("*").alias("n"), F.sum("access_count").alias("access_count"))
 
 
-@query("k10_duplicates", ksql("SELECT a, b, shared, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE >= 0.4", _REPS.format(block="'all'") + ", " + _SHARE))
+@query("k10_duplicates", ksql("SELECT a, b, shared, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE >= 0.4", _REPS.format(block="category") + ", " + _SHARE))
 def k10(spark, sf):
-    k = spread(state(spark, sf), "id").withColumn("block", F.lit("all"))
+    k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))
     pairs, _ = SI.duplicates(k, "block")
     return pairs.select("a", "b", "shared", round6("similarity").alias("similarity"))
 
 
 @query("k11_merge")
 def k11(spark, sf):
-    k = spread(state(spark, sf), "id").withColumn("block", F.lit("all"))
+    k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))
     merged, _ = SI.merge_duplicates(k, "block")
     return merged.select("id", "members", F.sha2("content", 256).alias("content_sha"), F.array_join("tags", ",").alias("tags"), F.array_join("projects", ",").alias("projects"),
                          "access_count", F.unix_timestamp("last_accessed").alias("last_accessed_s"))
 
 
-@query("k11_merge_suggestions", ksql("SELECT a, b, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE BETWEEN 0.7 AND 0.9", _REPS.format(block="'all'") + ", " + _SHARE))
+@query("k11_merge_suggestions", ksql("SELECT a, b, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE BETWEEN 0.7 AND 0.9", _REPS.format(block="category") + ", " + _SHARE))
 def k11s(spark, sf):
-    k = spread(state(spark, sf), "id").withColumn("block", F.lit("all"))
+    k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))
     pairs, _ = SI.duplicates(k, "block", 0.7)
     return pairs.where("similarity <= 0.9").select("a", "b", round6("similarity").alias("similarity"))
 
