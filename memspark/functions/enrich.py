@@ -5,6 +5,7 @@ shuffle, and whole texts only.
 """
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -98,13 +99,17 @@ def topics(content) -> Column:
     """
     c = col(content)
     known = sorted({w for alts in K.TOPIC_KEYWORDS.values() if _is_word_list(alts) for w in alts.split("|")})
-    words = F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w.isin(*known))
+    parts = sorted({w for alts in K.TOPIC_KEYWORDS.values() if not _is_word_list(alts) for w in re.findall("[a-z0-9]+", alts)})
+    words = F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: w.isin(*known, *parts) | F.endswith(w, F.lit("env")))
 
     def count(w, alts):
         if _is_word_list(alts):
             return F.size(F.filter(w, lambda x: x.isin(*alts.split("|"))))
-        # an alternative that may start with a blank needs the full boundary test
-        return F.regexp_count(c, F.lit(f"(?i){BOUNDARY}(?:{alts}){BOUNDARY}" if "|." in alts else word(alts)))
+        # phrases search the text, but only when one of their words is there; an
+        # alternative that may start with a blank needs the full boundary test
+        pattern = f"(?i){BOUNDARY}(?:{alts}){BOUNDARY}" if "|." in alts else word(alts)
+        may = F.exists(w, lambda x: x.isin(*re.findall("[a-z0-9]+", alts)) | F.endswith(x, F.lit("env")))
+        return F.when(may, F.regexp_count(c, F.lit(pattern))).otherwise(0)
 
     names = F.array(*[F.lit(t) for t in K.TOPIC_KEYWORDS])
     # transform over a one-element array evaluates the word list once for all topics

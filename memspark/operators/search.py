@@ -169,7 +169,7 @@ def blended(hits: DataFrame, as_of, k: int) -> DataFrame:
 
 def evaluator_search(tok: DataFrame, clauses: DataFrame, queries: DataFrame, texts: DataFrame, trigram: DataFrame, limit: int, syn=None) -> DataFrame:
     """Keyword candidates, trigram hits ×0.3 where fewer than ``limit`` were found, plus an additive content boost."""
-    s = R.top_k(R.score_clauses(tok, clauses), limit * 5, ("query_id", "strategy"))
+    s = R.top_clauses(tok, clauses, limit * 5)
     main = cut(s.groupBy("query_id", "id").agg(F.max(F.col("score") * F.col("weight")).alias("score")), "candidates")
     enough = main.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("query_id")
     fill = trigram.select("query_id", "id", (F.col("score") * 0.3).alias("score")).join(enough, "query_id", "left_anti").join(main, ["query_id", "id"], "left_anti")
