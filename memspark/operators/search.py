@@ -65,8 +65,8 @@ def contains_all(df: DataFrame, id_: str, text: str, queries: DataFrame) -> Data
 def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame) -> DataFrame:
     """(query_id, id): some text column holds the whole query (without case).
 
-    Candidates come from the inner words of the query, which must occur as whole
-    words of the text; only those pairs read the text. Queries without an inner
+    The inner words of the query must occur as whole words of the text, so the
+    rarest of them picks the candidates; only those pairs read the text. Queries without an inner
     word fall back to matching on their trigrams.
     """
     q = queries.select("query_id", F.lower(F.trim("text")).alias("_q"))
@@ -75,10 +75,10 @@ def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame)
     body = df.select(F.col(id_).alias("id"), F.lower(F.concat_ws("\n", *texts)).alias("_body"), *[F.lower(t).alias(f"_c{i}") for i, t in enumerate(texts)])
     post = body.select("id", F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("word"))
     terms = q.where(F.size(inner) > 0).select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    vocab = terms.select("word").distinct()
-    cand = (post.join(vocab, "word", "left_semi").join(terms, "word").groupBy("query_id", "id").agg(F.count("*").alias("c"))
-            .join(need, "query_id").where("c = need").select("query_id", "id"))
+    post = cut(post.join(terms.select("word").distinct(), "word", "left_semi"), "words")
+    freq = post.groupBy("word").agg(F.count("*").alias("f"))
+    rare = terms.join(freq, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("f", F.lit(0)), "word")).alias("word"))
+    cand = rare.join(post, "word").select("query_id", "id")
     few = contains_all(body.withColumnRenamed("_body", "_b"), "id", "_b", q.where(F.size(inner) == 0).select("query_id", F.col("_q").alias("text")))
     cand = cand.unionByName(few)
     full = cand.join(q, "query_id").join(body, "id")
