@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import constants as K
-from .text import (BOUNDARY, NOT_AFTER, NOT_BEFORE, col, count_of, extract_all, is_blank, lines, nonblank, nth, strip, word)
+from .text import (BOUNDARY, NOT_AFTER, NOT_BEFORE, col, count_of, extract_all, is_blank, lines, nonblank, nth, strip, valid_json, word)
 
 
 def redact(df: DataFrame, text: str, disabled=(), custom=(), strip_tags: bool = True) -> DataFrame:
@@ -182,10 +182,6 @@ def binary_digest(content) -> Column:
     return F.concat(F.lit("[Binary content] sha256:"), F.sha2(c, 256), F.lit(" ("), F.octet_length(c).cast("string"), F.lit(" bytes)"))
 
 
-def is_json(content) -> Column:
-    return F.expr("try_parse_json({})".format(content)).isNotNull() if isinstance(content, str) else F.try_parse_json(content).isNotNull()
-
-
 def _describe(value, depth=0):
     """Shape of a parsed JSON value, at most four levels deep."""
     if depth > 3:
@@ -212,7 +208,7 @@ def json_shape(content) -> Column:
         return s.map(lambda t: None if t is None else _describe(json.loads(t)))
 
     c = col(content)
-    return shape(F.when(F.try_parse_json(c).isNotNull(), c))
+    return shape(F.when(valid_json(c), c))
 
 
 _PASSING = r"(?i)Tests:|Test Suites:|passed|failed|PASS|FAIL|total"

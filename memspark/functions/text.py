@@ -76,3 +76,14 @@ def nth(arr: Column, i: int) -> Column:
 
 def round6(c) -> Column:
     return F.round(col(c), 6)
+
+
+def valid_json(c) -> Column:
+    """The whole text is one JSON value.
+
+    The JSON parser stops after the first value, so the text is parsed inside an
+    array and inside an object: what follows a first value breaks one of them.
+    """
+    c = col(c)
+    ok = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull()
+    return F.when(c.rlike(r'^\s*[\[{"tfn0-9-]'), ok).otherwise(False)

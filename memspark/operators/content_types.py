@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import BOUNDARY, col, count_of, lines, nonblank, nth, word
+from ..functions.text import BOUNDARY, col, count_of, lines, nonblank, nth, valid_json, word
 
 # --- fixed values: detector patterns ------------------------------------------
 COMPILER_ERROR = r"error TS\d+:"
@@ -41,7 +41,7 @@ def _is_log(c: Column) -> Column:
 
 
 def _is_json(c: Column) -> Column:
-    return c.rlike(r"^\s*[{\[]") & F.try_parse_json(c).isNotNull()
+    return c.rlike(r"^\s*[{\[]") & valid_json(c)
 
 
 def _is_code(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from ..functions.text import NOT_AFTER, NOT_BEFORE, col, extract_all, first_group, lines, strip, word
+from ..functions.text import NOT_AFTER, NOT_BEFORE, col, extract_all, first_group, lines, strip, valid_json, word
 from .content_types import ACCESS_LINE
 
 
@@ -182,7 +182,7 @@ def csv_profile(ls: DataFrame) -> DataFrame:
 
 def json_profile(df: DataFrame, text: str, max_depth: int = 3) -> DataFrame:
     """(path, type, n) of a JSON corpus down to ``max_depth``; arrays are described by their first element."""
-    level = df.select(F.lit("$").alias("path"), F.col(text).alias("j")).where(F.try_parse_json(F.col("j")).isNotNull())
+    level = df.select(F.lit("$").alias("path"), F.col(text).alias("j")).where(valid_json("j"))
     out = None
     for depth in range(1, max_depth + 1):
         is_obj = F.col("j").rlike(r"^\s*\{")

@@ -11,7 +11,8 @@ from .enrich import _IMP
 from .joins import _TOPICS, obs_topics
 from .registry import query, sql
 
-DAY = F.floor(F.unix_timestamp("ts") / 86400)
+def day():
+    return F.floor(F.unix_timestamp("ts") / 86400)
 
 
 @query("w1_anchor_timeline", sql("""SELECT a.id AS anchor_id, p.id, p.rn - a.rn AS offset FROM (SELECT *, row_number() OVER (ORDER BY ts, id) AS rn FROM v_events) a
@@ -24,13 +25,13 @@ def w1(spark, sf):
 @query("w2_error_fix", sql("""SELECT session_id, pid AS error_id, id AS fix_id, round((epoch_us(ts) - epoch_us(pts)) / 1e6, 6) AS seconds FROM (
 SELECT *, lag(event_type) OVER w AS pt, lag(id) OVER w AS pid, lag(ts) OVER w AS pts FROM v_events WHERE event_type IN ('error', 'file_modify') WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)) WHERE event_type = 'file_modify' AND pt = 'error'""", "v_events"))
 def w2(spark, sf):
-    return S.error_fixes(events(spark, sf), DAY).select("session_id", "error_id", "fix_id", round6("seconds").alias("seconds"))
+    return S.error_fixes(events(spark, sf), day()).select("session_id", "error_id", "fix_id", round6("seconds").alias("seconds"))
 
 
 @query("w3_fifth_access", sql("SELECT k, id FROM v_events WHERE event_type IN ('file_read', 'file_modify') QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, id) = 5", "v_events"))
 def w3(spark, sf):
     e = events(spark, sf).where(F.col("event_type").isin("file_read", "file_modify"))
-    return S.nth_occurrence(e, ["k"], ["ts", "id"], DAY, 5).select("k", "id")
+    return S.nth_occurrence(e, ["k"], ["ts", "id"], day(), 5).select("k", "id")
 
 
 @query("w4_budget_fill", sql(f"""SELECT id, project, used FROM (SELECT id, project, CAST(sum(ceil(octet_length(encode(content)) / 4.0)) OVER (PARTITION BY project ORDER BY imp DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used

@@ -9,7 +9,8 @@ from ..streaming import islands as IS, jobs as JB
 from ..views import events, events_from, table, tokens, ts
 from .registry import query, sql
 
-DAY = F.floor(F.unix_timestamp("ts") / 86400)
+def day():
+    return F.floor(F.unix_timestamp("ts") / 86400)
 
 
 def stream(spark, sf, *more):
@@ -92,7 +93,7 @@ def m6s(spark, sf):
     return JB.drain(JB.running_budget(stream(spark, sf).withColumn("tokens_in", F.col("k").cast("bigint")), 2000), "budget")
 
 
-@query("m7_feedback_stream", sql("""SELECT s.id AS result_id, m.id AS edit_id FROM v_events s JOIN v_events m ON s.session_id = m.session_id AND s.k = m.k AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 7 DAY
+@query("m7_feedback_stream", sql("""SELECT s.id AS result_id, m.id AS edit_id FROM v_events s JOIN v_events m ON s.session_id = m.session_id AND s.k = m.k AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 7 day()
 WHERE s.event_type = 'search' AND m.event_type = 'file_modify'""", "v_events"))
 def m7(spark, sf):
     e = lambda t: stream(spark, sf).where(F.col("event_type") == t)
@@ -111,7 +112,7 @@ def m8(spark, sf):
 def m9(spark, sf):
     """Reads claim a file, a modify releases it; the first claimant between releases owns it."""
     e = events(spark, sf).where(F.col("event_type").isin("file_read", "file_modify")).withColumn("_r", (F.col("event_type") == "file_modify").cast("bigint"))
-    g = running(e, ["k"], ["ts", "id"], DAY, sums={"g": "_r"}).where("event_type = 'file_read'")
+    g = running(e, ["k"], ["ts", "id"], day(), sums={"g": "_r"}).where("event_type = 'file_read'")
     own = g.groupBy("k", "g").agg(F.min(F.struct("ts", "id", "session_id")).alias("f")).select("k", "g", F.col("f.session_id").alias("owner"))
     return g.join(own, ["k", "g"]).where("session_id <> owner").select("k", "id", "session_id", "owner")
 

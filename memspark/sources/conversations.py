@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import nonblank, strip
+from ..functions.text import nonblank, strip, valid_json
 from ..operators.ordered import running
 
 MESSAGE = ["conv", "turn", "role", "speaker", "ts_ms", "text"]
@@ -91,8 +91,8 @@ def detect_format(text, filename=None) -> Column:
     t = F.trim(F.col(text) if isinstance(text, str) else text)
     first = F.split(t, "\n")[0]
     has = lambda j, path: F.get_json_object(j, path).isNotNull()
-    valid = F.try_parse_json(t).isNotNull()
-    out = (F.when(F.contains(t, F.lit("\n")) & t.startswith("{") & F.try_parse_json(first).isNotNull() & has(first, "$.role") & has(first, "$.content"), "jsonl")
+    valid = valid_json(t)
+    out = (F.when(F.contains(t, F.lit("\n")) & t.startswith("{") & valid_json(first) & has(first, "$.role") & has(first, "$.content"), "jsonl")
            .when(valid & (has(t, "$[0].mapping") | has(t, "$.mapping")), "tree")
            .when(valid & (has(t, "$.chat_messages") | (has(t, "$.uuid") & has(t, "$.messages"))), "sender")
            .when(valid & ((has(t, "$[0].ts") & has(t, "$[0].text")) | has(t, "$.messages[0].ts")), "channel").otherwise("plain"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from ..functions import enrich as E, entities as N
-from ..functions.text import strip
+from ..functions.text import strip, valid_json
 from ..operators import rollups
 from ..operators.ordered import running
 from ..schemas import INPUT, MEMORY
@@ -25,7 +25,7 @@ def chunk_documents(df: DataFrame, id_: str, text: str, bucket_lines: int = 1000
     lines. Fenced code is never split. Line flags are running sums over line
     buckets, so a huge file is not one window.
     """
-    d = df.select(F.col(id_).alias("doc"), F.col(text).alias("text")).withColumn("_json", F.try_parse_json("text").isNotNull())
+    d = df.select(F.col(id_).alias("doc"), F.col(text).alias("text")).withColumn("_json", valid_json("text"))
     whole = d.where("_json").select("doc", F.lit(0).cast("bigint").alias("chunk"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("content"), F.lit(False).alias("has_code"))
     ls = rollups.explode_lines(d.where("not _json"), "doc", "text")
     bucket = F.floor(F.col("pos") / bucket_lines)
