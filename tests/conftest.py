@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from memspark.session import get_spark
 
-    s = get_spark("memspark-tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g")
+    s = get_spark("memspark-tests", "local[8]", spark__sql__shuffle__partitions="2", spark__driver__memory="8g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
