@@ -79,8 +79,9 @@ def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame)
     freq = post.groupBy("word").agg(F.count("*").alias("f"))
     rare = terms.join(freq, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("f", F.lit(0)), "word")).alias("word"))
     cand = rare.join(post, "word").select("query_id", "id")
-    few = contains_all(body.withColumnRenamed("_body", "_b"), "id", "_b", q.where(F.size(inner) == 0).select("query_id", F.col("_q").alias("text")))
-    cand = cand.unionByName(few)
+    short = q.where(F.size(inner) == 0)
+    if not short.isEmpty():  # the trigram path reads the whole corpus: only when some query needs it
+        cand = cand.unionByName(contains_all(body, "id", "_body", short.select("query_id", F.col("_q").alias("text"))))
     full = cand.join(q, "query_id").join(body, "id")
     hit = F.lit(False)
     for i in range(len(texts)):

@@ -8,7 +8,8 @@ from ..functions import enrich as E, entities as N
 from ..functions.text import strip, valid_json
 from ..operators import rollups
 from ..operators.ordered import running
-from ..schemas import INPUT, MEMORY
+from ..schemas import MEMORY
+from ..session import cut
 
 
 def read_memory(spark: SparkSession, path: str, tables=None, schemas: dict | None = None) -> dict[str, DataFrame]:
@@ -61,6 +62,7 @@ def ingest_pipeline(raw: DataFrame, stored: DataFrame | None = None) -> DataFram
     """
     r = E.redact(raw, "content").drop("content").withColumnRenamed("cleaned", "content")
     r = r.withColumns({"privacy_level": E.privacy_level("had_private", "n_redactions"), "content_hash": F.sha2("content", 256)})
+    r = cut(r, "redacted")  # read three times below; redaction runs once, on every row
     first = r.groupBy("content_hash").agg(F.min(F.struct("indexed_at", "id")).alias("f"))
     if stored is not None:
         first = first.join(stored.select("content_hash"), "content_hash", "left_anti")

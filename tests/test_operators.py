@@ -250,3 +250,11 @@ def test_related_context_and_answers_have_sources(spark):
     a = spark.createDataFrame([("x", "conventions app", "src/f.ts")], "action_id string, query string, path string")
     got = [(r["leg"], round(r["score"], 4)) for r in S.related_context(a, o, k, e, k, F.lit(T0), 0.3).orderBy("rank").collect()]
     assert got == [("bug-history", 0.9), ("pattern", 0.7386), ("graph", 0.5), ("entities", 0.4)]
+
+
+def test_contains_text_with_long_and_short_queries(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "a brown FOX jumps"), (3, "quickest")], "id bigint, t string")
+    q = spark.createDataFrame([(1, "quick brown fox"), (2, "uick"), (3, "k brown f"), (4, "brown foxes run")], "query_id bigint, text string")
+    got = sorted(map(tuple, S.contains_text(docs, "id", ["t"], q).collect()))
+    assert got == [(1, 1), (2, 1), (2, 3), (3, 1)]
+    assert S.contains_text(docs, "id", ["t"], q.where("query_id = 1")).count() == 1
