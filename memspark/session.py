@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The fallback folder of each local application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def get_spark(app: str = "memspark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every operator here is written against.
 
@@ -48,9 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    made = tempfile.mkdtemp(prefix="memspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if spark.sparkContext.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="memspark-")
+    return _LOCAL_DIRS[spark.sparkContext.applicationId]
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
