@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .batches import read
 from .sentencepiece_viterbi import encode
+from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,9 @@ def op2_token_counts(spark, sf_dir):
 def op4_sentencepiece(spark, sf_dir):
     """Piece ids of every whole text, and whether they decode to it again."""
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_simhash_dedup")
+def op5_simhash_dedup(spark, sf_dir):
+    """SimHash of every whole text and the component of near copies it belongs to."""
+    return near_duplicates(read(spark, sf_dir, "documents"), size=4)
