@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -42,3 +43,9 @@ def op4_sentencepiece(spark, sf_dir):
 def op5_simhash_dedup(spark, sf_dir):
     """SimHash of every whole text and the component of near copies it belongs to."""
     return near_duplicates(read(spark, sf_dir, "documents"), size=4)
+
+
+@query("op9_url_filter", url_filter.oracle())
+def op9_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filter.judge(read(spark, sf_dir, "pages"))
