@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import url_filter, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -49,3 +49,11 @@ def op5_simhash_dedup(spark, sf_dir):
 def op9_url_filter(spark, sf_dir):
     """Host, path, rule and verdict of every page's URL."""
     return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op7_warc", warc.oracle())
+def op7_warc(spark, sf_dir):
+    """Write every page into archives, read the archives back."""
+    root = warc.archive_folder(spark)
+    manifest = warc.write_archives(read(spark, sf_dir, "pages"), root)
+    return warc.read_archives(manifest, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
