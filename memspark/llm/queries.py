@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter, warc
+from . import quality_rules, url_filter, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -57,3 +57,10 @@ def op7_warc(spark, sf_dir):
     root = warc.archive_folder(spark)
     manifest = warc.write_archives(read(spark, sf_dir, "pages"), root)
     return warc.read_archives(manifest, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    """Base rules and the n-gram ratio's verdict on every whole text."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.fit(docs))
