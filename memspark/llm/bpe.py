@@ -20,6 +20,11 @@ END = "\0"
 CACHE = 500_000
 
 
+def unknown(words, known: dict) -> set:
+    """The distinct words without an entry; its cost doesn't depend on the number of entries."""
+    return {w for w in words if w not in known}
+
+
 class Prefixes:
     """Encodings of prefixes for one vocabulary.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .batches import pieces, two_columns
-from .bpe import CACHE, Prefixes
+from .bpe import CACHE, Prefixes, unknown
 
 MARK = "▁"
 #: Marked words: a run of marks with the text up to the next mark or line end, or a line end alone.
@@ -85,7 +85,7 @@ class Pieces:
         split = [self.words(t) for t in texts]
         if len(self.known) > CACHE:
             self.known = {}
-        if fresh := set().union(*split) - self.known.keys():
+        if fresh := unknown(set().union(*split), self.known):
             self.learn(fresh)
         known, out = self.known, []
         for words in split:

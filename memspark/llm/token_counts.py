@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import pieces, two_columns
-from .bpe import CACHE, END, byte_characters, word_vocabulary
+from .bpe import CACHE, END, byte_characters, unknown, word_vocabulary
 
 #: The pre-tokenizer's pattern, for ASCII texts and for all others.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
@@ -85,7 +85,7 @@ class WordCounts:
             self.spaced[raw] = specials + sum(map(self.words.__getitem__, words))
 
     def counts(self, words: list[bytes]) -> list[int]:
-        if fresh := {*words} - self.spaced.keys():
+        if fresh := unknown(words, self.spaced):
             self.learn(fresh)
         return list(map(self.spaced.__getitem__, words))
 
@@ -117,7 +117,7 @@ def _documents(batches, path):
         split = [x.split() for x in texts]
         if len(counter.spaced) > CACHE:
             counter.spaced = {}
-        if fresh := set().union(*split) - counter.spaced.keys():
+        if fresh := unknown(set().union(*split), counter.spaced):
             counter.learn(fresh)
         yield counter, rows.column(0), texts, split
 
