@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filter, warc
+from . import quality_cnn, quality_rules, url_filter, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -64,3 +64,10 @@ def op10_quality_rules(spark, sf_dir):
     """Base rules and the n-gram ratio's verdict on every whole text."""
     docs = read(spark, sf_dir, "documents")
     return quality_rules.score(docs, quality_rules.fit(docs))
+
+
+@query("op6_quality_cnn")
+def op6_quality_cnn(spark, sf_dir):
+    """Quality of every whole text by the byte-level network."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.fit(docs, read(spark, sf_dir, "labels")))
