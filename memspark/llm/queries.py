@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_cnn, quality_rules, url_filter, warc
+from . import quality_cnn, quality_rules, toxicity, url_filter, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -71,3 +71,10 @@ def op6_quality_cnn(spark, sf_dir):
     """Quality of every whole text by the byte-level network."""
     docs = read(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of every whole text by the weakly supervised classifier."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
