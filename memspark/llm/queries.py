@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_cnn, quality_rules, toxicity, url_filter, warc
+from . import decontaminate, quality_cnn, quality_rules, toxicity, url_filter, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -78,3 +78,9 @@ def op1_toxicity(spark, sf_dir):
     """Toxicity of every whole text by the weakly supervised classifier."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark, sf_dir):
+    """Documents that hold a benchmark item, verbatim or rephrased."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
