@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_cnn, quality_rules, toxicity, url_filter, warc
+from . import chat_format, decontaminate, quality_cnn, quality_rules, toxicity, url_filter, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -84,3 +84,9 @@ def op1_toxicity(spark, sf_dir):
 def op3_decontaminate(spark, sf_dir):
     """Documents that hold a benchmark item, verbatim or rephrased."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op8_chat_format")
+def op8_chat_format(spark, sf_dir):
+    """Every conversation as a raw transcript, parsed back into turns and rendered."""
+    return chat_format.parse(chat_format.raw_transcripts(read(spark, sf_dir, "conversations")))

@@ -157,15 +157,19 @@ def _large_links(members: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fps(fp)``, enough to join what any pair within MAX_BITS joins."""
+    # dealt by key before anything is summed: almost all keys are single, so nothing would be saved by partial sums
     index = _postings(fps)
-    # a posting's two extremes are its members when there are two, by far the most frequent case
-    sizes = cut(index.groupBy("choice", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "postings")
-    two = _verified(sizes.where("n = 2").select("a", "b"))
-    members = cut(index.join(sizes.where("n > 2").select("choice", "bytes", "n"), ["choice", "bytes"]), "members")
+    sizes = index.repartition("choice", "bytes").groupBy("choice", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("c"), F.bit_xor("fp").alias("x"))
+    sizes = cut(sizes.where("n > 1"), "postings")
+    # by far most postings have two or three members: the extremes, and what is left of the members' exclusive or
+    middle = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("c"))
+    two = _verified(sizes.where("n = 2").select("a", F.col("c").alias("b")))
+    three = _verified(sizes.where("n = 3").select(F.explode(F.array(F.struct("a", F.col("c").alias("b")), F.struct("a", middle.alias("b")), F.struct(middle.alias("a"), F.col("c").alias("b")))).alias("p")).select("p.*"))
+    members = cut(index.join(sizes.where("n > 3").select("choice", "bytes", "n"), ["choice", "bytes"]), "members")
     some = members.where(F.col("n") <= large)
     other = some.select("choice", "bytes", F.col("fp").alias("b"))
     several = _verified(some.withColumnRenamed("fp", "a").join(other, ["choice", "bytes"]).where("a < b").select("a", "b"))
-    out = two.unionByName(several)
+    out = two.unionByName(three).unionByName(several)
     most = sizes.agg(F.max("n")).first()[0]
     if (most or 0) > large:
         out = out.unionByName(_large_links(members.where(F.col("n") > large).select("choice", "bytes", "fp")))
@@ -183,3 +187,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     of = linked.join(least, "root").select("fp", "component_id")
     out = prints.join(of, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest id.
+
+    Rows with a null id stay; of rows that repeat the id one stays.
+    """
+    found = near_duplicates(docs, size, id_col, text_col)
+    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti")
+    # ids that several rows have: only these rows are grouped
+    repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated")
+    once = kept.join(repeated, id_col, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = kept.join(repeated, id_col, "left_semi").groupBy(F.col(id_col).alias("key")).agg(F.first(row).alias("row")).select("row.*")
+    return once.select(*[f"`{c}`" for c in docs.columns]).unionByName(several)
