@@ -253,19 +253,19 @@ fu AS (SELECT query_id, intent, id, sum((relevance + {_TB}) * {_SW}) * CASE WHEN
 """)
 
 
-@query("r10_fusion", _FUSED.replace("{extra}", "") + "SELECT query_id, intent, id, round(score, 6) AS score, n_strategies FROM fu")
+@query("r10_fusion", _FUSED.replace("{extra}", "") + "SELECT query_id, intent, id, round(round(score, 9), 6) AS score, n_strategies FROM fu")
 def r10(spark, sf):
     f = R.fuse(legs(spark, sf))
-    return f.select("query_id", "intent", "id", round6("score").alias("score"), "n_strategies")
+    return f.select("query_id", "intent", "id", round6(F.round("score", 9)).alias("score"), "n_strategies")
 
 
 @query("u3_custom_strategy", _FUSED.replace("{extra}", "UNION ALL SELECT query_id, 'newest', doc_id, 1.0e0 FROM q, (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3)")
-       + "SELECT query_id, id, round(score, 6) AS score, n_strategies FROM fu")
+       + "SELECT query_id, id, round(round(score, 9), 6) AS score, n_strategies FROM fu")
 def u3(spark, sf):
     """A user strategy (the three longest documents for every query) joins the fusion with weight 0.1."""
     longest = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(3).agg(F.collect_list("doc_id").alias("ids"))
     mine = asked(spark, sf).select("query_id", F.lit("newest").alias("strategy"), F.explode(longest.scalar()).alias("id"), F.lit(1.0).alias("relevance"))
-    return R.fuse(legs(spark, sf, mine)).select("query_id", "id", round6("score").alias("score"), "n_strategies")
+    return R.fuse(legs(spark, sf, mine)).select("query_id", "id", round6(F.round("score", 9)).alias("score"), "n_strategies")
 
 
 _IW = lambda i: "CASE intent " + " ".join(f"WHEN '{n}' THEN {w[i]}e0" for n, w in R.INTENT_WEIGHTS.items()) + " END"

@@ -16,11 +16,18 @@ from ..schemas import INPUT
 from ..session import run_dir
 
 
-def read_events(spark: SparkSession, sf_dir: str, max_files: int = 1000) -> DataFrame:
-    """The raw events as a stream of files, times cast for watermarks."""
+def read_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The raw events (one file or a folder of part files) as a stream, times cast for watermarks.
+
+    Without ``max_files`` a drain sees all files at once, so its answer doesn't
+    depend on how the table is cut into files or on their order.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    s = (spark.readStream.schema(INPUT["events"]).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    s = spark.readStream.schema(INPUT["events"])
+    if max_files:
+        s = s.option("maxFilesPerTrigger", max_files)
+    # as a pattern the path may name a file as well as a folder
+    return s.parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append", timeout: int = 600) -> DataFrame:
@@ -34,9 +41,25 @@ def drain(stream: DataFrame, label: str, mode: str = "append", timeout: int = 60
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def dedup_watermark(events: DataFrame, keys: list[str], seconds: int = 60) -> DataFrame:
-    """Repeats of a key within the span are dropped; the engine may drop later ones until the watermark passes."""
-    return events.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
+def drain_updates(stream: DataFrame, keys: list[str], label: str, timeout: int = 600) -> DataFrame:
+    """Process everything available in update mode and return the last state of every key.
+
+    Unlike an append, windows that are still open when the input ends are in the result.
+    """
+    spark = stream.sparkSession
+    out, mark = run_dir(spark, label), run_dir(spark, f"{label}-checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again replaces itself
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    if not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(label)
+    values = [c for c in stream.columns if c not in keys]
+    schema = stream.select("*", F.lit(0).alias("_batch")).schema
+    rows = spark.read.schema(schema).parquet(f"{out}/batch=*")
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
 
 
 def _sorted(frames, *by) -> pd.DataFrame:
