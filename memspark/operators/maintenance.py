@@ -112,6 +112,45 @@ def apply_resolutions(k: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame,
     return state, merged, edges
 
 
+def add_suggestions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Insert-or-ignore by (local_id, global_id): what is there stays, of new repeats the earliest (then the smallest id)."""
+    key = ["local_id", "global_id"]
+    rest = [c for c in incoming.columns if c not in key]
+    first = incoming.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("s")).select(*key, "s.*")
+    return existing.unionByName(first.withColumn("status", F.lit("pending")).join(existing.select(*key), key, "left_anti"))
+
+
+def set_suggestion_status(suggestions: DataFrame, changes: DataFrame) -> DataFrame:
+    """The last of ``changes(id, status, at, nth)`` per suggestion wins; changes of unknown ids are ignored."""
+    last = changes.groupBy("id").agg(F.max_by("status", F.struct("at", "nth")).alias("_status"))
+    return suggestions.join(last, "id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def list_suggestions(suggestions: DataFrame, status: str = "pending", limit: int = 10) -> DataFrame:
+    """The newest ``limit`` suggestions of a status, or of any ("all")."""
+    rows = suggestions if status == "all" else suggestions.where(F.col("status") == status)
+    return rows.orderBy(F.desc("created_at"), "id").limit(limit)
+
+
+def save_with_validity(existing: DataFrame, incoming: DataFrame, contradictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, outcome): new facts are blocked by what they contradict unless they are forced.
+
+    ``existing(id, entity, valid_from, valid_to, superseded_by)``, ``incoming(id, entity, valid_from, force)``,
+    ``contradictions(id, other_id)``. A forced fact closes the open facts that it contradicts at its
+    own start; if several forced facts contradict one, the earliest (then the smallest id) closes it.
+    """
+    against = contradictions.groupBy("id").agg(F.count("*").alias("n"))
+    outcome = incoming.join(against, "id", "left").withColumn("status", F.when(F.col("n").isNull(), "saved").when(F.col("force"), "forced").otherwise("blocked")).drop("n")
+    closing = contradictions.join(outcome.where("status = 'forced'").select("id", "valid_from"), "id").groupBy(F.col("other_id").alias("id")).agg(
+        F.min(F.struct(F.col("valid_from").alias("at"), F.col("id").alias("by"))).alias("c"))
+    closes = F.col("valid_to").isNull() & F.col("c").isNotNull()
+    old = existing.join(closing, "id", "left").select("id", "entity", "valid_from", F.when(closes, F.col("c.at")).otherwise(F.col("valid_to")).alias("valid_to"),
+                                                      F.when(closes, F.col("c.by")).otherwise(F.col("superseded_by")).alias("superseded_by"))
+    kinds = dict(existing.dtypes)
+    new = outcome.where("status <> 'blocked'").select("id", "entity", "valid_from", F.lit(None).cast(kinds["valid_to"]).alias("valid_to"), F.lit(None).cast(kinds["superseded_by"]).alias("superseded_by"))
+    return old.unionByName(new), outcome.select("id", "status")
+
+
 def loss_risk(obs: DataFrame, know: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     """1 - survival for unpinned observations and live knowledge, with the reasons; highest first."""
     def score(df, importance):

@@ -31,11 +31,12 @@ def paged(spark, sf, entry):
 _CONV = "concat('c', conv_id, '-', turn // 50)"
 
 
-@query("s1_read_tables", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'pages', count(*) FROM pages")
+@query("s1_read_tables", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, {len(c.split(','))} AS columns FROM {t}" for t, c in INPUT.items()))
 def s1(spark, sf):
+    """Every stored table through its enforced schema: rows and columns."""
     out = None
-    for t in ("documents", "events", "orders", "pages"):
-        one = table(spark, sf, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n")
+    for t, df in IN.read_memory(spark, sf, schemas=INPUT, suffix=".parquet").items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n", F.lit(len(df.columns)).alias("columns"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -157,11 +158,12 @@ def s11(spark, sf):
     return n("knowledge").unionByName(n("events"))
 
 
-@query("s12_import_merge", "SELECT origin, count(*) AS n FROM (SELECT doc_id, 'old' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY origin")
+@query("s12_import_merge", """SELECT doc_id, 'old' AS origin, NULL AS text FROM labels UNION ALL SELECT o_custkey, 'new', min_by(o_orderstatus, o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM labels) GROUP BY o_custkey""")
 def s12(spark, sf):
-    old = table(spark, sf, "labels").select("doc_id", F.lit("old").alias("origin"))
-    new = table(spark, sf, "documents").select("doc_id")
-    return IN.import_tables(old, new, "doc_id", defaults={"origin": "new"}).groupBy("origin").agg(F.count("*").alias("n"))
+    """Insert-or-ignore: known keys stay as they are, of several new rows with one key the first by order key is kept."""
+    old = table(spark, sf, "labels").select("doc_id", F.lit("old").alias("origin"), F.lit(None).cast("string").alias("text"))
+    new = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("text"), "o_orderkey")
+    return IN.import_tables(old.withColumn("o_orderkey", F.lit(None).cast("bigint")), new, "doc_id", defaults={"origin": "new"}, order="o_orderkey").drop("o_orderkey")
 
 
 _FIRST = f"""fi AS (SELECT doc_id, c AS content, n FROM {_last} JOIN v_observations o ON o.id = doc_id QUALIFY row_number() OVER (PARTITION BY sha256(c) ORDER BY indexed_at, doc_id) = 1)"""

@@ -1,6 +1,6 @@
 """Registered queries: joins (J)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window
 
 from ..functions import constants as K, enrich as E
 from ..functions.text import tokens_of
@@ -18,11 +18,15 @@ def obs_topics(spark, sf):
     return o.select("id", "project", F.explode(F.transform(E.topics("content"), lambda s: s["topic"])).alias("topic"))
 
 
-@query("j1_topic_bridge", sql(f"""SELECT o.project, t.topic, count(*) AS n, max(o.indexed_at) = max(o.indexed_at) AS ok FROM ({_TOPICS('v_observations', 'id', 'content')}) t JOIN v_observations o USING (id) GROUP BY ALL""", "v_observations"))
+@query("j1_topic_bridge", sql(f"""SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, newest_s DESC, topic) AS rank FROM (
+SELECT o.project, t.topic, count(*) AS n, CAST(max(epoch(o.indexed_at)) AS BIGINT) AS newest_s FROM ({_TOPICS('v_observations', 'id', 'content')}) t JOIN v_observations o USING (id) GROUP BY ALL)""", "v_observations"))
 def j1(spark, sf):
+    """Topics of each project, the most frequent first, then the newest, then by name; a project has as many rows as topics exist."""
     t = obs_topics(spark, sf).select("id", "topic")
     o = observations(spark, sf).select("id", "project", "indexed_at")
-    return t.join(o, "id").groupBy("project", "topic").agg(F.count("*").alias("n"), (F.max("indexed_at") == F.max("indexed_at")).alias("ok"))
+    g = t.join(o, "id").groupBy("project", "topic").agg(F.count("*").alias("n"), F.unix_timestamp(F.max("indexed_at")).alias("newest_s"))
+    w = Window.partitionBy("project").orderBy(F.desc("n"), F.desc("newest_s"), "topic")
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 @query("j2_sources_with_chunks", """WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)

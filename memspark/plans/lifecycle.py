@@ -159,19 +159,39 @@ def k11s(spark, sf):
     return pairs.where("similarity <= 0.9").select("a", "b", round6("similarity").alias("similarity"))
 
 
-@query("k12_suggestion_status", "SELECT status, count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS newest FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'pending' ELSE 'dismissed' END AS status FROM orders) GROUP BY status")
+# orders suggest (customer, customer's group); later orders of a customer are repeats, and change the suggestion's status
+_K12 = """o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'dismissed' END AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
+la AS (SELECT o_custkey, st FROM o WHERE st IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+sg AS (SELECT o_orderkey AS id, o.o_custkey AS local_id, o.o_custkey % 10 AS global_id, o_orderdate, coalesce(la.st, 'pending') AS status FROM o LEFT JOIN la USING (o_custkey) WHERE rn = 1)"""
+
+
+def suggestions(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("local_id"), (F.col("o_custkey") % 10).alias("global_id"), F.col("o_orderdate").alias("created_at"),
+                                          F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "P", "dismissed").alias("st"))
+    new = o.drop("st")
+    s = M.add_suggestions(new.withColumn("status", F.lit("pending")).limit(0), new)
+    changes = o.where("st IS NOT NULL").join(s.select(F.col("id").alias("sid"), "local_id"), "local_id").select(F.col("sid").alias("id"), F.col("st").alias("status"), F.col("created_at").alias("at"), F.col("id").alias("nth"))
+    return M.set_suggestion_status(s, changes)
+
+
+@query("k12_suggestion_status", sql("SELECT id, local_id, global_id, status FROM sg", ctes=_K12))
 def k12(spark, sf):
-    """Status events per suggestion (customer); the last event wins, as an append-only table."""
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "P", "pending").otherwise("dismissed").alias("status"))
-    last = o.groupBy("o_orderkey").agg(F.max("status").alias("status"))
-    return last.groupBy("status").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("newest"))
+    """Suggestions inserted once each; the last status event wins."""
+    return suggestions(spark, sf).select("id", "local_id", "global_id", "status")
+
+
+@query("k12_newest_pending", sql("SELECT id, status FROM sg WHERE status = 'pending' ORDER BY o_orderdate DESC, id LIMIT 10", ctes=_K12))
+def k12p(spark, sf):
+    return M.list_suggestions(suggestions(spark, sf)).select("id", "status")
+
+
+_RS = "rs AS (SELECT doc_id AS entry, doc_id + 1 AS other, ['supersede', 'merge', 'keep_both', 'archive_old'][quality * 2 + toxic + 1] AS action FROM labels)"
 
 
 @query("k13_resolve", ksql("""SELECT id, id IN (SELECT other FROM rs WHERE action IN ('supersede', 'merge', 'archive_old')) OR id IN (SELECT entry FROM rs WHERE action = 'merge') AS archived,
- CASE WHEN id IN (SELECT entry FROM rs WHERE action = 'supersede') THEN 1 WHEN id IN (SELECT entry FROM rs WHERE action = 'keep_both') OR id IN (SELECT other FROM rs WHERE action = 'keep_both') THEN 2 ELSE 0 END::BIGINT AS new_tags FROM state""",
-    "rs AS (SELECT doc_id AS entry, doc_id + 1 AS other, ['supersede', 'merge', 'keep_both', 'archive_old'][quality * 2 + toxic + 1] AS action FROM labels WHERE doc_id % 2 = 0)"))
+ (CASE WHEN id IN (SELECT entry FROM rs WHERE action = 'supersede') THEN 1 ELSE 0 END + CASE WHEN id IN (SELECT entry FROM rs WHERE action = 'keep_both') OR id IN (SELECT other FROM rs WHERE action = 'keep_both') THEN 2 ELSE 0 END)::BIGINT AS new_tags FROM state""", _RS))
 def k13(spark, sf):
-    """Labels as resolutions: each labelled even entry is resolved against the next one."""
+    """Labels as resolutions: each labelled entry is resolved against the next one."""
     r = resolutions(spark, sf)
     k = state(spark, sf)
     s, _, _ = M.apply_resolutions(k, r)
@@ -179,21 +199,38 @@ def k13(spark, sf):
 
 
 def resolutions(spark, sf):
-    lab = table(spark, sf, "labels").where("doc_id % 2 = 0")  # an entry takes part in one resolution
+    lab = table(spark, sf, "labels")
     return lab.select(F.col("doc_id").alias("entry_id"), (F.col("doc_id") + 1).alias("other_id"), pick(F.col("quality") * 2 + F.col("toxic"), "supersede", "merge", "keep_both", "archive_old").alias("action"),
                       F.concat(F.lit("merged "), "doc_id").alias("merged_content"))
 
 
-@query("k13_resolution_edges", ksql("SELECT CASE action WHEN 'supersede' THEN 'supersedes' ELSE 'contradicts' END AS type, count(*) AS n FROM rs JOIN state ON id = other WHERE action IN ('supersede', 'keep_both') GROUP BY 1",
-    "rs AS (SELECT doc_id AS entry, doc_id + 1 AS other, ['supersede', 'merge', 'keep_both', 'archive_old'][quality * 2 + toxic + 1] AS action FROM labels WHERE doc_id % 2 = 0)"))
+@query("k13_resolution_edges", ksql("SELECT CASE action WHEN 'supersede' THEN 'supersedes' ELSE 'contradicts' END AS type, count(*) AS n FROM rs JOIN state a ON a.id = entry JOIN state b ON b.id = other WHERE action IN ('supersede', 'keep_both') GROUP BY 1", _RS))
 def k13e(spark, sf):
     _, _, e = M.apply_resolutions(state(spark, sf), resolutions(spark, sf))
     return e.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("k14_save_with_validity", sql("SELECT entity, count(*) AS versions, count(valid_to) AS closed FROM v_facts GROUP BY entity", "v_facts"))
+@query("k13_merged", ksql("SELECT concat(a.id, '+', b.id) AS id, a.category, a.title, concat('merged ', a.id) AS content FROM rs JOIN state a ON a.id = entry JOIN state b ON b.id = other WHERE action = 'merge'", _RS))
+def k13m(spark, sf):
+    """The merged entries that the merge resolutions add."""
+    _, merged, _ = M.apply_resolutions(state(spark, sf), resolutions(spark, sf))
+    return merged.select("id", "category", "title", "content")
+
+
+@query("k14_save_with_validity", sql("""SELECT f.id, f.entity, CAST(epoch(CASE WHEN l.id IS NULL THEN f.valid_to WHEN l.force THEN l.valid_from END) AS BIGINT) AS valid_to_s, CASE WHEN l.id IS NULL THEN f.superseded_by WHEN l.force THEN l.id END AS superseded_by, 'stored' AS status
+FROM v_facts f LEFT JOIN l ON f.superseded_by = l.id WHERE f.valid_to IS NOT NULL
+UNION ALL SELECT id, entity, NULL, NULL, CASE WHEN parent IS NULL THEN 'saved' WHEN force THEN 'forced' ELSE 'blocked' END FROM l""", "v_facts", ctes="l AS (SELECT id, entity, parent, valid_from, id % 2 = 0 AS force FROM v_facts WHERE valid_to IS NULL)"))
 def k14(spark, sf):
-    return facts(spark, sf).groupBy("entity").agg(F.count("*").alias("versions"), F.count("valid_to").alias("closed"))
+    """Each customer's latest order is saved against the one before it; even orders are forced, the others blocked."""
+    f = cut(facts(spark, sf), "facts")
+    new = f.where("valid_to IS NULL").select("id", "entity", "valid_from", "parent", (F.col("id") % 2 == 0).alias("force"))
+    opened = new.select(F.col("id").alias("superseded_by"), F.lit(True).alias("_open"))
+    old = f.where("valid_to IS NOT NULL").join(opened, "superseded_by", "left")
+    old = old.select("id", "entity", "valid_from", F.when(F.col("_open").isNull(), F.col("valid_to")).alias("valid_to"), F.when(F.col("_open").isNull(), F.col("superseded_by")).alias("superseded_by"))
+    stored, outcome = M.save_with_validity(old, new.drop("parent"), new.where("parent IS NOT NULL").select("id", F.col("parent").alias("other_id")))
+    after = stored.join(outcome, "id", "left").withColumn("status", F.coalesce("status", F.lit("stored")))
+    blocked = new.join(outcome.where("status = 'blocked'"), "id").select("id", "entity", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit(None).cast("bigint").alias("superseded_by"), "status")
+    return after.unionByName(blocked).select("id", "entity", F.unix_timestamp("valid_to").alias("valid_to_s"), "superseded_by", "status")
 
 
 _ORDER = vlist(C.TIERS)
@@ -335,12 +372,16 @@ def k24f(spark, sf):
     return cats.where("category = 'files'").select("session_id", "content")
 
 
-@query("k25_restore", sql(f"""SELECT source AS session_id, CASE WHEN max(ia) < {T} - INTERVAL 7 DAY THEN true ELSE false END AS condensed FROM (SELECT source, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * ((doc_id * 37) % 2400) + INTERVAL 20 DAY AS ia FROM documents) GROUP BY source"""))
+_KEPT = [",".join(sorted(c for c, p in M.SNAPSHOT_PRIORITY.items() if p <= most or c == "stats")) for most in (1, 99)]
+
+
+@query("k25_restore", sql(f"""SELECT source AS session_id, max(ia) < {T} - INTERVAL 7 DAY AS condensed, CASE WHEN max(ia) < {T} - INTERVAL 7 DAY THEN '{_KEPT[0]}' ELSE '{_KEPT[1]}' END AS kept
+FROM (SELECT source, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * ((doc_id * 37) % 2400) + INTERVAL 20 DAY AS ia FROM documents) GROUP BY source"""))
 def k25(spark, sf):
     """Snapshots of each source dated after its newest document; old ones are condensed."""
     d = observations(spark, sf).groupBy(F.col("project").alias("session_id")).agg((F.max("indexed_at") + F.expr("interval 20 days")).alias("created_at"))
-    s = d.withColumn("snapshot", F.create_map(F.lit("files"), F.lit("f"), F.lit("decisions"), F.lit("d"), F.lit("stats"), F.lit("s")))
-    return M.restore(s, ts(AS_OF)).select("session_id", "condensed")
+    s = d.withColumn("snapshot", F.create_map(*[F.lit(x) for c in M.SNAPSHOT_PRIORITY for x in (c, c)]))
+    return M.restore(s, ts(AS_OF)).select("session_id", "condensed", F.array_join(F.array_sort(F.map_keys("snapshot")), ",").alias("kept"))
 
 
 @query("k26_continuation")

@@ -12,10 +12,10 @@ from ..schemas import MEMORY
 from ..session import cut
 
 
-def read_memory(spark: SparkSession, path: str, tables=None, schemas: dict | None = None) -> dict[str, DataFrame]:
-    """Scans of the stored tables with their enforced schemas."""
+def read_memory(spark: SparkSession, path: str, tables=None, schemas: dict | None = None, suffix: str = "") -> dict[str, DataFrame]:
+    """Scans of the stored tables (folders or files ``name + suffix``) with their enforced schemas."""
     schemas = schemas or MEMORY
-    return {t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}") for t in (tables or schemas)}
+    return {t: spark.read.schema(schemas[t]).parquet(f"{path}/{t}{suffix}") for t in (tables or schemas)}
 
 
 def chunk_documents(df: DataFrame, id_: str, text: str, bucket_lines: int = 10000) -> DataFrame:
@@ -109,11 +109,15 @@ def export_tables(tables: dict[str, DataFrame], path: str, fmt: str = "json", ne
     return done
 
 
-def import_tables(existing: DataFrame, incoming: DataFrame, key: str, mode: str = "merge", defaults: dict | None = None) -> DataFrame:
-    """merge keeps existing rows and adds unknown keys; replace takes the incoming rows. Missing values get defaults."""
+def import_tables(existing: DataFrame, incoming: DataFrame, key: str, mode: str = "merge", defaults: dict | None = None, order: str | None = None) -> DataFrame:
+    """merge keeps existing rows and adds unknown keys; replace takes the incoming rows. Missing values get defaults.
+
+    Of incoming rows with one key the first in ``order`` stays; without it the smallest by all columns.
+    """
     for c, v in (defaults or {}).items():
         incoming = incoming.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in incoming.columns else F.lit(v))
-    one = incoming.dropDuplicates([key])
+    row = F.struct(*[c for c in incoming.columns if c != key])
+    one = incoming.groupBy(key).agg(F.min_by(row, F.struct(order, row) if order else row).alias("row")).select(key, "row.*") if len(incoming.columns) > 1 else incoming.distinct()
     if mode == "replace":
         return one
     return existing.unionByName(one.join(existing.select(key), key, "left_anti"))
