@@ -22,8 +22,10 @@ def tokenised(df: DataFrame, id_: str, text, *keep: str) -> DataFrame:
     return t.withColumn("dl", F.size("tokens").cast("bigint"))
 
 
-def corpus_stats(tok: DataFrame) -> DataFrame:
+def corpus_stats(tok: DataFrame | Index) -> DataFrame:
     """One row: number of documents and their mean length."""
+    if isinstance(tok, Index):
+        return tok.stats
     return tok.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
@@ -40,9 +42,11 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def unit_occurrences(tok: DataFrame, *keep: str) -> DataFrame:
-    """(id, dl, pos, unit): every token and adjacent pair of tokens with its place."""
+def unit_occurrences(tok: DataFrame, *keep: str, with_pairs: bool = True) -> DataFrame:
+    """(id, dl, pos, unit): every token, and adjacent pair of tokens if they are asked for, with its place."""
     t = F.col("tokens")
+    if not with_pairs:
+        return tok.select("id", "dl", *keep, F.posexplode(t).alias("pos", "unit"))
     pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
                        lambda a, b: F.concat(a, F.lit(" "), b))
     at = lambda arr: F.transform(arr, lambda x, i: F.struct(i.alias("pos"), x.alias("unit")))
@@ -60,14 +64,16 @@ def phrase_units(phrases: DataFrame) -> DataFrame:
                     F.explode(F.when(single, one).otherwise(two)).alias("u")).select("phrase", "need", "u.*")
 
 
-def phrase_hits(tok: DataFrame, phrases: DataFrame, *keep: str) -> DataFrame:
+def phrase_hits(tok: DataFrame | Index, phrases: DataFrame, *keep: str) -> DataFrame:
     """(phrase, id, dl, tf): how often each phrase occurs, its tokens adjacent and in order.
 
     Exact without a scan per phrase: the pairs of a phrase must all start at
     the same place. Only phrases of three tokens or more need the extra grouping.
+    A written index is read in the buckets of the searched units only.
     """
     units = phrase_units(phrases)
-    occ = unit_occurrences(tok, *keep).join(units, "unit")
+    occ = tok.occurrences(units) if isinstance(tok, Index) else unit_occurrences(tok, *keep, with_pairs=not units.where(F.contains("unit", F.lit(" "))).isEmpty())
+    occ = occ.join(units, "unit")
     by = ["phrase", "id", "dl", *keep]
     short = occ.where("need = 1").select(*by)
     long = (occ.where("need > 1").groupBy(*by, "need", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("c"))
@@ -89,6 +95,34 @@ def weighted_hits(hits: DataFrame, stats: DataFrame, key: str = "phrase") -> Dat
     return h.withColumn("w", bm25_weight("tf", "dl", "df", F.col("_s.n_docs"), F.col("_s.avgdl"))).drop("_s", "df")
 
 
+class Index:
+    """A written positional index: occurrences of tokens and adjacent pairs by bucket of the unit, and corpus statistics.
+
+    Searches read the buckets of their units; the texts are not touched again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.buckets, self.units, self.stats = buckets, spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/stats")
+
+    @classmethod
+    def write(cls, df: DataFrame, id_: str, text: str, path: str, buckets: int = 64) -> Index:
+        tok = tokenised(df, id_, text)
+        occ = unit_occurrences(tok).withColumn("bucket", _bucket("unit", buckets))
+        # the occurrences of a frequent unit are dealt over several tasks by document
+        occ.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "unit").write.partitionBy("bucket").parquet(f"{path}/units")
+        corpus_stats(tok).coalesce(1).write.parquet(f"{path}/stats")
+        return cls(df.sparkSession, path, buckets)
+
+    def occurrences(self, units: DataFrame) -> DataFrame:
+        """(id, dl, pos, unit) in the buckets that hold ``units(unit)``; at most ``buckets`` numbers reach the driver."""
+        wanted = [r[0] for r in units.select(_bucket("unit", self.buckets)).distinct().collect()]
+        return self.units.where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def _bucket(unit: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(unit), F.lit(buckets)).cast("int")
+
+
 def write_index(df: DataFrame, id_: str, text: str, path: str, buckets: int = 256) -> None:
     """Write postings (by hash of term), document lengths and corpus statistics as tables under ``path``."""
     tok = tokenised(df, id_, text)

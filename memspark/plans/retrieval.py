@@ -1,12 +1,12 @@
 """Registered queries: retrieval (R), strategy and synonym surfaces (U3, U4, U5)."""
 
+import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 
 from ..functions import constants as K, enrich as E, language as L
 from ..functions.text import round6
 from ..operators import index as I, query_forms as Q, retrieval as R, search as S
-from ..session import cut, spread
+from ..session import cut, run_dir, spread
 from ..views import AS_OF, knowledge, observations, pick, queries, table, ts
 from .enrich import _FLAGS, _IMP, _KW, _LEADS, _QE, _STRIP, vals, vlist
 from .registry import query, sql
@@ -16,6 +16,17 @@ def docs(spark, sf):
     return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
 
 
+_INDEXES: dict[tuple[str, str], I.Index] = {}
+
+
+def searchable(spark, sf):
+    """The written index of the documents, made once per application and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = I.Index.write(docs(spark, sf), "id", "content", run_dir(spark, "units"))
+    return _INDEXES[key]
+
+
 def obs(spark, sf):
     return spread(observations(spark, sf), "id")
 
@@ -84,8 +95,6 @@ def r1(spark, sf):
 
 @query("r1_index_shape", f"WITH {TK} SELECT count(*) AS postings, (SELECT count(*) FROM tk) AS n_docs, round((SELECT avg(len(t)) FROM tk), 6) AS avgdl FROM (SELECT DISTINCT id, unnest(t) FROM tk)")
 def r1s(spark, sf):
-    from ..session import run_dir
-
     path = run_dir(spark, "index")
     I.write_index(docs(spark, sf), "id", "content", path, buckets=8)
     ix = I.read_index(spark, path)
@@ -96,7 +105,7 @@ def r1s(spark, sf):
 
 @query("r2_bm25", f"WITH {Q_PLAIN}, {TK}, {OR_CL}, {HITS} SELECT query_id, id, round(score, 6) AS score, {RANKED.format(by='query_id', s='score')} AS rank FROM sc QUALIFY rank <= 10")
 def r2(spark, sf):
-    r = R.bm25_any(I.tokenised(docs(spark, sf), "id", "content"), or_form(queries(spark, sf)), 10)
+    r = R.bm25_any(searchable(spark, sf), or_form(queries(spark, sf)), 10)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -118,7 +127,7 @@ _R4 = f"WITH {Q_ASKED}, {TK}, {CLAUSES.replace('{temporal}', _TEMPORAL)}, {HITS}
 @query("r4_keyword_search", _R4 + "SELECT query_id, id, round(score, 6) AS score, round(relevance, 6) AS relevance, rank FROM n4")
 def r4(spark, sf):
     c = Q.clauses(asked(spark, sf), ref_date="ref_date")
-    r = R.keyword_search(I.tokenised(docs(spark, sf), "id", "content"), c, 20)
+    r = R.keyword_search(searchable(spark, sf), c, 20)
     return r.select("query_id", "id", round6("score").alias("score"), round6("relevance").alias("relevance"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -127,7 +136,7 @@ FROM sc JOIN (SELECT id FROM v_observations WHERE type IN ('code', 'error', 'dec
   AND {_IMP.format(ent='false')} >= 0.5) USING (id) QUALIFY rank <= 10""", "v_observations", ctes=f"{Q_PLAIN}, {TK}, {OR_CL}, {HITS}\n"))
 def r5(spark, sf):
     o = obs(spark, sf)
-    s = R.score_clauses(I.tokenised(o, "id", "content"), or_form(queries(spark, sf)))
+    s = R.score_clauses(searchable(spark, sf), or_form(queries(spark, sf)))
     ok = o.where(F.col("type").isin("code", "error", "decision") & F.col("indexed_at").between(ts("2024-01-15 00:00:00"), ts("2024-03-31 00:00:00"))
                  & (E.importance("content", "type", F.lit(False)) >= 0.5)).select("id")
     r = R.top_k(s.join(ok, "id", "left_semi"), 10)
@@ -202,10 +211,10 @@ def u5(spark, sf):
 
 
 def letter_counts():
-    def counts(s):
+    def counts(s: pd.Series) -> pd.Series:
         return s.str.lower().map(lambda t: [float(t.count(chr(97 + i))) for i in range(26)])
 
-    return F.pandas_udf(counts, "array<double>", PandasUDFType.SCALAR)
+    return F.pandas_udf(counts, "array<double>")
 
 
 # --- R9 .. R11 ---------------------------------------------------------------------
@@ -228,7 +237,7 @@ def r9(spark, sf):
 def legs(spark, sf, extra=None):
     """The four strategies over the observations, 20 results each, as one result list."""
     d, q = docs(spark, sf), asked(spark, sf)
-    kw = R.keyword_search(I.tokenised(d, "id", "content"), Q.clauses(q, ref_date="ref_date"), 20)
+    kw = R.keyword_search(searchable(spark, sf), Q.clauses(q, ref_date="ref_date"), 20)
     tri = R.trigram_search(d, "id", "content", q, 20)
     fz = R.fuzzy_search(d, "id", "content", q, 20)
     v = vectors(spark, sf)
@@ -304,7 +313,7 @@ def r11(spark, sf):
 def r11s(spark, sf):
     """Rerank of the keyword candidates with synonym credit and query-aware snippets."""
     q = asked(spark, sf)
-    kw = R.keyword_search(I.tokenised(docs(spark, sf), "id", "content"), Q.clauses(q, ref_date="ref_date"), 20)
+    kw = R.keyword_search(searchable(spark, sf), Q.clauses(q, ref_date="ref_date"), 20)
     kw = cut(kw.select("query_id", "id", F.col("relevance").alias("score")), "candidates")
     o = observations(spark, sf).select("id", F.col("indexed_at").alias("ts"), "access_count", "content")
     c = kw.join(o, "id").join(q.select("query_id", "text", L.search_intent("text").alias("intent")), "query_id")
@@ -481,7 +490,7 @@ def query_vectors(spark, sf):
 
 @query("r19_hybrid", _R19 + "SELECT query_id, id, round(score, 6) AS score FROM hy QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10")
 def r19(spark, sf):
-    kw = R.bm25_any(I.tokenised(docs(spark, sf), "id", "content"), or_form(queries(spark, sf)), 30)
+    kw = R.bm25_any(searchable(spark, sf), or_form(queries(spark, sf)), 30)
     vec = R.vector_search(spread(vectors(spark, sf), "id"), query_vectors(spark, sf), 30, exclude_self=True)
     return S.hybrid(kw, vec, 10).select("query_id", "id", round6("score").alias("score"))
 
@@ -499,7 +508,7 @@ fs AS (SELECT query_id, id, ({_IWD(0)} * least(1, score / 30) + {_IWD(1)} * pow(
 """) + "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fs QUALIFY rank <= 20")
 def r20(spark, sf):
     o, q = obs(spark, sf), asked(spark, sf)
-    hits = R.bm25_any(I.tokenised(o, "id", "content"), Q.any_word(q, S.box_words()), 40).drop("rank")
+    hits = R.bm25_any(searchable(spark, sf), Q.any_word(q, S.box_words()), 40).drop("rank")
     h = hits.join(o.select("id", "type", "indexed_at", "access_count"), "id").join(q.select("query_id", L.search_intent("text").alias("intent")), "query_id")
     r = S.blended(h, ts(AS_OF), 20)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -514,7 +523,7 @@ ev AS (SELECT * FROM b4 UNION ALL SELECT query_id, id, score * 0.3e0 FROM tr WHE
 def r21(spark, sf):
     d, q = docs(spark, sf), queries(spark, sf)
     tri = R.trigram_search(d, "id", "content", q, 20)
-    r = S.evaluator_search(I.tokenised(d, "id", "content"), Q.clauses(q), q, d, tri, 10)
+    r = S.evaluator_search(searchable(spark, sf), Q.clauses(q), q, d, tri, 10)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -522,7 +531,7 @@ def r21(spark, sf):
 vr AS (SELECT kb.query_id, kb.id, kb.score + 3 * coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) AS score FROM kb LEFT JOIN embeddings a ON a.vec_id = query_id LEFT JOIN embeddings b ON b.vec_id = id)
 SELECT query_id, id, round(score, 6) AS score FROM vr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10""")
 def r22(spark, sf):
-    kw = R.bm25_any(I.tokenised(docs(spark, sf), "id", "content"), or_form(queries(spark, sf)), 30)
+    kw = R.bm25_any(searchable(spark, sf), or_form(queries(spark, sf)), 30)
     r = R.vector_rerank(kw.select("query_id", "id", "score"), query_vectors(spark, sf), vectors(spark, sf), 10)
     return r.select("query_id", "id", round6("score").alias("score"))
 
@@ -532,7 +541,7 @@ kq AS (SELECT query_id, {_KW} AS kw FROM q), f AS (SELECT query_id, id, score *
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def r23(spark, sf):
     d, q = docs(spark, sf), queries(spark, sf)
-    kw = R.bm25_any(I.tokenised(d, "id", "content"), or_form(q), 30)
+    kw = R.bm25_any(searchable(spark, sf), or_form(q), 30)
     r = S.overlap_rerank(kw.select("query_id", "id", "score"), q, d, 10)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 

@@ -42,3 +42,15 @@ def test_top_k_limits_before_the_shuffle(spark, sf):
 def test_hot_key_windows_are_bucketed(spark, sf):
     p = plan(all_queries()["w2_error_fix"](spark, sf))
     assert "_bucket" in p
+
+
+def test_search_reads_the_written_index_and_only_its_buckets(spark, sf):
+    from memspark.operators import index as I
+    from memspark.plans.retrieval import searchable
+
+    phrases = spark.createDataFrame([("the",), ("of the",)], "phrase string")
+    hits = I.phrase_hits(searchable(spark, sf), phrases)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+    plain = I.phrase_hits(I.tokenised(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"), phrases)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain.collect()))
