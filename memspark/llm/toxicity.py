@@ -27,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import pieces, two_columns
 from .labels import fold, sample
 
 #: Training rows of each class, at most; most features of the classifier.
-EACH, FEATURES = 1500, 3000
+EACH, FEATURES = 1000, 3000
 THRESHOLD = 0.3
 #: Word beginnings of these lengths are features beside the whole word (0).
 LENGTHS = (0, 4, 5, 6, 7)
@@ -77,12 +78,39 @@ def document_features(text: bytes) -> set[str]:
     return graded(counts)
 
 
-def mine(found: list[set[str]], labels: list[int], least: int = 4, precision: float = 0.9) -> list[set[str]]:
+@dataclass
+class Sample:
+    """Features of the training texts as sorted 64-bit hashes; names are looked up for the few that are chosen."""
+
+    texts: list[bytes]
+    hashes: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Sample:
+        digest = xxhash.xxh64_intdigest
+        return cls(texts, [np.unique(np.fromiter(map(digest, document_features(x)), np.uint64)) for x in texts])
+
+    def counts(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, texts with each, sum of their ``weights``)."""
+        every = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        features, at = np.unique(every, return_inverse=True)
+        of = np.repeat(weights, [len(h) for h in self.hashes])
+        return features, np.bincount(at, minlength=len(features)), np.bincount(at, weights=of, minlength=len(features))
+
+    def names(self, chosen: np.ndarray) -> dict[int, str]:
+        wanted = set(chosen.tolist())
+        out: dict[int, str] = {}
+        for x, h in zip(self.texts, self.hashes):
+            if len(out) < len(wanted) and np.isin(h, chosen).any():
+                out.update((k, f) for f in document_features(x) if (k := xxhash.xxh64_intdigest(f)) in wanted)
+        return out
+
+
+def mine(some: Sample, labels: list[int], least: int = 4, precision: float = 0.9) -> list[set[str]]:
     """Per length, the features of at least ``least`` toxic texts that are toxic's with that (smoothed) precision."""
-    bad = Counter(f for s, y in zip(found, labels) if y for f in s)
-    good = Counter(f for s, y in zip(found, labels) if not y for f in s)
-    kept = [f for f, n in bad.items() if n >= least and (n + 0.1) / (n + good[f] + 0.2) >= precision]
-    return [{f for f in kept if (len(f.rstrip("+")) - 1 if "*" in f else 0) == n} for n in LENGTHS]
+    features, n, bad = some.counts(np.array(labels, np.float64))
+    kept = some.names(features[(bad >= least) & ((bad + 0.1) / (n + 0.2) >= precision)]).values()
+    return [{f for f in kept if (len(f.rstrip("+")) - 1 if "*" in f else 0) == k} for k in LENGTHS]
 
 
 @dataclass
@@ -92,10 +120,10 @@ class Voters:
     of: dict[str, int]
 
     @classmethod
-    def build(cls, found: list[set[str]], labels: list[int]) -> Voters:
+    def build(cls, found: Sample, labels: list[int]) -> Voters:
         lexicons = [set(words.split()) for words in INSULTS.values()]
         for half in (0, 1):
-            lexicons += mine(found[half::2], labels[half::2])
+            lexicons += mine(Sample(found.texts[half::2], found.hashes[half::2]), labels[half::2])
         of: dict[str, int] = {}
         for bit, lexicon in enumerate(lexicons):
             for f in lexicon:
@@ -217,25 +245,21 @@ class Classifier:
         return 1 / (1 + np.exp(-odds))
 
 
-def train_linear(found: list[set[str]], soft: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> tuple[dict[str, float], float]:
+def train_linear(found: Sample, soft: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> tuple[dict[str, float], float]:
     """Logistic regression on soft labels with an absolute-value penalty, by accelerated proximal steps.
 
     Features are those that lean to the toxic side most, by log odds of their soft counts.
     """
-    up, all_ = Counter(), Counter()
-    for s, q in zip(found, soft.tolist()):
-        for f in s:
-            up[f] += q
-            all_[f] += 1
+    features, n_texts, up = found.counts(soft)
     base = soft.sum() / max(1, len(soft))
-    lean = {f: n * np.log((up[f] + 0.1) / (n + 0.2) / max(base, 1e-6)) for f, n in all_.items() if n >= 3 and up[f] > 1.5 * base * n}
-    chosen = sorted(lean, key=lambda f: (-lean[f], f))[:FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(found), len(chosen) + 1), np.float32)
+    lean = n_texts * np.log((up + 0.1) / (n_texts + 0.2) / max(base, 1e-6)) * ((n_texts >= 3) & (up > 1.5 * base * n_texts))
+    # the most leaning ones, equal ones by their hash
+    chosen = np.sort(features[np.lexsort((features, -lean))[:min(FEATURES, int((lean > 0).sum()))]])
+    x = np.zeros((len(found.hashes), len(chosen) + 1), np.float32)
     x[:, -1] = 1
-    for r, s in enumerate(found):
-        x[r, [place[f] for f in s if f in place]] = 1
-    n = max(1, len(found))
+    for r, h in enumerate(found.hashes):
+        x[r, :-1] = np.isin(chosen, h)
+    n = max(1, len(found.hashes))
     # Lipschitz bound of the gradient by a few power steps
     u = np.ones(x.shape[1], np.float32)
     for _ in range(10):
@@ -251,13 +275,15 @@ def train_linear(found: list[set[str]], soft: np.ndarray, penalty: float = 1e-3,
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = (new + (t - 1) / t_new * (new - w)).astype(np.float32)
         w, t = new, t_new
-    return {f: float(w[i]) for f, i in place.items() if w[i]}, float(w[-1])
+    used = np.flatnonzero(w[:-1])
+    names = found.names(chosen[used])
+    return {names[k]: float(v) for k, v in zip(chosen[used].tolist(), w[used])}, float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = 4, held: int = 2, each: int = EACH, gold: float = 0.95) -> Classifier:
     """``gold`` is the reliability that a training label has as one more voter of its own row."""
     texts, y, _ = sample(docs, labels, target, folds, held, each)
-    found = [document_features(x) for x in texts]
+    found = Sample.of(texts)
     voters = Voters.build(found, y)
     counts = pattern_counts(docs, labels, voters, target, folds, held).toPandas()
     masks = np.unique(counts["mask"].to_numpy(np.int64)) if len(counts) else np.zeros(1, np.int64)
