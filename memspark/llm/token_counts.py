@@ -20,7 +20,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import regex
@@ -92,18 +92,18 @@ class WordCounts:
     def count(self, raw: bytes) -> int:
         return sum(self.counts(raw.split()))
 
-    def kept(self, data: bytes, counts: list[int], limit: int) -> int:
-        """Bytes of the longest prefix (whole characters) of at most ``limit`` tokens."""
-        sums = list(accumulate(counts))
-        k = bisect_right(sums, limit)
+    def prefix_counts(self, word: str) -> list[int]:
+        """Exact counts of all prefixes of one word (of the pre-tokenizer, in byte characters), the empty one first."""
+        (_, last, count), = self.bpe.walk([word])
+        return [0] + [count[i - len(self.bpe.last_token(word, i, last, END)) + 1] + 1 for i in range(1, len(word) + 1)]
+
+    @staticmethod
+    def kept(data: bytes, counts: list[int], limit: int) -> int:
+        """Bytes up to the first word that would exceed ``limit`` tokens: a look-up in the running sums."""
+        k = bisect_right(list(accumulate(counts)), limit)
         if k == len(counts):
             return len(data)
-        for i, m in enumerate(SPACED.finditer(data)):
-            if i == k:
-                break
-        before, word = (sums[k - 1] if k else 0), m.group()
-        cuts = [j for j in range(len(word) - 1, 0, -1) if word[j] & 0xC0 != 0x80]
-        return next((m.start() + j for j in cuts if before + self.count(word[:j]) <= limit), m.start())
+        return next(islice(SPACED.finditer(data), k, None)).start()
 
 
 @lru_cache(maxsize=2)
@@ -125,7 +125,7 @@ def _documents(batches, path):
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, kept_bytes) of every document.
 
-    ``kept_bytes`` is the length of the longest prefix within ``limit`` tokens. One pass
+    ``kept_bytes`` is the length of the longest prefix of whole words within ``limit`` tokens. One pass
     over the scan, no shuffle.
     """
 
