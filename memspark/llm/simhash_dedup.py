@@ -8,8 +8,8 @@ a fingerprint). Every pair at the minimum meets in such a posting, the shared
 positional bytes of the meeting pairs are tallied, pairs below the minimum go,
 and the rest is verified bit by bit.
 
-Equal fingerprints are one entry, so copies cost one row. A posting of more than
-``LARGE`` entries isn't paired off: within it the same argument holds for the
+Equal fingerprints are one entry, so copies cost one row. Postings are read as sorted
+runs after one shuffle. One of more than ``LARGE`` entries isn't paired off: within it the same argument holds for the
 half-bytes of the four free bytes, which leaves 16 free bits, at most 65,536
 entries, linked in one small task by a spanning forest instead of all pairs.
 
@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.similarity import components
 from .batches import cut, pieces, two_columns
@@ -103,11 +103,62 @@ def _postings(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in BYTE_MASKS])).alias("choice", "bytes"))
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """Pairs that reach the guaranteed tally of shared positional bytes and then differ in few enough bits."""
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    tally: Column = sum(((F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))) == 0).cast("int") for k in range(8))
-    return pairs.where((tally >= SHARED) & (F.bit_count(x) <= MAX_BITS))
+def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs reach the guaranteed tally of shared positional bytes and then differ in few enough bits."""
+    x = a ^ b
+    tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
+    return (tally >= SHARED) & (np.bitwise_count(x) <= MAX_BITS)
+
+
+def _pairs(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs within runs of ``fps``, all runs of one size at a time."""
+    left, right = [], []
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        at = starts[sizes == size]
+        step = max(1, (1 << 20) // len(i))
+        for k in range(0, len(at), step):
+            a, b = fps[at[k:k + step, None] + i], fps[at[k:k + step, None] + j]
+            ok = verified(a, b)
+            left.append(a[ok])
+            right.append(b[ok])
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (choice, bytes, fp) sorted by posting: links of small postings, members of large ones.
+
+    At most ``large`` rows of a posting are held; (choice, a, b) has a null ``b`` for a member.
+    """
+    held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    open_large = None  # the key of a large posting whose first members have been passed on
+
+    def work(choice, key, fps, final):
+        nonlocal open_large
+        edge = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
+        starts = np.concatenate([[0], edge])
+        sizes = np.diff(np.append(starts, len(fps)))
+        many = sizes > large
+        if open_large is not None and (choice[0], key[0]) == open_large:
+            many[0] = True
+        kept = len(fps)
+        if not final and not many[-1]:  # the last posting may go on
+            kept, starts, sizes, many = starts[-1], starts[:-1], sizes[:-1], many[:-1]
+        open_large = (choice[-1], key[-1]) if kept == len(fps) and len(many) and many[-1] else None
+        some = (sizes > 1) & ~many
+        a, b = _pairs(fps, starts[some], sizes[some])
+        at = np.flatnonzero(np.repeat(many, sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(a), np.int32), choice[at]])), pa.array(np.concatenate([a, fps[at]]).view(np.int64)),
+                                          pa.array(np.concatenate([b, fps[at]]).view(np.int64), mask=np.arange(len(a) + len(at)) >= len(a))], ["choice", "a", "b"])
+        return choice[kept:], key[kept:], fps[kept:]
+
+    for batch in batches:
+        if batch.num_rows:
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
+            held = yield from work(*[np.concatenate(x) for x in zip(held, new)], False)
+    if len(held[0]):
+        yield from work(*held, True)
 
 
 def _forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -135,7 +186,7 @@ def _forest(values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _large_links(members: DataFrame) -> DataFrame:
-    """Links within large postings: (choice, bytes, fp) split by half-bytes of their free bytes."""
+    """Links within large postings: their members (choice, fp), split by half-bytes of the free bytes."""
     rows = []
     for choice, chosen in enumerate(combinations(range(8), SHARED)):
         free = [8 * k + h for k in range(8) if k not in chosen for h in (0, 4)]
@@ -157,23 +208,11 @@ def _large_links(members: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fps(fp)``, enough to join what any pair within MAX_BITS joins."""
-    # dealt by key before anything is summed: almost all keys are single, so nothing would be saved by partial sums
-    index = _postings(fps)
-    sizes = index.repartition("choice", "bytes").groupBy("choice", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("c"), F.bit_xor("fp").alias("x"))
-    sizes = cut(sizes.where("n > 1"), "postings")
-    # by far most postings have two or three members: the extremes, and what is left of the members' exclusive or
-    middle = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("c"))
-    two = _verified(sizes.where("n = 2").select("a", F.col("c").alias("b")))
-    three = _verified(sizes.where("n = 3").select(F.explode(F.array(F.struct("a", F.col("c").alias("b")), F.struct("a", middle.alias("b")), F.struct(middle.alias("a"), F.col("c").alias("b")))).alias("p")).select("p.*"))
-    members = cut(index.join(sizes.where("n > 3").select("choice", "bytes", "n"), ["choice", "bytes"]), "members")
-    some = members.where(F.col("n") <= large)
-    other = some.select("choice", "bytes", F.col("fp").alias("b"))
-    several = _verified(some.withColumnRenamed("fp", "a").join(other, ["choice", "bytes"]).where("a < b").select("a", "b"))
-    out = two.unionByName(three).unionByName(several)
-    most = sizes.agg(F.max("n")).first()[0]
-    if (most or 0) > large:
-        out = out.unionByName(_large_links(members.where(F.col("n") > large).select("choice", "bytes", "fp")))
-    return out.distinct()
+    index = _postings(fps).repartition("choice", "bytes").sortWithinPartitions("choice", "bytes").select("choice", "bytes", "fp")
+    found = cut(index.mapInArrow(lambda batches: _scan(batches, large), "choice int, a bigint, b bigint"), "postings")
+    small = found.where("b IS NOT NULL").select("a", "b")
+    members = found.where("b IS NULL").select("choice", F.col("a").alias("fp"))
+    return small.unionByName(_large_links(members)).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
