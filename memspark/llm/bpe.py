@@ -75,19 +75,16 @@ class Prefixes:
             known = self.whole[token] = self.merge(self.symbols(token)) == [token]
         return known
 
+    def fits(self, a: str, b: str) -> bool:
+        """Whether ``b`` may follow ``a``, or begin a word if ``a`` is empty."""
+        return self.follows(a, b) if a else self.alone(b)
+
     def last_token(self, word: str, i: int, last: list[str], end: str = "") -> str:
         """The last token of ``word[:i]`` (with ``end`` appended), given those of all shorter prefixes."""
-        tokens, pairs = self.tokens, self.pairs
         for j in range(max(0, i - self.longest), i):
             t = word[j:i] + end
-            if t in tokens:
-                if j == 0:
-                    if self.alone(t):
-                        return t
-                else:
-                    ok = pairs.get((last[j], t))
-                    if ok or ok is None and self.follows(last[j], t):
-                        return t
+            if t in self.tokens and self.fits(last[j], t):
+                return t
         raise ValueError(f"no token ends {word[:i]!r}")
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[str], list[int]]]:
@@ -106,19 +103,18 @@ class Prefixes:
                 shared += 1
             del last[shared + 1:], count[shared + 1:]
             for i in range(shared + 1, len(word) + 1):
-                for j in range(i - longest if i > longest else 0, i):
-                    t = word[j:i]
-                    if t in tokens:
-                        if j:
-                            ok = pairs.get((last[j], t))
-                            if ok or ok is None and self.follows(last[j], t):
-                                break
-                        elif self.alone(t):
+                # exactly one suffix token fits: most often the last token grown by a character
+                grown = i - 1 - len(last[i - 1])
+                t = word[grown:i]
+                if not (t in tokens and (pairs.get((last[grown], t)) or self.fits(last[grown], t))):
+                    for j in (*range(grown + 1, i), *range(grown - 1, i - longest - 1 if i > longest else -1, -1)):
+                        t = word[j:i]
+                        if t in tokens and (pairs.get((last[j], t)) or self.fits(last[j], t)):
                             break
-                else:
-                    raise ValueError(f"no token ends {word[:i]!r}")
+                    else:
+                        raise ValueError(f"no token ends {word[:i]!r}")
                 last.append(t)
-                count.append(count[j] + 1)
+                count.append(count[i - len(t)] + 1)
             before = word
             yield word, last, count
 

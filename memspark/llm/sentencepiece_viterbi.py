@@ -33,6 +33,10 @@ MARK = "▁"
 MARKED = re.compile("\n|" + MARK + "+[^" + MARK + "\n]*|[^" + MARK + "\n]+")
 
 
+def ids_of(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<i4").tolist()
+
+
 class Pieces:
     def __init__(self, path: str):
         import sentencepiece
@@ -50,7 +54,12 @@ class Pieces:
         self.specials = {i for i in odd if not sp.is_byte(i)}
         order = sorted(self.id.values(), key=lambda i: (-sp.get_score(i), i))
         self.bpe = Prefixes({names[i]: r for r, i in enumerate(order)}, set(self.id), by_text=True)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # marked word -> its piece ids, four bytes each
+        self.spaced: dict[str, bytes] = {}  # the same by what stands between spaces
+        self.packed = {t: np.array([i], "<i4").tobytes() for t, i in self.id.items()}
+        self.packed_bytes = [np.array([i], "<i4").tobytes() for i in self.byte]
+        # words are cut into pieces, so texts decode to themselves if every piece decodes to itself
+        self.faithful = all(self.text[i] == t.replace(MARK, " ").encode() for t, i in self.id.items())
 
     def runs(self, word: str) -> list[tuple[str, bool]]:
         """(run, whether its characters have pieces) of a word."""
@@ -72,27 +81,31 @@ class Pieces:
                 mixed[w] = self.runs(w)
         plain = sorted({*plain, *(r for runs in mixed.values() for r, has in runs if has)})
         ids = self.id
+        packed = self.packed
         for word, last, _ in self.bpe.walk(plain):
-            self.known[word] = [ids[t] for t in self.bpe.path(last)]
+            self.known[word] = b"".join([packed[t] for t in self.bpe.path(last)])
         for w, runs in mixed.items():
-            self.known[w] = [i for r, has in runs for i in (self.known[r] if has else [self.byte[b] for b in r.encode("utf-8", "surrogatepass")])]
+            self.known[w] = b"".join([self.known[r] if has else b"".join([self.packed_bytes[b] for b in r.encode("utf-8", "surrogatepass")]) for r, has in runs])
 
     @staticmethod
     def words(text: str) -> list[str]:
         return MARKED.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        split = [self.words(t) for t in texts]
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """(piece ids of four bytes each, whether they decode to the text) of each text."""
         if len(self.known) > CACHE:
-            self.known = {}
-        if fresh := unknown(set().union(*split), self.known):
+            self.known, self.spaced = {}, {}
+        # a text without runs of spaces is cut at its spaces; a line end sticks to what follows it, told by a doubled line end
+        simple = [bool(t) and "  " not in t and MARK not in t and t[0] != " " for t in texts]
+        split = [t.replace("\n", " \n\n").split(" ") if easy else self.words(t) for t, easy in zip(texts, simple)]
+        easy = unknown((w for ws, e in zip(split, simple) if e for w in ws), self.spaced)
+        marked = {w: "\n" + w[2:] if w[:2] == "\n\n" else MARK + w for w in easy}
+        if fresh := unknown([*marked.values(), *(w for ws, e in zip(split, simple) if not e for w in ws)], self.known):
             self.learn(fresh)
-        known, out = self.known, []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
+        self.spaced.update((w, self.known[m]) for w, m in marked.items())
+        out = []
+        for words, e, text in zip(split, simple, texts):
+            out.append((b"".join(map((self.spaced if e else self.known).__getitem__, words)), self.faithful and MARK not in text))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -118,13 +131,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         of_byte = np.zeros(len(model.text), bool)
         of_byte[model.byte] = True
         for rows, texts in pieces(batches, "text"):
-            strings = [x.decode("utf-8", "replace") for x in texts]
-            ids = model.encode_all(strings)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+            packed, same = zip(*model.encode_all([x.decode("utf-8", "replace") for x in texts]))
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            flat = np.frombuffer(b"".join(packed), "<i4")
             ends = np.concatenate([[0], np.cumsum(sizes)])
             bytes_up_to = np.concatenate([[0], np.cumsum(of_byte[flat])])
-            same = [model.decode(x) == s for x, s in zip(ids, strings)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(bytes_up_to[ends[1:]] - bytes_up_to[ends[:-1]], pa.int64()), pa.array(same, pa.bool_()),
                                               pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "n_pieces", "n_byte_pieces", "round_trip", "pieces"])
 
