@@ -98,17 +98,21 @@ def _score(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row ``cut``: the edge (of steps of 0.01) that best separates ``scored(verdict, score)``; the lowest of equals."""
+    """One row ``cut``: what best separates ``scored(verdict, score)`` in steps of 0.01.
+
+    It lies midway between the lowest bin above it and the next bin below; of equally good cuts the lowest is taken.
+    """
     step = MICRO // 100
     bins = scored.select(F.floor(F.col("score") / step).alias("bin"), "verdict").groupBy("bin").agg(
         F.sum((F.col("verdict") == "allow").cast("int")).alias("good"), F.sum((F.col("verdict") == "block").cast("int")).alias("bad"))
     # at most a few thousand bins, as log ratios are bounded
     lists = bins.agg(F.array_sort(F.collect_list(F.struct("bin", "good", "bad"))).alias("bins"), F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
-    options = lists.where("goods > 0 AND bads > 0").select(F.explode("bins").alias("x"), "bins", "goods", "bads").select(
+    options = lists.where("goods > 0 AND bads > 0").select(F.posexplode("bins").alias("i", "x"), "bins", "goods", "bads").select(
         F.col("x.bin").alias("bin"),
+        F.floor((F.when(F.col("i") > 0, F.get("bins", F.col("i") - 1)["bin"] + 1).otherwise(F.col("x.bin")) + F.col("x.bin")) / 2).alias("middle"),
         (F.aggregate("bins", F.lit(0).cast("bigint"), lambda s, y: s + F.when(y["bin"] >= F.col("x.bin"), y["good"]).otherwise(0)) * F.col("bads")
          + F.aggregate("bins", F.lit(0).cast("bigint"), lambda s, y: s + F.when(y["bin"] < F.col("x.bin"), y["bad"]).otherwise(0)) * F.col("goods")).alias("gain"))
-    return options.agg((F.coalesce(F.max_by("bin", F.struct("gain", -F.col("bin"))), F.lit(0)) * step).alias("cut"))
+    return options.agg((F.coalesce(F.max_by("middle", F.struct("gain", -F.col("bin"))), F.lit(0)) * step).alias("cut"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -155,7 +159,7 @@ m AS (SELECT g.t, CAST(round((ln({per('allow')}) - ln({per('block')})) * {MICRO}
 ml AS (SELECT list(r ORDER BY t) AS model FROM m),
 s AS (SELECT page_id, host, path, rule, verdict, held, CASE WHEN len(ts) > 0 THEN list_sum(list_transform(ts, lambda t: model[t + 1])) / len(ts) ELSE 0 END AS score FROM e, ml),
 bins AS (SELECT floor(score / {MICRO // 100}) AS bin, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad FROM s WHERE held AND verdict IS NOT NULL GROUP BY 1),
-gains AS (SELECT bin, sum(good) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * sum(bad) OVER () + coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(good) OVER () AS gain,
+gains AS (SELECT bin, floor((coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) + bin) / 2) AS middle, sum(good) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * sum(bad) OVER () + coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(good) OVER () AS gain,
           sum(good) OVER () > 0 AND sum(bad) OVER () > 0 AS usable FROM bins),
-cut AS (SELECT coalesce((SELECT bin FROM gains WHERE usable ORDER BY gain DESC, bin LIMIT 1), 0) * {MICRO // 100} AS edge)
+cut AS (SELECT coalesce((SELECT middle FROM gains WHERE usable ORDER BY gain DESC, bin LIMIT 1), 0) * {MICRO // 100} AS edge)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= (SELECT edge FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, score / {MICRO} AS score FROM s"""

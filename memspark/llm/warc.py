@@ -202,7 +202,10 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
-        yield headers, rest[:int(headers["Content-Length"])]
+        size = int(headers["Content-Length"])
+        if len(rest) != size + 4:
+            raise ValueError("a member of the archive is not one whole record")
+        yield headers, rest[:size]
 
 
 def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> DataFrame:

@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 
 from memspark.llm import warc as W
@@ -55,11 +57,17 @@ def test_files_depend_on_the_rows_alone(spark, tmp_path):
 def test_damage_is_noticed(spark, tmp_path):
     manifest = written(pages(spark).where("page_id < 5"), tmp_path / "a")
     file = next((tmp_path / "a").glob("*.warc.gz"))
-    import gzip
-    data = gzip.decompress(file.read_bytes()).replace(b"<p>3</p>", b"<p>4</p>", 1)
-    file.write_bytes(gzip.compress(data))
-    with pytest.raises(Exception, match="digest|ends within"):
-        W.read_archives(manifest, f"file://{tmp_path}/a").collect()
+    whole = file.read_bytes()
+    with file.open("rb") as f:
+        found = list(W.records(f))
+    headers, block = found[-1]
+    changed = W._record([(k, v) for k, v in headers.items() if k not in ("Content-Length",)], block.replace(b"<p>", b"<q>", 1))
+    last = W._record([(k, v) for k, v in headers.items() if k not in ("Content-Length",)], block)
+    assert whole.endswith(last)
+    for damaged in (whole[:-len(last)] + changed, whole[:-20], gzip.compress(gzip.decompress(whole))):
+        file.write_bytes(damaged)
+        with pytest.raises(Exception, match="digest|ends within|one whole record"):
+            W.read_archives(manifest, f"file://{tmp_path}/a").collect()
 
 
 def test_uncommitted_files_are_ignored(spark, tmp_path):
