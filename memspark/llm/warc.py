@@ -87,7 +87,7 @@ class RollingFiles:
         if not self.out:
             self.name = f"{shard:06d}-{self.seq:05d}.warc.gz"
             self.temp = f"{self.root}/tmp-{uuid.uuid4().hex}-{self.name}"
-            self.out, self.sum, self.size, self.records, self.seq = self.fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0, self.seq + 1
+            self.out, self.sum, self.size, self.records, self.seq = self.fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0, 0, self.seq + 1
             self._put(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("file", self.name)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")],
                               b"format: WARC File Format 1.1\r\n"))
         self._put(record)
@@ -214,7 +214,7 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> Dat
               ("url", "string", pa.string()), ("file", "string", pa.string())] + [("payload", "binary", pa.binary())] * payloads
 
     def rows_of(name: str, store, path: str) -> Iterator[tuple]:
-        with store.open_input_stream(f"{path}/{name}") as stream:
+        with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
             for headers, block in records(stream):
                 kind = headers["WARC-Type"]
                 if kind == "warcinfo":
