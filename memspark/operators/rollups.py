@@ -61,7 +61,10 @@ def counts_by(df: DataFrame, dims: dict[str, Column], limits: dict[str, int] | N
     cap = F.lit(None).cast("int")
     for d, k in limits.items():
         cap = F.when(F.col("dimension") == d, k).otherwise(cap)
-    return c.withColumn("rk", F.row_number().over(w)).where(cap.isNull() | (F.col("rk") <= cap)).drop("rk")
+    # a constant bound, so that every task keeps only so many keys of a dimension before they meet
+    best = c.where(F.col("dimension").isin(*limits)).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max(limits.values())).where(F.col("rk") <= cap).drop("rk")
+    rest = [d for d in dims if d not in limits]
+    return best.unionByName(c.where(F.col("dimension").isin(*rest))) if rest else best
 
 
 def access_log(ls: DataFrame, top: int = 20) -> DataFrame:

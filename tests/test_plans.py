@@ -54,3 +54,8 @@ def test_search_reads_the_written_index_and_only_its_buckets(spark, sf):
     assert "documents.parquet" not in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
     plain = I.phrase_hits(I.tokenised(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"), phrases)
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_ranked_rollups_limit_before_the_shuffle(spark, sf):
+    for name in ("x2_access_log", "x5_compiler_errors"):
+        assert "WindowGroupLimit" in plan(all_queries()[name](spark, sf))
