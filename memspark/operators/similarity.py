@@ -109,11 +109,11 @@ def components(edges: DataFrame) -> DataFrame:
         last = mark
 
 
-def merge_duplicates(know: DataFrame, block: str, merge_at: float = 0.9, suggest_at: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(merged, suggestions): near copies become one entry per cluster, weaker pairs are suggested.
+def merge_duplicates(know: DataFrame, block: str, merge_at: float = 0.9, suggest_at: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(merged, suggestions, archived): near copies become one entry per cluster, weaker pairs are suggested.
 
     ``know(id, block, title, content, tags, projects, access_count, last_accessed)``.
-    A cluster keeps its smallest id and longest content, the union of tags and
+    A cluster keeps its smallest id and longest content, its title and category, the union of tags and
     projects, summed access and the latest access time; the others are archived.
     """
     pairs, copies = duplicates(know, block, suggest_at)
@@ -122,9 +122,10 @@ def merge_duplicates(know: DataFrame, block: str, merge_at: float = 0.9, suggest
     of = copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     m = know.join(of, "id", "left").withColumn("root", F.coalesce("root", F.col("id")))
     g = m.groupBy("root").agg(
-        F.count("*").alias("members"), F.max_by("content", F.struct(F.length("content"), -F.col("id"))).alias("content"),
+        F.count("*").alias("members"), *[F.min_by(c, "id").alias(c) for c in ("category", "title") if c in know.columns], F.max_by("content", F.struct(F.length("content"), -F.col("id"))).alias("content"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("projects")))).alias("projects"),
         F.sum("access_count").alias("access_count"), F.max("last_accessed").alias("last_accessed"))
     g = g.withColumn("tags", F.when(F.col("members") > 1, F.array_union("tags", F.array(F.lit("auto-merged")))).otherwise(F.col("tags")))
     weak = pairs.where((F.col("similarity") <= merge_at) & (F.col("similarity") >= suggest_at))
-    return g.withColumnRenamed("root", "id"), weak
+    archived = m.where(F.col("id") != F.col("root")).select("id", F.col("root").alias("merged_into"))
+    return g.withColumnRenamed("root", "id"), weak, archived

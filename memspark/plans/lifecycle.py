@@ -147,11 +147,18 @@ def k10(spark, sf):
 @query("k11_merge")
 def k11(spark, sf):
     k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))
-    merged, _ = SI.merge_duplicates(k, "block")
-    return merged.select("id", "members", F.sha2("content", 256).alias("content_sha"), F.array_join("tags", ",").alias("tags"), F.array_join("projects", ",").alias("projects"),
+    merged, _, _ = SI.merge_duplicates(k, "block")
+    return merged.select("id", "members", "category", F.sha2("title", 256).alias("title_sha"), F.sha2("content", 256).alias("content_sha"), F.array_join("tags", ",").alias("tags"), F.array_join("projects", ",").alias("projects"),
                          "access_count", F.unix_timestamp("last_accessed").alias("last_accessed_s"))
 
 
+@query("k11_archived")
+def k11a(spark, sf):
+    """Entries that a merge archives, with the entry that stands for them."""
+    k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))
+    return SI.merge_duplicates(k, "block")[2]
+
+
 @query("k11_merge_suggestions", ksql("SELECT a, b, round(shared / (na + nb - shared)::DOUBLE, 6) AS similarity FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE BETWEEN 0.7 AND 0.9", _REPS.format(block="category") + ", " + _SHARE))
 def k11s(spark, sf):
     k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))

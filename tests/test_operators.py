@@ -138,11 +138,12 @@ def test_merge_keeps_the_longest_and_unions(spark):
     rows = [(1, "x", "t", w, ["a"], ["p1"], 2, T0), (2, "x", "t", w + " more", ["b"], ["p2"], 3, T0 + dt.timedelta(1)), (3, "x", "u", "something else entirely different here", ["c"], ["p1"], 1, T0),
             (4, "x", "t", w, ["d"], ["p3"], 5, T0)]
     k = spark.createDataFrame(rows, "id bigint, block string, title string, content string, tags array<string>, projects array<string>, access_count bigint, last_accessed timestamp")
-    merged, _ = SI.merge_duplicates(k, "block")
+    merged, _, archived = SI.merge_duplicates(k, "block")
     got = {r["id"]: r for r in merged.collect()}
     assert set(got) == {1, 3}
     assert got[1]["members"] == 3 and got[1]["content"].endswith("more") and got[1]["access_count"] == 10
     assert got[1]["tags"] == ["a", "b", "d", "auto-merged"] and got[1]["projects"] == ["p1", "p2", "p3"] and got[3]["tags"] == ["c"]
+    assert got[1]["title"] == "t" and sorted(map(tuple, archived.collect())) == [(2, 1), (4, 1)]
 
 
 def test_vector_passes_agree(spark, sf):
