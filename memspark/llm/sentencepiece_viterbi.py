@@ -58,8 +58,8 @@ class Pieces:
         self.spaced: dict[str, bytes] = {}  # the same by what stands between spaces
         self.packed = {t: np.array([i], "<i4").tobytes() for t, i in self.id.items()}
         self.packed_bytes = [np.array([i], "<i4").tobytes() for i in self.byte]
-        # words are cut into pieces, so texts decode to themselves if every piece decodes to itself
-        self.faithful = all(self.text[i] == t.replace(MARK, " ").encode() for t, i in self.id.items())
+        # bytes that each id decodes to; specials give nothing
+        self.table = pa.array([b"" if i in self.specials else t for i, t in enumerate(self.text)], pa.large_binary())
 
     def runs(self, word: str) -> list[tuple[str, bool]]:
         """(run, whether its characters have pieces) of a word."""
@@ -103,9 +103,21 @@ class Pieces:
         if fresh := unknown([*marked.values(), *(w for ws, e in zip(split, simple) if not e for w in ws)], self.known):
             self.learn(fresh)
         self.spaced.update((w, self.known[m]) for w, m in marked.items())
+        out = [b"".join(map((self.spaced if e else self.known).__getitem__, words)) for words, e in zip(split, simple)]
+        return list(zip(out, self.round_trips(out, texts)))
+
+    def round_trips(self, packed: list[bytes], texts: list[str]) -> list[bool]:
+        """Whether the ids of each text decode to it: all ids are decoded at once and the bytes compared."""
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)])
+        decoded = self.table.take(pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        _, offsets, data = decoded.buffers()
+        at = (np.frombuffer(offsets, np.int64)[decoded.offset:decoded.offset + len(decoded) + 1][ends] if len(decoded) else np.zeros(len(ends), np.int64)).tolist()
+        whole = memoryview(data or b"")
         out = []
-        for words, e, text in zip(split, simple, texts):
-            out.append((b"".join(map((self.spaced if e else self.known).__getitem__, words)), self.faithful and MARK not in text))
+        for ids, text, start, end in zip(packed, texts, at, at[1:]):
+            lead = start + (whole[start:start + 1] == b" " and start < end)
+            # bytes that are no UTF-8 differ here and may still decode to the text
+            out.append(whole[lead:end] == text.encode("utf-8", "surrogatepass") or self.decode(ids_of(ids)) == text)
         return out
 
     def decode(self, ids: list[int]) -> str:

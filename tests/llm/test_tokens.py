@@ -95,3 +95,11 @@ def test_messy_pieces(messy, nothing):
     back = V.decode(out, PIECES)
     assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] or "" for r in messy.collect())
     assert V.encode(nothing, PIECES).count() == 0
+
+
+def test_round_trip_looks_at_the_ids():
+    model, texts = V.Pieces(PIECES), fuzz()
+    assert [same for _, same in model.encode_all(texts)] == [model.decode(V.ids_of(x)) == t for t, (x, _) in zip(texts, model.encode_all(texts))]
+    model.encode_all(["one two", "one  two"])
+    model.spaced["two"] = model.known[2 * V.MARK + "two"] = model.spaced["one"]
+    assert [same for _, same in model.encode_all(["one two", "one  two", "one"])] == [False, False, True]
