@@ -105,6 +105,82 @@ class WordCounts:
             return len(data)
         return next(islice(SPACED.finditer(data), k, None)).start()
 
+    def run_prefixes(self, run: str, budget: int | None) -> Iterator[tuple[int, int]]:
+        """(characters, exact count) of the prefixes of a text without special strings, until no longer one fits ``budget``."""
+        longest = self.bpe.longest
+        if not unicodedata.is_normalized("NFC", run):
+            # a combining mark changes the character before it, so a prefix is not always one of the normalised text
+            for j in range(1, len(run) + 1):
+                words, _ = self.parts(run[:j].encode())
+                if budget is not None and sum(map(len, words)) > budget * longest:
+                    return
+                yield j, sum(self.prefix_counts(w)[-1] for w in words)
+            return
+        lower = [c.lower() for c in run]
+        at, j, base = list(accumulate(map(len, lower), initial=0)), 1, 0
+        for m in WORDS.finditer("".join(lower)):
+            if budget is not None and base > budget:
+                return
+            (start, end), word = m.span(), m.group()
+            while j < len(at) and at[j] <= start:
+                yield j, base
+                j += 1
+            data = self.characters(word)
+            cap = len(data) if budget is None else (budget - base + 1) * longest
+            counts = self.prefix_counts(data[:cap])
+            sizes = list(accumulate((len(c.encode()) for c in word), initial=0))
+            while j < len(at) and at[j] <= end:
+                k = at[j] - start
+                if sizes[k] >= len(counts):
+                    return
+                # half a contraction is an apostrophe and a letter
+                half = k == 2 and len(word) == 3 and word in ("'re", "'ve", "'ll")
+                yield j, base + (self.prefix_counts("'")[-1] + self.prefix_counts(word[1])[-1] if half else counts[sizes[k]])
+                j += 1
+            if len(counts) <= len(data):
+                return
+            base += counts[-1]
+        for j in range(j, len(at)):
+            yield j, base
+
+    def prefixes(self, raw: bytes, budget: int | None = None) -> Iterator[tuple[int, int]]:
+        """(bytes, exact count) of the prefixes (whole characters) of one space-separated word, until no longer one fits ``budget``."""
+        text = raw.decode("utf-8", "replace")
+        if text.encode() != raw:  # broken UTF-8
+            for j in range(1, len(raw) + 1):
+                if j == len(raw) or raw[j] & 0xC0 != 0x80:
+                    words, specials = self.parts(raw[:j])
+                    yield j, specials + sum(self.prefix_counts(w)[-1] for w in words)
+            return
+        split = self.special.split(text) if self.special and "<|" in text else [text]
+        offset = base = 0
+        for run, special in zip(split[::2], [*split[1::2], ""]):
+            # up to its last character a special string is plain text
+            plain = run + special[:-1]
+            ends = list(accumulate((len(c.encode()) for c in plain), initial=offset))
+            reached = of_run = 0
+            for reached, n in self.run_prefixes(plain, None if budget is None else budget - base):
+                yield ends[reached], base + n
+                if reached == len(run):
+                    of_run = n
+            if special:
+                if reached < len(run):
+                    return
+                base += of_run + 1
+                offset = ends[-1] + 1
+                yield offset, base
+                if budget is not None and base > budget:
+                    return
+
+    def longest(self, data: bytes, counts: list[int], limit: int) -> int:
+        """Bytes of the longest prefix (whole characters) within ``limit`` tokens: only the word at the cut is looked into."""
+        start = self.kept(data, counts, limit)
+        if start == len(data):
+            return start
+        sums = list(accumulate(counts, initial=0))
+        left = limit - sums[bisect_right(sums, limit) - 1]
+        return start + max((end for end, n in self.prefixes(SPACED.match(data, start).group(), left) if n <= left), default=0)
+
 
 @lru_cache(maxsize=2)
 def word_counts(path: str) -> WordCounts:
@@ -125,7 +201,7 @@ def _documents(batches, path):
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, kept_bytes) of every document.
 
-    ``kept_bytes`` is the length of the longest prefix of whole words within ``limit`` tokens. One pass
+    ``kept_bytes`` is the length of the longest prefix of whole characters within ``limit`` tokens. One pass
     over the scan, no shuffle.
     """
 
@@ -135,7 +211,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             for data, words in zip(texts, split):
                 total.append(sum(map(known.__getitem__, words)))
             for data, words, n in zip(texts, split, total):
-                kept.append(len(data) if n <= limit else counter.kept(data, counter.counts(words), limit))
+                kept.append(len(data) if n <= limit else counter.longest(data, counter.counts(words), limit))
             yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, texts)), pa.int64()), pa.array(total, pa.int64()), pa.array([n > limit for n in total], pa.bool_()), pa.array(kept, pa.int64())],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_bytes"])
 
@@ -145,12 +221,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
 
 def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ends, counts): after each word, the byte offset and the exact token count up to it."""
+    """(doc_id, ends, counts): after each character of a word, the byte offset and the exact token count up to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for counter, ids, texts, split in _documents(batches, path):
-            ends = [[m.end() for m in SPACED.finditer(x)] for x in texts]
-            sums = [list(accumulate(counter.counts(words))) for words in split]
+            ends, sums = [], []
+            for data, words in zip(texts, split):
+                found = [(m.start() + end, before + n) for m, before in zip(SPACED.finditer(data), accumulate(counter.counts(words), initial=0)) for end, n in counter.prefixes(m.group())]
+                ends.append([end for end, _ in found])
+                sums.append([n for _, n in found])
             yield pa.RecordBatch.from_arrays([ids, pa.array(ends, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "ends", "counts"])
 
     rows = two_columns(docs, id_col, text_col)
@@ -159,12 +238,13 @@ def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def tokens_before(end: Column, ends: str = "ends", counts: str = "counts") -> Column:
-    """Tokens of the whole words that end by byte ``end``: a look-up in a prefix table."""
+    """Tokens of the whole characters that end by byte ``end``: a look-up in a prefix table."""
     k = F.size(F.filter(ends, lambda e: e <= end))
     return F.when(k > 0, F.element_at(counts, k)).otherwise(F.lit(0).cast("bigint"))
 
 
 def words_within(budget: Column, ends: str = "ends", counts: str = "counts") -> Column:
-    """Byte offset after the last whole word within ``budget`` tokens: a look-up in a prefix table."""
-    k = F.size(F.filter(counts, lambda c: c <= budget))
-    return F.when(k > 0, F.element_at(ends, k)).otherwise(F.lit(0).cast("bigint"))
+    """Byte offset after the last character of a word up to which ``budget`` tokens suffice: a look-up in a prefix table."""
+    # a longer prefix of a word may have fewer tokens, so the last that fits is asked for
+    fits = F.transform(F.arrays_zip(F.col(ends).alias("e"), F.col(counts).alias("n")), lambda x: F.when(x["n"] <= budget, x["e"]))
+    return F.coalesce(F.array_max(fits), F.lit(0).cast("bigint"))

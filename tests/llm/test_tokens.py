@@ -103,3 +103,25 @@ def test_round_trip_looks_at_the_ids():
     model.encode_all(["one two", "one  two"])
     model.spaced["two"] = model.known[2 * V.MARK + "two"] = model.spaced["one"]
     assert [same for _, same in model.encode_all(["one two", "one  two", "one"])] == [False, False, True]
+
+
+def test_prefixes_inside_words(spark, library):
+    counter, texts = T.WordCounts(WORDS), [t for t in fuzz()[::15] if len(t) < 100]
+    texts += ["they're we'll 've", "x<|startoftext|>y<|endoftext|", "e\u0301a\u0301\u0323\u1100\u1161\u11a8x", "中文字" * 30, "İstanbulΣς\u00a0x"]
+    for text in texts:
+        data = text.encode()
+        for m in T.SPACED.finditer(data):
+            word = m.group().decode()
+            ends = [len(word[:i].encode()) for i in range(1, len(word) + 1)]
+            assert list(counter.prefixes(m.group())) == [(e, library(word[:i])) for i, e in enumerate(ends, 1)], word
+        counts = counter.counts(data.split())
+        for limit in {0, 1, 2, 5, sum(counts) // 2, sum(counts) - 1} & set(range(sum(counts))):
+            end = counter.longest(data, counts, limit)
+            assert end == max(len(text[:i].encode()) for i in range(len(text) + 1) if library(text[:i]) <= limit), (text, limit)
+    long = "中文字" * 3000
+    row = T.count_tokens(spark.createDataFrame([(1, long)], "doc_id int, text string"), WORDS).first()
+    kept = long.encode()[:row["kept_bytes"]].decode()
+    assert row["over_limit"] and library(kept) <= 2048 < library(long[:len(kept) + 1])
+    df = T.prefix_table(spark.createDataFrame([(1, "one internationalisation")], "doc_id int, text string"), WORDS)
+    for end in range(5, 25):
+        assert df.select(T.tokens_before(F.lit(end))).first()[0] == library("one internationalisation"[:end])
