@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, quality_cnn, quality_rules, toxicity, url_filter, warc
+from . import chat_format, decontaminate, merkle, quality_cnn, quality_rules, shards, toxicity, url_filter, vector_codes, warc
 from .batches import read
 from .sentencepiece_viterbi import encode
 from .simhash_dedup import near_duplicates
@@ -90,3 +90,23 @@ def op3_decontaminate(spark, sf_dir):
 def op8_chat_format(spark, sf_dir):
     """Every conversation as a raw transcript, parsed back into turns and rendered."""
     return chat_format.parse(chat_format.raw_transcripts(read(spark, sf_dir, "conversations")))
+
+
+@query("op11_jump_shards", shards.oracle(24))
+def op11_jump_shards(spark, sf_dir):
+    """Shard and slot of every document among 24 shards, and its shard among 25."""
+    return shards.place(read(spark, sf_dir, "documents"), 24)
+
+
+@query("op12_vector_codes", vector_codes.oracle())
+def op12_vector_codes(spark, sf_dir):
+    """Code of every whole vector, its error and the codebooks' digest."""
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op13_merkle_manifest", merkle.oracle())
+def op13_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and what the proof says of tampered ones."""
+    docs = read(spark, sf_dir, "documents")
+    changed = {"text": merkle.without_newlines("doc_id", "text")}
+    return merkle.check(merkle.manifest(docs, "doc_id", "source", merkle.DOCUMENT_FIELDS, changed=changed), "doc_id")
