@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.similarity import components
 from .batches import cut, pieces, two_columns
@@ -89,14 +89,18 @@ def fingerprints_of(texts: list[bytes], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed 64-bit number."""
+    """(doc_id, text_hash, fp): the fingerprint of every row as a signed 64-bit number; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(texts, size).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(fingerprints_of(texts, size).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = two_columns(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = two_columns(docs, id_col, text_col).withColumn("text_hash", text_hash("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
+
+
+def text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -215,12 +219,16 @@ def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     return small.unionByName(_large_links(members)).distinct()
 
 
+def _roots(distinct: DataFrame, large: int) -> DataFrame:
+    """``distinct(fp, ...)`` with ``root``, one fingerprint that stands for its component."""
+    roots = components(links(distinct.select("fp"), large))
+    return distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints = cut(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), large))
-    linked = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = _roots(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), large)
     # only linked fingerprints need their component's least id; all others have their own
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(least, "root").select("fp", "component_id")
@@ -228,17 +236,30 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest id.
+def keep(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+    """One row, with all its columns, of each component.
 
-    Rows with a null id stay; of rows that repeat the id one stays.
+    It is the row of the smallest id, null ids after all others; of an id's rows in the component that with the
+    smallest fingerprint, then hash of the text; of rows equal in id and text the first by all columns. So an
+    id that occurs with different texts loses none of them, unless they are near copies, and every run keeps the same rows.
     """
-    found = near_duplicates(docs, size, id_col, text_col)
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    kept = docs.join(gone, id_col, "left_anti")
-    # ids that several rows have: only these rows are grouped
-    repeated = cut(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "repeated")
-    once = kept.join(repeated, id_col, "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    several = kept.join(repeated, id_col, "left_semi").groupBy(F.col(id_col).alias("key")).agg(F.first(row).alias("row")).select("row.*")
-    return once.select(*[f"`{c}`" for c in docs.columns]).unionByName(several)
+    prints = cut(fingerprints(docs, size, id_col, text_col), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    linked = _roots(cut(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct"), large)
+    best = linked.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "fp", "first.text_hash")).alias("best"))
+    chosen = cut(best.select("best.doc_id", "best.text_hash"), "chosen")
+    rows = cut(prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")
+    same = (F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("r.text_hash") == F.col("c.text_hash"))
+    gone = cut(rows.alias("r").join(chosen.alias("c"), same, "left_anti").select("doc_id", "text_hash"), "gone")
+    here = [F.col(f"d.`{c}`") for c in docs.columns]
+    match = lambda other: F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"{other}.doc_id")) & (text_hash(f"d.`{text_col}`") == F.col(f"{other}.text_hash"))
+    kept = docs.alias("d").join(gone.alias("g"), match("g"), "left_anti")
+    # rows that are equal in id and text: only these are grouped
+    repeated = cut(rows.where("n > 1").alias("r").join(chosen.alias("c"), same, "left_semi").select("doc_id", "text_hash"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*here)
+    once = kept.alias("d").join(repeated.alias("r"), match("r"), "left_anti").select(*here)
+    row = F.struct(*here)
+    several = kept.alias("d").join(repeated.alias("r"), match("r"))
+    several = several.groupBy("r.doc_id", "r.text_hash").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.unionByName(several)
