@@ -9,11 +9,11 @@ under a temporary name and then moved to its final one, which is the same for
 every attempt as its bytes are; the manifest table, committed by Spark at the
 end, names the files that count. So a lost task is simply run again.
 
-Reading: the manifest's files are dealt over the tasks and streamed record by
+Reading: the manifest's files are dealt over tasks, as many as their bytes ask for, and streamed record by
 record; every payload is checked against its digest.
 
 Defined cases: null html is an empty payload; a null url an empty target; a null id
-is always a response and sorts first; repeated rows are repeated records, and those
+is always a response and sorts first, in shards of its own; repeated rows are repeated records, and those
 that repeat the smallest id of their payload are all responses; a single record longer
 than ``roll_bytes`` has a file of its own; an empty table gives an empty manifest;
 other columns are ignored. Files go through ``pyarrow.fs``, so the folder may be in any
@@ -41,6 +41,8 @@ from .batches import cut, run_dir
 REVISIT_FROM = 100
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
+#: Bytes of archives that a reading task gets.
+READ_BYTES = 8 << 20
 #: Cuts of an id range that is still too heavy for one shard.
 FANOUT = 1024
 DATE = "2024-01-01T00:00:00Z"
@@ -117,15 +119,17 @@ class RollingFiles:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["shard", "file", "records", "bytes", "sha256"])
 
 
-def shard_edges(sizes: DataFrame, shard_bytes: int, fanout: int = FANOUT) -> list[int]:
-    """First ids of all shards but the first, from ``sizes(page_id, bytes)``; they depend on the rows alone.
+def shard_edges(sizes: DataFrame, shard_bytes: int, fanout: int = FANOUT) -> tuple[list[int], list[int]]:
+    """First ids of all shard ranges but the first, and the number of shards of each, from ``sizes(page_id, bytes)``; they depend on the rows alone.
 
     Each round sums the bytes of id ranges on the cluster and cuts the ranges that are too
-    heavy, so the driver sees a few rows per shard; one id is never cut.
+    heavy, so the driver sees a few rows per shard. A range of one id that is still too heavy has several
+    shards, and so has the range of null ids, which is the first number of the second list.
     """
-    ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes")))).first()
+    of = lambda size: max(1, -(-int(size or 0) // shard_bytes))
     if ends[0] is None:
-        return []
+        return [], [of(ends[3]), 1]
     # no more first cuts than leaves a hundredth of a shard in each, evenly spread
     step = max(1, min(fanout, int(100 * (ends[2] or 0) / shard_bytes) + 1))
     cuts = sorted({ends[0] + (ends[1] - ends[0] + 1) * k // step for k in range(step)})
@@ -141,13 +145,14 @@ def shard_edges(sizes: DataFrame, shard_bytes: int, fanout: int = FANOUT) -> lis
         if not heavy:
             break
         cuts = sorted({*cuts, *(r["low"] + (r["high"] - r["low"] + 1) * k // 16 for r in heavy for k in range(16))})
-    edges, filled = [], 0
+    edges, filled, counts = [], 0, [of(ends[3])]
     for r in ranges:
         if filled and filled + r["bytes"] > shard_bytes:
             edges.append(r["low"])
+            counts.append(of(filled))
             filled = 0
         filled += r["bytes"]
-    return edges
+    return edges, [*counts, of(filled)]
 
 
 def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -158,15 +163,19 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES,
     facts = cut(rows.select("page_id", "digest", "bytes"), "warc-facts")
     shared = cut(facts.where(F.col("bytes") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-shared")
     # every record costs some header bytes besides its payload
-    edges = shard_edges(facts.select("page_id", (F.col("bytes") + 600).cast("bigint").alias("bytes")), shard_bytes)
+    edges, counts = shard_edges(facts.select("page_id", (F.col("bytes") + 600).cast("bigint").alias("bytes")), shard_bytes)
+
+    starts = np.concatenate([[0], np.cumsum(counts)]).tolist()
 
     @F.pandas_udf("bigint")
-    def shard(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: 0 if pd.isna(i) else bisect_right(edges, int(i))).astype("int64")
+    def shard(ids: pd.Series, spread: pd.Series) -> pd.Series:
+        ranges = [0 if pd.isna(i) else 1 + bisect_right(edges, int(i)) for i in ids]
+        return pd.Series([starts[r] + s % counts[r] for r, s in zip(ranges, spread)], dtype="int64")
 
+    spread = F.shiftrightunsigned(F.xxhash64("digest", F.coalesce("url", F.lit(""))), 1)
     placed = rows.join(shared, "digest", "left").select(
-        shard("page_id").alias("shard"), "page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
-    dealt = placed.repartitionByRange(len(edges) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url").select("shard", "page_id", "url", "payload", "refers_to")
+        shard("page_id", spread).alias("shard"), "page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    dealt = placed.repartitionByRange(starts[-1], "shard").sortWithinPartitions("shard", "page_id", "digest", "url").select("shard", "page_id", "url", "payload", "refers_to")
     pafs_fs, path = pafs.FileSystem.from_uri(root)
     pafs_fs.create_dir(path, recursive=True)
 
@@ -241,8 +250,10 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> Dat
                         some, size = [], 0
                 yield _batch(some, fields)
 
-    names = manifest.select("file")
-    return names.repartition("file").mapInArrow(read, ", ".join(f"{n} {s}" for n, s, _ in fields))
+    # as many tasks as the archives' bytes ask for
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    names = manifest.select("file").repartition(int(total // READ_BYTES) + 1)
+    return names.mapInArrow(read, ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
 def _batch(rows: list[tuple], fields) -> pa.RecordBatch:

@@ -79,3 +79,21 @@ def test_uncommitted_files_are_ignored(spark, tmp_path):
 def test_empty(spark, tmp_path):
     manifest = written(spark.createDataFrame([], SCHEMA), tmp_path / "a")
     assert manifest.count() == 0 and W.read_archives(manifest, f"file://{tmp_path}/a").count() == 0
+
+
+def test_one_hot_id_and_null_ids_span_shards(spark, tmp_path):
+    """A repeated id and null ids heavier than a shard lie in several, every row is read back, reading has a task for each so many bytes."""
+    rows = [(5, f"u{i}", f"{i} " * 400) for i in range(60)] + [(None, f"n{i}", f"{i} - " * 300) for i in range(60)] + [(i, "u", "x" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = written(df, tmp_path / "a", shard_bytes=20_000, roll_bytes=8_000)
+    shards = {r["shard"] for r in manifest.collect()}
+    assert len(shards) > 5
+    back = W.read_archives(manifest, f"file://{tmp_path}/a", payloads=True)
+    assert sorted((str(r["page_id"]), bytes(r["payload"])) for r in back.collect()) == sorted((str(i), h.encode()) for i, _, h in rows)
+
+
+def test_reading_is_spread_by_bytes(spark, tmp_path, monkeypatch):
+    manifest = written(pages(spark), tmp_path / "a", shard_bytes=4000, roll_bytes=2000)
+    monkeypatch.setattr(W, "READ_BYTES", 3000)
+    total = manifest.agg({"bytes": "sum"}).first()[0]
+    assert W.read_archives(manifest, f"file://{tmp_path}/a").rdd.getNumPartitions() == total // 3000 + 1
