@@ -1,4 +1,4 @@
-"""Inverted index: occurrences, postings, document and term statistics.
+"""Inverted index: occurrences, postings, document and term statistics (written ones: ``segments``).
 
 A document's tokens leave its row by one explode. When the searched vocabulary
 is known the occurrences are semi-joined with it in the same stage, before
@@ -8,7 +8,7 @@ measured size allows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import col, tokens_of
 
@@ -22,9 +22,9 @@ def tokenised(df: DataFrame, id_: str, text, *keep: str) -> DataFrame:
     return t.withColumn("dl", F.size("tokens").cast("bigint"))
 
 
-def corpus_stats(tok: DataFrame | Index) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    if isinstance(tok, Index):
+def corpus_stats(tok) -> DataFrame:
+    """One row: number of documents and their mean length, of tokenised rows or a written index."""
+    if not isinstance(tok, DataFrame):
         return tok.stats
     return tok.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
@@ -64,15 +64,17 @@ def phrase_units(phrases: DataFrame) -> DataFrame:
                     F.explode(F.when(single, one).otherwise(two)).alias("u")).select("phrase", "need", "u.*")
 
 
-def phrase_hits(tok: DataFrame | Index, phrases: DataFrame, *keep: str) -> DataFrame:
+def phrase_hits(tok, phrases: DataFrame, *keep: str) -> DataFrame:
     """(phrase, id, dl, tf): how often each phrase occurs, its tokens adjacent and in order.
 
     Exact without a scan per phrase: the pairs of a phrase must all start at
     the same place. Only phrases of three tokens or more need the extra grouping.
-    A written index is read in the buckets of the searched units only.
+    A written index answers from its postings of the searched units.
     """
+    if not isinstance(tok, DataFrame):
+        return tok.hits(phrases)
     units = phrase_units(phrases)
-    occ = tok.occurrences(units) if isinstance(tok, Index) else unit_occurrences(tok, *keep, with_pairs=not units.where(F.contains("unit", F.lit(" "))).isEmpty())
+    occ = unit_occurrences(tok, *keep, with_pairs=not units.where(F.contains("unit", F.lit(" "))).isEmpty())
     occ = occ.join(units, "unit")
     by = ["phrase", "id", "dl", *keep]
     short = occ.where("need = 1").select(*by)
@@ -93,44 +95,3 @@ def weighted_hits(hits: DataFrame, stats: DataFrame, key: str = "phrase") -> Dat
     one = stats.select(F.struct("n_docs", "avgdl").alias("s")).scalar()
     h = hits.join(df, key).withColumn("_s", one)
     return h.withColumn("w", bm25_weight("tf", "dl", "df", F.col("_s.n_docs"), F.col("_s.avgdl"))).drop("_s", "df")
-
-
-class Index:
-    """A written positional index: occurrences of tokens and adjacent pairs by bucket of the unit, and corpus statistics.
-
-    Searches read the buckets of their units; the texts are not touched again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.buckets, self.units, self.stats = buckets, spark.read.parquet(f"{path}/units"), spark.read.parquet(f"{path}/stats")
-
-    @classmethod
-    def write(cls, df: DataFrame, id_: str, text: str, path: str, buckets: int = 64) -> Index:
-        tok = tokenised(df, id_, text)
-        occ = unit_occurrences(tok).withColumn("bucket", _bucket("unit", buckets))
-        # the occurrences of a frequent unit are dealt over several tasks by document
-        occ.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "unit").write.partitionBy("bucket").parquet(f"{path}/units")
-        corpus_stats(tok).coalesce(1).write.parquet(f"{path}/stats")
-        return cls(df.sparkSession, path, buckets)
-
-    def occurrences(self, units: DataFrame) -> DataFrame:
-        """(id, dl, pos, unit) in the buckets that hold ``units(unit)``; at most ``buckets`` numbers reach the driver."""
-        wanted = [r[0] for r in units.select(_bucket("unit", self.buckets)).distinct().collect()]
-        return self.units.where(F.col("bucket").isin(wanted)).drop("bucket")
-
-
-def _bucket(unit: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(unit), F.lit(buckets)).cast("int")
-
-
-def write_index(df: DataFrame, id_: str, text: str, path: str, buckets: int = 256) -> None:
-    """Write postings (by hash of term), document lengths and corpus statistics as tables under ``path``."""
-    tok = tokenised(df, id_, text)
-    p = postings(tok).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    tok.select("id", "dl").write.parquet(f"{path}/docs")
-    corpus_stats(tok).coalesce(1).write.parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "docs", "stats")}

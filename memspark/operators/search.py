@@ -23,29 +23,21 @@ def box_words(text="text"):
     return F.filter(F.split(F.regexp_replace(F.trim(F.col(text)), r"[^\w\s-]", ""), r"\s+"), lambda w: w != "")
 
 
-def knowledge_search(know: DataFrame, queries: DataFrame, as_of, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-    """Full text, else trigram, else whole-query substring; then re-scored by age and use.
+def knowledge_search(know: DataFrame, index, queries: DataFrame, as_of, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """Full text, else trigram, else whole-query substring; scored by age and use.
 
-    ``know(id, title, content, source_type, created_at, access_count[, relevance_score])``.
-    The first leg that finds anything for a query answers it. ``allowed(id)``
-    (for example the facts valid at a time) is applied before ranking.
+    ``know(id, title, content, source_type, created_at, access_count[, relevance_score])``; ``index`` holds its title and content
+    as one text. The first leg that finds anything for a query answers it, and all that it finds is scored. ``allowed(id)``
+    (for example the facts valid at a time) is applied before that.
     """
-    both = know.withColumn("_t", F.concat_ws(" ", "title", "content"))
     keep = (lambda d: d) if allowed is None else (lambda d: d.join(allowed.select("id"), "id", "left_semi"))
-    tok = I.tokenised(both, "id", "_t")
-    s = keep(R.score_clauses(tok, Q.all_words(queries, raw_words())))
-    # each leg holds at most `limit` rows per query and decides who needs the next one: written once, not recomputed
-    leg1 = cut(R.top_k(s, limit).select("query_id", "id", F.lit(1).alias("leg")), "leg")
-    pool = keep(both)
-    clean = queries.select("query_id", F.array_join(raw_words(), " ").alias("text"))
-    left2 = clean.join(leg1, "query_id", "left_anti")
-    tri = contains_all(pool, "id", "_t", left2)
-    leg2 = cut(R.top_k(tri.withColumn("score", F.lit(0.0)), limit).select("query_id", "id", F.lit(2).alias("leg")), "leg")
+    matched = keep(R.score_clauses(index, Q.all_words(queries, raw_words())))
+    # a leg decides who needs the next one: written once, not recomputed
+    leg1 = cut(matched.select("query_id", "id", F.lit(1).alias("leg")), "leg")
+    left2 = queries.select("query_id", F.array_join(raw_words(), " ").alias("text")).join(leg1, "query_id", "left_anti")
+    leg2 = cut(keep(contains_all(index, left2)).select("query_id", "id", F.lit(2).alias("leg")), "leg")
     left3 = queries.join(leg1, "query_id", "left_anti").join(leg2, "query_id", "left_anti")
-    sub = contains_text(pool, "id", ["title", "content"], left3)
-    scan = sub.join(pool.select("id", "created_at"), "id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "id")
-    leg3 = scan.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit).select("query_id", "id", F.lit(3).alias("leg"))
+    leg3 = keep(contains_text(know, "id", ["title", "content"], left3, index)).select("query_id", "id", F.lit(3).alias("leg"))
     hits = leg1.unionByName(leg2).unionByName(leg3).join(know, "id")
     age = (F.unix_micros(as_of) - F.unix_micros("created_at")) / 86400e6
     age = F.when(F.col("source_type") == "explicit", age * 0.8).otherwise(age)
@@ -54,34 +46,37 @@ def knowledge_search(know: DataFrame, queries: DataFrame, as_of, limit: int = 10
     return R.top_k(hits.withColumn("score", score), limit).select("query_id", "id", "leg", "score", "rank")
 
 
-def contains_all(df: DataFrame, id_: str, text: str, queries: DataFrame) -> DataFrame:
-    """(query_id, id): texts that hold every query word of 3 characters or more as a substring."""
-    post = cut(R.word_postings(df, id_, text).select("id", "word"), "words")
-    terms = queries.select("query_id", F.explode(F.array_distinct(words_ws("text"))).alias("term")).where(F.length("term") >= 3)
-    pairs = cut(R.substring_pairs(post.select("word").distinct(), terms.select("term").distinct()), "pairs")
+def contains_all(source, queries: DataFrame) -> DataFrame:
+    """(query_id, id): texts that hold every query word of 3 characters or more as a substring.
+
+    ``source`` is a written index, or ``R.WordRows`` of a table without one.
+    """
+    terms = cut(queries.select("query_id", F.explode(F.array_distinct(words_ws("text"))).alias("term")).where(F.length("term") >= 3), "terms")
+    pairs = cut(R.substring_pairs(source, terms.select("term").distinct()), "pairs")
+    terms = R.answerable(pairs, terms)
+    pairs = pairs.join(terms.select("term").distinct(), "term", "left_semi")
+    post = cut(source.word_postings(pairs.select("word")).select("id", "word"), "words")
     return R.holding_all(post, pairs, terms)
 
 
-def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame) -> DataFrame:
+def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame, index=None) -> DataFrame:
     """(query_id, id): some text column holds the whole query (without case).
 
     The inner words of the query must occur as whole words of the text, so the
     rarest of them picks the candidates; only those pairs read the text. Queries without an inner
-    word fall back to matching on their trigrams.
+    word fall back to matching on their trigrams. ``index`` is a written index over the columns joined by white space.
     """
-    q = queries.select("query_id", F.lower(F.trim("text")).alias("_q"))
+    body = df.select(F.col(id_).alias("id"), F.lower(F.concat_ws("\n", *texts)).alias("_body"), *[F.lower(t).alias(f"_c{i}") for i, t in enumerate(texts)])
+    source = R.WordRows(body, "id", "_body") if index is None else index
+    q = cut(queries.select("query_id", F.lower(F.trim("text")).alias("_q")), "queries")
     words = F.split("_q", r"\s+")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    body = df.select(F.col(id_).alias("id"), F.lower(F.concat_ws("\n", *texts)).alias("_body"), *[F.lower(t).alias(f"_c{i}") for i, t in enumerate(texts)])
-    post = body.select("id", F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("word"))
     terms = q.where(F.size(inner) > 0).select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
-    post = cut(post.join(terms.select("word").distinct(), "word", "left_semi"), "words")
+    post = cut(source.word_postings(terms.select("word")).select("id", "word"), "words")
     freq = post.groupBy("word").agg(F.count("*").alias("f"))
     rare = terms.join(freq, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("f", F.lit(0)), "word")).alias("word"))
     cand = rare.join(post, "word").select("query_id", "id")
-    short = q.where(F.size(inner) == 0)
-    if not short.isEmpty():  # the trigram path reads the whole corpus: only when some query needs it
-        cand = cand.unionByName(contains_all(body, "id", "_body", short.select("query_id", F.col("_q").alias("text"))))
+    cand = cand.unionByName(contains_all(source, q.where(F.size(inner) == 0).select("query_id", F.col("_q").alias("text"))))
     full = cand.join(q, "query_id").join(body, "id")
     hit = F.lit(False)
     for i in range(len(texts)):
@@ -89,10 +84,10 @@ def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame)
     return full.where(hit).select("query_id", "id")
 
 
-def chunk_search(chunks: DataFrame, queries: DataFrame, limit: int = 5, budget: int = 1536) -> DataFrame:
+def chunk_search(chunks: DataFrame, index, queries: DataFrame, limit: int = 5, budget: int = 1536) -> DataFrame:
     """OR search over heading + content with identifiers split, filled up to a byte budget.
 
-    ``chunks(id, heading, content, has_code)``. Text chunks show a snippet; the
+    ``chunks(id, heading, content, has_code)``; ``index`` holds heading and content as one text. Text chunks show a snippet; the
     first one that overflows is cut to the room left (or dropped below 100
     bytes) and ends the list; code is never cut.
     """
@@ -100,8 +95,7 @@ def chunk_search(chunks: DataFrame, queries: DataFrame, limit: int = 5, budget:
     flat = F.array_join(base, " ")
     split = F.filter(F.split(F.regexp_replace(F.replace(flat, F.lit("_"), F.lit(" ")), "([a-z])([A-Z])", "$1 $2"), r"\s+"), lambda w: w != "")
     q = queries.select("query_id", F.array_distinct(F.concat(base, split)).alias("ws"))
-    tok = I.tokenised(chunks.withColumn("_t", F.concat_ws(" ", "heading", "content")), "id", "_t")
-    top = R.bm25_any(tok, Q.any_word(q, F.col("ws")), limit)
+    top = R.bm25_any(index, Q.any_word(q, F.col("ws")), limit)
     r = top.join(chunks, "id").join(queries.select("query_id", "text"), "query_id")
     r = r.withColumn("shown", F.when(F.col("has_code"), F.col("content")).otherwise(context_snippet("content", "text")))
     r = r.withColumn("bytes", F.octet_length("shown").cast("bigint"))
@@ -121,22 +115,21 @@ def browse(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def prompt_memories(know: DataFrame, obs: DataFrame, prompts: DataFrame, budget: int = 1200) -> DataFrame:
-    """Up to three knowledge rows by relevance, filled with observations by importance, within a character budget.
+def prompt_memories(know: DataFrame, know_index, obs: DataFrame, obs_index, prompts: DataFrame, budget: int = 1200, max_terms: int = 10, lines: int = 3) -> DataFrame:
+    """Up to ``lines`` knowledge rows by relevance, filled with observations by importance, within a character budget.
 
-    ``know(id, title, content, relevance_score)``, ``obs(id, type, content, importance, indexed_at)``.
+    ``know(id, title, content, relevance_score)``, ``obs(id, type, content, importance, indexed_at)``; the indexes hold title and content, and content.
+    A prompt asks for its first ``max_terms`` terms: more words of a long prompt, all of which must match, would find nothing.
     """
-    terms = prompts.select("query_id", F.slice(L.question_terms("text"), 1, 10).alias("ws"))
-    kt = I.tokenised(know.withColumn("_t", F.concat_ws(" ", "title", "content")), "id", "_t")
-    ot = I.tokenised(obs, "id", "content")
-    kw = R.score_clauses(kt, Q.all_words(terms, F.col("ws"))).select("query_id", "id").join(know, "id").select(
+    terms = prompts.select("query_id", F.slice(L.question_terms("text"), 1, max_terms).alias("ws"))
+    kw = R.score_clauses(know_index, Q.all_words(terms, F.col("ws"))).select("query_id", "id").join(know, "id").select(
         "query_id", "id", F.lit("knowledge").alias("kind"), F.col("title"), F.substring("content", 1, 200).alias("body"),
         F.col("relevance_score").alias("s"), F.lit(None).cast("timestamp").alias("t"))
-    ob = R.score_clauses(ot, Q.all_words(terms, F.col("ws"))).select("query_id", "id").join(obs, "id").select(
+    ob = R.score_clauses(obs_index, Q.all_words(terms, F.col("ws"))).select("query_id", "id").join(obs, "id").select(
         "query_id", "id", F.lit("observation").alias("kind"), F.col("type").alias("title"), F.substring("content", 1, 200).alias("body"),
         F.col("importance").alias("s"), F.col("indexed_at").alias("t"))
     w = Window.partitionBy("query_id").orderBy(F.when(F.col("kind") == "knowledge", 0).otherwise(1), F.desc("s"), F.desc("t"), "id")
-    m = kw.unionByName(ob).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    m = kw.unionByName(ob).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= lines)
     label = F.when(F.col("kind") == "knowledge", "Knowledge: ").otherwise("Observation: ")
     m = m.withColumn("line", F.concat(label, "title", F.lit(" — "), "body"))
     run = F.sum(F.length("line")).over(Window.partitionBy("query_id").orderBy("rank"))
@@ -187,7 +180,7 @@ def overlap_rerank(cands: DataFrame, queries: DataFrame, texts: DataFrame, k: in
     return R.top_k(c.withColumn("score", F.col("score") * (1 + share)).drop("rank"), k).select("query_id", "id", "score", "rank")
 
 
-def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, edges: DataFrame, shared: DataFrame, as_of,
+def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, know_index, edges: DataFrame, shared: DataFrame, shared_index, as_of,
                     threshold: float = 0.6, per_action: int = 4) -> DataFrame:
     """Scored context lines for a table of actions ``(action_id, query, path)``.
 
@@ -195,7 +188,7 @@ def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, edges:
     decisions that match the query (.8·(.7+.2·recency+.1·access), three most
     used), graph neighbours of the file (.5, five), entities named with the
     file (.4), and other projects' knowledge (.48, two) when fewer than two
-    strong lines were found.
+    strong lines were found. The indexes hold title and content of ``know`` and of ``shared``.
     """
     age = lambda c: (F.unix_micros(as_of) - F.unix_micros(c)) / 86400e6
     on_file = actions.where("path is not null").select("action_id", "path")
@@ -206,11 +199,10 @@ def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, edges:
     ask = actions.where("query is not null").select(F.col("query").alias("text")).distinct().select("text", F.col("text").alias("query_id"))
     words = ask.select("query_id", F.filter(F.split(F.trim(F.regexp_replace("text", r"[^\w\s-]", " ")), r"\s+"), lambda w: F.length(w) > 1).alias("ws"))
     form = Q.any_word(words, F.col("ws"))
-    def match(frame):
-        tok = I.tokenised(frame.withColumn("_t", F.concat_ws(" ", "title", "content")), "id", "_t")
-        return I.phrase_hits(tok, form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id").distinct().join(frame, "id")
+    def match(frame, index):
+        return I.phrase_hits(index, form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id").distinct().join(frame, "id")
     w2 = Window.partitionBy("query_id").orderBy(F.desc("access_count"), "id")
-    pat = match(know.where(F.col("category").isin("pattern", "decision"))).withColumn("rk", F.row_number().over(w2)).where("rk <= 3")
+    pat = match(know.where(F.col("category").isin("pattern", "decision")), know_index).withColumn("rk", F.row_number().over(w2)).where("rk <= 3")
     pat = actions.select("action_id", F.col("query").alias("query_id")).join(pat, "query_id").select(
         "action_id", F.concat("category", F.lit(": "), "title").alias("line"),
         (0.8 * (0.7 + 0.2 * decay(age("created_at"), 7) + 0.1 * (F.log2(F.col("access_count") + 2) / 10))).alias("score"), F.lit("pattern").alias("leg"))
@@ -226,7 +218,7 @@ def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, edges:
     strong = cut(bugs.unionByName(pat), "strong")  # at most six rows per action
     many = strong.groupBy("action_id").agg(F.count("*").alias("n")).where("n >= 2").select("action_id")
     w5 = Window.partitionBy("query_id").orderBy("id")
-    other = match(shared).withColumn("rk", F.row_number().over(w5)).where("rk <= 2")
+    other = match(shared, shared_index).withColumn("rk", F.row_number().over(w5)).where("rk <= 2")
     cross = (actions.join(many, "action_id", "left_anti").select("action_id", F.col("query").alias("query_id")).join(other, "query_id")
              .select("action_id", F.concat(F.lit("["), "project", F.lit("] "), "category", F.lit(": "), "title").alias("line"), F.lit(0.48).alias("score"), F.lit("cross-project").alias("leg")))
     every = strong.unionByName(graph).unionByName(co).unionByName(cross).where(F.col("score") >= threshold)
@@ -234,28 +226,36 @@ def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, edges:
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_action)
 
 
-def answer_sources(questions: DataFrame, know: DataFrame, obs: DataFrame, events: DataFrame, people: DataFrame, as_of, limit: int = 20) -> DataFrame:
+def event_hits(source, asked: DataFrame) -> DataFrame:
+    """(query_id, id): events whose kind or payload holds some word of ``asked(query_id, w)`` as a substring; ``source`` holds both as one text."""
+    pairs = cut(R.substring_pairs(source, asked.select(F.col("w").alias("term")).distinct()), "pairs")
+    found = source.word_postings(pairs.select("word")).join(pairs, "word").select(F.col("term").alias("w"), "id").distinct()
+    return asked.join(found, "w").select("query_id", "id").distinct()
+
+
+def answer_sources(questions: DataFrame, know: DataFrame, know_index, obs: DataFrame, obs_index, events: DataFrame, event_index, people: DataFrame, as_of, limit: int = 20) -> DataFrame:
     """Question answering retrieval: legs routed by intent, merged by relevance, one row per source.
 
     Knowledge scores its decayed relevance (top 10, by category for why / how),
-    persons 0.6, observations 0.5 (top 10, code for how), events 0.4 (newest 10 of the last 100).
+    persons 0.6, observations 0.5 (top 10, code for how), events 0.4 (the newest 10 that match).
+    The indexes hold title and content, content, and kind and payload.
     """
     q = questions.select("query_id", L.question_intent("text").alias("intent"), F.array_join(L.question_terms("text"), " ").alias("text"))
-    q = q.where("text <> ''")
+    q = cut(q.where("text <> ''"), "questions")
     of = lambda *names: q.where(F.col("intent").isin(*names))
     src = lambda d, kind: d.select("query_id", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "score")
-    legs = [src(knowledge_search(know, of("what", "who", "why", "general"), as_of), "knowledge")]
-    legs.append(src(knowledge_search(know.where("category = 'decision'"), of("why"), as_of), "knowledge"))
-    legs.append(src(knowledge_search(know.where("category = 'pattern'"), of("how"), as_of), "knowledge"))
-    def observed(frame, qs):
-        return src(R.top_k(R.score_clauses(I.tokenised(frame, "id", "content"), Q.all_words(qs, words_ws("text"))), 10).withColumn("score", F.lit(0.5)), "observation")
-    legs.append(observed(obs, of("what", "when", "general")))
-    legs.append(observed(obs.where("type = 'code'"), of("how")))
-    newest = events.orderBy(F.desc("ts"), F.desc("id")).limit(100)
-    ev = (of("when", "general").select("query_id", F.explode(words_ws("text")).alias("w")).distinct()
-          .join(newest.select("id", "ts", F.lower("event_type").alias("et"), F.lower("data").alias("d")),
-                F.contains(F.col("et"), F.col("w")) | F.contains(F.col("d"), F.col("w"))).select("query_id", "id", "ts").distinct())
-    ev = ev.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ts"), F.desc("id")))).where("rk <= 10")
+    legs = [src(knowledge_search(know, know_index, of("what", "who", "why", "general"), as_of), "knowledge")]
+    legs.append(src(knowledge_search(know, know_index, of("why"), as_of, allowed=know.where("category = 'decision'")), "knowledge"))
+    legs.append(src(knowledge_search(know, know_index, of("how"), as_of, allowed=know.where("category = 'pattern'")), "knowledge"))
+    def observed(qs, rows=None):
+        scored = R.score_clauses(obs_index, Q.all_words(qs, words_ws("text")))
+        scored = scored if rows is None else scored.join(rows.select("id"), "id", "left_semi")
+        return src(R.top_k(scored, 10).withColumn("score", F.lit(0.5)), "observation")
+    legs.append(observed(of("what", "when", "general")))
+    legs.append(observed(of("how"), obs.where("type = 'code'")))
+    words = of("when", "general").select("query_id", F.explode(words_ws("text")).alias("w")).distinct()
+    newest = Window.partitionBy("query_id").orderBy(F.desc("ts"), F.desc("id"))
+    ev = event_hits(event_index, words).join(events.select("id", "ts"), "id").withColumn("rk", F.row_number().over(newest)).where("rk <= 10")
     legs.append(src(ev.withColumn("score", F.lit(0.4)), "event"))
     who = of("who", "general").select("query_id", F.explode(words_ws("text")).alias("w")).distinct()
     legs.append(src(who.join(people, F.lower("name") == F.col("w")).select("query_id", F.col("name").alias("id")).distinct().withColumn("score", F.lit(0.6)), "entity"))

@@ -21,7 +21,7 @@ def run10(spark, sf):
 
 def qrels(spark, sf):
     """A document is relevant to a passage it holds word for word."""
-    return S.contains_text(docs(spark, sf), "id", ["content"], queries(spark, sf))
+    return S.contains_text(docs(spark, sf), "id", ["content"], queries(spark, sf), searchable(spark, sf))
 
 
 @query("e1_passage_recall", f"WITH {_RUN} SELECT count(*) AS queries, CAST(sum(relevant) AS BIGINT) AS relevant, CAST(sum(hits) AS BIGINT) AS hits, round(avg(CASE WHEN hits > 0 THEN 1.0e0 ELSE 0 END), 6) AS recall_any, round(avg(CASE WHEN hits = relevant THEN 1.0e0 ELSE 0 END), 6) AS recall_all FROM rc")

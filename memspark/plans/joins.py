@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions import constants as K, enrich as E
 from ..functions.text import tokens_of
-from ..operators import index as I, joins as J, search as S
+from ..operators import index as I, joins as J, retrieval as R, search as S
 from ..session import spread
 from ..views import edges, events, facts, knowledge, observations, table, ts
 from .registry import query, sql
@@ -150,5 +150,5 @@ def j13(spark, sf):
     """Words of the passages that no pattern title contains."""
     w = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("topic")).where(F.length("topic") >= 5).distinct()
     titles = knowledge(spark, sf).where("category = 'pattern'").select("id", "title")
-    have = S.contains_all(titles, "id", "title", w.select(F.col("topic").alias("query_id"), F.col("topic").alias("text"))).select(F.col("query_id").alias("topic"))
+    have = S.contains_all(R.WordRows(titles, "id", "title"), w.select(F.col("topic").alias("query_id"), F.col("topic").alias("text"))).select(F.col("query_id").alias("topic"))
     return w.join(have, "topic", "left_anti")

@@ -1,11 +1,11 @@
 """Registered queries: retrieval (R), strategy and synonym surfaces (U3, U4, U5)."""
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import constants as K, enrich as E, language as L
-from ..functions.text import round6
-from ..operators import index as I, query_forms as Q, retrieval as R, search as S
+from ..functions.text import round6, words_ws
+from ..operators import index as I, query_forms as Q, retrieval as R, search as S, segments as SG
 from ..session import cut, run_dir, spread
 from ..views import AS_OF, knowledge, observations, pick, queries, table, ts
 from .enrich import _FLAGS, _IMP, _KW, _LEADS, _QE, _STRIP, vals, vlist
@@ -16,15 +16,26 @@ def docs(spark, sf):
     return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
 
 
-_INDEXES: dict[tuple[str, str], I.Index] = {}
+#: The indexes of this process; one is made anew when its table's files change.
+_KEPT: dict[tuple[str, str, str], SG.Index] = {}
 
 
 def searchable(spark, sf):
-    """The written index of the documents, made once per application and table."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        _INDEXES[key] = I.Index.write(docs(spark, sf), "id", "content", run_dir(spark, "units"))
-    return _INDEXES[key]
+    """The written index of the documents' texts."""
+    return SG.kept_index(docs(spark, sf), "id", "content", "texts", _KEPT)
+
+
+def known(spark, sf):
+    """The written index of the knowledge rows: title and content as one text."""
+    return SG.kept_index(know(spark, sf).withColumn("_t", F.concat_ws(" ", "title", "content")), "id", "_t", "knowledge", _KEPT)
+
+
+def happened(spark, sf):
+    """The events with their payload, and the written index of kind and payload."""
+    from ..views import events
+
+    ev = events(spark, sf, "props").withColumnRenamed("props", "data")
+    return ev, SG.kept_index(ev.withColumn("_t", F.concat_ws(" ", "event_type", "data")), "id", "_t", "events", _KEPT)
 
 
 def obs(spark, sf):
@@ -95,14 +106,28 @@ def r1(spark, sf):
 
 @query("r1_index_shape", f"WITH {TK} SELECT count(*) AS postings, (SELECT count(*) FROM tk) AS n_docs, round((SELECT avg(len(t)) FROM tk), 6) AS avgdl FROM (SELECT DISTINCT id, unnest(t) FROM tk)")
 def r1s(spark, sf):
-    path = run_dir(spark, "index")
-    I.write_index(docs(spark, sf), "id", "content", path, buckets=8)
-    ix = I.read_index(spark, path)
-    n = ix["postings"].agg(F.count("*").alias("postings"))
-    s = ix["stats"].select(F.struct("n_docs", "avgdl").alias("s")).scalar()
+    """A new index each time: its postings are counted from the written pieces."""
+    ix = SG.Index.write(docs(spark, sf), "id", "content", run_dir(spark, "index"))
+    n = ix.postings("tokens").agg(F.count("*").alias("postings"))
+    s = ix.stats.select(F.struct("n_docs", "avgdl").alias("s")).scalar()
     return n.withColumn("_s", s).select("postings", F.col("_s.n_docs").alias("n_docs"), round6("_s.avgdl").alias("avgdl"))
 
 
+_KEPT_UP = """d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN concat(split_part(text, chr(10), 1), ' ', right(text, 200)) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5)"""
+
+
+@query("r1_index_upkeep", f"WITH {Q_PLAIN}, {_KEPT_UP}, {TK.replace('FROM documents', 'FROM d')}, {OR_CL}, {HITS} SELECT query_id, id, round(score, 6) AS score, {RANKED.format(by='query_id', s='score')} AS rank FROM sc QUALIFY rank <= 10")
+def r1u(spark, sf):
+    """Rows inserted in three parts, some changed, some deleted, segments merged: searches find what a new index would."""
+    d = docs(spark, sf)
+    ix = SG.Index.write(d.where("id % 3 = 0"), "id", "content", run_dir(spark, "kept"))
+    ix.append(d.where("id % 3 = 1"), "id", "content").delete(d.where("id % 11 = 5")).append(d.where("id % 3 = 2 AND id % 11 <> 5"), "id", "content")
+    changed = d.where("id % 7 = 3 AND id % 11 <> 5").withColumn("content", F.concat(F.element_at(F.split("content", "\n"), 1), F.lit(" "), F.right("content", F.lit(200))))
+    ix.upsert(changed, "id", "content").merge(fan_in=2)
+    r = R.bm25_any(ix, or_form(queries(spark, sf)), 10)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("r2_bm25", f"WITH {Q_PLAIN}, {TK}, {OR_CL}, {HITS} SELECT query_id, id, round(score, 6) AS score, {RANKED.format(by='query_id', s='score')} AS rank FROM sc QUALIFY rank <= 10")
 def r2(spark, sf):
     r = R.bm25_any(searchable(spark, sf), or_form(queries(spark, sf)), 10)
@@ -161,7 +186,7 @@ tm AS (SELECT *, (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS rel
 
 @query("r6_trigram_search", f"WITH {Q_PLAIN}, {WORDS}, {TRI} SELECT query_id, id, round(score, 6) AS score, round(relevance, 6) AS relevance FROM tm")
 def r6(spark, sf):
-    r = R.trigram_search(docs(spark, sf), "id", "content", queries(spark, sf), 20)
+    r = R.trigram_search(searchable(spark, sf), queries(spark, sf), 20)
     return r.select("query_id", "id", round6("score").alias("score"), round6("relevance").alias("relevance"))
 
 
@@ -177,7 +202,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query("r7_fuzzy_search", f"WITH {Q_PLAIN}, {WORDS}, {FUZZ} SELECT query_id, id, round(score, 6) AS score, rank FROM fr")
 def r7(spark, sf):
-    r = R.fuzzy_search(docs(spark, sf), "id", "content", queries(spark, sf), 20)
+    r = R.fuzzy_search(searchable(spark, sf), queries(spark, sf), 20)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -238,8 +263,8 @@ def legs(spark, sf, extra=None):
     """The four strategies over the observations, 20 results each, as one result list."""
     d, q = docs(spark, sf), asked(spark, sf)
     kw = R.keyword_search(searchable(spark, sf), Q.clauses(q, ref_date="ref_date"), 20)
-    tri = R.trigram_search(d, "id", "content", q, 20)
-    fz = R.fuzzy_search(d, "id", "content", q, 20)
+    tri = R.trigram_search(searchable(spark, sf), q, 20)
+    fz = R.fuzzy_search(searchable(spark, sf), q, 20)
     v = vectors(spark, sf)
     qv = v.join(q.select("query_id"), v["id"] == q["query_id"]).select("query_id", "embedding")
     vec = R.vector_search(spread(v, "id"), qv, 20, exclude_self=True)
@@ -346,7 +371,9 @@ us AS (SELECT *, octet_length(encode(shown)) AS b, sum(octet_length(encode(shown
 ov AS (SELECT *, used + b > 1536 AS over, sum(CASE WHEN used + b > 1536 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM us)
 SELECT query_id, id, rank, round(score, 6) AS score, CASE WHEN over THEN concat(substr(shown, 1, CAST(1536 - used AS BIGINT)), '...') ELSE shown END AS shown FROM ov WHERE nth = 0 OR (nth = 1 AND over AND 1536 - used > 100)""")
 def r12(spark, sf):
-    r = S.chunk_search(line_chunks(spark, sf), queries(spark, sf))
+    ch = line_chunks(spark, sf)
+    ix = SG.kept_index(ch, "id", "content", "chunks", _KEPT)
+    r = S.chunk_search(ch, ix, queries(spark, sf))
     return r.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), round6("score").alias("score"), "shown")
 
 
@@ -364,20 +391,19 @@ def know_sql(allow="true"):
     return sql("", "v_knowledge", ctes=f"""{_KQ}, tk AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM v_knowledge),
 cl AS (SELECT DISTINCT query_id, 'and' AS strategy, 1.0e0 AS weight, 'AND' AS mode, phrase FROM (SELECT query_id, unnest({_RAW}) AS phrase FROM q) WHERE len({_PT}) > 0),
 {HITS}, ok AS (SELECT id FROM v_knowledge WHERE {allow}),
-l1 AS (SELECT query_id, id, 1 AS leg FROM sc JOIN ok USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10),
+l1 AS (SELECT query_id, id, 1 AS leg FROM sc JOIN ok USING (id)),
 l2q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(array_to_string({_RAW}, ' ')), '\\s+'), lambda w: length(w) >= 3) AS ws FROM q WHERE query_id NOT IN (SELECT query_id FROM l1)),
-l2 AS (SELECT query_id, id, 2 AS leg FROM l2q, (SELECT id, lower(concat_ws(' ', title, content)) AS body FROM v_knowledge JOIN ok USING (id)) WHERE len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(body, w))) = 0
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 10),
+l2 AS (SELECT query_id, id, 2 AS leg FROM l2q, (SELECT id, lower(concat_ws(' ', title, content)) AS body FROM v_knowledge JOIN ok USING (id)) WHERE len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(body, w))) = 0),
 l3 AS (SELECT query_id, id, 3 AS leg FROM q, (SELECT * FROM v_knowledge JOIN ok USING (id)) k WHERE query_id NOT IN (SELECT query_id FROM l1) AND query_id NOT IN (SELECT query_id FROM l2)
-  AND (contains(lower(title), lower(trim(text))) OR contains(lower(content), lower(trim(text)))) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) <= 10),
+  AND (contains(lower(title), lower(trim(text))) OR contains(lower(content), lower(trim(text))))),
 ks AS (SELECT query_id, id, leg, 0.5e0 + 0.3e0 * pow(0.5e0, (epoch(TIMESTAMP '{AS_OF}') - epoch(created_at)) / 86400.0e0 * CASE WHEN source_type = 'explicit' THEN 0.8e0 ELSE 1 END / 14) + 0.02e0 * log2(access_count + 2) AS score
   FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) JOIN v_knowledge USING (id))
-""") + "SELECT query_id, id, leg, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ks"
+""") + "SELECT query_id, id, leg, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ks QUALIFY rank <= 10"
 
 
 @query("r13_knowledge_search", know_sql())
 def r13(spark, sf):
-    r = S.knowledge_search(know(spark, sf), kqueries(spark, sf), ts(AS_OF))
+    r = S.knowledge_search(know(spark, sf), known(spark, sf), kqueries(spark, sf), ts(AS_OF))
     return r.select("query_id", "id", "leg", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -388,7 +414,7 @@ def r14(spark, sf):
     k = know(spark, sf)
     end = F.when(F.col("access_count") > 0, F.col("created_at") + F.make_dt_interval(days=(F.col("access_count") * 10).cast("int")))
     ok = valid_at(k.select("id", F.col("created_at").alias("valid_from"), end.alias("valid_to")), ts("2024-03-01 00:00:00"))
-    r = S.knowledge_search(k, kqueries(spark, sf), ts(AS_OF), allowed=ok)
+    r = S.knowledge_search(k, known(spark, sf), kqueries(spark, sf), ts(AS_OF), allowed=ok)
     return r.select("query_id", "id", "leg", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -399,10 +425,25 @@ def r15(spark, sf):
 
     b = table(spark, sf, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.concat(pick(F.col("item_id") % 6, "What is ", "When was error ", "Who is ", "Why use ", "How do ", ""), F.col("text")).alias("text"))
-    d = docs(spark, sf)
-    people = N.entities(d, "id", "content").where("type = 'person'").select("name").distinct()
-    ev = events(spark, sf, "props").withColumnRenamed("props", "data")
-    return S.answer_sources(q, know(spark, sf), obs(spark, sf), ev, people, ts(AS_OF)).select("query_id", "kind", "id", round6("score").alias("score"), "rank")
+    people = N.entities(docs(spark, sf), "id", "content").where("type = 'person'").select("name").distinct()
+    ev, event_index = happened(spark, sf)
+    r = S.answer_sources(q, know(spark, sf), known(spark, sf), obs(spark, sf), searchable(spark, sf), ev, event_index, people, ts(AS_OF))
+    return r.select("query_id", "kind", "id", round6("score").alias("score"), "rank")
+
+
+@query("r15_event_sources", sql(f"""SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, id DESC) AS rank FROM (
+SELECT DISTINCT query_id, e.id, e.ts FROM wd JOIN (SELECT v.id, v.ts, lower(concat_ws(' ', v.event_type, r.props)) AS t FROM v_events v JOIN events r ON r.event_id = v.id) e ON contains(e.t, w)) QUALIFY rank <= 10""", "v_events",
+    ctes=r"""wd AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(concat(CASE item_id % 3 WHEN 0 THEN 'error ' WHEN 1 THEN 'modify ' ELSE '7' || item_id || ' ' END, lower(text)), '\s+'), lambda x: length(x) >= 3)) AS w FROM benchmark)
+"""))
+def r15e(spark, sf):
+    """The newest ten events that hold some word of a passage, or of what is put before it, in their kind or payload."""
+    ev, index = happened(spark, sf)
+    b = table(spark, sf, "benchmark")
+    before = F.when(F.col("item_id") % 3 == 0, F.lit("error ")).when(F.col("item_id") % 3 == 1, F.lit("modify ")).otherwise(F.concat(F.lit("7"), F.col("item_id").cast("string"), F.lit(" ")))
+    asked_words = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words_ws(F.concat(before, F.col("text"))))).alias("w")).where(F.length("w") >= 3)
+    w = Window.partitionBy("query_id").orderBy(F.desc("ts"), F.desc("id"))
+    r = S.event_hits(index, asked_words).join(ev.select("id", "ts"), "id").withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return r.where("rank <= 10").select("query_id", "id", "rank")
 
 
 _IMPORTED = sql("", "v_observations", ctes=f"io AS (SELECT *, CAST({_IMP.format(ent='false')} AS DOUBLE) AS importance FROM v_observations)\n")
@@ -457,7 +498,7 @@ def r17(spark, sf):
     edges = li.select(F.concat(F.lit("src/s"), F.col("l_suppkey"), F.lit("/"), F.lower("l_returnflag"), F.lit("/p"), F.col("l_partkey"), F.lit(".ts")).alias("src"),
                       F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("supplied_by").alias("type"))
     k = know(spark, sf)
-    r = S.related_context(a, o, k, edges, k, ts(AS_OF), threshold=0.3)
+    r = S.related_context(a, o, k, known(spark, sf), edges, k, known(spark, sf), ts(AS_OF), threshold=0.3)
     return r.select("action_id", "rank", "leg", F.sha2("line", 256).alias("line_sha"), round6("score").alias("score"))
 
 
@@ -472,7 +513,7 @@ ml AS (SELECT *, concat(CASE kind WHEN 'knowledge' THEN 'Knowledge: ' ELSE 'Obse
 """) + "SELECT query_id, rank, kind, id, line FROM (SELECT *, 40 + sum(length(line)) OVER (PARTITION BY query_id ORDER BY rank) AS chars FROM ml) WHERE chars <= 1200")
 def r18(spark, sf):
     k = know(spark, sf).withColumn("relevance_score", F.col("access_count").cast("double"))
-    r = S.prompt_memories(k, important(spark, sf), queries(spark, sf))
+    r = S.prompt_memories(k, known(spark, sf), important(spark, sf), searchable(spark, sf), queries(spark, sf))
     return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "kind", "id", "line")
 
 
@@ -522,7 +563,7 @@ ev AS (SELECT * FROM b4 UNION ALL SELECT query_id, id, score * 0.3e0 FROM tr WHE
 """) + "SELECT query_id, id, round(score + boost, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score + boost, 9) DESC, id) AS rank FROM ev JOIN bo USING (query_id, id) QUALIFY rank <= 10")
 def r21(spark, sf):
     d, q = docs(spark, sf), queries(spark, sf)
-    tri = R.trigram_search(d, "id", "content", q, 20)
+    tri = R.trigram_search(searchable(spark, sf), q, 20)
     r = S.evaluator_search(searchable(spark, sf), Q.clauses(q), q, d, tri, 10)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 

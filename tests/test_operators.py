@@ -249,7 +249,8 @@ def test_related_context_and_answers_have_sources(spark):
     k = spark.createDataFrame([(7, "pattern", "use retry", "retry on conventions", 3, T0, "explicit", "p2")], "id bigint, category string, title string, content string, access_count bigint, created_at timestamp, source_type string, project string")
     e = spark.createDataFrame([("src/f.ts", "mod", "uses")], "src string, dst string, type string")
     a = spark.createDataFrame([("x", "conventions app", "src/f.ts")], "action_id string, query string, path string")
-    got = [(r["leg"], round(r["score"], 4)) for r in S.related_context(a, o, k, e, k, F.lit(T0), 0.3).orderBy("rank").collect()]
+    ix = I.tokenised(k.selectExpr("id", "concat_ws(' ', title, content) AS t"), "id", "t")
+    got = [(r["leg"], round(r["score"], 4)) for r in S.related_context(a, o, k, ix, e, k, ix, F.lit(T0), 0.3).orderBy("rank").collect()]
     assert got == [("bug-history", 0.9), ("pattern", 0.7386), ("graph", 0.5), ("entities", 0.4)]
 
 
