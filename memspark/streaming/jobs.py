@@ -1,26 +1,25 @@
 """Structured Streaming jobs.
 
 Each takes a streaming frame and returns one; :func:`drain` runs a query over
-what is there and writes it to the cluster's shared folder. Stateful rules keep
-a few numbers per key; rows of one key inside a micro-batch are sorted before
-they are applied, and a micro-batch is bounded by the source's trigger options.
+what is there and writes it to the cluster's shared folder. Rules that need the rows of a
+key in order walk them as the watermark passes (``in_order``), across as many micro-batches
+as the source's trigger options make.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..schemas import INPUT
 from ..session import run_dir
+from .in_order import InOrder, in_order
+from .islands import cooldown_rule, dedup_rule, rate_rule
 
 
 def read_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """The raw events (one file or a folder of part files) as a stream, times cast for watermarks.
 
-    Without ``max_files`` a drain sees all files at once, so its answer doesn't
-    depend on how the table is cut into files or on their order.
+    ``max_files`` bounds a micro-batch; without it a drain takes all files at once.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     s = spark.readStream.schema(INPUT["events"])
@@ -62,119 +61,80 @@ def drain_updates(stream: DataFrame, keys: list[str], label: str, timeout: int =
     return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
 
 
-def _sorted(frames, *by) -> pd.DataFrame:
-    frames = list(frames)
-    return pd.concat(frames).sort_values(list(by)) if len(frames) != 1 else frames[0].sort_values(list(by))
+def dedup_exact(events: DataFrame, seconds: float = 60.0, delay: str = "1 hour") -> InOrder:
+    """Keep a row of ``(hash, id, ts)`` unless one with its hash was kept less than ``seconds`` before."""
+    step = dedup_rule(seconds)
 
+    def rule(state, t, id_):
+        last, kept = step(state[0] if state else None, t)
+        return (last,), [(id_,)] if kept else []
 
-def _stateful(events: DataFrame, keys: list[str], step, out: str, state: str, ttl_ms: int) -> DataFrame:
-    """Per key: ``step(state tuple or None, sorted frame) -> (state tuple, frame)``; idle state expires after ``ttl_ms`` of event time."""
-    def run(key, frames, st):
-        if st.hasTimedOut:
-            st.remove()
-            return
-        pdf = _sorted(frames, "ts", "id")
-        value, rows = step(st.get if st.exists else None, pdf)
-        st.update(value)
-        newest = int(pdf["ts"].iloc[-1].timestamp() * 1000)  # the watermark may lag behind the rows
-        st.setTimeoutTimestamp(max(newest, st.getCurrentWatermarkMs()) + ttl_ms)
-        yield rows
+    return in_order(events, ["hash"], [], rule, "id bigint", "last double", delay, span=seconds)
 
-    return events.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
+def error_fixes(events: DataFrame, span_days: float | None = None, delay: str = "1 hour") -> InOrder:
+    """A modify that follows an unfixed error of its session fixes the latest one (of the last ``span_days``, where they are given)."""
+    def rule(state, t, id_, kind):
+        open_id = state[0] if state else -1
+        if kind == "error":
+            return (id_,), []
+        return (-1,), [(open_id, id_)] if open_id >= 0 else []
 
-def dedup_exact(events: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """Keep a row of ``(hash, id, ts)`` unless one with its hash was kept less than ``seconds`` before."""
-    def step(state, pdf):
-        last, keep = (state[0] if state else None), []
-        for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-            ok = last is None or t - last >= seconds
-            last = t if ok else last
-            keep.append(ok)
-        return (last,), pdf.loc[keep, ["id"]].assign(hash=pdf["hash"].iloc[0])[["hash", "id"]]
-
-    return _stateful(events.withWatermark("ts", f"{int(seconds)} seconds"), ["hash"], step, "hash string, id bigint", "last double", int(seconds * 1000))
-
-
-def error_fixes(events: DataFrame, ttl_days: int = 7) -> DataFrame:
-    """A modify that follows an unfixed error of its session fixes the latest one."""
-    def step(state, pdf):
-        open_id, rows = (state[0] if state else -1), []
-        for i, kind in zip(pdf["id"], pdf["event_type"]):
-            if kind == "error":
-                open_id = int(i)
-            elif open_id >= 0:
-                rows.append((open_id, int(i)))
-                open_id = -1
-        out = pd.DataFrame(rows, columns=["error_id", "fix_id"]).astype("int64")
-        out.insert(0, "session_id", pdf["session_id"].iloc[0])
-        return (open_id,), out
-
-    e = events.where(F.col("event_type").isin("error", "file_modify")).withWatermark("ts", "1 hour")
-    return _stateful(e, ["session_id"], step, "session_id bigint, error_id bigint, fix_id bigint", "open bigint", ttl_days * 86400000)
-
-
-def rate_classes(events: DataFrame, window: float = 60.0, full: int = 3, limited: int = 8) -> DataFrame:
-    """full / limited / blocked per caller; the window restarts at the first call after it expired."""
-    from .islands import rate_rule
+    e = events.where(F.col("event_type").isin("error", "file_modify"))
+    return in_order(e, ["session_id"], ["event_type"], rule, "error_id bigint, fix_id bigint", "open bigint", delay, span=span_days and span_days * 86400)
 
-    rule = rate_rule(window, full, limited)
 
-    def step(state, pdf):
-        st, got = (tuple(state) if state else None), []
-        for t in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-            st, v = rule(st, t)
-            got.append(v)
-        return (float(st[0]), int(st[1])), pdf[["session_id", "id"]].assign(label=got)
+def rate_classes(events: DataFrame, window: float = 60.0, full: int = 3, limited: int = 8, delay: str = "1 hour") -> InOrder:
+    """full / limited / blocked per caller; the window restarts at the first call after it expired."""
+    step = rate_rule(window, full, limited)
+
+    def rule(state, t, id_):
+        state, label = step(state, t)
+        return state, [(id_, label)]
 
-    return _stateful(events.withWatermark("ts", "60 seconds"), ["session_id"], step, "session_id bigint, id bigint, label string", "start double, n bigint", int(window * 1000))
+    return in_order(events, ["session_id"], [], rule, "id bigint, label string", "start double, n bigint", delay, span=window)
 
 
-def running_budget(facts: DataFrame, limit: int, levels=(60, 80, 90, 100)) -> DataFrame:
+def running_budget(facts: DataFrame, limit: int, levels=(60, 80, 90, 100), delay: str = "1 hour") -> InOrder:
     """Cumulative tokens per session; one row whenever a level (percent of ``limit``) is crossed."""
-    def step(state, pdf):
-        used, rows = (int(state[0]) if state else 0), []
-        for i, n in zip(pdf["id"], pdf["tokens_in"]):
-            before, used = used, used + int(n)
-            rows += [(int(i), lv, used) for lv in levels if before * 100 < lv * limit <= used * 100]
-        out = pd.DataFrame(rows, columns=["id", "level", "used"]).astype("int64")
-        out.insert(0, "session_id", pdf["session_id"].iloc[0])
-        return (used,), out
+    def rule(state, t, id_, n):
+        before = state[0] if state else 0
+        used = before + int(n)
+        return (used,), [(id_, lv, used) for lv in levels if before * 100 < lv * limit <= used * 100]
 
-    return _stateful(facts.withWatermark("ts", "1 hour"), ["session_id"], step, "session_id bigint, id bigint, level bigint, used bigint", "used bigint", 30 * 86400000)
+    return in_order(facts, ["session_id"], ["tokens_in"], rule, "id bigint, level bigint, used bigint", "used bigint", delay)
 
 
-def hourly(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Hourly counts, emitted once the watermark has passed the hour."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(
-        F.unix_timestamp("window.start").alias("hour"), "event_type", "n")
+def liveness_stream(beats: DataFrame, gap: float = 300.0, delay: str = "1 hour") -> InOrder:
+    """A row when an agent has been silent for ``gap`` seconds: its beats, the first and the last of them, and when it went stale."""
+    us = lambda t: int(round(t * 1e6))
+    stale = lambda state: [(state[2], us(state[0]), us(state[1]), us(state[1] + gap))]
 
+    def rule(state, t, id_):
+        if state and t - state[1] <= gap:
+            return (state[0], t, state[2] + 1), []
+        return (t, t, 1), stale(state) if state else []
 
-def feedback(searches: DataFrame, edits: DataFrame, within: str = "7 days") -> DataFrame:
-    """Search results whose file is modified later, as a stream-stream join on session, file and time range."""
-    s = searches.withWatermark("ts", "1 hour").select(F.col("id").alias("result_id"), F.col("session_id").alias("s"), F.col("k").alias("f"), F.col("ts").alias("t"))
-    m = edits.withWatermark("ts", "1 hour").select(F.col("id").alias("edit_id"), "session_id", "k", "ts")
-    return s.join(m, F.expr(f"s = session_id AND f = k AND ts >= t AND ts <= t + interval {within}")).select("result_id", "edit_id")
+    return in_order(beats, ["session_id"], [], rule, "beats bigint, first_us bigint, last_us bigint, stale_us bigint", "first double, last double, beats bigint", delay, span=gap, idle=stale)
 
 
-def liveness(beats: DataFrame, gap: str = "5 minutes") -> DataFrame:
-    """Periods an agent was alive: heartbeats closer than ``gap`` belong together."""
-    return beats.groupBy("session_id", F.session_window("ts", gap)).agg(F.count("*").alias("beats"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+def cooldown(events: DataFrame, per_minute: int = 2, topic_seconds: float = 300.0, delay: str = "1 hour") -> InOrder:
+    """Allowed injections per session: a minute limit and a pause per topic."""
+    step = cooldown_rule(per_minute, topic_seconds)
 
+    def rule(state, t, id_, topic):
+        (recent, topics), ok = step((tuple(state[0]), dict(zip(state[1], state[2]))) if state else None, t, topic)
+        return (list(recent), list(topics), [float(x) for x in topics.values()]), [(id_,)] if ok else []
 
-def cooldown(events: DataFrame, per_minute: int = 2, topic_seconds: float = 300.0) -> DataFrame:
-    """Allowed injections per session: a minute limit and a pause per topic."""
-    from .islands import cooldown_rule
+    return in_order(events, ["session_id"], ["k"], rule, "id bigint", "recent array<double>, topics array<string>, times array<double>", delay, span=max(topic_seconds, 60.0))
 
-    rule = cooldown_rule(per_minute, topic_seconds)
 
-    def step(state, pdf):
-        st = (tuple(state[0]), dict(zip(state[1], state[2]))) if state else None
-        got = []
-        for t, topic in zip(pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6, pdf["k"]):
-            st, ok = rule(st, t, topic)
-            got.append(ok)
-        return (list(st[0]), list(st[1]), [float(x) for x in st[1].values()]), pdf.loc[got, ["session_id", "id"]]
+def hourly(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Hourly counts, emitted once the watermark has passed the hour."""
+    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(
+        F.unix_timestamp("window.start").alias("hour"), "event_type", "n")
+
 
-    return _stateful(events.withWatermark("ts", "60 seconds"), ["session_id"], step, "session_id bigint, id bigint", "recent array<double>, topics array<string>, times array<double>",
-                     int(topic_seconds * 1000))
+def liveness(beats: DataFrame, gap: str = "5 minutes") -> DataFrame:
+    """Periods an agent was alive: heartbeats closer than ``gap`` belong together."""
+    return beats.groupBy("session_id", F.session_window("ts", gap)).agg(F.count("*").alias("beats"), F.min("ts").alias("first"), F.max("ts").alias("last"))
