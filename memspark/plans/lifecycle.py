@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions import constants as C, enrich as E, language as L
 from ..functions.text import round6
-from ..operators import analytics as A, index as I, joins as J, maintenance as M, query_forms as Q, retrieval as R, sequences as SQ, similarity as SI
+from ..operators import analytics as A, entry_checks as EC, feedback as FB, index as I, joins as J, maintenance as M, query_forms as Q, retrieval as R, sequences as SQ, similarity as SI
 from ..session import cut, spread
 from ..views import AS_OF, EVENTS_AS_OF, access_log, edges, events, facts, knowledge, observations, pick, table, tokens, ts
 from .enrich import _IMP, _TIERED, tiered, vlist
@@ -80,32 +80,35 @@ _AUTH_SQL = f"""au AS (SELECT id, {_AUTH('a', 'b', 'c', 'd')} AS authority FROM
 @query("k5_title_overlap", ksql("""SELECT query_id, k.id, count(*) AS shared FROM (SELECT query_id, category, unnest(""" + _TW("title") + """) AS w FROM nw) n JOIN (SELECT id, category, unnest(""" + _TW("title") + """) AS w FROM state) k USING (category, w)
 GROUP BY ALL HAVING count(*) >= 2""", _NEW))
 def k5(spark, sf):
-    n = new_entries(spark, sf).select("query_id", "category", F.explode(SI.overlap_words("title")).alias("w"))
-    k = state(spark, sf).select("id", "category", F.explode(SI.overlap_words("title")).alias("w"))
-    return k.join(n, ["category", "w"]).groupBy("query_id", "id").agg(F.count("*").alias("shared")).where("shared >= 2")
+    return EC.title_leg(new_entries(spark, sf), state(spark, sf))
 
 
-@query("k5_checked_entries", ksql(f"""SELECT query_id, c.id, reason, round(authority, 6) AS authority, CASE WHEN abs(authority - 0.45787) > 0.3 THEN CASE WHEN authority > 0.45787 THEN 'keep_existing' ELSE 'replace' END ELSE 'merge' END AS action
-FROM (SELECT query_id, k.id, CASE WHEN lower(n.title) = lower(k.title) THEN 'identical title' WHEN contains(lower(n.title), lower(k.title)) OR contains(lower(k.title), lower(n.title)) THEN 'overlapping title' ELSE 'similar topic' END AS reason
-  FROM nw n JOIN state k USING (category) WHERE len(list_intersect({_TW('n.title')}, {_TW('k.title')})) >= 2
-  UNION SELECT a.vec_id, b.vec_id, 'semantic similarity' FROM embeddings a JOIN nw n ON n.query_id = a.vec_id JOIN embeddings b ON true JOIN state k ON k.id = b.vec_id AND k.category = n.category
-  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.75 AND len(list_intersect({_TW('n.title')}, {_TW('k.title')})) < 2) c JOIN au USING (id)""".replace("0.45787", "{NEWAUTH}"), _NEW + ", " + _AUTH_SQL)
+_STEXT = "CASE WHEN length(raw) > 200 THEN left(raw, CASE WHEN strpos(reverse(left(raw, 201)), ' ') BETWEEN 1 AND 200 THEN 201 - strpos(reverse(left(raw, 201)), ' ') ELSE 200 END) ELSE raw END"
+
+
+def _k5_sql():
+    from .retrieval import _PT, _RAW, HITS
+
+    return f"""q AS (SELECT query_id, category, {_STEXT} AS text FROM (SELECT query_id, category, concat(title, ' ', content) AS raw FROM nw)),
+tk AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM state),
+cl AS (SELECT DISTINCT query_id, 'and' AS strategy, 1.0e0 AS weight, 'AND' AS mode, phrase FROM (SELECT query_id, unnest({_RAW}) AS phrase FROM q) WHERE len({_PT}) > 0), {HITS},
+g1 AS (SELECT query_id, id FROM sc JOIN q USING (query_id) JOIN state USING (id, category) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5),
+g2 AS (SELECT n.query_id, k.id FROM nw n JOIN state k USING (category) WHERE n.query_id NOT IN (SELECT query_id FROM g1) AND len(list_intersect({_TW('n.title')}, {_TW('k.title')})) >= 2),
+g3 AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN nw n ON n.query_id = a.vec_id JOIN embeddings b ON true JOIN state k ON k.id = b.vec_id AND k.category = n.category WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.75),
+g AS (SELECT query_id, id, 1 AS leg FROM g1 UNION ALL SELECT query_id, id, 2 FROM g2 UNION ALL SELECT query_id, id, 3 FROM g3 WHERE (query_id, id) NOT IN (SELECT * FROM g1 UNION ALL SELECT * FROM g2))"""
+
+
+@query("k5_checked_entries", ksql("""SELECT query_id, id, leg, reason, round(authority, 6) AS authority, CASE WHEN abs(authority - 0.45787) > 0.3 THEN CASE WHEN authority > 0.45787 THEN 'keep_existing' ELSE 'replace' END ELSE 'merge' END AS action
+FROM (SELECT g.query_id, g.id, leg, CASE WHEN leg = 3 THEN 'semantic similarity' WHEN lower(n.title) = lower(k.title) THEN 'identical title' WHEN contains(lower(n.title), lower(k.title)) OR contains(lower(k.title), lower(n.title)) THEN 'overlapping title' ELSE 'similar topic' END AS reason
+  FROM g JOIN nw n USING (query_id) JOIN state k USING (id)) c JOIN au USING (id)""".replace("0.45787", "{NEWAUTH}"), _NEW + ", " + _k5_sql() + ", " + _AUTH_SQL)
     .replace("{NEWAUTH}", "((exp(0.3e0) * 0.3e0 + 0 + 0 + exp(1.0e0)) / (exp(0.3e0) + 2 + exp(1.0e0)))"))
 def k5c(spark, sf):
-    """Title and vector legs with reason and suggested action for every new entry."""
-    k, n = state(spark, sf), new_entries(spark, sf)
-    titles = k5(spark, sf).select("query_id", "id")
-    pair = titles.join(n.select("query_id", F.lower("title").alias("nt")), "query_id").join(k.select("id", F.lower("title").alias("kt")), "id")
-    reason = F.when(F.col("nt") == F.col("kt"), "identical title").when(F.contains("nt", F.col("kt")) | F.contains("kt", F.col("nt")), "overlapping title").otherwise("similar topic")
-    leg2 = pair.select("query_id", "id", reason.alias("reason"))
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    qv = v.select(F.col("id").alias("query_id"), "embedding").join(n.select("query_id"), "query_id", "left_semi")
-    near = R.similar_vectors(spread(v, "id"), qv, 0.75).join(n.select("query_id", "category"), "query_id").join(k.select("id", "category"), ["id", "category"])
-    leg3 = near.select("query_id", "id", F.lit("semantic similarity").alias("reason")).join(titles, ["query_id", "id"], "left_anti")
-    c = leg2.unionByName(leg3).join(M.with_authority(k, access(spark, sf), ts(AS_OF)).select("id", "authority"), "id")
-    new = M.authority(F.lit(0.3), F.lit(0), F.lit(0), F.lit(0.0))
-    action = F.when(F.abs(F.col("authority") - new) > 0.3, F.when(F.col("authority") > new, "keep_existing").otherwise("replace")).otherwise("merge")
-    return c.select("query_id", "id", "reason", round6("authority").alias("authority"), action.alias("action"))
+    """Full text, else title, and vectors, with reason and suggested action for every new entry."""
+    from .retrieval import known
+
+    v = spread(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    c = EC.check_entries(new_entries(spark, sf), state(spark, sf), known(spark, sf), v, access(spark, sf), ts(AS_OF))
+    return c.select("query_id", "id", "leg", "reason", round6("authority").alias("authority"), "action")
 
 
 @query("k6_authority", ksql("SELECT id, round(authority, 6) AS authority FROM au", _AUTH_SQL))
@@ -261,7 +264,7 @@ def k16(spark, sf):
     t = obs_topics(spark, sf).select("id", "topic")
     names = t.select("topic").distinct()
     titles = knowledge(spark, sf).where("category = 'pattern'").select("id", "title")
-    have = S.contains_all(titles, "id", "title", names.select(F.col("topic").alias("query_id"), F.col("topic").alias("text"))).select(F.col("query_id").alias("topic")).distinct()
+    have = S.contains_all(R.WordRows(titles, "id", "title"), names.select(F.col("topic").alias("query_id"), F.col("topic").alias("text"))).select(F.col("query_id").alias("topic")).distinct()
     return M.consolidate(t, o, have)
 
 
@@ -275,15 +278,38 @@ def k18(spark, sf):
     return M.boost_corroborated(state(spark, sf), access(spark, sf)).select("id", round6("relevance_score").alias("relevance_score"))
 
 
-@query("k19_usefulness", sql("""SELECT r.id, CAST(epoch_us(min(m.ts)) AS BIGINT) AS first_useful_us FROM v_events r JOIN v_events m ON m.event_type = 'file_modify' AND concat('src/', m.k) = concat('src/', r.k) AND m.session_id = r.session_id AND m.ts >= r.ts
-WHERE r.event_type = 'search' GROUP BY r.id""", "v_events"))
+#: Paths of results and of edits: whole, cut at some component, or of another folder.
+PATHS_SQL = """fr AS (SELECT id, session_id, ts, CASE WHEN id % 4 = 0 THEN concat('f', k, '.ts') ELSE concat('src/m', CAST(k AS BIGINT) % 3, '/f', k, '.ts') END AS path FROM v_events WHERE event_type = 'search'),
+fm AS (SELECT id, session_id, ts, CASE WHEN id % 7 = 0 THEN concat('src/m', (CAST(k AS BIGINT) + 1) % 3, '/f', k, '.ts') WHEN id % 3 = 0 THEN concat('src/m', CAST(k AS BIGINT) % 3, '/f', k, '.ts') WHEN id % 3 = 1 THEN concat('m', CAST(k AS BIGINT) % 3, '/f', k, '.ts') ELSE concat('f', k, '.ts') END AS path
+  FROM v_events WHERE event_type = 'file_modify'),
+fp AS (SELECT r.id, m.id AS edit_id, r.ts, m.ts AS mts FROM fr r JOIN fm m ON r.session_id = m.session_id AND m.ts >= r.ts AND (m.path = r.path OR ends_with(m.path, concat('/', r.path)) OR ends_with(r.path, concat('/', m.path))))"""
+
+
+def results_and_edits(e):
+    """Search results and edits of ``events`` with the paths of ``PATHS_SQL``."""
+    k, i = F.col("k").cast("bigint"), F.col("id")
+    name = F.concat(F.lit("f"), "k", F.lit(".ts"))
+    module = lambda n: F.concat(F.lit("m"), (n % 3).cast("string"), F.lit("/"), name)
+    whole = lambda n: F.concat(F.lit("src/"), module(n))
+    r = e.where("event_type = 'search'").withColumn("path", F.when(i % 4 == 0, name).otherwise(whole(k)))
+    m = e.where("event_type = 'file_modify'").withColumn("path", F.when(i % 7 == 0, whole(k + 1)).when(i % 3 == 0, whole(k)).when(i % 3 == 1, module(k)).otherwise(name))
+    return [d.select("id", "session_id", "ts", "path") for d in (r, m)]
+
+
+@query("k19_usefulness", sql("SELECT id, CAST(epoch_us(min(mts)) AS BIGINT) AS first_useful_us FROM fp GROUP BY id", "v_events", ctes=PATHS_SQL + "\n"))
 def k19(spark, sf):
-    """A search result is useful once its file is modified later in the session: nearest later modify, no pair list."""
-    from ..operators.ordered import neighbours
+    """A search result is useful once its file, under any ending of its path, is modified later in the session."""
+    return FB.first_useful(*results_and_edits(events(spark, sf))).select("id", F.unix_micros("useful_at").alias("first_useful_us"))
+
 
-    e = events(spark, sf).where(F.col("event_type").isin("search", "file_modify"))
-    n = neighbours(e, ["session_id", "k"], ["ts", "id"], F.floor(F.unix_timestamp("ts") / 86400), after={"useful": "ts"}, where=F.col("event_type") == "file_modify")
-    return n.where("event_type = 'search' and useful is not null").select("id", F.unix_micros("useful").alias("first_useful_us"))
+@query("k19_boosted", sql("""SELECT e.id, round(CASE WHEN u.id IS NULL THEN r ELSE least(r * 1.1e0, 5) END, 6) AS relevance_score, last_useful_us FROM (SELECT id, 0.5e0 + (id % 12) * 0.4e0 AS r FROM v_events WHERE event_type = 'search') e
+LEFT JOIN (SELECT id, CAST(epoch_us(min(mts)) AS BIGINT) AS last_useful_us FROM fp GROUP BY id) u USING (id)""", "v_events", ctes=PATHS_SQL + "\n"))
+def k19b(spark, sf):
+    """Useful results are stamped and their relevance is raised by a tenth, up to five."""
+    e = events(spark, sf)
+    found = e.where("event_type = 'search'").select("id", (F.lit(0.5) + (F.col("id") % 12) * 0.4).alias("relevance_score"))
+    b = FB.boosted(found, FB.first_useful(*results_and_edits(e)))
+    return b.select("id", round6("relevance_score").alias("relevance_score"), F.unix_micros("last_useful_at").alias("last_useful_us"))
 
 
 _RISK = f"""ro AS (SELECT 'observation' AS kind, id, i, {DAYS('indexed_at')} AS age, access_count, access_count = 4 AS useful FROM (SELECT *, CAST({_IMP.format(ent='false')} AS DOUBLE) AS i, regexp_matches(content, '(?i)\\b(?:{C.FLAG_KEYWORDS['DECISION']}|{C.FLAG_KEYWORDS['MILESTONE']})\\b') AS pinned FROM v_observations) WHERE NOT pinned
@@ -432,6 +458,51 @@ def k27(spark, sf):
     return t.select(F.col("pid").alias("decision_id"), "evidence", round6(F.least(F.lit(1.0), 0.3 + 0.1 * F.col("evidence"))).alias("confidence"))
 
 
+_TRAIL = r"""q AS (SELECT item_id AS query_id, trim(lower(substr(text, 1, 24))) AS t FROM benchmark),
+kn AS (SELECT *, CASE WHEN id % 4 = 1 THEN id + 5 END AS superseded_by FROM v_knowledge),
+ev AS (SELECT id, concat('s', session_id % 20) AS session_id, event_type, ts, concat(event_type, ': ', k) AS content FROM v_events),
+d1 AS (SELECT query_id, id, session_id, content, indexed_at AS tm FROM q JOIN v_observations ON type = 'decision' AND contains(lower(content), t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY indexed_at DESC, id DESC) = 1),
+d2 AS (SELECT query_id, id, content, created_at AS tm FROM q JOIN kn ON category = 'decision' AND (contains(lower(title), t) OR contains(lower(content), t)) WHERE query_id NOT IN (SELECT query_id FROM d1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id DESC) = 1),
+ch AS (SELECT query_id, id, 'observation' AS source, content FROM d1 UNION ALL SELECT query_id, id, 'knowledge', content FROM d2),
+e1 AS (SELECT query_id, CASE event_type WHEN 'file_modify' THEN 'fix' ELSE event_type END AS type, CAST(e.id AS VARCHAR) AS source_id, ts AS tm, e.content FROM d1 JOIN ev e ON e.session_id = d1.session_id AND e.ts < d1.tm AND e.ts > d1.tm - INTERVAL 1 HOUR
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, e.id DESC) <= 20),
+e2 AS (SELECT query_id, CASE type WHEN 'error' THEN 'error' ELSE 'file_read' END AS type, CAST(o.id AS VARCHAR) AS source_id, indexed_at AS tm, substr(o.content, 1, 200) AS content FROM d1 JOIN v_observations o ON type IN ('error', 'context', 'code') AND o.indexed_at < d1.tm AND o.indexed_at > d1.tm - INTERVAL 24 HOUR
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY indexed_at DESC, o.id DESC) <= 5),
+fe AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT query_id, 'decision', CAST(id AS VARCHAR), tm, substr(content, 1, 300) FROM d1 UNION ALL SELECT query_id, 'knowledge', CAST(id AS VARCHAR), tm, content FROM d2),
+al AS (SELECT DISTINCT query_id, k.id, k.title FROM ch JOIN kn k ON k.superseded_by = ch.id UNION SELECT query_id, k.id, k.title FROM ch JOIN kn o ON o.id = ch.id JOIN kn k ON k.id = o.superseded_by),
+al5 AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 5),
+nm AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 8)) AS name FROM benchmark),
+en AS (SELECT query_id, name FROM ch JOIN nm ON contains(lower(content), name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 10)""".replace("\\\\", "\\")
+
+
+def trails(spark, sf):
+    from ..operators.trails import decision_trails
+    from .retrieval import known, searchable
+
+    b = table(spark, sf, "benchmark")
+    q = b.select(F.col("item_id").alias("query_id"), F.trim(F.lower(F.substring("text", 1, 24))).alias("text"))
+    names = b.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("name")).where(F.length("name") >= 8).distinct()
+    k = knowledge(spark, sf).withColumn("superseded_by", F.when(F.col("id") % 4 == 1, F.col("id") + 5))
+    e = events(spark, sf).select("id", F.concat(F.lit("s"), (F.col("session_id") % 20).cast("string")).alias("session_id"), "event_type", "ts", F.concat("event_type", F.lit(": "), "k").alias("content"))
+    return decision_trails(q, spread(observations(spark, sf), "id"), searchable(spark, sf), k, known(spark, sf), e, names)
+
+
+@query("k27_trails", sql("""SELECT query_id, source, id AS decision_id, evidence, (SELECT coalesce(string_agg(title, ' | ' ORDER BY al5.id), '') FROM al5 WHERE al5.query_id = ch.query_id) AS alternatives,
+ (SELECT coalesce(string_agg(name, ' | ' ORDER BY name), '') FROM en WHERE en.query_id = ch.query_id) AS entities, round(CASE WHEN source = 'knowledge' THEN 0.6e0 ELSE least(1, 0.3e0 + 0.1e0 * evidence) END, 6) AS confidence
+FROM ch JOIN (SELECT query_id, count(*) AS evidence FROM fe GROUP BY query_id) USING (query_id)""", "v_observations", "v_knowledge", "v_events", ctes=_TRAIL + "\n"))
+def k27t(spark, sf):
+    """The trail of the decision that each query finds: evidence, alternatives, entities, confidence."""
+    t = trails(spark, sf)[0]
+    joined = lambda c: F.array_join(c, " | ").alias(c)
+    return t.select("query_id", "source", "decision_id", "evidence", joined("alternatives"), joined("entities"), round6("confidence").alias("confidence"))
+
+
+@query("k27_trail_evidence", sql("SELECT query_id, type, source_id, CAST(epoch_us(tm) AS BIGINT) AS at_us, content, row_number() OVER (PARTITION BY query_id ORDER BY tm, type, length(source_id), source_id) AS place FROM fe", "v_observations", "v_knowledge", "v_events", ctes=_TRAIL + "\n"))
+def k27e(spark, sf):
+    """Every piece of evidence in order of time: events of the session, earlier observations, the decision or entry."""
+    return trails(spark, sf)[1].select("query_id", "type", "source_id", F.unix_micros("at").alias("at_us"), "content", F.col("place").cast("bigint").alias("place"))
+
+
 @query("k28_fingerprint_diff", sql("""SELECT session_id, count(*) AS new_items, string_agg(k, ',' ORDER BY first, k) FILTER (rn <= 10) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first, k) AS rn FROM (
 SELECT session_id, k, min(ts) AS first FROM v_events WHERE event_type IN ('file_read', 'file_modify') GROUP BY ALL) WHERE first >= TIMESTAMP '2024-01-15 00:00:00') GROUP BY session_id""", "v_events"))
 def k28(spark, sf):

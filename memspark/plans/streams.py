@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions.text import round6
-from ..operators import sequences as SQ
+from ..operators import feedback as FB, sequences as SQ
 from ..operators.ordered import neighbours, running
 from ..streaming import islands as IS, jobs as JB
 from ..views import events, events_from, table, tokens, ts
+from .lifecycle import PATHS_SQL, results_and_edits
 from .registry import query, sql
 
 def day():
@@ -30,13 +31,7 @@ kept AS (SELECT hash, rn, id FROM h WHERE rn = 1 UNION ALL SELECT h.hash, h.rn,
 
 @query("m1_dedup_stream", _M1)
 def m1(spark, sf):
-    return JB.drain(JB.dedup_exact(hashed(stream(spark, sf)), 3600.0), "dedup")
-
-
-@query("m1_dedup_watermark", _M1)
-def m1w(spark, sf):
-    """The name of an earlier, lossy form: it now applies the exact rule too."""
-    return JB.drain(JB.dedup_exact(hashed(events_from(JB.read_events(spark, sf))), 3600.0), "dedup").select("hash", "id")
+    return JB.dedup_exact(hashed(stream(spark, sf)), 3600.0).drain("dedup")[0]
 
 
 @query("m1_dedup_batch", _M1)
@@ -62,7 +57,7 @@ def m3(spark, sf):
 @query("m4_error_fix_stream", sql("""SELECT session_id, pid AS error_id, id AS fix_id FROM (SELECT *, lag(event_type) OVER w AS pt, lag(id) OVER w AS pid FROM v_events WHERE event_type IN ('error', 'file_modify')
  WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)) WHERE event_type = 'file_modify' AND pt = 'error'""", "v_events"))
 def m4(spark, sf):
-    return JB.drain(JB.error_fixes(stream(spark, sf)), "fixes")
+    return JB.error_fixes(stream(spark, sf)).drain("fixes")[0]
 
 
 # row by row within a session: the window restarts at the first call after it expired
@@ -73,7 +68,7 @@ st AS (SELECT session_id, id, rn, ts AS start, 1 AS n FROM o WHERE rn = 1 UNION
 
 @query("m5_rate_limit_stream", _M5)
 def m5s(spark, sf):
-    return JB.drain(JB.rate_classes(stream(spark, sf).select("session_id", "id", "ts"), 36000.0), "rate")
+    return JB.rate_classes(stream(spark, sf), 36000.0).drain("rate")[0]
 
 
 @query("m5_rate_limit_batch", _M5)
@@ -106,14 +101,14 @@ def m6(spark, sf):
 WHERE (used - tk) * 100 < level * 2000 AND used * 100 >= level * 2000""", "v_events"))
 def m6s(spark, sf):
     """Events as token facts: k tokens each, against a limit of 2000."""
-    return JB.drain(JB.running_budget(stream(spark, sf).withColumn("tokens_in", F.col("k").cast("bigint")), 2000), "budget")
+    return JB.running_budget(stream(spark, sf).withColumn("tokens_in", F.col("k").cast("bigint")), 2000).drain("budget")[0]
 
 
-@query("m7_feedback_stream", sql("""SELECT s.id AS result_id, m.id AS edit_id FROM v_events s JOIN v_events m ON s.session_id = m.session_id AND s.k = m.k AND m.ts >= s.ts AND m.ts <= s.ts + INTERVAL 7 DAY
-WHERE s.event_type = 'search' AND m.event_type = 'file_modify'""", "v_events"))
+@query("m7_feedback_stream", sql("SELECT id AS result_id, edit_id FROM fp WHERE mts <= ts + INTERVAL 7 DAY", "v_events", ctes=PATHS_SQL + "\n"))
 def m7(spark, sf):
-    e = lambda t: stream(spark, sf).where(F.col("event_type") == t)
-    return JB.drain(JB.feedback(e("search"), e("file_modify")), "feedback")
+    """Results and later edits of the same file, under any ending of its path, as two streams."""
+    results, edits = results_and_edits(stream(spark, sf))[0], results_and_edits(stream(spark, sf))[1]
+    return JB.drain(FB.matches(results, edits), "feedback")
 
 
 @query("m8_liveness", sql("""SELECT session_id, count(*) AS beats, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM (
@@ -123,6 +118,13 @@ def m8(spark, sf):
     return l.select("session_id", "beats", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
+@query("m8_liveness_stream", sql("""SELECT session_id, count(*) AS beats, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, CAST(epoch_us(max(ts) + INTERVAL 12 HOUR) AS BIGINT) AS stale_us FROM (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY ts, id) AS g FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM v_events)) GROUP BY session_id, g""", "v_events"))
+def m8s(spark, sf):
+    """A row for every silence of 12 hours, emitted as the watermark passes it."""
+    return JB.liveness_stream(stream(spark, sf), 12 * 3600.0).drain("liveness")[0]
+
+
 @query("m9_claim_conflicts", sql("""SELECT k, id, session_id, owner FROM (SELECT *, first_value(session_id) OVER (PARTITION BY k, g ORDER BY ts, id) AS owner FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'file_modify' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, id), 0) AS g
  FROM v_events WHERE event_type IN ('file_read', 'file_modify')) WHERE event_type = 'file_read') WHERE session_id <> owner""", "v_events"))
 def m9(spark, sf):
@@ -133,12 +135,21 @@ def m9(spark, sf):
     return g.join(own, ["k", "g"]).where("session_id <> owner").select("k", "id", "session_id", "owner")
 
 
-@query("m10_cooldown_stream")
+# row by row within a session: what of the last minute was allowed, and when each kind was
+_M10 = sql("""SELECT session_id, id FROM st WHERE ok""", "v_events", ctes="""o AS (SELECT session_id, id, ts, event_type AS k, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS rn FROM v_events),
+st AS (SELECT session_id, id, rn, [ts] AS recent, [{'k': k, 't': ts}] AS topics, true AS ok FROM o WHERE rn = 1 UNION ALL
+ SELECT session_id, id, rn, CASE WHEN ok THEN list_append(recent, ts) ELSE recent END, CASE WHEN ok THEN list_append(topics, {'k': k, 't': ts}) ELSE topics END, ok FROM (
+  SELECT *, len(recent) < 2 AND len(list_filter(topics, lambda x: x.k = k)) = 0 AS ok FROM (
+   SELECT o.session_id, o.id, o.rn, o.ts, o.k, list_filter(st.recent, lambda x: o.ts - x < INTERVAL 60 SECOND) AS recent, list_filter(st.topics, lambda x: o.ts - x.t < INTERVAL 86400 SECOND) AS topics
+   FROM st JOIN o ON o.session_id = st.session_id AND o.rn = st.rn + 1)))""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("m10_cooldown_stream", _M10)
 def m10s(spark, sf):
-    return JB.drain(JB.cooldown(stream(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("k")), 2, 86400.0), "cooldown")
+    return JB.cooldown(stream(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("k")), 2, 86400.0).drain("cooldown")[0]
 
 
-@query("m10_cooldown_batch")
+@query("m10_cooldown_batch", _M10)
 def m10(spark, sf):
     e = events(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("topic"))
     return IS.walk(e, ["session_id"], 86400, IS.cooldown_rule(2, 86400.0), "allowed", "boolean", extra=["topic"]).where("allowed").select("session_id", "id")
