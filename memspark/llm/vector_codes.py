@@ -39,7 +39,7 @@ from .batches import cut, spread
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Parts of a node that is not split further, and vectors of a block.
-LEAF, BLOCK = 16, 1024
+LEAF, BLOCK = 32, 2048
 #: Bits of a limb of a sum.
 LIMB = 30
 LONGEST = (1 << 63) - 1
