@@ -22,6 +22,26 @@ def upsert_entities(rows: DataFrame, at: str = "updated_at") -> DataFrame:
     return rows.groupBy("name", "type").agg(F.max(at).alias(at), F.min(at).alias("created_at"))
 
 
+def find_entities(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, <entity columns>): entities ``(id, name, type, ...)`` of exactly the name, and of the type where one is asked; ``asked(query_id, name, type)``."""
+    q = asked.select("query_id", "name", F.col("type").alias("_type"))
+    return entities.join(q, "name").where(F.col("_type").isNull() | (F.col("type") == F.col("_type"))).select("query_id", *entities.columns)
+
+
+def update_entities(entities: DataFrame, updates: DataFrame, at) -> DataFrame:
+    """Entities with what ``updates(id, ...)`` has put in and ``updated_at`` set; a null there leaves the value as it is.
+
+    Of several updates of an id the values of the last by ``updates.at`` that has one count.
+    """
+    fields = [c for c in updates.columns if c not in ("id", "at")]
+    last = updates.groupBy("id").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"_{c}") for c in fields])
+    changed = F.lit(False)
+    for c in fields:
+        changed = changed | F.col(f"_{c}").isNotNull()
+    out = entities.join(last, "id", "left").withColumn("updated_at", F.when(F.coalesce(changed, F.lit(False)), at).otherwise(F.col("updated_at")))
+    return out.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}).select(*entities.columns)
+
+
 def remove_entities(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges without those that touch a removed node."""
     g = gone.select("node")

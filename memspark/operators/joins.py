@@ -30,14 +30,15 @@ def interval_join(facts: DataFrame, probes: DataFrame, keys: list[str], at: str,
     return j.where((F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(at)))).drop("_b")
 
 
-def last_k_before(probes: DataFrame, facts: DataFrame, keys: list[str], k: int, within_seconds: int, bucket_seconds: int = 86400) -> DataFrame:
+def last_k_before(probes: DataFrame, facts: DataFrame, keys: list[str], k: int, within_seconds: int, bucket_seconds: int | None = None) -> DataFrame:
     """For each probe ``(keys, pid, pts)`` the ``k`` newest facts ``(keys, fid, fts, ...)`` strictly before it and inside the span.
 
     Facts are numbered along time; a probe at place n reads places n-k+1 .. n by
-    an equi-join, so the work is k rows per probe however dense a key is.
+    an equi-join, so the work is k rows per probe however dense a key is. Without keys the buckets are cut by the facts' density.
     """
-    from .ordered import running
+    from .ordered import bucket_width, running
 
+    bucket_seconds = bucket_seconds or (86400 if keys else bucket_width(facts, "fts"))
     bucket = lambda c: F.floor(F.unix_timestamp(c) / bucket_seconds)
     numbered = running(facts, keys, ["fts", "fid"], bucket("fts"), count="_pos")
     marks = probes.select(*keys, "pid", "pts", F.lit(0).alias("_f")).unionByName(

@@ -174,15 +174,37 @@ def retain(rows: DataFrame, as_of, ttl_days: int, max_rows: int, preserve, at: s
 
     The number over the cap is one count; the oldest rows are found by bucketed positions.
     """
-    from .ordered import running
+    from .ordered import bucket_width, running
 
     live = rows.where((F.unix_micros(at) >= F.unix_micros(as_of) - F.lit(ttl_days * 86400 * 1000000).cast("bigint")) | F.col("type").isin(*preserve))
     excess = live.agg(F.greatest(F.count("*") - max_rows, F.lit(0).cast("bigint")).alias("x"))
-    may = running(live.where(~F.col("type").isin(*preserve)), [], [at, id_], F.floor(F.unix_timestamp(at) / 86400), count="_pos")
+    may = running(live.where(~F.col("type").isin(*preserve)), [], [at, id_], F.floor(F.unix_timestamp(at) / bucket_width(rows, at)), count="_pos")
     gone = may.withColumn("_x", excess.scalar()).where(F.col("_pos") <= F.col("_x")).select(id_)
     return live.join(gone, id_, "left_anti")
 
 
+def cleanup_sessions(rows: DataFrame, ended: DataFrame) -> DataFrame:
+    """Rows ``(session_id, privacy_level, ...)`` without the private ones of the sessions ``ended(session_id)``."""
+    gone = ended.select("session_id", F.lit("private").alias("privacy_level")).distinct()
+    return rows.join(gone, ["session_id", "privacy_level"], "left_anti")
+
+
+def highlights(obs: DataFrame, by: list[str], most: int = 5) -> DataFrame:
+    """The newest decisions and errors of each group, 200 characters of each."""
+    w = Window.partitionBy(*by).orderBy(F.desc("indexed_at"), F.desc("id"))
+    top = obs.where(F.col("type").isin("decision", "error")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return top.select(*by, "rank", "id", "type", F.substring("content", 1, 200).alias("text"))
+
+
+def open_tasks(events: DataFrame, by: list[str], most: int = 5) -> DataFrame:
+    """(by, names): tasks ``item`` that were started and not completed, the newest first; ``events(by, id, event_type, ts, item)``."""
+    done = events.where("event_type = 'task_complete'").select(*by, "item").distinct()
+    started = events.where("event_type = 'task_start'").groupBy(*by, "item").agg(F.max(F.struct("ts", "id")).alias("_at")).join(done, [*by, "item"], "left_anti")
+    w = Window.partitionBy(*by).orderBy(F.desc("_at"))
+    top = started.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "item"))), lambda s: s["item"]).alias("names"))
+
+
 def consolidate(topics: DataFrame, obs: DataFrame, patterns: DataFrame, min_observations: int = 6, take: int = 10, at_least: int = 5) -> DataFrame:
     """One entry per busy topic without a pattern: its ten most important observations joined, cut at 500 characters."""
     n = topics.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") >= min_observations)
@@ -213,24 +235,22 @@ def profile(k: DataFrame, by: list[str]) -> DataFrame:
     return lines_per(t, by, "_s", "_t", "\n", "profile")
 
 
-def critical_lines(k: DataFrame, by: list[str], as_of, budget: int, take: int = 10, first: int = 20) -> DataFrame:
-    """The primer's critical layer: top entries by relevance·(1 + log2(access+1))·recency, within a token budget."""
-    w0 = Window.partitionBy(*by).orderBy(F.desc("relevance_score"), F.desc("access_count"), "id")
-    pool = k.withColumn("_r", F.row_number().over(w0)).where(F.col("_r") <= first)
+def critical_lines(k: DataFrame, by: list[str], as_of, budget: int, take: int = 10) -> DataFrame:
+    """The primer's critical layer: of all entries the top ones by relevance·(1 + log2(access+1))·recency, within a token budget."""
     age = F.greatest(F.lit(0.0), E.days_between(F.coalesce("last_accessed", "created_at"), as_of))
     s = F.col("relevance_score") * (1 + F.log2(F.greatest(F.lit(1), F.col("access_count") + 1))) * E.decay(age, 7)
-    pool = pool.withColumns({"score": s, "line": F.concat(F.lit("- "), "title", F.lit(": "), F.substring("content", 1, 120))})
-    w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "id")  # at most `first` rows per group
+    pool = k.withColumns({"score": s, "line": F.concat(F.lit("- "), "title", F.lit(": "), F.substring("content", 1, 120))})
+    w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "id")
     pool = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= take)
     pool = pool.withColumn("used", F.sum(E.estimate_tokens("line")).over(w))
     return pool.where(F.col("used") <= budget)
 
 
-def narrative(o: DataFrame, by: list[str], style: str, patterns: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+def narrative(o: DataFrame, by: list[str], style: str, patterns: DataFrame | None = None, people: DataFrame | None = None, tasks: DataFrame | None = None) -> DataFrame:
     """One text per group in a style: pr, standup, adr or onboarding.
 
     Newest ten decisions, five errors and ten changes per group feed the text;
-    ``patterns`` / ``people`` (group, name) feed onboarding.
+    ``patterns`` / ``people`` (group, names) feed onboarding, ``tasks`` (group, names) the standup's next steps.
     """
     t = F.col("type")
     kind = F.when(t == "decision", "d").when(t == "error", "e").when(t.isin("code", "commit"), "c")
@@ -239,7 +259,7 @@ def narrative(o: DataFrame, by: list[str], style: str, patterns: DataFrame | Non
     o = o.where(F.col("_r") <= F.when(F.col("_k") == "e", 5).otherwise(10)).withColumn("_l", F.substring("content", 1, 150))
     item = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct("_r", "_l")))), lambda s: s["_l"])
     g = o.groupBy(*by).agg(item("d").alias("d"), item("e").alias("e"), item("c").alias("c"))
-    for name, extra in (("p", patterns), ("w", people)):
+    for name, extra in (("p", patterns), ("w", people), ("t", tasks)):
         g = g.join(extra.withColumnRenamed("names", name), by, "left") if extra is not None else g.withColumn(name, F.array().cast("array<string>"))
     bullets = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")
     or_else = lambda a, text: F.when(F.size(a) > 0, bullets(a)).otherwise(text)
@@ -250,7 +270,7 @@ def narrative(o: DataFrame, by: list[str], style: str, patterns: DataFrame | Non
         text = F.concat(F.lit("## Summary\n"), or_else(c, "No code changes recorded."), part("## Decisions", d), part("## Issues Resolved", e),
                         F.lit("\n\n## Test Plan\n- [ ] Verify changes work as expected\n- [ ] Run existing test suite"))
     elif style == "standup":
-        text = F.concat(F.lit("**Done:**\n"), or_else(top("c", 3), "- No changes recorded"), F.lit("\n\n**Next:**\n- Continue current work\n\n**Blockers:**\n"), or_else(top("e", 2), "- None"))
+        text = F.concat(F.lit("**Done:**\n"), or_else(top("c", 3), "- No changes recorded"), F.lit("\n\n**Next:**\n"), or_else(F.coalesce("t", F.array().cast("array<string>")), "- Continue current work"), F.lit("\n\n**Blockers:**\n"), or_else(top("e", 2), "- None"))
     elif style == "adr":
         text = F.concat(F.lit("# "), F.coalesce(F.get(d, F.lit(0)), F.lit("Untitled Decision")), F.lit("\n\n## Context\n"), or_else(e, "- Context not recorded"),
                         F.lit("\n\n## Decision\n"), or_else(d, "- Decision not recorded"), F.lit("\n\n## Consequences\n"), or_else(top("c", 3), "- Consequences not yet observed"))
@@ -274,9 +294,10 @@ def snapshot_categories(obs: DataFrame, events: DataFrame, tokens: DataFrame, kn
     text = lambda df, line, sep="\n": lines_per(df.withColumn("_l", line), ["session_id"], "_r", "_l", sep, "content")
     dash = lambda c: F.concat(F.lit("- "), c)
     out = {}
-    f = newest(obs.where("file_path is not null"), 50)
-    per = f.groupBy("session_id", "file_path").agg(F.min("_r").alias("_first"), F.sum((~F.col("edited")).cast("int")).alias("r"), F.sum(F.col("edited").cast("int")).alias("w"))
-    per = per.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy("_first"))).where("_r <= 10")
+    # counts are over all rows of the session; files and tools are then ranked
+    f = obs.where("file_path is not null")
+    per = f.groupBy("session_id", "file_path").agg(F.max(F.struct("indexed_at", "id")).alias("_last"), F.sum((~F.col("edited")).cast("int")).alias("r"), F.sum(F.col("edited").cast("int")).alias("w"))
+    per = per.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("_last")))).where("_r <= 10")
     out["files"] = text(per, F.concat(F.lit("- "), "file_path", F.lit(" (read:"), F.col("r").cast("string"), F.lit(", write:"), F.col("w").cast("string"), F.lit(")")))
     done = events.where("event_type = 'task_complete'").select("session_id", "item").distinct()
     out["tasks"] = text(newest(events.where("event_type = 'task_start'").join(done, ["session_id", "item"], "left_anti"), 20, "ts"), dash(F.col("item")))
@@ -291,7 +312,7 @@ def snapshot_categories(obs: DataFrame, events: DataFrame, tokens: DataFrame, kn
     out["cwd"] = text(newest(events.where("event_type = 'cwd_change'"), 1, "ts"), F.col("item"))
     out["env"] = text(newest(events.where("event_type = 'dependency_change'"), 5, "ts"), dash(F.coalesce("item", "event_type")))
     out["plan"] = text(newest(events.where("event_type = 'plan'"), 1, "ts"), F.coalesce("item", F.lit("Active plan exists")))
-    ev = newest(events, 100, "ts").groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
+    ev = events.groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
     ev = ev.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("n"), "event_type"))).where("_r <= 8")
     out["mcp_tools"] = text(ev, F.concat_ws(":", "event_type", "n"), ", ")
     ty = obs.groupBy("session_id", "type").agg(F.count("*").alias("n"))

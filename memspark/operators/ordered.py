@@ -19,6 +19,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bucket_width(rows: DataFrame, at: str, task_rows: int = 1_000_000, most: int = 86400) -> int:
+    """Seconds of a bucket that holds ``task_rows`` rows on average, a day at most: for orders over a whole table, where a bucket is a task."""
+    n, low, high = rows.agg(F.count("*"), F.unix_seconds(F.min(at)), F.unix_seconds(F.max(at))).first()
+    return most if not n or low is None else max(1, min(most, int((high - low + 1) * task_rows / n)))
+
+
 def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, _B]]
     on = cond[0]

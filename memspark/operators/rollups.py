@@ -184,18 +184,23 @@ def csv_profile(ls: DataFrame) -> DataFrame:
 
 
 def json_profile(df: DataFrame, text: str, max_depth: int = 3) -> DataFrame:
-    """(path, type, n) of a JSON corpus down to ``max_depth``; arrays are described by their first element."""
+    """(path, type, length, n) of a JSON corpus, the root and paths down to ``max_depth``.
+
+    Arrays are described by their first element and have a row for each length that occurs; ``length`` is null
+    for all other types.
+    """
     level = df.select(F.lit("$").alias("path"), F.col(text).alias("j")).where(valid_json("j"))
-    out = None
+    described = lambda d: d.select("path", _json_type("j").alias("type"), F.when(F.col("j").rlike(r"^\s*\["), F.json_array_length("j")).cast("bigint").alias("length"))
+    out = described(level)
+    level = level.select("path", F.when(F.col("j").rlike(r"^\s*\["), F.get_json_object("j", "$[0]")).otherwise(F.col("j")).alias("j")).where(F.col("j").isNotNull())
     for depth in range(1, max_depth + 1):
         is_obj = F.col("j").rlike(r"^\s*\{")
         fields = level.where(is_obj).select("path", F.explode(F.from_json("j", "map<string,string>")).alias("k", "v"))
         fields = fields.select(F.concat("path", F.lit("."), "k").alias("path"), "k", F.col("v").alias("j"))
-        t = fields.select("path", _json_type("j").alias("type"))
-        out = t if out is None else out.unionByName(t)
+        out = out.unionByName(described(fields))
         first = F.when(F.col("j").rlike(r"^\s*\["), F.get_json_object("j", "$[0]")).otherwise(F.col("j"))
         level = fields.select("path", first.alias("j")).where(F.col("j").isNotNull())
-    return out.groupBy("path", "type").agg(F.count("*").alias("n"))
+    return out.groupBy("path", "type", "length").agg(F.count("*").alias("n"))
 
 
 def _json_type(v) -> Column:

@@ -84,6 +84,26 @@ def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame,
     return full.where(hit).select("query_id", "id")
 
 
+def knowledge_list(know: DataFrame, index, substring_index, queries: DataFrame, limit: int = 50) -> DataFrame:
+    """Entries that hold some word of the search box, the most used first; a box without a word is looked for as it is.
+
+    ``index`` answers words, ``substring_index`` (title and content) substrings; ``know(id, title, content, access_count)``.
+    """
+    words = box_words()
+    form = Q.any_word(queries, words)
+    matched = I.phrase_hits(index, form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id")
+    blank = contains_text(know, "id", ["title", "content"], queries.where(F.size(words) == 0), substring_index)
+    found = matched.unionByName(blank).distinct().join(know.select("id", "access_count"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("access_count"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def category_list(know: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest entries of each category that are not archived; ``know(id, category, created_at, archived, ...)``."""
+    w = Window.partitionBy("category").orderBy(F.desc("created_at"), F.desc("id"))
+    return know.where("not archived").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def chunk_search(chunks: DataFrame, index, queries: DataFrame, limit: int = 5, budget: int = 1536) -> DataFrame:
     """OR search over heading + content with identifiers split, filled up to a byte budget.
 

@@ -36,6 +36,8 @@ PIECE_TOKENS = 20_000_000
 PUSHED, PAGED = 10_000, 200
 #: Segments of one size class that a merge takes together, and how much larger the next class is.
 FAN_IN = 8
+#: What an index may hold: ``words`` bring the trigrams of the distinct words with them.
+KINDS = ("tokens", "pairs", "words")
 MANIFEST = "version bigint, commit string, kind string, name string, seq bigint, docs bigint, tokens bigint, chars bigint"
 ROW = ["kind", "name", "seq", "docs", "tokens", "chars"]
 ZONES = "segment string, kind string, file string, first string, last string"
@@ -50,15 +52,15 @@ class Index:
         self.refresh()
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str) -> Index:
-        """An index of nothing."""
-        _write_manifest(spark, path, 0, uuid.uuid4().hex, [])
+    def create(cls, spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS) -> Index:
+        """An index of nothing that will hold ``kinds``."""
+        _write_manifest(spark, path, 0, uuid.uuid4().hex, kinds, [])
         return cls(spark, path)
 
     @classmethod
-    def write(cls, df: DataFrame, id_: str, text: str, path: str) -> Index:
+    def write(cls, df: DataFrame, id_: str, text: str, path: str, kinds: tuple[str, ...] = KINDS) -> Index:
         """An index of one table."""
-        return cls.create(df.sparkSession, path).append(df, id_, text)
+        return cls.create(df.sparkSession, path, kinds).append(df, id_, text)
 
     def refresh(self) -> Index:
         """Read the last committed version; a writer that lost the race for it is passed over."""
@@ -66,6 +68,7 @@ class Index:
         self.version = max(r["version"] for r in rows)
         self.commit = min(r["commit"] for r in rows if r["version"] == self.version)
         live = [r for r in rows if r["version"] == self.version and r["commit"] == self.commit]
+        self.kinds = tuple(next(r["name"] for r in live if r["kind"] == "version").split(","))
         self.segments = sorted((tuple(r[c] for c in ROW) for r in live if r["kind"] == "segment"), key=lambda s: (s[2], s[1]))
         self.tombstones = sorted((tuple(r[c] for c in ROW) for r in live if r["kind"] == "tombstones"), key=lambda s: (s[2], s[1]))
         return self
@@ -236,7 +239,7 @@ class Index:
         tok = cut(I.tokenised(body, "id", "_text", F.length("_text").cast("bigint").alias("chars"), words_ws("_text").alias("words")), "tokens")
         parts = {"tokens": I.unit_occurrences(tok, with_pairs=False), "pairs": I.unit_occurrences(tok).where(F.contains("unit", F.lit(" "))),
                  "words": tok.select("id", F.col("chars").alias("dl"), F.posexplode("words").alias("pos", "unit"))}
-        return self._written(name, seq, tok.select("id", "dl", "chars"), parts)
+        return self._written(name, seq, tok.select("id", "dl", "chars"), {k: parts[k] for k in self.kinds})
 
     def _written(self, name: str, seq: int, docs: DataFrame, parts: dict[str, DataFrame], grouped: bool = False) -> tuple:
         folder = f"{self.path}/segments/{name}"
@@ -248,12 +251,13 @@ class Index:
             if not grouped:  # the occurrences of a unit in a document are in one task already
                 dealt = dealt.groupBy("unit", "id", "dl").agg(F.count("*").alias("tf"), *[F.array_sort(F.collect_list("pos")).alias("at")] * (kind == "pairs"))
             _sorted(dealt, ["unit", "id"], f"{folder}/{kind}")
-        words = self.spark.read.parquet(f"{folder}/words").groupBy(F.col("unit").alias("word")).agg(F.count("*").alias("docs"))
-        words.write.parquet(f"{folder}/vocabulary")
-        grams = R.grams_of(self.spark.read.parquet(f"{folder}/vocabulary")).select(F.col("gram").alias("unit"), "word")
-        _sorted(grams.repartitionByRange(pieces, "unit", "word"), ["unit", "word"], f"{folder}/grams")
+        if "words" in parts:
+            words = self.spark.read.parquet(f"{folder}/words").groupBy(F.col("unit").alias("word")).agg(F.count("*").alias("docs"))
+            words.write.parquet(f"{folder}/vocabulary")
+            grams = R.grams_of(self.spark.read.parquet(f"{folder}/vocabulary")).select(F.col("gram").alias("unit"), "word")
+            _sorted(grams.repartitionByRange(pieces, "unit", "word"), ["unit", "word"], f"{folder}/grams")
         zones = None
-        for kind in (*parts, "grams"):
+        for kind in (*parts, *["grams"] * ("words" in parts)):
             read = self.spark.read.parquet(f"{folder}/{kind}").select("unit", F.col("_metadata.file_name").alias("file"))
             zone = read.groupBy("file").agg(F.min("unit").alias("first"), F.max("unit").alias("last")).select(F.lit(name).alias("segment"), F.lit(kind).alias("kind"), "file", "first", "last")
             zones = zone if zones is None else zones.unionByName(zone)
@@ -263,7 +267,7 @@ class Index:
     def _merged(self, segments: list[tuple], name: str) -> tuple:
         """One segment of the live rows of several; nothing buried so far concerns it, so it takes the new version's number."""
         docs = self._live(self._union([self._table(s, "docs") for s in segments]))
-        parts = {k: self._live(self._union([self._table(s, k) for s in segments])) for k in ("tokens", "pairs", "words")}
+        parts = {k: self._live(self._union([self._table(s, k) for s in segments])) for k in self.kinds}
         return self._written(name, self.version + 1, docs, parts, grouped=True)
 
     def _bury(self, ids: DataFrame, seq: int) -> list[tuple]:
@@ -284,7 +288,7 @@ class Index:
 
     def _commit(self, rows: list[tuple]) -> Index:
         commit = uuid.uuid4().hex
-        _write_manifest(self.spark, self.path, self.version + 1, commit, rows)
+        _write_manifest(self.spark, self.path, self.version + 1, commit, self.kinds, rows)
         if self.refresh().commit != commit:
             raise RuntimeError("another writer has committed first; the index shows its version now")
         return self
@@ -299,9 +303,9 @@ def _sorted(rows: DataFrame, by: list[str], path: str) -> None:
     rows.sortWithinPartitions(*by).write.option("parquet.block.size", 32 << 20).parquet(path)
 
 
-def _write_manifest(spark: SparkSession, path: str, version: int, commit: str, rows: list[tuple]) -> None:
-    """One file for a version: the rows, and one that stands for the version itself."""
-    data = [(version, commit, *r) for r in [("version", "", 0, 0, 0, 0), *rows]]
+def _write_manifest(spark: SparkSession, path: str, version: int, commit: str, kinds: tuple[str, ...], rows: list[tuple]) -> None:
+    """One file for a version: the rows, and one that stands for the version itself and names the kinds."""
+    data = [(version, commit, *r) for r in [("version", ",".join(kinds), 0, 0, 0, 0), *rows]]
     spark.createDataFrame(data, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/manifest")
 
 
@@ -315,9 +319,9 @@ def fingerprint(df: DataFrame) -> str:
     return f"{n}-{h}"
 
 
-def kept_index(df: DataFrame, id_: str, text: str, label: str, known: dict[tuple[str, str, str], Index]) -> Index:
+def kept_index(df: DataFrame, id_: str, text: str, label: str, known: dict[tuple[str, str, str], Index], kinds: tuple[str, ...] = KINDS) -> Index:
     """The index of a table in ``known``, made anew where the table's files are others than they were."""
     key = (df.sparkSession.sparkContext.applicationId, label, fingerprint(df))
     if key not in known:
-        known[key] = Index.write(df, id_, text, run_dir(df.sparkSession, label))
+        known[key] = Index.write(df, id_, text, run_dir(df.sparkSession, label), kinds)
     return known[key]

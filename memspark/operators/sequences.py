@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window
 
 from ..session import cut
-from .ordered import neighbours, running
+from .ordered import bucket_width, neighbours, running
 
 
-def anchor_timeline(rows: DataFrame, anchors: DataFrame, before: int, after: int, bucket_seconds: int = 86400) -> DataFrame:
+def anchor_timeline(rows: DataFrame, anchors: DataFrame, before: int, after: int, bucket_seconds: int | None = None) -> DataFrame:
     """(anchor_id, id, offset): rows within ``before``/``after`` places of every anchor, anchor at 0.
 
-    Places come from bucketed counting; each anchor asks for its places by an equi-join.
+    Places come from bucketed counting; each anchor asks for its places by an equi-join. Buckets are cut by the rows' density.
     """
+    bucket_seconds = bucket_seconds or bucket_width(rows, "ts")
     p = running(rows, [], ["ts", "id"], F.floor(F.unix_timestamp("ts") / bucket_seconds), count="_pos")
     a = p.join(anchors.select("id"), "id", "left_semi").select(F.col("id").alias("anchor_id"), F.col("_pos").alias("_a"))
     want = a.select("anchor_id", "_a", F.explode(F.sequence(F.col("_a") - before, F.col("_a") + after)).alias("_pos"))

@@ -34,6 +34,37 @@ def gr2(spark, sf):
     return G.remove_entities(edges(spark, sf), gone).groupBy("src").agg(F.count("*").alias("n"))
 
 
+def entity_rows(spark, sf):
+    """Suppliers and parts as entities; a part and a supplier may have one name."""
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), (F.col("s_suppkey") % 40).cast("string")).alias("name"), F.lit("person").alias("type"), F.col("s_nationkey").cast("string").alias("metadata"))
+    p = table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(F.lit("n"), (F.col("p_partkey") % 60).cast("string")).alias("name"), F.lit("module").alias("type"), F.col("p_size").cast("string").alias("metadata"))
+    return s.unionByName(p).withColumn("updated_at", ts("2024-01-01 00:00:00"))
+
+
+_ENT = """en AS (SELECT concat('s', s_suppkey) AS id, concat('n', s_suppkey % 40) AS name, 'person' AS type, CAST(s_nationkey AS VARCHAR) AS metadata FROM supplier
+ UNION ALL SELECT concat('p', p_partkey), concat('n', p_partkey % 60), 'module', CAST(p_size AS VARCHAR) FROM part)"""
+
+
+@query("gr2_find_entities", f"""WITH {_ENT} SELECT n_nationkey AS query_id, id, name, type FROM nation JOIN en ON name = concat('n', n_nationkey * 3) AND (n_nationkey % 3 = 0 OR type = CASE n_nationkey % 3 WHEN 1 THEN 'person' ELSE 'module' END)""")
+def gr2f(spark, sf):
+    """Exact names, for a third of the questions of any type, else of one."""
+    n = F.col("n_nationkey")
+    q = table(spark, sf, "nation").select(n.alias("query_id"), F.concat(F.lit("n"), (n * 3).cast("string")).alias("name"), F.when(n % 3 == 1, "person").when(n % 3 == 2, "module").alias("type"))
+    return G.find_entities(entity_rows(spark, sf), q).select("query_id", "id", "name", "type")
+
+
+@query("gr2_update_entities", f"""WITH {_ENT}, up AS (SELECT concat('p', l_partkey) AS id, arg_max(CASE WHEN l_returnflag = 'R' THEN concat('r', l_suppkey) END, (epoch(l_shipdate) * 1000000 + l_orderkey) * 10 + l_linenumber) FILTER (l_returnflag = 'R') AS name,
+ arg_max(l_linestatus, (epoch(l_shipdate) * 1000000 + l_orderkey) * 10 + l_linenumber) FILTER (l_linenumber = 2) AS metadata FROM lineitem WHERE l_partkey % 5 = 0 AND (l_returnflag = 'R' OR l_linenumber = 2) GROUP BY l_partkey)
+SELECT id, coalesce(up.name, en.name) AS name, type, coalesce(up.metadata, en.metadata) AS metadata, up.id IS NOT NULL AS updated FROM en LEFT JOIN up USING (id)""")
+def gr2u(spark, sf):
+    """New names and metadata, the last write of each field counts."""
+    li = table(spark, sf, "lineitem").where("l_partkey % 5 = 0 AND (l_returnflag = 'R' OR l_linenumber = 2)")
+    up = li.select(F.concat(F.lit("p"), "l_partkey").alias("id"), ((F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1000000 + F.col("l_orderkey")) * 10 + F.col("l_linenumber")).alias("at"),
+                   F.when(F.col("l_returnflag") == "R", F.concat(F.lit("r"), "l_suppkey")).alias("name"), F.when(F.col("l_linenumber") == 2, F.col("l_linestatus")).alias("metadata"))
+    r = G.update_entities(entity_rows(spark, sf), up, ts("2024-02-01 00:00:00"))
+    return r.select("id", "name", "type", "metadata", (F.col("updated_at") > ts("2024-01-15 00:00:00")).alias("updated"))
+
+
 _SEEDS = "sd AS (SELECT concat('s', min(s_suppkey)) AS node FROM supplier GROUP BY s_nationkey)"
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, Window
 
 from ..functions import constants as C, enrich as E, language as L
 from ..functions.text import round6
-from ..operators import analytics as A, entry_checks as EC, feedback as FB, index as I, joins as J, maintenance as M, query_forms as Q, retrieval as R, sequences as SQ, similarity as SI
+from ..operators import analytics as A, entry_checks as EC, feedback as FB, fingerprints as FP, index as I, joins as J, maintenance as M, query_forms as Q, retrieval as R, sequences as SQ, similarity as SI
 from ..session import cut, spread
 from ..views import AS_OF, EVENTS_AS_OF, access_log, edges, events, facts, knowledge, observations, pick, table, tokens, ts
 from .enrich import _IMP, _TIERED, tiered, vlist
@@ -116,6 +116,16 @@ def k6(spark, sf):
     return M.with_authority(state(spark, sf), access(spark, sf), ts(AS_OF)).select("id", round6("authority").alias("authority"))
 
 
+@query("r24_category_list", ksql("SELECT category, rank, id, round(authority, 6) AS authority FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, id DESC) AS rank FROM state QUALIFY rank <= 20) JOIN au USING (id)", _AUTH_SQL))
+def r24c(spark, sf):
+    """The newest entries of each category with their authority."""
+    from ..operators import search as S
+
+    top = S.category_list(state(spark, sf)).select("id", "category", F.col("rank").cast("bigint").alias("rank"))
+    a = M.with_authority(state(spark, sf).join(top.select("id"), "id", "left_semi"), access(spark, sf), ts(AS_OF))
+    return top.join(a.select("id", round6("authority").alias("authority")), "id").select("category", "rank", "id", "authority")
+
+
 @query("k7_confidence", ksql(f"""SELECT id, round(0.3e0 * CASE source_type WHEN 'explicit' THEN 1.0e0 WHEN 'inferred' THEN 0.6e0 ELSE 0.4e0 END + 0.25e0 * pow(0.5e0, {DAYS('created_at')} / 14) + 0.2e0 * least(1, log2(access_count + 2) / 10)
  + 0.15e0 * least(1, coalesce(sessions, 0) / 5.0e0) + 0.1e0 * CASE WHEN {DAYS('last_accessed')} > 30 THEN 0.3e0 WHEN contradiction_count > 0 THEN 0.5e0 ELSE 1 END, 6) AS confidence FROM state LEFT JOIN sess USING (id)"""))
 def k7(spark, sf):
@@ -334,6 +344,14 @@ def k21(spark, sf):
     return M.retain(e, ts(EVENTS_AS_OF), 20, 3000, ["decision"]).groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+@query("k21_private_rows", sql("SELECT session_id, count(*) AS n, count(*) FILTER (id % 9 = 0) AS private FROM v_observations WHERE NOT (id % 9 = 0 AND session_id IN ('s3', 's7', 's11')) GROUP BY session_id", "v_observations"))
+def k21p(spark, sf):
+    """Sessions that have ended lose their private rows."""
+    o = observations(spark, sf).withColumn("privacy_level", F.when(F.col("id") % 9 == 0, "private").otherwise("public"))
+    ended = o.where(F.col("session_id").isin("s3", "s7", "s11")).select("session_id")
+    return M.cleanup_sessions(o, ended).groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.col("privacy_level") == "private").alias("private"))
+
+
 @query("k22_profile", sql("""SELECT project, string_agg(concat(['Decisions: ', 'Patterns: ', 'Tech: ', 'Recent issues: '][s + 1], t), chr(10) ORDER BY s) AS profile FROM (SELECT project, s, string_agg(title, ', ' ORDER BY r) AS t FROM (
 SELECT *, row_number() OVER (PARTITION BY project, s ORDER BY CASE WHEN s IN (0, 3) THEN epoch_us(created_at) ELSE access_count END DESC, id) AS r FROM (
  SELECT *, CASE category WHEN 'decision' THEN 0 WHEN 'pattern' THEN 1 WHEN 'error' THEN 3 ELSE 2 END AS s FROM v_knowledge)) WHERE r <= CASE WHEN s < 2 THEN 5 ELSE 3 END GROUP BY project, s) GROUP BY project""", "v_knowledge"))
@@ -343,7 +361,7 @@ def k22(spark, sf):
 
 @query("k23_primer_critical", ksql(f"""SELECT project, id, rank, used FROM (SELECT project, id, rank, CAST(sum(ceil(octet_length(encode(line)) / 4.0)) OVER (PARTITION BY project ORDER BY rank) AS BIGINT) AS used FROM (
 SELECT project, id, concat('- ', title, ': ', substr(content, 1, 120)) AS line, row_number() OVER (PARTITION BY project ORDER BY round(relevance_score * (1 + log2(access_count + 1)) * pow(0.5e0, greatest(0, {DAYS('last_accessed')}) / 7), 9) DESC, id) AS rank FROM (
- SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY project ORDER BY relevance_score DESC, access_count DESC, id) <= 20)) WHERE rank <= 10) WHERE used <= 280"""))
+ SELECT * FROM state)) WHERE rank <= 10) WHERE used <= 280"""))
 def k23(spark, sf):
     c = M.critical_lines(state(spark, sf), ["project"], ts(AS_OF), 280)
     return c.select("project", "id", F.col("rank").cast("bigint").alias("rank"), "used")
@@ -398,7 +416,7 @@ _SO = """so AS (SELECT *, CASE WHEN id % 3 = 0 THEN concat('src/', project, '/f'
 
 
 @query("k24_snapshot_files", sql("""SELECT session_id, string_agg(concat('- ', file_path, ' (read:', r, ', write:', w, ')'), chr(10) ORDER BY f) AS content FROM (SELECT session_id, file_path, min(rn) AS f, count(*) FILTER (NOT edited) AS r, count(*) FILTER (edited) AS w FROM (
- SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY indexed_at DESC, id DESC) AS rn FROM so WHERE file_path IS NOT NULL) WHERE rn <= 50 GROUP BY ALL QUALIFY_X""".replace("GROUP BY ALL QUALIFY_X", "GROUP BY session_id, file_path QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY min(rn)) <= 10) GROUP BY session_id"), "v_observations", ctes=_SO + "\n"))
+ SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY indexed_at DESC, id DESC) AS rn FROM so WHERE file_path IS NOT NULL) GROUP BY ALL QUALIFY_X""".replace("GROUP BY ALL QUALIFY_X", "GROUP BY session_id, file_path QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY min(rn)) <= 10) GROUP BY session_id"), "v_observations", ctes=_SO + "\n"))
 def k24f(spark, sf):
     t = tokens(spark, sf).select(F.col("session_id").cast("string"), "tokens_in", F.lit(0).cast("bigint").alias("tokens_out"))
     cats = M.snapshot_categories(session_obs(spark, sf), session_events(spark, sf), t, knowledge(spark, sf))
@@ -433,6 +451,20 @@ def k26n(spark, sf):
     return M.narrative(observations(spark, sf), ["session_id"], "pr")
 
 
+_TASKS = """ev AS (SELECT concat('s', session_id % 20) AS session_id, id, ts, k AS item, CASE id % 9 WHEN 0 THEN 'task_start' WHEN 1 THEN 'task_complete' END AS t FROM v_events),
+op AS (SELECT session_id, item, max(ts) AS ts, arg_max(id, (ts, id)) AS id FROM ev WHERE t = 'task_start' AND (session_id, item) NOT IN (SELECT (session_id, item) FROM ev WHERE t = 'task_complete') GROUP BY session_id, item),
+tk AS (SELECT session_id, string_agg(concat('- ', item), chr(10) ORDER BY r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS r FROM op) WHERE r <= 5 GROUP BY session_id)"""
+
+
+@query("k26_narrative_standup", sql("""SELECT session_id, concat('**Done:**', chr(10), coalesce((SELECT string_agg(concat('- ', l), chr(10) ORDER BY r) FROM n WHERE n.session_id = b.session_id AND k = 'c' AND r <= 3), '- No changes recorded'),
+ chr(10), chr(10), '**Next:**', chr(10), coalesce(t, '- Continue current work'), chr(10), chr(10), '**Blockers:**', chr(10), coalesce((SELECT string_agg(concat('- ', l), chr(10) ORDER BY r) FROM n WHERE n.session_id = b.session_id AND k = 'e' AND r <= 2), '- None')) AS text FROM b LEFT JOIN tk USING (session_id)""",
+ "v_observations", "v_events", ctes=_NAR + ", " + _TASKS + "\n"))
+def k26s(spark, sf):
+    """What was done, the session's open tasks, what blocks."""
+    e = events(spark, sf).select(F.concat(F.lit("s"), (F.col("session_id") % 20).cast("string")).alias("session_id"), "id", "ts", F.col("k").alias("item"), F.when(F.col("id") % 9 == 0, "task_start").when(F.col("id") % 9 == 1, "task_complete").alias("event_type"))
+    return M.narrative(observations(spark, sf), ["session_id"], "standup", tasks=M.open_tasks(e, ["session_id"]))
+
+
 @query("k26_narratives")
 def k26a(spark, sf):
     o, k = observations(spark, sf), knowledge(spark, sf)
@@ -515,6 +547,86 @@ def k28(spark, sf):
     return n.join(s, "session_id")
 
 
+_T0 = "TIMESTAMP '2024-01-20 00:00:00'"
+_PRINTS = f"""kk AS (SELECT project, 'knowledge' AS kind, CAST(id AS VARCHAR) AS item, created_at AS f, CASE WHEN source_type <> 'explicit' THEN last_accessed + INTERVAL 90 DAY END AS t FROM v_knowledge),
+ff AS (SELECT concat('src', session_id % 20) AS project, 'file' AS kind, k AS item, min(ts) AS f, NULL::TIMESTAMP AS t FROM v_events WHERE event_type IN ('file_read', 'file_modify') GROUP BY ALL),
+tn AS (SELECT o.project, 'entity' AS kind, topic AS item, min(indexed_at) AS f, NULL::TIMESTAMP AS t FROM ({_TOPICS('v_observations', 'id', 'content')}) x JOIN v_observations o USING (id) GROUP BY ALL),
+er AS (SELECT project, 'error' AS kind, substr(content, 1, 150) AS item, min(indexed_at) AS f, max(indexed_at) + INTERVAL 24 HOUR AS t FROM v_observations WHERE type = 'error' GROUP BY ALL),
+it AS (SELECT * FROM kk UNION ALL SELECT * FROM ff UNION ALL SELECT * FROM tn UNION ALL SELECT * FROM er),
+df AS (SELECT * FROM (SELECT *, CASE WHEN kind = 'error' THEN CASE WHEN f > {_T0} AND f <= {T} THEN 'added' END WHEN b AND NOT a THEN 'added' WHEN a AND NOT b THEN 'removed' END AS change
+  FROM (SELECT *, f <= {_T0} AND (t IS NULL OR t > {_T0}) AS a, f <= {T} AND (t IS NULL OR t > {T}) AS b FROM it)) WHERE change IS NOT NULL)"""
+
+
+def print_items(spark, sf):
+    """Entries, files, topics and errors of each source as intervals."""
+    o = spread(observations(spark, sf), "id")
+    k = knowledge(spark, sf).select("project", "id", "created_at", F.when(F.col("source_type") != "explicit", F.col("last_accessed") + F.expr("interval 90 days")).alias("archived_at"))
+    files = events(spark, sf).where(F.col("event_type").isin("file_read", "file_modify")).select(F.concat(F.lit("src"), (F.col("session_id") % 20).cast("string")).alias("project"), F.col("k").alias("file"), "ts")
+    named = o.select("project", "indexed_at", F.explode(F.transform(E.topics("content"), lambda s: s["topic"])).alias("name")).withColumnRenamed("indexed_at", "seen_at")
+    return FP.items(["project"], k, files, named, o.where("type = 'error'").select("project", "content", "indexed_at"))
+
+
+@query("k28_fingerprint", sql(f"SELECT project, kind, count(*) AS n, min(item) AS first_item, max(item) AS last_item FROM it WHERE f <= {_T0} AND (t IS NULL OR t > {_T0}) GROUP BY ALL", "v_knowledge", "v_events", "v_observations", ctes=_PRINTS + "\n"))
+def k28p(spark, sf):
+    """Ids, files, entities and errors of each source as of a time."""
+    held = FP.fingerprint(print_items(spark, sf), ts("2024-01-20 00:00:00"))
+    return held.groupBy("project", "kind").agg(F.count("*").alias("n"), F.min("item").alias("first_item"), F.max("item").alias("last_item"))
+
+
+@query("k28_diff", sql("SELECT project, kind, change, item FROM df", "v_knowledge", "v_events", "v_observations", ctes=_PRINTS + "\n"))
+def k28d(spark, sf):
+    """What changed between two times, by kind."""
+    return FP.diff(print_items(spark, sf), ["project"], ts("2024-01-20 00:00:00"), ts(AS_OF)).drop("valid_from")
+
+
+@query("k28_causes", sql(f"""SELECT project, concat_ws(' | ', CASE WHEN count(*) FILTER (kind = 'error') > 0 AND count(*) FILTER (kind = 'knowledge' AND change = 'removed') > 0 THEN '{FP.KNOWLEDGE_CHANGED}' END,
+ '{FP.NEW_COMPONENTS}' || string_agg(item, ', ' ORDER BY f DESC, item) FILTER (kind = 'entity' AND change = 'added' AND r <= 10)) AS causes FROM (SELECT *, row_number() OVER (PARTITION BY project, kind, change ORDER BY f DESC, item) AS r FROM df) GROUP BY project""",
+    "v_knowledge", "v_events", "v_observations", ctes=_PRINTS + "\n"))
+def k28c(spark, sf):
+    """Likely causes for each source."""
+    changes = cut(FP.diff(print_items(spark, sf), ["project"], ts("2024-01-20 00:00:00"), ts(AS_OF)), "changes")
+    return FP.causes(changes, ["project"]).select("project", F.array_join("causes", " | ").alias("causes"))
+
+
+_HAND = f"""hs AS (SELECT DISTINCT session_id, CAST(substr(session_id, 2) AS INT) AS n FROM v_observations),
+hk AS (SELECT conv_id, concat('s', conv_id % 25) AS session_id, octet_length(encode(text)) AS b FROM conversations),
+hc AS (SELECT session_id, CASE WHEN n % 4 = 0 THEN concat('chain-', n) WHEN n % 4 = 1 THEN concat('chain-', n - 1) ELSE concat('chain-', session_id) END AS chain_id, CASE n % 2 WHEN 0 THEN 'Manual handoff' ELSE concat('reason ', n) END AS summary FROM hs),
+hu AS (SELECT session_id, CAST(sum(CAST(ceil(b / 4.0) AS BIGINT)) AS BIGINT) AS used FROM hk GROUP BY session_id),
+hl AS (SELECT session_id, type, string_agg(concat('- ', substr(content, 1, 60)), chr(10) ORDER BY r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY session_id, type ORDER BY indexed_at DESC, id DESC) AS r FROM v_observations WHERE type IN ('decision', 'error')) WHERE r <= 3 GROUP BY session_id, type)"""
+
+
+def handed_off(spark, sf):
+    """All sessions handed off at once, read back from the committed tables."""
+    from ..operators import handoff as H
+    from ..session import run_dir
+
+    o = observations(spark, sf)
+    n = F.substring("session_id", 2, 10).cast("int")
+    s = o.select("session_id").distinct().select("session_id", F.when(n % 4 == 1, F.concat(F.lit("s"), (n - 1).cast("string"))).alias("parent_session"), F.when(n % 2 == 1, F.concat(F.lit("reason "), n.cast("string"))).alias("reason"))
+    chains = s.where(n % 4 == 0).select("session_id", F.concat(F.lit("chain-"), n.cast("string")).alias("chain_id"))
+    w = Window.partitionBy("session_id", "type").orderBy(F.desc("indexed_at"), F.desc("id"))
+    top = o.where(F.col("type").isin("decision", "error")).withColumn("_r", F.row_number().over(w)).where("_r <= 3").withColumn("_l", F.concat(F.lit("- "), F.substring("content", 1, 60)))
+    cats = M.lines_per(top.withColumn("category", F.concat("type", F.lit("s"))), ["session_id", "category"], "_r", "_l", "\n", "content")
+    snaps = M.as_maps(cats).withColumn("created_at", ts(AS_OF))
+    used = table(spark, sf, "conversations").select(F.concat(F.lit("s"), (F.col("conv_id") % 25).cast("string")).alias("session_id"), E.estimate_tokens("text").alias("tokens"))
+    root = run_dir(spark, "handoff")
+    H.write(root, H.prepare(s, chains, snaps, used, ts(AS_OF), 100_000))
+    return lambda name: H.read(spark, root, name)
+
+
+@query("k29_handoff", sql("SELECT session_id, chain_id, summary, coalesce(used, 0) AS used, CAST(floor(coalesce(used, 0) * 100 / 100000 + 0.5) AS BIGINT) AS percentage FROM hc LEFT JOIN hu USING (session_id)", "v_observations", ctes=_HAND + "\n"))
+def k29h(spark, sf):
+    """Chain, summary and token estimate of every session that was handed off."""
+    return handed_off(spark, sf)("chains").select("session_id", "chain_id", "summary", "used", "percentage")
+
+
+@query("k29_handoff_text", sql("""SELECT session_id, rtrim(concat('## Session Handoff — 2024-05-01 00:00', chr(10), chr(10), '### Summary', chr(10), summary, chr(10), chr(10), coalesce(concat('### Key decisions' || chr(10) || d.c || chr(10) || chr(10)), ''), coalesce(concat('### Recent errors' || chr(10) || e.c || chr(10) || chr(10)), '')), chr(10)) AS text
+FROM hc LEFT JOIN (SELECT * FROM hl WHERE type = 'decision') d USING (session_id) LEFT JOIN (SELECT * FROM hl WHERE type = 'error') e USING (session_id)""", "v_observations", ctes=_HAND + "\n"))
+def k29t(spark, sf):
+    """The continuation text that goes with it."""
+    return handed_off(spark, sf)("texts").select("session_id", "text")
+
+
 @query("k29_chain_append", """WITH c AS (SELECT o_orderkey AS session_id, concat('chain-', o_custkey) AS chain_id FROM orders WHERE o_orderstatus = 'F'),
 n AS (SELECT o_orderkey AS session_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, o_orderstatus AS st FROM orders)
 SELECT n.session_id, coalesce(c.chain_id, concat('chain-', n.session_id)) AS chain_id FROM n LEFT JOIN c ON c.session_id = n.parent WHERE n.session_id NOT IN (SELECT session_id FROM c)""")
@@ -538,6 +650,12 @@ def k30(spark, sf):
     return (item(newest("decision", 3), "decision", "id").unionByName(item(newest("search", 1), "plan", "id")).unionByName(item(done, "file", "k")).unionByName(item(pend, "pending", "k")))
 
 
+@query("k30_highlights", sql("SELECT project, row_number() OVER (PARTITION BY project ORDER BY indexed_at DESC, id DESC) AS rank, id, type, substr(content, 1, 200) AS text FROM v_observations WHERE type IN ('decision', 'error') QUALIFY rank <= 5", "v_observations"))
+def k30h(spark, sf):
+    """The newest five decisions and errors of a project."""
+    return M.highlights(observations(spark, sf), ["project"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("k_cycle", ksql(f"""SELECT step, count(*) AS n FROM (SELECT 'stale' AS step FROM state WHERE {DAYS('last_accessed')} > 30 UNION ALL SELECT 'archive' FROM state WHERE source_type <> 'explicit' AND {DAYS('last_accessed')} > 90
 UNION ALL SELECT 'promote' FROM state JOIN sess USING (id) WHERE shareable AND NOT auto_promoted AND sessions >= 3 AND NOT (source_type <> 'explicit' AND {DAYS('last_accessed')} > 90)
 UNION ALL SELECT 'boost' FROM state JOIN sess USING (id) WHERE sessions >= 3 AND relevance_score < 3 AND NOT (source_type <> 'explicit' AND {DAYS('last_accessed')} > 90)) GROUP BY step"""))

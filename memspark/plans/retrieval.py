@@ -35,7 +35,7 @@ def happened(spark, sf):
     from ..views import events
 
     ev = events(spark, sf, "props").withColumnRenamed("props", "data")
-    return ev, SG.kept_index(ev.withColumn("_t", F.concat_ws(" ", "event_type", "data")), "id", "_t", "events", _KEPT)
+    return ev, SG.kept_index(ev.withColumn("_t", F.concat_ws(" ", "event_type", "data")), "id", "_t", "events", _KEPT, ("words",))
 
 
 def obs(spark, sf):
@@ -107,7 +107,7 @@ def r1(spark, sf):
 @query("r1_index_shape", f"WITH {TK} SELECT count(*) AS postings, (SELECT count(*) FROM tk) AS n_docs, round((SELECT avg(len(t)) FROM tk), 6) AS avgdl FROM (SELECT DISTINCT id, unnest(t) FROM tk)")
 def r1s(spark, sf):
     """A new index each time: its postings are counted from the written pieces."""
-    ix = SG.Index.write(docs(spark, sf), "id", "content", run_dir(spark, "index"))
+    ix = SG.Index.write(docs(spark, sf), "id", "content", run_dir(spark, "index"), ("tokens",))
     n = ix.postings("tokens").agg(F.count("*").alias("postings"))
     s = ix.stats.select(F.struct("n_docs", "avgdl").alias("s")).scalar()
     return n.withColumn("_s", s).select("postings", F.col("_s.n_docs").alias("n_docs"), round6("_s.avgdl").alias("avgdl"))
@@ -120,7 +120,7 @@ _KEPT_UP = """d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN concat(split_pa
 def r1u(spark, sf):
     """Rows inserted in three parts, some changed, some deleted, segments merged: searches find what a new index would."""
     d = docs(spark, sf)
-    ix = SG.Index.write(d.where("id % 3 = 0"), "id", "content", run_dir(spark, "kept"))
+    ix = SG.Index.write(d.where("id % 3 = 0"), "id", "content", run_dir(spark, "kept"), ("tokens", "pairs"))
     ix.append(d.where("id % 3 = 1"), "id", "content").delete(d.where("id % 11 = 5")).append(d.where("id % 3 = 2 AND id % 11 <> 5"), "id", "content")
     changed = d.where("id % 7 = 3 AND id % 11 <> 5").withColumn("content", F.concat(F.element_at(F.split("content", "\n"), 1), F.lit(" "), F.right("content", F.lit(200))))
     ix.upsert(changed, "id", "content").merge(fan_in=2)
@@ -242,6 +242,18 @@ def letter_counts():
     return F.pandas_udf(counts, "array<double>")
 
 
+@query("r8_vector_lists")
+def r8l(spark, sf):
+    """Every hundredth vector against all by inverted lists; the exact search of the same is its test."""
+    from ..operators import vector_lists as VL
+
+    v = spread(vectors(spark, sf), "id")
+    q = vectors(spark, sf).where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    r = VL.search(VL.build(v), q, 10, exclude_self=True)
+    return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+
 # --- R9 .. R11 ---------------------------------------------------------------------
 
 _INTENT = rf"""CASE WHEN list_has_any(ws, {vlist(K.CAUSAL_SIGNALS)}) THEN 'causal' WHEN list_has_any(ws, {vlist(K.TEMPORAL_SIGNALS)}) THEN 'temporal'
@@ -318,7 +330,7 @@ bo AS (SELECT query_id, id, coalesce(dens, 0) * {iw}e0 + {bw}e0 * CASE WHEN len(
 
 
 @query("r11_rerank", _FUSED.replace("{extra}", "").rstrip() + f""",
-{boost_sql('fu', "substr(content, 1, 300)", 0.5, 0.3)},
+{boost_sql('fu', "content", 0.5, 0.3)},
 rs AS (SELECT query_id, count(*) AS n, var_pop(score) AS v, (max(epoch(indexed_at)) - min(epoch(indexed_at))) / 604800.0e0 AS spread FROM fu JOIN v_observations USING (id) GROUP BY ALL),
 rr AS (SELECT f.query_id, f.id, f.score * (
    {_IW(0)} - CASE WHEN intent = 'general' AND n >= 2 AND v < 0.01 THEN 0.15e0 ELSE 0 END + CASE WHEN intent = 'general' AND n >= 2 AND spread < 0.1 THEN 0.15e0 ELSE 0 END
@@ -329,7 +341,7 @@ rr AS (SELECT f.query_id, f.id, f.score * (
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM rr QUALIFY rank <= 5""")
 def r11(spark, sf):
     fused = cut(R.fuse(legs(spark, sf)), "fused")  # read four times by the rerank; at most 80 rows per query
-    o = observations(spark, sf).select("id", F.col("indexed_at").alias("ts"), "access_count", F.substring("content", 1, 300).alias("snippet"))
+    o = observations(spark, sf).select("id", F.col("indexed_at").alias("ts"), "access_count", F.col("content").alias("snippet"))
     r = R.rerank(fused.join(o, "id"), asked(spark, sf), ts(AS_OF))
     return R.top_k(r, 5).select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -350,13 +362,13 @@ def r11s(spark, sf):
 # --- R12 .. R24 ----------------------------------------------------------------------
 
 _RAW = r"""list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(text, '["*()\-^:+{}\[\]]', ' ', 'g'), '(?i)\b(?:AND|OR|NOT|NEAR)\b', ' ', 'g')), '\s+'), lambda w: w <> '')"""
-_LINECHUNKS = r"""ch AS (SELECT doc_id * 100000 + i AS id, x AS content FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(x, '\S'))"""
+_LINECHUNKS = r"""ch AS (SELECT concat(doc_id, ':', i) AS id, x AS content FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(x, '\S'))"""
 
 
 def line_chunks(spark, sf):
     """Each line of a document as a chunk (the texts hold no blank lines to split at)."""
     d = docs(spark, sf).select("id", F.posexplode(F.split("content", "\n")).alias("i", "x")).where(F.col("x").rlike(r"\S"))
-    return d.select((F.col("id") * 100000 + F.col("i")).alias("id"), F.lit(None).cast("string").alias("heading"), F.col("x").alias("content"), F.lit(False).alias("has_code"))
+    return d.select(F.concat_ws(":", F.col("id").cast("string"), F.col("i").cast("string")).alias("id"), F.lit(None).cast("string").alias("heading"), F.col("x").alias("content"), F.lit(False).alias("has_code"))
 
 
 @query("r12_chunk_search", f"""WITH {Q_PLAIN}, {_LINECHUNKS}, tk AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM ch),
@@ -372,7 +384,7 @@ ov AS (SELECT *, used + b > 1536 AS over, sum(CASE WHEN used + b > 1536 THEN 1 E
 SELECT query_id, id, rank, round(score, 6) AS score, CASE WHEN over THEN concat(substr(shown, 1, CAST(1536 - used AS BIGINT)), '...') ELSE shown END AS shown FROM ov WHERE nth = 0 OR (nth = 1 AND over AND 1536 - used > 100)""")
 def r12(spark, sf):
     ch = line_chunks(spark, sf)
-    ix = SG.kept_index(ch, "id", "content", "chunks", _KEPT)
+    ix = SG.kept_index(ch, "id", "content", "chunks", _KEPT, ("tokens", "pairs"))
     r = S.chunk_search(ch, ix, queries(spark, sf))
     return r.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), round6("score").alias("score"), "shown")
 
@@ -543,13 +555,13 @@ _TBD = _TB.replace("intent = 'recommendation'", "intent = 'none'")
 
 
 @query("r20_dashboard_search", sql("", "v_observations", ctes=f"""{Q_ASKED}, {TK}, {_BOXCL}, {HITS}, {INTENTS},
-rk AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 40),
+rk AS (SELECT query_id, id, score FROM sc),
 fs AS (SELECT query_id, id, ({_IWD(0)} * least(1, score / 30) + {_IWD(1)} * pow(0.5e0, (epoch(TIMESTAMP '{AS_OF}') - epoch(indexed_at)) / 604800.0e0) + {_IWD(2)} * log2(access_count + 2) / 10)
   * (1 + 0.1e0 * ({_TBD})) AS score FROM rk JOIN v_observations USING (id) JOIN qi USING (query_id))
 """) + "SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fs QUALIFY rank <= 20")
 def r20(spark, sf):
     o, q = obs(spark, sf), asked(spark, sf)
-    hits = R.bm25_any(searchable(spark, sf), Q.any_word(q, S.box_words()), 40).drop("rank")
+    hits = R.score_clauses(searchable(spark, sf), Q.any_word(q, S.box_words())).select("query_id", "id", "score")
     h = hits.join(o.select("id", "type", "indexed_at", "access_count"), "id").join(q.select("query_id", L.search_intent("text").alias("intent")), "query_id")
     r = S.blended(h, ts(AS_OF), 20)
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -587,14 +599,16 @@ def r23(spark, sf):
     return r.select("query_id", "id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("r24_knowledge_list", sql(f"SELECT query_id, id, access_count, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC, id) AS rank FROM (SELECT DISTINCT query_id, id FROM sc) JOIN v_knowledge USING (id) QUALIFY rank <= 20",
-                                 "v_knowledge", ctes=f"{Q_PLAIN}, {TK}, {_BOXCL}, {HITS}\n"))
+# every fifth search box holds punctuation only: nothing is left to match, so the whole text is looked for
+_Q24 = "q AS (SELECT item_id AS query_id, CASE item_id % 15 WHEN 0 THEN '***' WHEN 5 THEN '%%%' WHEN 10 THEN ',!!' ELSE text END AS text FROM benchmark)"
+
+
+@query("r24_knowledge_list", sql(f"""SELECT query_id, id, access_count, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC, id) AS rank FROM (SELECT DISTINCT query_id, id FROM sc
+UNION SELECT query_id, id FROM q JOIN v_knowledge ON contains(lower(title), lower(trim(text))) OR contains(lower(content), lower(trim(text))) WHERE len({_BOX}) = 0) JOIN v_knowledge USING (id) QUALIFY rank <= 20""",
+                                 "v_knowledge", ctes=f"{_Q24}, {TK}, {_BOXCL}, {HITS}\n"))
 def r24(spark, sf):
-    from pyspark.sql import Window
-
-    k, q = know(spark, sf), queries(spark, sf)
-    form = Q.any_word(q, S.box_words())
-    m = I.phrase_hits(I.tokenised(k, "id", "content"), form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id").distinct()
-    m = m.join(k.select("id", "access_count"), "id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("access_count"), "id")
-    return m.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 20")
+    i = F.col("item_id")
+    text = F.when(i % 15 == 0, "***").when(i % 15 == 5, "%%%").when(i % 15 == 10, ",!!").otherwise(F.col("text"))
+    q = table(spark, sf, "benchmark").select(i.alias("query_id"), text.alias("text"))
+    r = S.knowledge_list(know(spark, sf), searchable(spark, sf), known(spark, sf), q, 20)
+    return r.select("query_id", "id", "access_count", F.col("rank").cast("bigint").alias("rank"))

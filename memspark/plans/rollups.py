@@ -170,17 +170,21 @@ def x9(spark, sf):
                                    F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "l_linestatus").alias("line")))
 
 
-@query("x10_json_profile", """SELECT '$.k' AS path, 'number' AS type, count(*) AS n FROM events""")
+@query("x10_json_profile", """SELECT path, type, NULL::BIGINT AS length, n FROM (VALUES ('$', 'object'), ('$.k', 'number')) t(path, type) CROSS JOIN (SELECT count(*) AS n FROM events)""")
 def x10(spark, sf):
     return R.json_profile(table(spark, sf, "events").select("props"), "props")
 
 
-@query("x10_json_nested", """SELECT * FROM (VALUES ('$.id', 'number', 1), ('$.cust', 'object', 1), ('$.cust.id', 'number', 1), ('$.cust.tags', 'array', 1), ('$.status', 'string', 1)) t(path, type, x)
-CROSS JOIN (SELECT count(*) AS n FROM orders) ORDER BY 1""".replace("SELECT * FROM", "SELECT path, type, n FROM"))
+@query("x10_json_nested", """SELECT path, type, NULL::BIGINT AS length, n FROM (VALUES ('$', 'object'), ('$.id', 'number'), ('$.cust', 'object'), ('$.cust.id', 'number'), ('$.status', 'string')) t(path, type) CROSS JOIN (SELECT count(*) AS n FROM orders)
+UNION ALL SELECT '$.cust.tags', 'array', o_orderkey % 4, count(*) FROM orders GROUP BY o_orderkey % 4
+UNION ALL SELECT '$.rows', 'array', o_custkey % 3, count(*) FROM orders GROUP BY o_custkey % 3
+UNION ALL SELECT path, type, length, n FROM (VALUES ('$.rows.n', 'number', NULL::BIGINT), ('$.rows.l', 'array', 2)) t(path, type, length) CROSS JOIN (SELECT count(*) AS n FROM orders WHERE o_custkey % 3 > 0)""")
 def x10n(spark, sf):
+    """Objects, arrays of several lengths, empty ones too, and arrays of objects with arrays."""
     o = table(spark, sf, "orders")
-    j = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("id"), F.array("o_orderpriority").alias("tags")).alias("cust"),
-                           F.col("o_orderstatus").alias("status")))
+    tags = F.array_repeat("o_orderpriority", (F.col("o_orderkey") % 4).cast("int"))
+    rows = F.array_repeat(F.struct(F.lit(1).alias("n"), F.array(F.lit(1), F.lit(2)).alias("l")), (F.col("o_custkey") % 3).cast("int"))
+    j = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("id"), tags.alias("tags")).alias("cust"), F.col("o_orderstatus").alias("status"), rows.alias("rows")))
     return R.json_profile(o.select(j.alias("j")), "j")
 
 

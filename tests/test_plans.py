@@ -44,16 +44,17 @@ def test_hot_key_windows_are_bucketed(spark, sf):
     assert "_bucket" in p
 
 
-def test_search_reads_the_written_index_and_only_its_buckets(spark, sf):
+def test_searches_read_the_written_index_and_push_their_units(spark, sf):
     from memspark.operators import index as I
-    from memspark.plans.retrieval import searchable
+    from memspark.plans.retrieval import known, searchable
 
     phrases = spark.createDataFrame([("the",), ("of the",)], "phrase string")
     hits = I.phrase_hits(searchable(spark, sf), phrases)
-    plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "documents.parquet" not in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+    text = hits._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in text and "In(unit, [of the])" in text.replace("EqualTo(unit,of the)", "In(unit, [of the])")
     plain = I.phrase_hits(I.tokenised(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"), phrases)
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain.collect()))
+    assert known(spark, sf) is known(spark, sf)
 
 
 def test_ranked_rollups_limit_before_the_shuffle(spark, sf):

@@ -72,7 +72,7 @@ def test_upkeep(spark):
 def test_a_partial_merge_keeps_tombstones_of_what_is_left(spark):
     """A large old segment stays, small ones are merged; what is dead in the old one stays dead."""
     live = dict(rows(7, range(300)))
-    ix = SG.Index.write(frame(spark, live.items()), "id", "t", run_dir(spark, "segments"))
+    ix = SG.Index.write(frame(spark, live.items()), "id", "t", run_dir(spark, "segments"), ("tokens", "pairs"))
     for k in range(3):
         ids = [1000 + 2 * k, 1001 + 2 * k, 5 * k + 1]
         ix.upsert(frame(spark, data := rows(10 + k, ids)), "id", "t")
@@ -88,7 +88,7 @@ def test_a_partial_merge_keeps_tombstones_of_what_is_left(spark):
 
 
 def test_uncommitted_and_lost_commits(spark):
-    ix = SG.Index.write(frame(spark, rows(1, range(10))), "id", "t", run_dir(spark, "segments"))
+    ix = SG.Index.write(frame(spark, rows(1, range(10))), "id", "t", run_dir(spark, "segments"), ("tokens",))
     ix._segment(frame(spark, rows(2, range(20, 30))), "id", "t", ix.version + 1)  # written, never committed
     assert SG.Index(spark, ix.path).n_docs == 10
     other = SG.Index(spark, ix.path)
@@ -110,10 +110,10 @@ def test_empty_tables(spark):
 
 def test_searches_open_only_pieces_with_their_units(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    ix = SG.Index.write(docs, "doc_id", "text", run_dir(spark, "segments"))
+    ix = SG.Index.write(docs, "doc_id", "text", run_dir(spark, "segments"), ("tokens", "pairs"))
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        wide = SG.Index.write(docs, "doc_id", "text", run_dir(spark, "segments"))
+        wide = SG.Index.write(docs, "doc_id", "text", run_dir(spark, "segments"), ("tokens", "pairs"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
     one = spark.createDataFrame([("the",)], "unit string")
