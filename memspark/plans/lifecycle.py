@@ -157,7 +157,14 @@ def k10(spark, sf):
     return pairs.select("a", "b", "shared", round6("similarity").alias("similarity"))
 
 
-@query("k11_merge")
+_K11 = _REPS.format(block="category") + ", " + _SHARE + """, ed AS (SELECT a AS u, b AS v FROM pr WHERE na >= 3 AND nb >= 3 AND shared / (na + nb - shared)::DOUBLE > 0.9), eb AS (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed),
+re AS (SELECT u AS node, u AS seen FROM eb UNION SELECT re.node, eb.v FROM re JOIN eb ON eb.u = re.seen), ro AS (SELECT node, min(seen) AS root FROM re GROUP BY node),
+mm AS (SELECT ws.id, coalesce(ro.root, reps.rep) AS root FROM ws JOIN reps USING (block, ws) LEFT JOIN ro ON ro.node = reps.rep)"""
+
+
+@query("k11_merge", ksql("""SELECT root AS id, count(*) AS members, arg_min(category, id) AS category, sha256(arg_min(title, id)) AS title_sha, sha256(arg_max(content, (length(content), -id))) AS content_sha,
+ concat(array_to_string(list_sort(list_distinct(flatten(list([concat('t', id % 6), category])))), ','), CASE WHEN count(*) > 1 THEN ',auto-merged' ELSE '' END) AS tags, array_to_string(list_sort(list_distinct(list(project))), ',') AS projects,
+ CAST(sum(access_count) AS BIGINT) AS access_count, CAST(epoch(max(last_accessed)) AS BIGINT) AS last_accessed_s FROM state JOIN mm USING (id) GROUP BY root""", _K11).replace("WITH ", "WITH RECURSIVE ", 1))
 def k11(spark, sf):
     k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))
     merged, _, _ = SI.merge_duplicates(k, "block")
@@ -165,7 +172,7 @@ def k11(spark, sf):
                          "access_count", F.unix_timestamp("last_accessed").alias("last_accessed_s"))
 
 
-@query("k11_archived")
+@query("k11_archived", ksql("SELECT id, root AS merged_into FROM mm WHERE id <> root", _K11).replace("WITH ", "WITH RECURSIVE ", 1))
 def k11a(spark, sf):
     """Entries that a merge archives, with the entry that stands for them."""
     k = spread(state(spark, sf), "id").withColumn("block", F.col("category"))

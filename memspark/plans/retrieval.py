@@ -8,7 +8,7 @@ from ..functions.text import round6, words_ws
 from ..operators import index as I, query_forms as Q, retrieval as R, search as S, segments as SG
 from ..session import cut, run_dir, spread
 from ..views import AS_OF, knowledge, observations, pick, queries, table, ts
-from .enrich import _FLAGS, _IMP, _KW, _LEADS, _QE, _STRIP, vals, vlist
+from .enrich import _ENT, _FLAGS, _IMP, _KW, _LEADS, _QE, _STRIP, vals, vlist
 from .registry import query, sql
 
 
@@ -482,13 +482,16 @@ def r16d(spark, sf):
     return S.browse(o.select("day", "id", "importance", "indexed_at"), "day", 5).select("day", "id", "importance", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("r16_browse_people")
+@query("r16_browse_people", sql("SELECT name, id, importance, row_number() OVER (PARTITION BY name ORDER BY importance DESC, indexed_at DESC, id) AS rank FROM pe JOIN io USING (id) QUALIFY rank <= 10", "v_observations", ctes=f"""{_ENT},
+pe AS (SELECT id, name FROM (SELECT doc_id AS id, name, type FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY prio, pos) = 1) WHERE type = 'person'),
+io AS (SELECT *, CAST({_IMP.format(ent='false')} AS DOUBLE) AS importance FROM v_observations)
+"""))
 def r16p(spark, sf):
     from ..functions import entities as N
 
     o = important(spark, sf)
     people = N.entities(o, "id", "content").where("type = 'person'").select("id", "name")
-    return S.browse(people.join(o.select("id", "importance", "indexed_at"), "id"), "name", 10).select("name", "id", "importance", "rank")
+    return S.browse(people.join(o.select("id", "importance", "indexed_at"), "id"), "name", 10).select("name", "id", "importance", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("r17_related_context")
