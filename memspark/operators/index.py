@@ -44,13 +44,16 @@ def term_stats(post: DataFrame) -> DataFrame:
 
 def unit_occurrences(tok: DataFrame, *keep: str, with_pairs: bool = True) -> DataFrame:
     """(id, dl, pos, unit): every token, and adjacent pair of tokens if they are asked for, with its place."""
+    single = tok.select("id", "dl", *keep, F.posexplode("tokens").alias("pos", "unit"))
+    return single.unionByName(pair_occurrences(tok, *keep)) if with_pairs else single
+
+
+def pair_occurrences(tok: DataFrame, *keep: str) -> DataFrame:
+    """(id, dl, pos, unit): every adjacent pair of tokens with its place."""
     t = F.col("tokens")
-    if not with_pairs:
-        return tok.select("id", "dl", *keep, F.posexplode(t).alias("pos", "unit"))
-    pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    at = lambda arr: F.transform(arr, lambda x, i: F.struct(i.alias("pos"), x.alias("unit")))
-    return tok.select("id", "dl", *keep, F.explode(F.concat(at(t), at(pairs))).alias("u")).select("id", "dl", *keep, "u.*")
+    rest = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, 1, rest), F.slice(t, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+    return tok.select("id", "dl", *keep, F.posexplode(pairs).alias("pos", "unit"))
 
 
 def phrase_units(phrases: DataFrame) -> DataFrame:

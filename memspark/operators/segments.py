@@ -237,7 +237,7 @@ class Index:
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
         body = df.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
         tok = cut(I.tokenised(body, "id", "_text", F.length("_text").cast("bigint").alias("chars"), words_ws("_text").alias("words")), "tokens")
-        parts = {"tokens": I.unit_occurrences(tok, with_pairs=False), "pairs": I.unit_occurrences(tok).where(F.contains("unit", F.lit(" "))),
+        parts = {"tokens": I.unit_occurrences(tok, with_pairs=False), "pairs": I.pair_occurrences(tok),
                  "words": tok.select("id", F.col("chars").alias("dl"), F.posexplode("words").alias("pos", "unit"))}
         return self._written(name, seq, tok.select("id", "dl", "chars"), {k: parts[k] for k in self.kinds})
 

@@ -10,6 +10,10 @@ from ..views import events, events_from, table, tokens, ts
 from .lifecycle import PATHS_SQL, results_and_edits
 from .registry import query, sql
 
+#: A session has a row or two a day here, so a week of them waits together.
+WEEK = 7 * JB.DAY
+
+
 def day():
     return F.floor(F.unix_timestamp("ts") / 86400)
 
@@ -31,7 +35,7 @@ kept AS (SELECT hash, rn, id FROM h WHERE rn = 1 UNION ALL SELECT h.hash, h.rn,
 
 @query("m1_dedup_stream", _M1)
 def m1(spark, sf):
-    return JB.dedup_exact(hashed(stream(spark, sf)), 3600.0).drain("dedup")[0]
+    return JB.dedup_exact(hashed(stream(spark, sf)), 3600.0, bucket=WEEK).drain("dedup", at_once=True)[0]
 
 
 @query("m1_dedup_batch", _M1)
@@ -57,7 +61,7 @@ def m3(spark, sf):
 @query("m4_error_fix_stream", sql("""SELECT session_id, pid AS error_id, id AS fix_id FROM (SELECT *, lag(event_type) OVER w AS pt, lag(id) OVER w AS pid FROM v_events WHERE event_type IN ('error', 'file_modify')
  WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)) WHERE event_type = 'file_modify' AND pt = 'error'""", "v_events"))
 def m4(spark, sf):
-    return JB.error_fixes(stream(spark, sf)).drain("fixes")[0]
+    return JB.error_fixes(stream(spark, sf), bucket=WEEK).drain("fixes", at_once=True)[0]
 
 
 # row by row within a session: the window restarts at the first call after it expired
@@ -68,7 +72,7 @@ st AS (SELECT session_id, id, rn, ts AS start, 1 AS n FROM o WHERE rn = 1 UNION
 
 @query("m5_rate_limit_stream", _M5)
 def m5s(spark, sf):
-    return JB.rate_classes(stream(spark, sf), 36000.0).drain("rate")[0]
+    return JB.rate_classes(stream(spark, sf), 36000.0, bucket=WEEK).drain("rate", at_once=True)[0]
 
 
 @query("m5_rate_limit_batch", _M5)
@@ -101,7 +105,7 @@ def m6(spark, sf):
 WHERE (used - tk) * 100 < level * 2000 AND used * 100 >= level * 2000""", "v_events"))
 def m6s(spark, sf):
     """Events as token facts: k tokens each, against a limit of 2000."""
-    return JB.running_budget(stream(spark, sf).withColumn("tokens_in", F.col("k").cast("bigint")), 2000).drain("budget")[0]
+    return JB.running_budget(stream(spark, sf).withColumn("tokens_in", F.col("k").cast("bigint")), 2000, bucket=WEEK).drain("budget", at_once=True)[0]
 
 
 @query("m7_feedback_stream", sql("SELECT id AS result_id, edit_id FROM fp WHERE mts <= ts + INTERVAL 7 DAY", "v_events", ctes=PATHS_SQL + "\n"))
@@ -122,7 +126,7 @@ def m8(spark, sf):
 SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM v_events)) GROUP BY session_id, g""", "v_events"))
 def m8s(spark, sf):
     """A row for every silence of 12 hours, emitted as the watermark passes it."""
-    return JB.liveness_stream(stream(spark, sf), 12 * 3600.0).drain("liveness")[0]
+    return JB.liveness_stream(stream(spark, sf), 12 * 3600.0, bucket=WEEK).drain("liveness", at_once=True)[0]
 
 
 @query("m9_claim_conflicts", sql("""SELECT k, id, session_id, owner FROM (SELECT *, first_value(session_id) OVER (PARTITION BY k, g ORDER BY ts, id) AS owner FROM (SELECT *, coalesce(sum(CASE WHEN event_type = 'file_modify' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, id), 0) AS g
@@ -146,7 +150,7 @@ st AS (SELECT session_id, id, rn, [ts] AS recent, [{'k': k, 't': ts}] AS topics,
 
 @query("m10_cooldown_stream", _M10)
 def m10s(spark, sf):
-    return JB.cooldown(stream(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("k")), 2, 86400.0).drain("cooldown")[0]
+    return JB.cooldown(stream(spark, sf).select("session_id", "id", "ts", F.col("event_type").alias("k")), 2, 86400.0, bucket=WEEK).drain("cooldown", at_once=True)[0]
 
 
 @query("m10_cooldown_batch", _M10)

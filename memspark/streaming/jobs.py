@@ -15,6 +15,9 @@ from ..session import run_dir
 from .in_order import InOrder, in_order
 from .islands import cooldown_rule, dedup_rule, rate_rule
 
+#: Seconds of event time whose rows of one key wait together: a few rows a bucket are cheap, all of them must fit a task.
+DAY = 86400
+
 
 def read_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """The raw events (one file or a folder of part files) as a stream, times cast for watermarks.
@@ -61,7 +64,7 @@ def drain_updates(stream: DataFrame, keys: list[str], label: str, timeout: int =
     return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in values])
 
 
-def dedup_exact(events: DataFrame, seconds: float = 60.0, delay: str = "1 hour") -> InOrder:
+def dedup_exact(events: DataFrame, seconds: float = 60.0, delay: str = "1 hour", bucket: int = DAY) -> InOrder:
     """Keep a row of ``(hash, id, ts)`` unless one with its hash was kept less than ``seconds`` before."""
     step = dedup_rule(seconds)
 
@@ -69,10 +72,10 @@ def dedup_exact(events: DataFrame, seconds: float = 60.0, delay: str = "1 hour")
         last, kept = step(state[0] if state else None, t)
         return (last,), [(id_,)] if kept else []
 
-    return in_order(events, ["hash"], [], rule, "id bigint", "last double", delay, span=seconds)
+    return in_order(events, ["hash"], [], rule, "id bigint", "last double", delay, bucket, span=seconds)
 
 
-def error_fixes(events: DataFrame, span_days: float | None = None, delay: str = "1 hour") -> InOrder:
+def error_fixes(events: DataFrame, span_days: float | None = None, delay: str = "1 hour", bucket: int = DAY) -> InOrder:
     """A modify that follows an unfixed error of its session fixes the latest one (of the last ``span_days``, where they are given)."""
     def rule(state, t, id_, kind):
         open_id = state[0] if state else -1
@@ -81,10 +84,10 @@ def error_fixes(events: DataFrame, span_days: float | None = None, delay: str =
         return (-1,), [(open_id, id_)] if open_id >= 0 else []
 
     e = events.where(F.col("event_type").isin("error", "file_modify"))
-    return in_order(e, ["session_id"], ["event_type"], rule, "error_id bigint, fix_id bigint", "open bigint", delay, span=span_days and span_days * 86400)
+    return in_order(e, ["session_id"], ["event_type"], rule, "error_id bigint, fix_id bigint", "open bigint", delay, bucket, span=span_days and span_days * 86400)
 
 
-def rate_classes(events: DataFrame, window: float = 60.0, full: int = 3, limited: int = 8, delay: str = "1 hour") -> InOrder:
+def rate_classes(events: DataFrame, window: float = 60.0, full: int = 3, limited: int = 8, delay: str = "1 hour", bucket: int = DAY) -> InOrder:
     """full / limited / blocked per caller; the window restarts at the first call after it expired."""
     step = rate_rule(window, full, limited)
 
@@ -92,20 +95,20 @@ def rate_classes(events: DataFrame, window: float = 60.0, full: int = 3, limited
         state, label = step(state, t)
         return state, [(id_, label)]
 
-    return in_order(events, ["session_id"], [], rule, "id bigint, label string", "start double, n bigint", delay, span=window)
+    return in_order(events, ["session_id"], [], rule, "id bigint, label string", "start double, n bigint", delay, bucket, span=window)
 
 
-def running_budget(facts: DataFrame, limit: int, levels=(60, 80, 90, 100), delay: str = "1 hour") -> InOrder:
+def running_budget(facts: DataFrame, limit: int, levels=(60, 80, 90, 100), delay: str = "1 hour", bucket: int = DAY) -> InOrder:
     """Cumulative tokens per session; one row whenever a level (percent of ``limit``) is crossed."""
     def rule(state, t, id_, n):
         before = state[0] if state else 0
         used = before + int(n)
         return (used,), [(id_, lv, used) for lv in levels if before * 100 < lv * limit <= used * 100]
 
-    return in_order(facts, ["session_id"], ["tokens_in"], rule, "id bigint, level bigint, used bigint", "used bigint", delay)
+    return in_order(facts, ["session_id"], ["tokens_in"], rule, "id bigint, level bigint, used bigint", "used bigint", delay, bucket)
 
 
-def liveness_stream(beats: DataFrame, gap: float = 300.0, delay: str = "1 hour") -> InOrder:
+def liveness_stream(beats: DataFrame, gap: float = 300.0, delay: str = "1 hour", bucket: int = DAY) -> InOrder:
     """A row when an agent has been silent for ``gap`` seconds: its beats, the first and the last of them, and when it went stale."""
     us = lambda t: int(round(t * 1e6))
     stale = lambda state: [(state[2], us(state[0]), us(state[1]), us(state[1] + gap))]
@@ -115,10 +118,10 @@ def liveness_stream(beats: DataFrame, gap: float = 300.0, delay: str = "1 hour")
             return (state[0], t, state[2] + 1), []
         return (t, t, 1), stale(state) if state else []
 
-    return in_order(beats, ["session_id"], [], rule, "beats bigint, first_us bigint, last_us bigint, stale_us bigint", "first double, last double, beats bigint", delay, span=gap, idle=stale)
+    return in_order(beats, ["session_id"], [], rule, "beats bigint, first_us bigint, last_us bigint, stale_us bigint", "first double, last double, beats bigint", delay, bucket, span=gap, idle=stale)
 
 
-def cooldown(events: DataFrame, per_minute: int = 2, topic_seconds: float = 300.0, delay: str = "1 hour") -> InOrder:
+def cooldown(events: DataFrame, per_minute: int = 2, topic_seconds: float = 300.0, delay: str = "1 hour", bucket: int = DAY) -> InOrder:
     """Allowed injections per session: a minute limit and a pause per topic."""
     step = cooldown_rule(per_minute, topic_seconds)
 
@@ -126,7 +129,7 @@ def cooldown(events: DataFrame, per_minute: int = 2, topic_seconds: float = 300.
         (recent, topics), ok = step((tuple(state[0]), dict(zip(state[1], state[2]))) if state else None, t, topic)
         return (list(recent), list(topics), [float(x) for x in topics.values()]), [(id_,)] if ok else []
 
-    return in_order(events, ["session_id"], ["k"], rule, "id bigint", "recent array<double>, topics array<string>, times array<double>", delay, span=max(topic_seconds, 60.0))
+    return in_order(events, ["session_id"], ["k"], rule, "id bigint", "recent array<double>, topics array<string>, times array<double>", delay, bucket, span=max(topic_seconds, 60.0))
 
 
 def hourly(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
