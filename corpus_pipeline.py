@@ -2,12 +2,12 @@
 
 1. toxicity: documents that the classifier rejects go (labels outside the held-out fold train it);
 2. quality rules: documents that fail the base rules or the n-gram ratio go;
-3. near-duplicates: of each component the document with the smallest id stays;
+3. near-duplicates: of each component one row stays, that of the smallest id;
 4. decontamination: documents that hold a benchmark item go;
 5. SentencePiece: what is left, as piece ids that decode to it.
 
-A null id can't be named by a component, so such a document stays in stage 3; of repeated
-rows with one id one stays. Nothing else is dropped.
+In stage 3 a null id comes after all others, and an id that occurs with different texts
+is a row of each text's component. Nothing else is dropped.
 """
 
 from __future__ import annotations
