@@ -260,3 +260,29 @@ def test_contains_text_with_long_and_short_queries(spark):
     got = sorted(map(tuple, S.contains_text(docs, "id", ["t"], q).collect()))
     assert got == [(1, 1), (2, 1), (2, 3), (3, 1)]
     assert S.contains_text(docs, "id", ["t"], q.where("query_id = 1")).count() == 1
+
+
+def test_similar_sets_meet_in_parts_and_are_counted_without_their_pairs(spark, monkeypatch):
+    """Sets are shuffled once for each part they meet, however many pairs share their words; counts equal the pairs'."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    docs = {i: sorted(set(r.choices(vocab, weights=[9 if k < 12 else 1 for k in range(60)], k=r.randint(3, 40)))) for i in range(90)}
+    sets = spark.createDataFrame([("b" if i % 3 else "c", i, ws, len(ws)) for i, ws in docs.items()], "block string, rep bigint, ws array<string>, n int")
+    monkeypatch.setattr(SI, "PART", 5_000)
+    monkeypatch.setattr(SI, "STRIP", 500)
+    monkeypatch.setattr(SI, "HOT_WORDS", 5)
+    for measure, t, least in (("jaccard", 0.4, 1), ("jaccard", 0.9, 1), ("overlap", 0.4, 4)):
+        want = {}
+        for a in docs:
+            for b in docs:
+                x, y = set(docs[a]), set(docs[b])
+                whole = len(x | y) if measure == "jaccard" else min(len(x), len(y))
+                if a < b and (a % 3 > 0) == (b % 3 > 0) and len(x & y) >= least and len(x & y) / whole >= t:
+                    want[a, b] = (len(x & y), round(len(x & y) / whole, 9))
+        assert {(p["a"], p["b"]): (p["shared"], round(p["similarity"], 9)) for p in SI.similar_pairs(sets, measure, t, least).collect()} == want
+        links = {}
+        for pair in want:
+            for i in pair:
+                links[i] = links.get(i, 0) + 1
+        assert {p["rep"]: p["links"] for p in SI.similar_counts(sets, measure, t, least).collect()} == links
+    assert SI._cells(sets, "overlap", 0.4, 20000).count() < 10 * len(docs) < len(want)
