@@ -7,7 +7,7 @@ from ..operators import evaluate as EV, index as I, retrieval as R, search as S
 from ..session import cut, run_dir, spread
 from ..views import queries, table
 from .registry import query
-from .retrieval import HITS, OR_CL, Q_PLAIN, TK, docs, or_form, searchable
+from .retrieval import HITS, OR_CL, PHRASES, Q_PLAIN, TK, WORDS_ONLY, docs, or_form, searchable
 
 _RUN = f"""{Q_PLAIN}, {TK}, {OR_CL}, {HITS}, run AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 10),
 ql AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text)))),
@@ -15,13 +15,13 @@ rc AS (SELECT query_id, count(*) AS relevant, count(rank) AS hits FROM ql LEFT J
 
 
 def run10(spark, sf):
-    r = R.bm25_any(searchable(spark, sf), or_form(queries(spark, sf)), 10)
+    r = R.bm25_any(searchable(spark, sf, PHRASES), or_form(queries(spark, sf)), 10)
     return r.select("query_id", "id", "rank")
 
 
 def qrels(spark, sf):
     """A document is relevant to a passage it holds word for word."""
-    return S.contains_text(docs(spark, sf), "id", ["content"], queries(spark, sf), searchable(spark, sf))
+    return S.contains_text(docs(spark, sf), "id", ["content"], queries(spark, sf), searchable(spark, sf, WORDS_ONLY))
 
 
 @query("e1_passage_recall", f"WITH {_RUN} SELECT count(*) AS queries, CAST(sum(relevant) AS BIGINT) AS relevant, CAST(sum(hits) AS BIGINT) AS hits, round(avg(CASE WHEN hits > 0 THEN 1.0e0 ELSE 0 END), 6) AS recall_any, round(avg(CASE WHEN hits = relevant THEN 1.0e0 ELSE 0 END), 6) AS recall_all FROM rc")
