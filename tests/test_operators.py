@@ -286,3 +286,33 @@ def test_similar_sets_meet_in_parts_and_are_counted_without_their_pairs(spark, m
                 links[i] = links.get(i, 0) + 1
         assert {p["rep"]: p["links"] for p in SI.similar_counts(sets, measure, t, least).collect()} == links
     assert SI._cells(sets, "overlap", 0.4, 20000).count() < 10 * len(docs) < len(want)
+
+
+def test_fuzzy_passes_agree_and_send_only_the_best(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 7)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(r.randint(0, 12)))) for i in range(120)] + [(500, None)], "id bigint, t string")
+    texts = {i: " ".join(word() for _ in range(r.randint(1, 5))) for i in range(9)} | {9: "abc abc cab", 10: "x"}
+    q = spark.createDataFrame(list(texts.items()), "query_id bigint, text string")
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+    want = []
+    for k, text in texts.items():
+        qs = [w for w in text.split() if len(w) >= 2]
+        found = []
+        for i, t in docs.collect():
+            ws = [w for w in (t or "").split() if len(w) >= 2]
+            d = [min([lev(w, x) for x in ws], default=9) for w in qs]
+            score = sum(1 / (x + 1) for x in d if x <= 2) / max(1, len(qs))
+            found += [(-round(score, 9), i)] * (score > 0)
+        want += [(k, i, -s) for s, i in sorted(found)[:3]]
+    key = lambda d: sorted((x["query_id"], x["id"], round(x["score"], 9)) for x in d.collect())
+    assert key(R.fuzzy_search(R.WordRows(docs, "id", "t"), q, 3)) == sorted(want)
+    monkeypatch.setattr(R, "NEAR", 500)
+    monkeypatch.setattr(R, "CELLS", 40)
+    assert key(R.fuzzy_search(R.WordRows(docs, "id", "t"), q, 3)) == sorted(want)
