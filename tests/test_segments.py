@@ -140,3 +140,15 @@ def test_a_changed_table_gets_a_new_index(spark):
     assert ask() is first and first.n_docs == 10
     frame(spark, rows(2, range(20, 25))).write.mode("append").parquet(path)
     assert ask().n_docs == 15
+
+
+def test_kinds_are_written_when_they_are_asked_for(spark, tmp_path):
+    """A kept index holds what was asked of it so far; what is added later answers like an index of all kinds."""
+    live = dict(rows(7, range(30)))
+    frame(spark, live.items()).write.parquet(f"{tmp_path}/t")
+    df, known = spark.read.parquet(f"{tmp_path}/t"), {}
+    ix = SG.kept_index(df, "id", "t", "kinds", known, ("words",))
+    assert ix.kinds == ("words",)
+    assert SG.kept_index(df, "id", "t", "kinds", known, ("tokens", "pairs")) is ix and ix.kinds == SG.KINDS
+    assert SG.Index(spark, ix.path).kinds == SG.KINDS
+    same_as_new(spark, ix, live)
