@@ -152,3 +152,16 @@ def test_kinds_are_written_when_they_are_asked_for(spark, tmp_path):
     assert SG.kept_index(df, "id", "t", "kinds", known, ("tokens", "pairs")) is ix and ix.kinds == SG.KINDS
     assert SG.Index(spark, ix.path).kinds == SG.KINDS
     same_as_new(spark, ix, live)
+
+
+def test_lists_are_packed(spark):
+    """Lists are packed records where ids are bigint, with null ids too; string ids keep arrays, and both answer like a scan."""
+    data = [(1, "a b c"), (None, "b c"), (2, "c"), (None, "b c c")]
+    for of, kind in ((lambda i: i, "bigint"), (lambda i: i and f"d{i}", "string")):
+        df = spark.createDataFrame([(of(i), t) for i, t in data], f"id {kind}, t string")
+        ix = SG.Index.write(df, "id", "t", run_dir(spark, "segments"), ("tokens", "pairs"))
+        lists = spark.read.parquet(f"{ix.path}/segments/{ix.segments[0][1]}/pairs")
+        assert (dict(lists.dtypes)["at"] == "binary") == (kind == "bigint")
+        asked = spark.createDataFrame([("b c",), ("c",)], "phrase string")
+        rows = lambda tok: sorted(map(str, I.phrase_hits(tok, asked).collect()))
+        assert rows(ix) == rows(I.tokenised(df, "id", "t"))
