@@ -2,7 +2,8 @@
 
 Arriving rows wait in state, in buckets of event time. When the watermark passes the end of
 a bucket, a timer fires: the bucket's rows are sorted and the rule walks them, then the bucket
-goes. A task holds one bucket of one key at a time, not a key's history. So the answer is
+goes. A task holds one bucket of one key at a time, not a key's history, and what the rule gave for up to ``GIVEN`` rows.
+A key has one timer, for the first bucket that waits; each call of the state costs more than a row. So the answer is
 the same for any number of files or rows in a micro-batch, as long as no row is later than
 ``delay``; a row of a bucket that was walked already goes into the side table with its id.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -25,6 +27,10 @@ from ..session import run_dir
 
 #: The event time of the row that closes a drained stream.
 FAR = "9999-01-01 00:00:00"
+#: Before every bucket.
+NEVER = -1 << 62
+#: Outputs of a key that are given back as one frame, about.
+GIVEN = 10_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,59 +46,69 @@ class Walk(StatefulProcessor):
         fields = ", ".join([f"{c} array<{t}>" for c, t in {"us": "bigint", "id": "bigint", **self.values}.items()])
         self.pending = handle.getMapState("pending", "bucket bigint", fields)
         self.kept = handle.getValueState("kept", self.state)
-        # the last bucket that was walked, and the time of the last row the rule has seen
-        self.seen = handle.getValueState("seen", "bucket bigint, us bigint")
+        # the last bucket that was walked, the time of the last row the rule has seen, and the first bucket that a timer waits for
+        self.seen = handle.getValueState("seen", "bucket bigint, us bigint, next bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        seen = self.seen.get() if self.seen.exists() else None
-        done = -1 << 62 if seen is None else seen[0]
+        seen = self.seen.get()
+        done, last, next_ = seen or (NEVER, None, None)
         new: dict[int, list] = {}
         late = []
         for frame in rows:
-            of = (frame["us"] // (self.bucket * 1000000)).astype("int64")
-            late += frame["id"][of <= done].tolist()
-            for bucket, part in frame[of > done].groupby(of):
-                new.setdefault(int(bucket), []).append([part[c].tolist() for c in ("us", "id", *self.values)])
+            of = (frame["us"] // (self.bucket * 1000000)).to_numpy(np.int64)
+            late += frame["id"].to_numpy()[of <= done].tolist()
+            order = np.argsort(of, kind="stable")
+            order = order[of[order] > done]
+            columns, of = [frame[c].to_numpy() for c in ("us", "id", *self.values)], of[order]
+            begins = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
+            for first, end in zip(begins, np.append(begins[1:], len(of))):
+                new.setdefault(int(of[first]), []).append([c[order[first:end]].tolist() for c in columns])
         for bucket, parts in new.items():
-            if self.pending.containsKey((bucket,)):
+            if seen and self.pending.containsKey((bucket,)):
                 parts.insert(0, [list(c) for c in self.pending.getValue((bucket,))])
-            else:
-                self.handle.registerTimer(self._end(bucket))
             self.pending.updateValue((bucket,), tuple(sum(c, []) for c in zip(*parts)))
+        if new and (next_ is None or min(new) < next_):
+            self.handle.registerTimer(self._end(min(new)))
+            self.seen.update((done, last, min(new)))
         if late:
             yield self._frame(key, [], late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        state = tuple(self.kept.get()) if self.kept.exists() else None
-        before = self.seen.get() if self.seen.exists() else None
-        over = sorted(b for (b,) in self.pending.keys() if self._end(b) <= now)
-        last = before[1] if before else None
+        kept = self.kept.get()
+        state = None if kept is None else tuple(kept)
+        done, last, next_ = self.seen.get()
+        waiting = sorted(b for (b,) in self.pending.keys()) if next_ is not None and self._end(next_) <= now else []
+        over = [b for b in waiting if self._end(b) <= now]
+        found: list[tuple] = []
         for bucket in over:
             columns = self.pending.getValue((bucket,))
-            found = []
             for us, id_, *values in sorted(zip(*columns), key=lambda row: row[:2]):
                 state, outs = self.rule(state, us / 1e6, id_, *values)
                 found += outs
                 last = us
             self.pending.removeKey((bucket,))
-            if found:
+            if len(found) >= GIVEN:
                 yield self._frame(key, found, [])
-        if over:
-            self.seen.update((over[-1], last))
+                found = []
+        if waiting:
+            done, next_ = over[-1] if over else done, next((b for b in waiting if self._end(b) > now), None)
+            if next_ is not None:
+                self.handle.registerTimer(self._end(next_))
+            self.seen.update((done, last, next_))
         if self.span is not None and state is not None:
             silent = self._end((last + int(self.span * 1e6)) // (self.bucket * 1000000))  # then all rows that could break the silence were walked
             if silent <= now:
-                found = self.idle(state) if self.idle else []
+                found += self.idle(state) if self.idle else []
                 state = None
-                if found:
-                    yield self._frame(key, found, [])
             elif over:
                 self.handle.registerTimer(silent)
-        if state is None:
-            self.kept.clear()
-        else:
+        if found:
+            yield self._frame(key, found, [])
+        if state is not None:
             self.kept.update(state)
+        elif kept is not None:
+            self.kept.clear()
 
     def close(self) -> None:
         pass

@@ -63,3 +63,47 @@ def test_late_rows_are_kept_aside(spark, cuts):
     n, lost = out.count(), late.count()
     assert lost > 0 and n + lost == total
     assert out.select("id").intersect(late.select(F.col("late_id").alias("id"))).count() == 0
+
+
+def test_a_key_has_one_timer_and_gives_one_frame():
+    """Five buckets of one key: one timer, and one frame of outputs when all of them are over."""
+    import pandas as pd
+
+    from memspark.streaming.in_order import Walk
+
+    class State:
+        def __init__(self):
+            self.value, self.held = None, {}
+
+        get = lambda self: self.value
+        exists = lambda self: self.value is not None
+        keys = lambda self: iter(list(self.held))
+        containsKey = lambda self, k: k in self.held
+        getValue = lambda self, k: self.held[k]
+        updateValue = lambda self, k, v: self.held.__setitem__(k, v)
+        removeKey = lambda self, k: self.held.pop(k)
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        getMapState = getValueState = lambda self, *a: State()
+        registerTimer = lambda self, at: self.timers.add(at)
+
+    class Now:
+        getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: 10 ** 9
+
+    handle, walk = Handle(), Walk(["k"], {}, ["id"], lambda state, t, id_: ((t,), [(id_,)]), "last double", 60, None, None)
+    walk.init(handle)
+    frame = pd.DataFrame({"k": 1, "id": [5, 4, 3, 2, 1], "us": [x * 60_000_000 for x in (5, 4, 3, 2, 1)]})
+    assert list(walk.handleInputRows((1,), iter([frame]), None)) == [] and handle.timers == {120_000}
+    out = list(walk.handleExpiredTimer((1,), Now(), Now()))
+    assert len(out) == 1 and out[0]["id"].tolist() == [1, 2, 3, 4, 5] and not walk.pending.held
+    late = list(walk.handleInputRows((1,), iter([frame[:1]]), None))
+    assert [f["late_id"].tolist() for f in late] == [[5]] and handle.timers == {120_000}
