@@ -55,17 +55,22 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
     anti-joined away, and each round is written out so lineage stays short.
     """
     e = edges if types is None else edges.where(F.col("type").isin(*types))
-    out = e.select(F.col("src").alias("node"), F.col("dst").alias("other"))
-    step = {"out": out, "in": out.select(F.col("other").alias("node"), F.col("node").alias("other")), "both": either_endpoint(e).select("node", "other")}[direction].distinct()
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"))
     frontier = seen
     for hop in range(1, depth + 1):
-        nxt = frontier.join(step, "node").select("seed", F.col("other").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        nxt = frontier_step(e, frontier, direction).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         frontier = cut(nxt.withColumn("hops", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def frontier_step(edges: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
+    """(seed, node): what one hop reaches, each once; edges are not gathered or made distinct before they meet the frontier."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    step = {"out": out, "in": out.select(F.col("other").alias("node"), F.col("node").alias("other")), "both": either_endpoint(edges).select("node", "other")}[direction]
+    return frontier.select("seed", "node").join(step, "node").select("seed", F.col("other").alias("node")).distinct()
+
+
 def subgraph_edges(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     """(seed, src, dst): edges met by a walk, i.e. touching a node fewer than ``depth`` hops away; each once."""
     inner = reached.where(F.col("hops") < depth).select("seed", "node")

@@ -60,3 +60,15 @@ def test_searches_read_the_written_index_and_push_their_units(spark, sf):
 def test_ranked_rollups_limit_before_the_shuffle(spark, sf):
     for name in ("x2_access_log", "x5_compiler_errors"):
         assert "WindowGroupLimit" in plan(all_queries()[name](spark, sf))
+
+
+def test_a_walk_does_not_gather_all_edges(spark, sf):
+    """Edges meet the frontier as they are; only what a hop has reached is made distinct."""
+    from memspark.operators import graph as G
+
+    e = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    seeds = spark.createDataFrame([("s1",), ("s2",)], "node string")
+    reached = G.neighbourhood(e.union(e), seeds, 1, "out")
+    assert plan(G.frontier_step(e, seeds.select(F.col("node").alias("seed"), "node"), "out")).split("== ")[0].count("Aggregate [seed") == 1
+    assert "Aggregate [src" not in plan(G.frontier_step(e, seeds.select(F.col("node").alias("seed"), "node"), "both"))
+    assert sorted(map(tuple, reached.collect())) == sorted({(s, s, 0) for s in ("s1", "s2")} | {(r["src"], r["dst"], 1) for r in e.where("src IN ('s1', 's2')").collect()})
