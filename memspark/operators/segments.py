@@ -9,7 +9,7 @@ segment is never seen, and of two writers that commit the same version the secon
 Postings are lists: a row holds a unit and up to ``RUN`` of its documents (of pairs: of its places) with their numbers, as packed
 ``ENTRY`` records where ids are bigint (writing them as nested columns took most of the index's time), else as an array. Tasks
 turn blocks of documents into sorted lists and cut them at the bounds of the pieces; what is shuffled is one row for each block and
-piece, and the task of a piece joins the lists of its blocks. Pieces are ranges of units, by the measured number of tokens. Of every
+piece, and the task of a piece joins the lists of its blocks. A row of the trigrams holds one and its words of a block as one text (words have no blanks). Pieces are ranges of units, by the measured number of tokens. Of every
 piece the first and last unit are kept (its zone; the first row of a piece carries the last unit). A search opens only the pieces whose zones
 hold a searched unit, and pushes the units to the scan, which skips pages. Beyond ``PUSHED``
 searched units all pieces are joined instead.
@@ -33,12 +33,14 @@ from pyspark.sql.types import BinaryType
 
 from ..functions.text import words_ws
 from ..session import cut, local_table, run_dir
-from . import index as I, retrieval as R
+from . import index as I
 
 #: Tokens of a piece, on average; a task holds one. The bounds are taken from about so many documents, and so many units of a block.
 PIECE_TOKENS, SAMPLE_DOCS, SAMPLE_UNITS = 4_000_000, 2_000, 4_000
 #: Tokens that a task turns into lists at a time (a longer document is a block of its own), entries of one list, and entries given back at once.
 BLOCK_TOKENS, RUN, GIVEN = 2_000_000, 256, 200_000
+#: Words whose trigrams a task sorts at a time, bytes of their lists, and words that the bounds of the trigrams' pieces are taken from, about.
+GRAM_WORDS, GRAM_BYTES, SAMPLE_WORDS = 200_000, 64 << 20, 20_000
 #: Searched units that choose the pieces, and those that the scan gets one by one to skip pages (of more it gets their range).
 PUSHED, PAGED = 10_000, 200
 #: Segments of one size class that a merge takes together, and how much larger the next class is.
@@ -234,7 +236,9 @@ class Index:
             rows = rows.where(F.col("unit").isin(wanted))
         elif units is not None:
             rows = rows.join(units.select("unit").distinct(), "unit", "left_semi")
-        return rows.select("unit", *columns, "seq") if kind == "grams" else self._entries(rows, kind, columns)
+        if kind == "grams":
+            return rows.select("unit", F.explode(F.split("at", " ")).alias("word"), "seq")
+        return self._entries(rows, kind, columns)
 
     def _entries(self, rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
         """(unit, columns, seq): a row for each entry of the lists."""
@@ -298,23 +302,22 @@ class Index:
         return _sums(self.spark.read.parquet(folder))
 
     def _sources(self, name: str, body: DataFrame, kinds: tuple[str, ...]) -> dict[str, tuple[DataFrame, list[str] | None]]:
-        """What the lists of each kind are made of, without bounds: (id, dl, text) or (id, dl, tokens); ``dl`` of words are characters."""
+        """What the lists of each kind are made of, without bounds: (id, text), for words (id, dl, text) in lower case, or (id, dl, tokens); ``dl`` of words are characters."""
         docs = self.spark.read.parquet(f"{self.path}/segments/{name}/docs")
         out = {}
         for kind in kinds:
             dl = "chars" if kind == "words" else "dl"
             repeated = not docs.groupBy("id", dl).count().where("count > 1").isEmpty()
-            if kind != "words" and not repeated:
-                out[kind] = (body.select("id", "text"), None)
+            if not repeated:
+                out[kind] = (body.select("id", F.col("chars").alias("dl"), F.lower("text").alias("text")) if kind == "words" else body.select("id", "text"), None)
                 continue
             if kind == "words":
                 rows = body.select("id", F.col("chars").alias("dl"), words_ws("text").alias("tokens"))
             else:
                 rows = I.tokenised(body, "id", "text").select("id", "dl", "tokens")
-            if repeated:  # rows of one id and length count as one document: their tokens follow one another, set apart by a null
-                apart = F.transform("texts", lambda t: F.concat(t, F.array(F.lit(None).cast("string"))))
-                rows = rows.groupBy("id", "dl").agg(F.collect_list("tokens").alias("texts")).select("id", "dl", F.flatten(apart).alias("tokens"))
-            out[kind] = (rows, None)
+            # rows of one id and length count as one document: their tokens follow one another, set apart by a null
+            apart = F.transform("texts", lambda t: F.concat(t, F.array(F.lit(None).cast("string"))))
+            out[kind] = (rows.groupBy("id", "dl").agg(F.collect_list("tokens").alias("texts")).select("id", "dl", F.flatten(apart).alias("tokens")), None)
         return out
 
     def _write_kinds(self, name: str, tokens: int, parts: dict[str, tuple[DataFrame, list[str] | None]]) -> None:
@@ -330,16 +333,14 @@ class Index:
             n = F.octet_length("at") / ENTRY.itemsize if dict(lists.dtypes)["at"] == "binary" else F.size("at")
             words = lists.groupBy(F.col("unit").alias("word")).agg(F.sum(n.cast("bigint")).alias("docs"))
             words.write.parquet(f"{folder}/vocabulary")
-            grams = R.grams_of(self.spark.read.parquet(f"{folder}/vocabulary")).select(F.col("gram").alias("unit"), "word")
-            _sorted(grams.repartitionByRange(pieces, "unit", "word"), ["unit", "word"], f"{folder}/grams")
+            vocabulary = self.spark.read.parquet(f"{folder}/vocabulary").select("word")
+            bounds = _gram_bounds(vocabulary, pieces, vocabulary.count())
+            grams = _gram_blocks(vocabulary, bounds).repartitionById(len(bounds) + 1, "piece").mapInArrow(_gram_piece, "unit string, at string, last string")
+            grams.write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(f"{folder}/grams")
         zones = None
         for kind in (*parts, *["grams"] * ("words" in parts)):
             read, file = self.spark.read.parquet(f"{folder}/{kind}"), F.col("_metadata.file_name").alias("file")
-            if kind == "grams":
-                zone = read.select("unit", file).groupBy("file").agg(F.min("unit").alias("first"), F.max("unit").alias("last"))
-            else:
-                zone = read.where("last IS NOT NULL").select(file, F.col("unit").alias("first"), "last")
-            zone = zone.select(F.lit(name).alias("segment"), F.lit(kind).alias("kind"), "file", "first", "last")
+            zone = read.where("last IS NOT NULL").select(F.lit(name).alias("segment"), F.lit(kind).alias("kind"), file, F.col("unit").alias("first"), "last")
             zones = zone if zones is None else zones.unionByName(zone)
         zones.write.mode("append").parquet(f"{folder}/zones")
 
@@ -388,24 +389,48 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _BYTE[bytes([_c]).upper()[0]] = _c
 
 
+#: Which bytes are white space to the JVM's ``\\s``.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\x0b\f\r")] = True
+
+
 def _tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(number of tokens of each text, all tokens): what ``functions.text.tokens_of`` gives, for a block of texts at once."""
+    held = texts.buffers()[2]
+    held = held.to_pybytes() if held else b""
     for other, lower in (("\u0130", "i\u0307"), ("\u212a", "k")):  # the two letters outside of ASCII whose lower case holds an ASCII letter
-        texts = pc.replace_substring(texts, other, lower)
+        if other.encode() in held:
+            texts = pc.replace_substring(texts, other, lower)
+    raw, ends = _bytes_of(texts)
+    low = _BYTE[raw]
+    return _split(low, low > 0, ends)
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of words of each text, all words): lower-cased texts split on white space, as ``functions.text.words_ws`` does."""
+    raw, ends = _bytes_of(texts)
+    return _split(raw, ~_SPACE[raw], ends)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each text starts and the last one ends)."""
     texts = pa.concat_arrays([texts.cast(pa.large_string())])
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
-    ends = ends - ends[0]
-    low = _BYTE[raw]
-    inside = low > 0
-    begins = inside.copy()
+    return np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+
+
+def _split(chars: np.ndarray, inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The runs of bytes that are ``inside``; a run ends with its text."""
+    begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    edge = ends[:-1][ends[:-1] < len(raw)]
-    begins[edge] = inside[edge]  # a token ends with its text
-    kept = np.cumsum(inside) - inside
-    start = np.append(kept[begins], int(inside.sum())).astype(np.int64)
-    tokens = pa.LargeStringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(low[inside]))
-    return np.diff(np.append(0, np.cumsum(begins))[ends]), tokens
+    stops[:-1] &= ~inside[1:]
+    edge = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(chars))]
+    begins[edge] = inside[edge]
+    stops[edge - 1] = inside[edge - 1]
+    begin = np.flatnonzero(begins)
+    start = np.append(0, np.cumsum(np.flatnonzero(stops) + 1 - begin)).astype(np.int64)
+    tokens = pa.LargeStringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(chars[inside]))
+    return np.diff(np.searchsorted(begin, ends)), tokens
 
 
 def _measured(body: DataFrame) -> DataFrame:
@@ -420,7 +445,7 @@ def _measured(body: DataFrame) -> DataFrame:
 def _runs_of(batches, kind: str):
     """Blocks as sorted runs: (numbers of units, ``name`` and ``number`` between units and numbers, ids, dl, which row each entry is of, its value).
 
-    A batch holds (id, text), (id, dl, tokens), or the entries (unit, id, dl, value) of lists that were there already.
+    A batch holds (id, text), (id, dl, text) of words, (id, dl, tokens), or the entries (unit, id, dl, value) of lists that were there already.
     """
     for batch in _gathered(batches):
         names = batch.schema.names
@@ -429,8 +454,8 @@ def _runs_of(batches, kind: str):
             order = np.argsort(code, kind="stable")
             yield _Runs(code[order], units, False, batch.column(1), batch.column(2), order, batch.column(3).to_numpy(zero_copy_only=False)[order])
             continue
-        if names[1] == "text":
-            size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 4
+        if names[-1] == "text":
+            size = pc.binary_length(batch.column(names.index("text"))).to_numpy(zero_copy_only=False) // 4
         else:
             size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
         held, first = np.cumsum(size, dtype=np.int64), 0
@@ -440,6 +465,9 @@ def _runs_of(batches, kind: str):
             if names[1] == "text":
                 lengths, tokens = _tokens_of(part.column(1))
                 dl = pa.array(lengths.astype(np.int64))
+            elif names[-1] == "text":
+                lengths, tokens = _words_of(part.column(2))
+                dl = part.column(1)
             else:
                 lengths, tokens, dl = size[first:last], part.column(2).flatten(), part.column(1)
             yield _turned(part.column(0), dl, lengths, tokens, kind)
@@ -576,11 +604,7 @@ def _blocks(rows: DataFrame, kind: str, bounds: list[str]) -> DataFrame:
             ends = [0, *[runs.place(b) for b in bounds], len(runs.unit)]
             for piece, (first, last) in enumerate(zip(ends, ends[1:])):
                 if first < last:
-                    part = runs.rows(first, last, _field(kind))
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_batch(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["piece", "data"])
+                    yield _packed(piece, runs.rows(first, last, _field(kind)))
 
     if "unit" in rows.columns:
         rows = rows.select("unit", "id", "dl", _field(kind))
@@ -631,8 +655,87 @@ def _sums(docs: DataFrame) -> tuple[int, int, int]:
     return tuple(docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first())
 
 
-def _sorted(rows: DataFrame, by: list[str], path: str) -> None:
-    rows.sortWithinPartitions(*by).write.option("parquet.block.size", 32 << 20).parquet(path)
+def _gram_runs(batches):
+    """Blocks of ``GRAM_WORDS`` words as (codes of their distinct trigrams in order, the words of each as one text, set apart by blanks)."""
+    held = []
+
+    def turned(words: list[str]):
+        points = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        apart = points == 10  # no word holds a line feed
+        at = np.flatnonzero(~(apart[:-2] | apart[1:-1] | apart[2:])) if len(points) > 2 else np.empty(0, np.int64)
+        gram, word = points[at] << 42 | points[at + 1] << 21 | points[at + 2], (np.cumsum(apart) - 1)[at]
+        order = np.argsort(gram, kind="stable")
+        gram, word = gram[order], word[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (word[1:] != word[:-1]))[:len(gram)]  # a word's trigram counts once
+        gram, word = gram[new], word[new]
+        texts = pa.array(words, pa.string())
+        held = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)[word] + 1)
+        first = 0
+        while first < len(gram):  # very long words have many trigrams
+            last = max(first + 1, int(np.searchsorted(held, GRAM_BYTES + (held[first - 1] if first else 0), side="right")))
+            mine = gram[first:last]
+            start = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(mine)).astype(np.int32)), texts.take(pa.array(word[first:last])))
+            yield mine[start], pc.binary_join(lists, " ")
+            first = last
+
+    for batch in batches:
+        held += batch.column(0).to_pylist()
+        if len(held) >= GRAM_WORDS:
+            yield from turned(held)
+            held = []
+    if held:
+        yield from turned(held)
+
+
+def _gram_names(codes: np.ndarray) -> list[str]:
+    points = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+    text = points.tobytes().decode("utf-32-le")
+    return [text[i:i + 3] for i in range(0, len(text), 3)]
+
+
+def _gram_bounds(vocabulary: DataFrame, pieces: int, n_words: int) -> list[str]:
+    """The first trigrams of all pieces but the first, by the words of some of the vocabulary."""
+    def some(batches):
+        for codes, words in _gram_runs(batches):
+            many = pc.count_substring(words, " ").to_numpy(zero_copy_only=False) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(_gram_names(codes), pa.string()), pa.array(many.astype(np.int64))], ["unit", "n"])
+
+    sample = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(max(1, n_words // SAMPLE_WORDS))) == 0)
+    counts = sample.mapInArrow(some, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect()
+    return _quantiles([r["unit"] for r in counts for _ in range(r["n"])], pieces)
+
+
+def _gram_blocks(vocabulary: DataFrame, bounds: list[str]) -> DataFrame:
+    """(piece, data): the lists of a block's trigrams that fall in a piece, as Arrow's bytes."""
+    codes_of = [ord(b[0]) << 42 | ord(b[1]) << 21 | ord(b[2]) for b in bounds]
+
+    def blocks(batches):
+        for codes, words in _gram_runs(batches):
+            ends = [0, *np.searchsorted(codes, codes_of), len(codes)]
+            for piece, (first, last) in enumerate(zip(ends, ends[1:])):
+                if first < last:
+                    part = pa.RecordBatch.from_arrays([pa.array(_gram_names(codes[first:last]), pa.string()), words[first:last]], ["unit", "at"])
+                    yield _packed(piece, part)
+
+    return vocabulary.mapInArrow(blocks, "piece int, data binary")
+
+
+def _gram_piece(batches):
+    """(unit, at, last): the lists of a piece in order; a trigram has one of each block."""
+    held = [pa.ipc.open_stream(data.as_buffer()).read_all() for batch in batches for data in batch.column(1)]
+    if held:
+        whole = pa.concat_tables(held).combine_chunks().sort_by("unit")
+        last = pa.concat_arrays([whole.column("unit").chunk(0)[-1:], pa.nulls(whole.num_rows - 1, pa.string())])
+        yield from whole.append_column("last", last).to_batches(max_chunksize=GIVEN // 10)
+
+
+def _packed(piece: int, part: pa.RecordBatch) -> pa.RecordBatch:
+    """(piece, data) of one part of a block."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(part)
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["piece", "data"])
 
 
 def _write_manifest(spark: SparkSession, path: str, version: int, commit: str, kinds: tuple[str, ...], rows: list[tuple]) -> None:
