@@ -92,9 +92,9 @@ def bm25_weight(tf, dl, df, n_docs, avgdl) -> Column:
     return idf * col(tf) * (K1 + 1) / (col(tf) + K1 * (1 - B + B * col(dl) / col(avgdl)))
 
 
-def weighted_hits(hits: DataFrame, stats: DataFrame, key: str = "phrase") -> DataFrame:
-    """Add ``w``, the BM25 share of each (key, id) hit."""
-    df = hits.groupBy(key).agg(F.count("*").alias("df"))
+def weighted_hits(hits: DataFrame, stats: DataFrame, key: str = "phrase", df: DataFrame | None = None) -> DataFrame:
+    """Add ``w``, the BM25 share of each (key, id) hit; ``df(key, df)`` are the numbers of hits, where they are known."""
+    df = hits.groupBy(key).agg(F.count("*").alias("df")) if df is None else df
     one = stats.select(F.struct("n_docs", "avgdl").alias("s")).scalar()
     h = hits.join(df, key).withColumn("_s", one)
     return h.withColumn("w", bm25_weight("tf", "dl", "df", F.col("_s.n_docs"), F.col("_s.avgdl"))).drop("_s", "df")
