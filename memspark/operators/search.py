@@ -77,7 +77,8 @@ def contains_text(df: DataFrame, id_: str, texts: list[str], queries: DataFrame,
     rare = terms.join(freq, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("f", F.lit(0)), "word")).alias("word"))
     cand = rare.join(post, "word").select("query_id", "id")
     cand = cand.unionByName(contains_all(source, q.where(F.size(inner) == 0).select("query_id", F.col("_q").alias("text"))))
-    full = cand.join(q, "query_id").join(body, "id")
+    # few as a rule: written, so that the planner sees their size and need not shuffle the texts to meet them
+    full = cut(cand, "candidates").join(body, "id").join(q, "query_id")
     hit = F.lit(False)
     for i in range(len(texts)):
         hit = hit | F.contains(F.col(f"_c{i}"), F.col("_q"))
