@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.functions.text import words_ws
-from memspark.operators import index as I, query_forms as Q, retrieval as R, segments as SG
+from memspark.operators import index as I, query_forms as Q, retrieval as R, search as S, segments as SG
 from memspark.session import run_dir
 
 r = random.Random(5)
@@ -49,3 +49,22 @@ def test_hits_meet_their_forms_in_packed_parts(spark):
     plain = I.tokenised(df, "id", "t")
     key = lambda d: sorted((x["query_id"], x["id"], round(x["score"], 9), x["rank"]) for x in d.collect())
     assert key(got) == key(R.score_forms(R.clause_hits(plain, forms), forms, 3)) and len(key(got)) == 6
+
+
+def test_texts_stay_where_they_lie_when_candidates_are_checked(spark):
+    """The estimate of candidates times queries was too large to be sent, so all texts were shuffled to meet them."""
+    path = run_dir(spark, "texts")
+    spark.createDataFrame([(i, " ".join(f"w{(i * 7919 + j * 31) % 9973}" for j in range(200))) for i in range(400)], "id bigint, t string").write.parquet(path)
+    df = spark.read.parquet(path)
+    ix = SG.Index.write(df, "id", "t", run_dir(spark, "words"), ("words",))
+    part = df.where("id % 40 = 0").select(F.col("id").alias("query_id"), F.substring_index("t", " ", 5).alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        got = S.contains_text(df, "id", ["t"], part, ix)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts, asked = dict(map(tuple, df.collect())), dict(map(tuple, part.collect()))
+    assert rows == sorted((q, i) for q, a in asked.items() for i, t in texts.items() if a in t) and len(rows) >= 10
