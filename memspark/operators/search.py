@@ -212,37 +212,44 @@ def related_context(actions: DataFrame, obs: DataFrame, know: DataFrame, know_in
     strong lines were found. The indexes hold title and content of ``know`` and of ``shared``.
     """
     age = lambda c: (F.unix_micros(as_of) - F.unix_micros(c)) / 86400e6
-    on_file = actions.where("path is not null").select("action_id", "path")
-    w1 = Window.partitionBy("action_id").orderBy(F.desc("indexed_at"), "id")
-    bugs = (on_file.join(obs.where(F.col("type").isin("error", "decision")).select(F.col("file_path").alias("path"), "id", "content", "indexed_at"), "path")
-            .withColumn("rk", F.row_number().over(w1)).where("rk <= 3")
-            .select("action_id", F.substring("content", 1, 200).alias("line"), (decay(age("indexed_at"), 7) * 0.9).alias("score"), F.lit("bug-history").alias("leg")))
+    actions = cut(actions.select("action_id", "query", "path"), "actions")
+    # what is found by the file: the best rows of a path first, then of an action; a line that can't be shown is not carried
+    row = lambda leg, most, o1=None, o2=None, o3=None, o4=None: [F.lit(leg).alias("leg"), F.lit(most).alias("most"), (F.lit(None) if o1 is None else o1).cast("double").alias("o1"), (
+        F.lit(None).cast(dict(obs.dtypes)["id"]) if o2 is None else F.col(o2)).alias("o2"), *[(F.lit(None).cast("string") if o is None else F.col(o)).alias(n) for n, o in (("o3", o3), ("o4", o4))]]
+    fresh = decay(age("indexed_at"), 7) * 0.9
+    bugs = obs.where(F.col("type").isin("error", "decision")).select(
+        F.col("file_path").alias("path"), *row("bug-history", 3, -F.unix_micros("indexed_at"), "id"), F.when(fresh >= threshold, F.substring("content", 1, 200)).alias("line"), fresh.alias("score"))
+    graph = edges.select(F.col("src").alias("path"), F.col("dst").alias("name"), "type").unionByName(edges.select(F.col("dst").alias("path"), F.col("src").alias("name"), "type")).select(
+        "path", *row("graph", 5, None, None, "type", "name"), F.concat("type", F.lit(": "), "name").alias("line"), F.lit(0.5).alias("score"))
+    co = obs.where((F.col("importance") >= 0.6) & (F.size("entities") > 0)).select(
+        F.col("file_path").alias("path"), *row("entities", 1, -F.col("importance"), "id"), F.concat(F.lit("Related: "), F.array_join(F.slice("entities", 1, 3), ", ")).alias("line"), F.lit(0.4).alias("score"))
+    order = [F.asc_nulls_last("o1"), "o2", "o3", "o4"]
+    def best(rows, by):
+        return rows.withColumn("rk", F.row_number().over(Window.partitionBy(by, "leg").orderBy(*order))).where("rk <= most").drop("rk")
+    of_path = best(bugs.unionByName(graph).unionByName(co).where("path IS NOT NULL").repartition("path"), "path")
+    of_file = cut(best(actions.where("path is not null").select("action_id", "path").join(of_path, "path"), "action_id").select("action_id", "line", "score", "leg"), "files")
     ask = actions.where("query is not null").select(F.col("query").alias("text")).distinct().select("text", F.col("text").alias("query_id"))
     words = ask.select("query_id", F.filter(F.split(F.trim(F.regexp_replace("text", r"[^\w\s-]", " ")), r"\s+"), lambda w: F.length(w) > 1).alias("ws"))
-    form = Q.any_word(words, F.col("ws"))
-    def match(frame, index):
-        return I.phrase_hits(index, form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id").distinct().join(frame, "id")
-    w2 = Window.partitionBy("query_id").orderBy(F.desc("access_count"), "id")
-    pat = match(know.where(F.col("category").isin("pattern", "decision")), know_index).withColumn("rk", F.row_number().over(w2)).where("rk <= 3")
-    pat = actions.select("action_id", F.col("query").alias("query_id")).join(pat, "query_id").select(
+    form = cut(Q.any_word(words, F.col("ws")).select("query_id", "phrase"), "words")
+    phrases = cut(form.select("phrase").distinct(), "phrases")
+    def match(frame, index, most, *order):
+        """The first ``most`` rows of ``frame`` for each query: they are among the first of some word of it."""
+        hits = I.phrase_hits(index, phrases).select("phrase", "id").distinct().join(frame, "id")
+        first = hits.withColumn("rk", F.row_number().over(Window.partitionBy("phrase").orderBy(*order))).where(F.col("rk") <= most).select("phrase", "id").distinct()
+        found = form.join(cut(first, "first"), "phrase").select("query_id", "id").distinct().join(frame, "id")
+        return cut(found.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rk") <= most), "matches")
+    by_query = actions.select("action_id", F.col("query").alias("query_id"))
+    entry = lambda d, *more: d.select("id", "category", "title", *more)
+    pat = match(entry(know.where(F.col("category").isin("pattern", "decision")), "created_at", "access_count"), know_index, 3, F.desc("access_count"), "id")
+    pat = by_query.join(pat, "query_id").select(
         "action_id", F.concat("category", F.lit(": "), "title").alias("line"),
         (0.8 * (0.7 + 0.2 * decay(age("created_at"), 7) + 0.1 * (F.log2(F.col("access_count") + 2) / 10))).alias("score"), F.lit("pattern").alias("leg"))
-    ends = edges.select(F.col("src").alias("path"), F.col("dst").alias("name"), "type").unionByName(
-        edges.select(F.col("dst").alias("path"), F.col("src").alias("name"), "type"))
-    w3 = Window.partitionBy("action_id").orderBy("type", "name")
-    graph = (on_file.join(ends, "path").withColumn("rk", F.row_number().over(w3)).where("rk <= 5")
-             .select("action_id", F.concat("type", F.lit(": "), "name").alias("line"), F.lit(0.5).alias("score"), F.lit("graph").alias("leg")))
-    w4 = Window.partitionBy("action_id").orderBy(F.desc("importance"), "id")
-    co = (on_file.join(obs.where((F.col("importance") >= 0.6) & (F.size("entities") > 0)).select(F.col("file_path").alias("path"), "id", "importance", "entities"), "path")
-          .withColumn("rk", F.row_number().over(w4)).where("rk = 1")
-          .select("action_id", F.concat(F.lit("Related: "), F.array_join(F.slice("entities", 1, 3), ", ")).alias("line"), F.lit(0.4).alias("score"), F.lit("entities").alias("leg")))
-    strong = cut(bugs.unionByName(pat), "strong")  # at most six rows per action
+    strong = of_file.where("leg = 'bug-history'").select("action_id").unionByName(pat.select("action_id"))  # at most six rows per action
     many = strong.groupBy("action_id").agg(F.count("*").alias("n")).where("n >= 2").select("action_id")
-    w5 = Window.partitionBy("query_id").orderBy("id")
-    other = match(shared, shared_index).withColumn("rk", F.row_number().over(w5)).where("rk <= 2")
-    cross = (actions.join(many, "action_id", "left_anti").select("action_id", F.col("query").alias("query_id")).join(other, "query_id")
+    other = match(entry(shared, "project"), shared_index, 2, F.col("id"))
+    cross = (by_query.join(other, "query_id").join(many, "action_id", "left_anti")
              .select("action_id", F.concat(F.lit("["), "project", F.lit("] "), "category", F.lit(": "), "title").alias("line"), F.lit(0.48).alias("score"), F.lit("cross-project").alias("leg")))
-    every = strong.unionByName(graph).unionByName(co).unionByName(cross).where(F.col("score") >= threshold)
+    every = of_file.unionByName(pat).unionByName(cross).where(F.col("score") >= threshold)
     w = Window.partitionBy("action_id").orderBy(F.round("score", 9).desc(), "leg", "line")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_action)
 
