@@ -92,9 +92,14 @@ def knowledge_list(know: DataFrame, index, substring_index, queries: DataFrame,
     """
     words = box_words()
     form = Q.any_word(queries, words)
-    matched = I.phrase_hits(index, form).join(form.select("query_id", "phrase"), "phrase").select("query_id", "id")
+    use = know.select("id", "access_count")
+    # the first entries of a query are among the first of some word of it
+    ranked = I.phrase_hits(index, form).select("phrase", "id").join(use, "id").withColumn(
+        "rank", F.dense_rank().over(Window.partitionBy("phrase").orderBy(F.desc("access_count"), "id")))
+    first = cut(ranked.where(F.col("rank") <= limit).select("phrase", "id").distinct(), "first")
+    matched = first.join(form.select("query_id", "phrase"), "phrase").select("query_id", "id")
     blank = contains_text(know, "id", ["title", "content"], queries.where(F.size(words) == 0), substring_index)
-    found = matched.unionByName(blank).distinct().join(know.select("id", "access_count"), "id")
+    found = matched.unionByName(blank).distinct().join(use, "id")
     w = Window.partitionBy("query_id").orderBy(F.desc("access_count"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

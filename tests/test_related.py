@@ -38,3 +38,22 @@ def test_actions_are_read_once_and_lists_equal_brute_force(spark, tmp_path):
         want += [(action, leg, line, round(score, 9)) for leg, line, score in strong + more if score >= 0.3]
     assert got == sorted(want) and {x[1] for x in got} >= {"bug-history", "pattern", "graph"}
     assert f"{tmp_path}/actions" not in df._jdf.queryExecution().executedPlan().toString()  # read once, when they were written
+
+
+def test_a_listing_takes_the_first_entries_of_each_word(spark, tmp_path):
+    """All entries that hold a word were dealt out for every query that asks for it."""
+    texts = [(i, "alpha" if i % 2 else "beta alpha", i % 3) for i in range(60)] + [(7, "alpha", 2), (60, "x*** y", 9)]
+    spark.createDataFrame(texts, "id bigint, content string, access_count bigint").write.parquet(f"{tmp_path}/texts")
+    k = spark.read.parquet(f"{tmp_path}/texts").withColumn("title", F.lit("t"))
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "beta!"), (3, "***"), (4, "nothing")], "query_id bigint, text string")
+    ix = I.tokenised(k.select("id", "content"), "id", "content")
+    df = S.knowledge_list(k, ix, None, q, 5)
+    got = sorted((r["query_id"], r["rank"], r["id"], r["access_count"]) for r in df.collect())
+    hits = {1: [i for i, t, _ in texts[:60]], 2: [i for i, t, _ in texts[:60] if "beta" in t], 3: [60]}
+    want = []
+    for n, ids in hits.items():
+        rows = sorted((-c, i) for i, _, c in texts if i in ids)[:5]
+        want += [(n, rank, i, -c) for rank, (c, i) in enumerate(rows, 1)]
+    assert got == sorted(want)
+    matched = S.knowledge_list(k, ix, None, q.where("query_id = 2"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" not in matched  # the texts' words are not dealt out behind the written first entries
